@@ -32,6 +32,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = place(spark, name)
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # Spark removes the shuffle files of plans that are no longer held
     return spark.read.schema(df.schema).parquet(path)
 
 

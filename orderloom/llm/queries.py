@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import jaccard_join, substring_dedup
 
 
 def queries() -> dict:
     return {
+        "op3_ngram_jaccard_join": jaccard_join.op3_ngram_jaccard_join,
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     }
 
@@ -18,7 +19,7 @@ def oracle_sql() -> dict[str, str]:
 #: Windows of 20 words by list slices; the earliest of equal ones stays.
 SUBSTRING_SQL = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents),
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
 win AS (
   SELECT doc_id, i, array_to_string(words[i + 1 : i + 20], ' ') AS seq
   FROM (SELECT doc_id, words, unnest(range(0, greatest(len(words) - 19, 0))) AS i FROM w)),
