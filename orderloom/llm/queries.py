@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, substring_dedup
+from . import decontaminate, jaccard_join, substring_dedup
 
 
 def queries() -> dict:
     return {
         "op3_ngram_jaccard_join": jaccard_join.op3_ngram_jaccard_join,
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
+        "op6_decontamination": decontaminate.op6_decontamination,
     }
 
 
