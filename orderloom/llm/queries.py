@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, substring_dedup
+from . import decontaminate, jaccard_join, mixing, substring_dedup
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op3_ngram_jaccard_join": jaccard_join.op3_ngram_jaccard_join,
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op6_decontamination": decontaminate.op6_decontamination,
+        "op7_mixing": mixing.op7_mixing,
     }
 
 
