@@ -62,12 +62,21 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, budget: float = BUDGET, re
     return s.select("source", "rank", "source_size", "blocks", "target")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; keeps nested expressions from growing exponentially."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _log_factorial(x: Column) -> Column:
-    x = x.cast("double")
-    small = F.element_at(F.array(*[F.lit(math.lgamma(i + 1)) for i in range(24)]), (F.least(x, F.lit(23.0)) + 1).cast("int"))
-    y = F.greatest(x, F.lit(1.0))
-    large = y * F.log(y) - y + 0.5 * F.log(2 * math.pi * y) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
-    return F.when(x < 24, small).otherwise(large)
+    """Stirling's series eight places further up, where three terms suffice."""
+
+    def series(y: Column) -> Column:
+        product = y
+        for i in range(1, 8):
+            product = product * (y - i)
+        return y * F.log(y) - y + 0.5 * F.log(2 * math.pi * y) + (1 - (1 - 2 / (7 * y * y)) / (30 * y * y)) / (12 * y) - F.log(product)
+
+    return _let(x.cast("double") + 8, series)
 
 
 def _uniform(*key: Column) -> Column:
@@ -80,28 +89,34 @@ def hypergeometric(good: Column, total: Column, draws: Column, u: Column, v: Col
 
     Beyond a standard deviation of 2000 its normal limit (from u and v), kept within the support.
     """
-    n, k, m = (c.cast("double") for c in (total, good, draws))
-    low, high = F.greatest(F.lit(0.0), m - (n - k)), F.least(k, m)
-    safe = F.greatest(n, F.lit(2.0))
-    mean = m * k / F.greatest(n, F.lit(1.0))
-    sd = F.sqrt(F.greatest(m * (k / safe) * (1 - k / safe) * (safe - m) / (safe - 1), F.lit(0.0)))
-    normal = F.round(mean + sd * F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v))
-    first = F.greatest(low, F.floor(mean - 9 * sd - 9).cast("double"))
-    last = F.least(high, F.ceil(mean + 9 * sd + 9).cast("double"))
+    named = lambda **c: F.struct(*[x.alias(k) for k, x in c.items()])
+    bounds = lambda a: named(
+        n=a["n"], k=a["k"], m=a["m"], u=a["u"], v=a["v"], low=F.greatest(F.lit(0.0), a["m"] - (a["n"] - a["k"])), high=F.least(a["k"], a["m"]),
+        mean=a["m"] * a["k"] / F.greatest(a["n"], F.lit(1.0)),
+        sd=F.sqrt(F.greatest(a["m"] * a["k"] * (a["n"] - a["k"]) * (a["n"] - a["m"]) / F.greatest(a["n"] * a["n"] * (a["n"] - 1), F.lit(1.0)), F.lit(0.0))),
+    )
+    ends = lambda a: named(
+        n=a["n"], k=a["k"], m=a["m"], u=a["u"], v=a["v"], low=a["low"], high=a["high"], mean=a["mean"], sd=a["sd"],
+        first=F.greatest(a["low"], F.floor(a["mean"] - 9 * a["sd"] - 9).cast("double")), last=F.least(a["high"], F.ceil(a["mean"] + 9 * a["sd"] + 9).cast("double")),
+    )
     lf = _log_factorial
-    density = F.exp(lf(k) - lf(first) - lf(k - first) + lf(n - k) - lf(m - first) - lf(n - k - m + first) - lf(n) + lf(m) + lf(n - m))
-    start = F.struct(density.alias("p"), F.lit(0.0).alias("sum"), F.lit(-1.0).alias("x"), k.alias("k"), n.alias("n"), m.alias("m"), u.alias("u"))
 
-    def step(a: Column, i: Column) -> Column:
-        total_ = a["sum"] + a["p"]
-        i = i.cast("double")
-        following = a["p"] * (a["k"] - i) * (a["m"] - i) / ((i + 1) * F.greatest(a["n"] - a["k"] - a["m"] + i + 1, F.lit(1.0)))
-        return F.struct(following.alias("p"), total_.alias("sum"), F.when((a["x"] < 0) & (total_ >= a["u"]), i).otherwise(a["x"]).alias("x"), a["k"].alias("k"), a["n"].alias("n"), a["m"].alias("m"), a["u"].alias("u"))
+    def drawn(a: Column) -> Column:
+        n, k, m, first = a["n"], a["k"], a["m"], a["first"]
+        density = F.exp(lf(k) - lf(first) - lf(k - first) + lf(n - k) - lf(m - first) - lf(n - k - m + first) - lf(n) + lf(m) + lf(n - m))
+
+        def step(b: Column, i: Column) -> Column:
+            following = b["p"] * (k - i) * (m - i) / ((i + 1) * F.greatest(n - k - m + i + 1, F.lit(1.0)))
+            return named(p=following, sum=b["sum"] + b["p"], x=F.when((b["x"] < 0) & (b["sum"] + b["p"] >= a["u"]), i.cast("double")).otherwise(b["x"]))
+
+        places = F.sequence(first.cast("long"), F.greatest(first, a["last"]).cast("long"))
+        found = F.aggregate(places, named(p=density, sum=F.lit(0.0), x=F.lit(-1.0)), step, lambda b: b["x"])
+        exact = _let(found, lambda x: F.when(x < 0, a["last"]).otherwise(x))
+        normal = F.round(a["mean"] + a["sd"] * F.sqrt(-2 * F.log(a["u"])) * F.cos(2 * math.pi * a["v"]))
+        return F.least(F.greatest(F.when(a["sd"] > 2000, normal).otherwise(exact), a["low"]), a["high"]).cast("long")
 
-    places = F.when(sd > 2000, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(first.cast("long"), F.greatest(first, last).cast("long")))
-    exact = F.aggregate(places, start, step, lambda a: a["x"])
-    exact = F.when(exact < 0, last).otherwise(exact)
-    return F.least(F.greatest(F.when(sd > 2000, normal).otherwise(exact), low), high).cast("long")
+    given = named(n=total.cast("double"), k=good.cast("double"), m=draws.cast("double"), u=u, v=v)
+    return _let(_let(_let(given, bounds), ends), drawn)
 
 
 def split_quotas(quotas: DataFrame, levels: int = SHARD_LEVELS) -> DataFrame:
@@ -116,7 +131,7 @@ def split_quotas(quotas: DataFrame, levels: int = SHARD_LEVELS) -> DataFrame:
             have = F.element_at(F.col("q"), i)
             # the last key's population is all that is left, so its draw is certain
             got = hypergeometric(have, a["pool"], a["draws"], _uniform(at, here, i, F.lit(1)), _uniform(at, here, i, F.lit(2)))
-            return F.struct((a["pool"] - have).alias("pool"), (a["draws"] - got).alias("draws"), F.concat(a["left"], F.array(got)).alias("left"))
+            return _let(got, lambda g: F.struct((a["pool"] - have).alias("pool"), (a["draws"] - g).alias("draws"), F.concat(a["left"], F.array(g)).alias("left")))
 
         start = F.struct(total.alias("pool"), F.floor(total / 2).cast("long").alias("draws"), F.array().cast("array<bigint>").alias("left"))
         node = node.withColumn("left", F.aggregate(F.sequence(F.lit(1), F.size("q")), start, draw, lambda a: a["left"]))
