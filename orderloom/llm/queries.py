@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, mixing, substring_dedup
+from . import decontaminate, jaccard_join, licenses, mixing, substring_dedup
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op6_decontamination": decontaminate.op6_decontamination,
         "op7_mixing": mixing.op7_mixing,
+        "op8_licenses": licenses.op8_licenses,
     }
 
 
