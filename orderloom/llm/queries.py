@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, jaccard_join, licenses, mixing, substring_dedup, warc
+from . import decontaminate, fingerprints, jaccard_join, language_id, licenses, mixing, substring_dedup, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc": warc.op1_warc,
+        "op2_language_id": language_id.op2_language_id,
         "op3_ngram_jaccard_join": jaccard_join.op3_ngram_jaccard_join,
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op6_decontamination": decontaminate.op6_decontamination,
         "op5_fingerprints": fingerprints.op5_fingerprints,
         "op7_mixing": mixing.op7_mixing,
         "op8_licenses": licenses.op8_licenses,
+        "op9_toxicity": toxicity.op9_toxicity,
     }
 
 
