@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, jaccard_join, language_id, licenses, mixing, substring_dedup, toxicity, warc
+from . import decontaminate, fingerprints, html_text, jaccard_join, language_id, licenses, mixing, substring_dedup, toxicity, warc
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_mixing": mixing.op7_mixing,
         "op8_licenses": licenses.op8_licenses,
         "op9_toxicity": toxicity.op9_toxicity,
+        "op10_html_text": html_text.op10_html_text,
     }
 
 

@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear model over hashed words (present or not) is trained in numpy from confirmed toxic texts and
+A linear model over hashed words and word beginnings (present or not) is trained in numpy from confirmed toxic texts and
 unlabelled ones. The unlabelled hold toxic texts too, so the risk of the negative class is the risk over
 unlabelled texts less what the class prior says that their toxic share contributes; where that estimate
 falls below zero, its gradient is turned (non-negative estimator). The prior is the toxic share of the
@@ -26,6 +26,10 @@ from ._text import U
 from .language_id import held_out
 
 DIMENSIONS = 1 << 18
+#: Bytes of the word beginnings that are features too.
+BEGINNINGS = (4, 5, 6, 7, 8)
+#: A feature is used if toxic texts hold it more often than unlabelled ones by so many standard errors.
+DEVIATION = 3.0
 POSITIVE = 4000
 UNLABELLED = 16000
 ROUNDS = 120
@@ -34,12 +38,17 @@ DECAY = 2e-5
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashed words of all texts, one after the other, and how many each has."""
+    """Sorted distinct hashed words and word beginnings of all texts, one after the other, and how many each has."""
     data, offs = _text.buffer(texts)
     starts, ends, first = _text.spans(data, offs, _text.SYMBOL)
-    h = _text.word_hashes(data, starts, ends, fold=True)
     doc = np.repeat(np.arange(len(offs) - 1), np.diff(first)).astype(U)
-    key = _text.distinct(doc << U(32) | (h >> U(20)) & U(DIMENSIONS - 1))
+    keys = []
+    for size in (None, *BEGINNINGS):
+        live = np.arange(len(starts)) if size is None else np.flatnonzero(ends - starts > size)
+        at = starts[live]
+        h = _text.word_hashes(data, at, ends[live] if size is None else at + size, fold=True)
+        keys.append(_text.distinct(doc[live] << U(32) | (_text.mix(h + U(size or 0)) >> U(20)) & U(DIMENSIONS - 1)))
+    key = _text.distinct(np.concatenate(keys))
     return (key & U(0xFFFFFFFF)).astype(np.int64), np.bincount((key >> U(32)).astype(np.int64), minlength=len(offs) - 1)
 
 
@@ -85,6 +94,20 @@ def fit(pos: tuple, unl: tuple, prior: float, rounds: int = ROUNDS) -> tuple[np.
     return out, b
 
 
+def selected(pos: tuple, unl: tuple, deviation: float = DEVIATION) -> np.ndarray:
+    """Which features toxic texts hold more often than unlabelled ones, by a two-sample test of the shares."""
+    a, b = (np.bincount(x[0], minlength=DIMENSIONS) for x in (pos, unl))
+    n, m = max(len(pos[1]), 1), max(len(unl[1]), 1)
+    p = (a + b) / (n + m)
+    error = np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n + 1 / m))
+    return (a / n - b / m > deviation * error) & (a >= 3)
+
+
+def only(x: tuple, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    live = keep[x[0]]
+    return x[0][live], np.bincount(np.repeat(np.arange(len(x[1])), x[1])[live], minlength=len(x[1]))
+
+
 def _blobs(batches):
     for batch in _text.pieces(batches):
         words, sizes = features(batch.column(1))
@@ -111,7 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabell
         got = part.select(F.lit(kind).alias("kind"), "text").mapInArrow(_blobs, "kind int, words binary").select("words").collect()
         arrays = [np.frombuffer(r["words"], "<u4").astype(np.int64) for r in got]
         parts[kind] = (np.concatenate(arrays) if arrays else np.zeros(0, np.int64), np.array([len(a) for a in arrays], np.int64))
-    return fit(parts[1], parts[0], prior)
+    keep = selected(parts[1], parts[0])
+    return fit(only(parts[1], keep), only(parts[0], keep), prior)
 
 
 def score(docs: DataFrame, model, keep: list[str]) -> DataFrame:
