@@ -152,6 +152,14 @@ def unplanes(blob, n: int, width: int, at: int = 0) -> tuple[np.ndarray, int]:
     return raw.view("<u8").reshape(-1).astype(U), at + n * width
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers; for whole chunks much faster than np.unique, which hashes."""
+    a = np.sort(a)
+    keep = np.ones(len(a), bool)
+    keep[1:] = a[1:] != a[:-1]
+    return a[keep]
+
+
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Concatenated ranges start..start+len."""
     total = int(lens.sum())

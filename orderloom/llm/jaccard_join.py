@@ -7,9 +7,10 @@ overlap that the threshold asks for. A pair is a candidate only if it passes und
 the whole sets are compared.
 
 * Equal sets meet as one signature first, so copies never become pairs.
-* A token's bucket of up to ``BUCKET`` sets yields its pairs packed and pre-counted. Sets in larger
-  buckets form clusters; every pair of blocks of a cluster is compared by sparse products, so no row
-  is emitted for a pair and no pair is lost.
+* A token's bucket of up to ``BUCKET`` sets yields its pairs packed and pre-counted; all sets of a
+  larger bucket are taken for candidates of each other.
+* Sets that candidates join form clusters. A cluster is cut into blocks, and each pair of its blocks
+  is verified in one task by sparse products: no row is emitted for a pair, and none is lost.
 * Links become components by star contraction. Nothing of all documents goes to the driver; what is
   broadcast is bounded: the most frequent shingles (``HEAVY``) and a bitmap of candidates (``BITS``).
 
@@ -37,7 +38,9 @@ PERCENT = 80
 ORDERS = 3
 BUCKET = 96
 #: Frequent shingles kept on the driver, at most; 9 bytes each. Fewer only change the orders.
-HEAVY = 200_000
+HEAVY = 1_000_000
+#: Sets that hold a frequent shingle, at least.
+OFTEN = 32
 #: Words of the candidates' bitmap, 8 bytes each.
 BITS = 1 << 17
 NO_ID = -(2**63)
@@ -60,7 +63,7 @@ def shingle_sets(text: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     short = np.flatnonzero((words > 0) & (words < width))
     if len(short):
         keys.append((short.astype(U) << U(48)) | (_text.whole(h, first[short], first[short + 1]) >> U(16)))
-    keys = np.unique(np.concatenate(keys)) if keys else np.zeros(0, U)
+    keys = _text.distinct(np.concatenate(keys)) if keys else np.zeros(0, U)
     return keys, np.bincount((keys >> U(48)).astype(np.int64), minlength=len(words))
 
 
@@ -78,18 +81,62 @@ def _batch(cols: dict, types: dict) -> pa.RecordBatch:
 
 
 def _facts(batches, width: int):
-    """(0, _id, n, sig) for each document; (1, null, count, shingle) for those frequent in a chunk."""
-    types = {"kind": pa.int32(), "_id": pa.int64(), "n": pa.int64(), "sig": pa.int64()}
+    """(_id, n, sig) of each document."""
+    types = {"_id": pa.int64(), "n": pa.int64(), "sig": pa.int64()}
     for batch in _text.pieces(batches):
         keys, sizes = shingle_sets(batch.column(1), width)
-        sig = signatures(keys, sizes)
-        _, first = np.unique(sig, return_index=True)
-        fresh = np.zeros(len(sig), bool)
-        fresh[first] = True
-        token, count = np.unique((keys & _LOW)[np.repeat(fresh, sizes)], return_counts=True)
-        often = count >= 4
-        yield _batch({"kind": np.zeros(len(sig), np.int32), "_id": batch.column(0), "n": sizes.astype(np.int64), "sig": sig}, types)
-        yield _batch({"kind": np.ones(often.sum(), np.int32), "_id": pa.nulls(int(often.sum()), pa.int64()), "n": count[often].astype(np.int64), "sig": token[often].view(np.int64)}, types)
+        yield _batch({"_id": batch.column(0), "n": sizes.astype(np.int64), "sig": signatures(keys, sizes)}, types)
+
+
+def _fresh(keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a batch, and which of its texts are the first with their set."""
+    sig = signatures(keys, sizes)
+    fresh = np.zeros(len(sig), bool)
+    fresh[np.unique(sig, return_index=True)[1]] = True
+    return sig, fresh & (sizes > 0)
+
+
+def _dealt(part: np.ndarray):
+    """(part, places) of each part that occurs."""
+    order = np.argsort(part, kind="stable")
+    cut = np.flatnonzero(np.diff(part[order], prepend=-1))
+    for a, b in zip(cut, np.append(cut[1:], len(order))):
+        yield int(part[order[a]]), order[a:b]
+
+
+def _tallies(batches, width: int, parts: int):
+    """How many distinct sets of a chunk hold each shingle, packed by part."""
+    for batch in _text.pieces(batches):
+        keys, sizes = shingle_sets(batch.column(0), width)
+        _, fresh = _fresh(keys, sizes)
+        token = np.sort((keys & _LOW)[np.repeat(fresh, sizes)])
+        if not len(token):
+            continue
+        first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        count, token = np.diff(np.append(first, len(token))).astype(U), token[first]
+        out: tuple = ([], [])
+        for part, k in _dealt((token % U(parts)).astype(np.int64)):
+            out[0].append(part)
+            out[1].append(_text.planes(token[k] // U(parts), 6) + _text.planes(count[k], 2))
+        yield _batch({"part": out[0], "blob": out[1]}, {"part": pa.int32(), "blob": pa.binary()})
+
+
+def _frequent(batches, parts: int, least: int):
+    """(shingle, sets) of the shingles of at least so many sets."""
+    for part, blobs in _grouped(batches):
+        cols: list = [[], []]
+        for blob in blobs:
+            k, at = len(blob) // 8, 0
+            for c, w in zip(cols, (6, 2)):
+                x, at = _text.unplanes(blob, k, w, at)
+                c.append(x)
+        token, count = (np.concatenate(c) for c in cols)
+        order = np.argsort(token)
+        token, count = token[order], count[order]
+        first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        total = np.add.reduceat(count, first)
+        often = total >= least
+        yield _batch({"token": (token[first[often]] * U(parts) + U(part)).view(np.int64), "n": total[often].view(np.int64)}, {"token": pa.int64(), "n": pa.int64()})
 
 
 def _prefixes(batches, width: int, percent: int, orders: int, parts: int, heavy):
@@ -99,11 +146,8 @@ def _prefixes(batches, width: int, percent: int, orders: int, parts: int, heavy)
     may[(tokens & U((1 << 20) - 1)).astype(np.int64)] = True
     for batch in _text.pieces(batches):
         keys, sizes = shingle_sets(batch.column(0), width)
-        sig = signatures(keys, sizes).view(U)
-        _, first = np.unique(sig, return_index=True)
-        fresh = np.zeros(len(sig), bool)
-        fresh[first] = True
-        fresh &= sizes > 0
+        sig, fresh = _fresh(keys, sizes)
+        sig = sig.view(U)
         keys = keys[np.repeat(fresh, sizes)]
         docs = np.flatnonzero(fresh)
         n = sizes[docs]
@@ -124,13 +168,10 @@ def _prefixes(batches, width: int, percent: int, orders: int, parts: int, heavy)
             sorted_ = np.sort(doc | rank | (_text.mix(token * _SALT[j] + U(j)) >> U(22)))
             t = sorted_[take] & _M42
             part = (t % U(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cut = np.flatnonzero(np.diff(part[order], prepend=-1))
             t = t // U(parts)
-            for a, b in zip(cut, np.append(cut[1:], len(order))):
-                k = order[a:b]
+            for p, k in _dealt(part):
                 d = owner[k]
-                out[0].append(j * parts + int(part[k[0]]))
+                out[0].append(j * parts + p)
                 out[1].append(_text.planes(t[k], 4) + _text.planes(sig[docs[d]], 6) + _text.planes(np.minimum(n[d], 65535), 2))
         yield _batch({"part": out[0], "blob": out[1]}, {"part": pa.int32(), "blob": pa.binary()})
 
@@ -157,8 +198,8 @@ def _grouped(batches):
 
 
 def _pairs(batches, percent: int, parts: int, bucket: int):
-    """Packed pairs of small buckets with their counts; links of the members of larger ones."""
-    types = {"part": pa.int32(), "blob": pa.binary(), "a": pa.int64(), "b": pa.int64()}
+    """Packed pairs of small buckets with their counts (kind 0); the members of larger ones (kind 1)."""
+    types = {"part": pa.int32(), "kind": pa.int32(), "blob": pa.binary()}
     for part, blobs in _grouped(batches):
         cols = [[], [], []]
         for blob in blobs:
@@ -168,7 +209,7 @@ def _pairs(batches, percent: int, parts: int, bucket: int):
                 c.append(x)
         token, sig, n = (np.concatenate(c) for c in cols)
         del cols
-        order = np.argsort(token, kind="stable")
+        order = np.argsort(token)
         t = token[order]
         same = np.zeros(len(t) + 1, bool)
         same[1:-1] = t[1:] == t[:-1]
@@ -183,10 +224,11 @@ def _pairs(batches, percent: int, parts: int, bucket: int):
         size = np.diff(np.append(head, len(token)))
         big = size > bucket
         if big.any():
-            at, lead = _text.ragged(head[big], size[big]), np.repeat(head[big], size[big])
-            edge = np.unique(np.stack([sig[at], sig[lead]]), axis=1).view(np.int64)
-            k = edge.shape[1]
-            yield _batch({"part": np.full(k, -1 - part % 4096, np.int32), "blob": pa.nulls(k, pa.binary()), "a": edge[0], "b": edge[1]}, types)
+            out = ([], [])
+            for x, k in zip(head[big], size[big]):
+                out[0].append(int(_text.mix(sig[x : x + 1])[0] % U(parts)))
+                out[1].append(_text.planes(sig[x : x + k], 6))
+            yield _batch({"part": out[0], "kind": [1] * len(out[0]), "blob": out[1]}, types)
         left = np.repeat(np.where(big, 0, size), size) - (np.arange(len(token)) - np.repeat(head, size)) - 1
         lo, hi = [], []
         at, lag = np.flatnonzero(left >= 1), 1
@@ -207,15 +249,11 @@ def _pairs(batches, percent: int, parts: int, bucket: int):
         count = np.diff(np.append(first, len(a)))
         a, b, na, nb = a[first], b[first], na[first], nb[first]
         to = (_text.mix(a) % U(parts)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        cut = np.flatnonzero(np.diff(to[order], prepend=-1))
         out = ([], [])
-        for x, y in zip(cut, np.append(cut[1:], len(order))):
-            k = order[x:y]
-            out[0].append(int(to[k[0]]))
+        for p, k in _dealt(to):
+            out[0].append(p)
             out[1].append(b"".join(_text.planes(v[k], w) for v, w in ((a, 6), (b, 6), (na, 2), (nb, 2), (count, 4), (np.full(len(a), part // parts), 1))))
-        k = len(out[0])
-        yield _batch({"part": out[0], "blob": out[1], "a": pa.nulls(k, pa.int64()), "b": pa.nulls(k, pa.int64())}, types)
+        yield _batch({"part": out[0], "kind": [0] * len(out[0]), "blob": out[1]}, types)
 
 
 def _candidates(batches, percent: int, orders: int):
@@ -239,20 +277,30 @@ def _candidates(batches, percent: int, orders: int):
         ok = first[(seen >= need(na[first], nb[first], percent)[:, None]).all(axis=1)]
         return _batch({"kind": np.zeros(len(ok), np.int32), "a": a[ok].view(np.int64), "b": b[ok].view(np.int64)}, types)
 
-    part, held = None, []
+    def large(blobs):
+        """Links of each member with the first of its bucket."""
+        members = [_text.unplanes(x, len(x) // 6, 6)[0] for x in blobs]
+        pairs = np.stack([np.concatenate([m[1:] for m in members]), np.repeat([m[0] for m in members], [len(m) - 1 for m in members])])
+        pairs = pairs[:, np.lexsort(pairs)]
+        new = np.concatenate(([True], (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)))
+        a, b = pairs[:, new].view(np.int64)
+        return _batch({"kind": np.ones(len(a), np.int32), "a": a, "b": b}, types)
+
+    part, held = None, ([], [])
     for batch in batches:
-        large = batch.filter(pa.compute.is_valid(batch.column(2)))
-        if large.num_rows:
-            yield _batch({"kind": np.ones(large.num_rows, np.int32), "a": large.column(2), "b": large.column(3)}, types)
-        rest = batch.filter(pa.compute.is_valid(batch.column(1)))
-        for p, blob in zip(rest.column(0).to_pylist(), rest.column(1).to_pylist()):
-            if p != part and held:
-                yield settled(held)
-                held = []
+        for p, kind, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if p != part:
+                if held[0]:
+                    yield settled(held[0])
+                if held[1]:
+                    yield large(held[1])
+                held = ([], [])
             part = p
-            held.append(blob)
-    if held:
-        yield settled(held)
+            held[kind].append(blob)
+    if held[0]:
+        yield settled(held[0])
+    if held[1]:
+        yield large(held[1])
 
 
 def _sets(batches, width: int, bits):
@@ -276,29 +324,13 @@ def _sets(batches, width: int, bits):
         yield _batch({"_id": batch.column(0), "sig": sig, "n": sizes.astype(np.int64), "tokens": blobs}, types)
 
 
-def _verify(batches, percent: int):
-    for batch in batches:
-        a, b, na, nb = (batch.column(i).to_pylist() for i in range(4))
-        ta, tb = batch.column(4), batch.column(5)
-        ok = []
-        last = (None, None)
-        for i in range(len(a)):
-            if last[0] != a[i]:
-                last = (a[i], _text.unplanes(ta[i].as_py(), na[i], 6)[0])
-            both = np.sort(np.concatenate((last[1], _text.unplanes(tb[i].as_py(), nb[i], 6)[0])))
-            shared = int((both[1:] == both[:-1]).sum())
-            if 100 * shared >= percent * (na[i] + nb[i] - shared):
-                ok.append(i)
-        yield _batch({"u": [a[i] for i in ok], "v": [b[i] for i in ok]}, {"u": pa.int64(), "v": pa.int64()})
-
-
 def _blocks(batches, percent: int):
     """Links of the sets of a pair of blocks, as a forest: each set and the smallest that it reaches here."""
 
     def forest(sigs, sizes, blobs):
         token = np.concatenate([_text.unplanes(x, n, 6)[0] for x, n in zip(blobs, sizes)])
         doc = np.repeat(np.arange(len(sigs)), sizes)
-        order = np.argsort(token, kind="stable")
+        order = np.argsort(token)
         token, doc = token[order], doc[order]
         col = np.cumsum(np.concatenate(([True], token[1:] != token[:-1]))) - 1
         keep = np.bincount(col)[col] > 1
@@ -344,20 +376,24 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     n = _store.tasks(spark)
     parts = 8 * n
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), "text")
-    facts = _store.written(texts.mapInArrow(lambda b: _facts(b, width), "kind int, _id long, n long, sig long"), "facts")
+    facts = _store.written(texts.mapInArrow(lambda b: _facts(b, width), "_id long, n long, sig long"), "facts")
 
-    often = facts.where("kind = 1").groupBy("sig").agg(F.sum("n").alias("n")).where("n >= 32")
-    often = often.orderBy(F.desc("n"), "sig").limit(HEAVY).toPandas().sort_values("sig")
-    token = often["sig"].to_numpy(np.int64).view(U)
-    heavy = sc.broadcast((token, np.minimum(np.log2(np.maximum(often["n"].to_numpy(np.float64), 1)).astype(np.uint8), 63)))
+    tallies = texts.select("text").mapInArrow(lambda b: _tallies(b, width, parts), "part int, blob binary")
+    often = tallies.repartition(n, "part").sortWithinPartitions("part").mapInArrow(lambda b: _frequent(b, parts, OFTEN), "token long, n long")
+    often = often.orderBy(F.desc("n"), "token").limit(HEAVY).toPandas().sort_values("token")
+    token = np.sort(often["token"].to_numpy(np.int64).view(U))
+    grade = np.minimum(np.log2(np.maximum(often["n"].to_numpy(np.float64), 1)).astype(np.uint8), 63)
+    heavy = sc.broadcast((token, grade))
+    del tallies, often
+    _store.freed(spark)
 
     packed = texts.select("text").mapInArrow(lambda b: _prefixes(b, width, percent, orders, parts, heavy), "part int, blob binary")
-    pairs = packed.repartition(n, "part").sortWithinPartitions("part").mapInArrow(lambda b: _pairs(b, percent, parts, BUCKET), "part int, blob binary, a long, b long")
+    pairs = packed.repartition(n, "part").sortWithinPartitions("part").mapInArrow(lambda b: _pairs(b, percent, parts, BUCKET), "part int, kind int, blob binary")
     found = pairs.repartition(n, "part").sortWithinPartitions("part").mapInArrow(lambda b: _candidates(b, percent, orders), "kind int, a long, b long")
     found = _store.written(found, "candidates")
 
     reps = _store.written(
-        facts.where("kind = 0 and n > 0").groupBy("sig").agg(F.min("_id").alias("_id"), F.max("n").alias("n"), F.count("*").alias("copies")).withColumn("low", F.col("sig").bitwiseAND((1 << 48) - 1)), "sets"
+        facts.where("n > 0").groupBy("sig").agg(F.min("_id").alias("_id"), F.max("n").alias("n"), F.count("*").alias("copies")).withColumn("low", F.col("sig").bitwiseAND((1 << 48) - 1)), "sets"
     )
     ends = found.select(F.col("a").alias("low")).union(found.select("b")).distinct()
     verts = _store.written(reps.join(ends, "low").withColumn("k", F.xxhash64("_id")), "vertices")
@@ -365,28 +401,29 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     bitmap = np.zeros(BITS, U)
     bitmap[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(U)
     bits = sc.broadcast(bitmap)
+    del packed, pairs, ends
+    _store.freed(spark)
+
+    # candidates that links may join, directly or not, are compared together
+    crowd = _store.components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnsRenamed({"node": "low", "component": "c"})
+    crowd = crowd.join(verts, "low")
+    sizes = crowd.groupBy("c").agg(F.greatest(F.ceil(F.count("*") / 256), F.ceil(F.sum("n") / 150_000)).alias("blocks"))
+    placed = _store.written(crowd.join(sizes, "c").select("_id", "sig", "c", "blocks", F.pmod(F.xxhash64("sig"), "blocks").alias("i")), "placed")
     sets = texts.select("_id", F.xxhash64("_id").alias("k"), "text").mapInArrow(lambda b: _sets(b, width, bits), "_id long, sig long, n long, tokens binary")
-    sets = _store.written(sets.join(verts.select("_id", "sig", "low"), ["_id", "sig"]).select("sig", "low", "n", "tokens"), "tokens")
-
-    one = sets.select(F.col("low").alias("a"), F.col("sig").alias("u"), F.col("n").alias("nu"), F.col("tokens").alias("tu"))
-    two = sets.select(F.col("low").alias("b"), F.col("sig").alias("v"), F.col("n").alias("nv"), F.col("tokens").alias("tv"))
-    near = found.where("kind = 0").select("a", "b").join(one, "a").join(two, "b").select("u", "v", "nu", "nv", "tu", "tv")
-    links = near.mapInArrow(lambda b: _verify(b, percent), "u long, v long")
-
-    crowd = _store.components(found.where("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    crowd = crowd.select(F.col("node").alias("low"), F.col("component").alias("c"))
-    sizes = crowd.join(verts, "low").groupBy("c").agg(F.greatest(F.ceil(F.count("*") / 256), F.ceil(F.sum("n") / 150_000)).alias("blocks"))
-    units = crowd.join(sizes, "c").join(sets, "low").withColumn("i", F.pmod(F.xxhash64("sig"), F.col("blocks")))
+    units = sets.join(placed, ["_id", "sig"])
     units = units.select("c", "i", "sig", "n", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
     units = units.select("c", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "sig", "n", "tokens")
-    dense = units.repartition(n, "c", "i", "j").sortWithinPartitions("c", "i", "j").mapInArrow(lambda b: _blocks(b, percent), "u long, v long")
+    links = units.repartition(n, "c", "i", "j").sortWithinPartitions("c", "i", "j").mapInArrow(lambda b: _blocks(b, percent), "u long, v long")
+    links = _store.written(links, "links")
+    del sets, units
+    _store.freed(spark)
 
-    joined = _store.components(links.union(dense))
+    joined = _store.components(links)
     lowest = joined.join(reps, joined["node"] == reps["sig"]).groupBy("component").agg(F.min("_id").alias("m"))
     joined = joined.join(lowest, "component").select(F.col("node").alias("sig"), "m")
     named = reps.join(joined, "sig", "left").where("copies > 1 or m is not null").select("sig", F.coalesce("m", "_id").alias("m"))
     named = _store.written(named, "named")
-    rows = facts.where("kind = 0").select("_id", "n", "sig").join(named, "sig", "left")
+    rows = facts.select("_id", "n", "sig").join(named, "sig", "left")
     own = F.when((F.col("n") > 0) & F.col("m").isNotNull(), F.col("m")).otherwise(F.col("_id"))
     back = lambda c: F.when(c != NO_ID, c)
     return rows.select(back(F.col("_id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(own).alias("component_id"))

@@ -87,7 +87,7 @@ def _seeds(batches, length: int, seed: int, parts: int):
         doc = doc[inside]
         start = inside - first[doc]
         # the first of equal windows, by (doc_id, start)
-        order = np.argsort(win, kind="stable")
+        order = np.argsort(win)
         s = win[order]
         same = np.zeros(len(s) + 1, bool)
         same[1:-1] = s[1:] == s[:-1]
@@ -133,7 +133,7 @@ def _settle(blobs: list[bytes], length: int):
     start, count = start.astype(np.int64), count.astype(np.int64)
     base = np.cumsum(count) - count
     # seeds: anchors that occur more than once
-    order = np.argsort(anchor, kind="stable")
+    order = np.argsort(anchor)
     s = anchor[order]
     same = np.zeros(len(s) + 1, bool)
     same[1:-1] = s[1:] == s[:-1]
@@ -145,7 +145,7 @@ def _settle(blobs: list[bytes], length: int):
     pos = start[run] + at - base[run]
     key = _text.mix(anchor[run]) + win[at] * U(0x9E3779B97F4A7C15)
     # extension: equal whole windows
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     s = key[order]
     same = np.zeros(len(s) + 1, bool)
     same[1:-1] = s[1:] == s[:-1]
