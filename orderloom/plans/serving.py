@@ -58,8 +58,8 @@ def publish_files(summary: DataFrame, daily: DataFrame, path: str) -> Published:
     conforms(summary, SERVING_SUMMARY).coalesce(1).write.parquet(f"{version}/summary")
     conforms(daily, SERVING_DAILY).hint("rebalance", "event_date").write.partitionBy("event_date").parquet(f"{version}/daily")
     found = _checked(spark.read.parquet(f"{version}/summary"), spark.read.schema(SERVING_DAILY).parquet(f"{version}/daily"))
-    fs, pointer = file_system(spark, f"{path}/_current")
-    _, staged = file_system(spark, f"{path}/_current-{uuid.uuid4().hex}")
+    fs, pointer = file_system(spark, f"{path}/current")
+    _, staged = file_system(spark, f"{path}/current-{uuid.uuid4().hex}")
     out = fs.create(staged, True)
     out.write(bytearray(version.encode()))
     out.close()
@@ -92,9 +92,9 @@ class Store:
         self.spark, self.path, self.page_default, self.page_most = spark, path, page_default, page_most
 
     def _version(self) -> str:
-        if not exists(self.spark, f"{self.path}/_current"):
+        if not exists(self.spark, f"{self.path}/current"):
             raise NotFound("nothing is published yet")
-        return self.spark.read.text(f"{self.path}/_current").first()[0]
+        return self.spark.read.text(f"{self.path}/current").first()[0]
 
     def summary(self) -> dict:
         return summary_row(self.spark.read.parquet(f"{self._version()}/summary"))
