@@ -21,9 +21,58 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": SUBSTRING_SQL}
+    """SQL for the operators that SQL can express; tests hold the others to brute-force versions."""
+    return {"op1_warc": WARC_SQL, "op3_ngram_jaccard_join": JACCARD_SQL, "op4_substring_dedup": SUBSTRING_SQL, "op6_decontamination": DECONTAMINATION_SQL}
 
 
+#: Digests to base32 in groups of 20 bits.
+WARC_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+b AS (
+  SELECT *, list_aggregate(list_transform(range(8), lambda g: list_aggregate(list_transform([15, 10, 5, 0], lambda s:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, CAST(g * 5 + 1 AS INTEGER), 5) AS INTEGER) >> s) & 31 AS INTEGER) + 1, 1)), 'string_agg', '')), 'string_agg', '') AS digest,
+    max(page_id) OVER (PARTITION BY hex) AS top FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM b
+"""
+
+#: All pairs that share a shingle, then the links' transitive closure.
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i + 1 : i + 5], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(0, greatest(len(words) - 4, least(len(words), 1)))) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(node, reached) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.node, e.y FROM r JOIN e ON r.reached = e.x)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.component_id, w.doc_id) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN (SELECT node, min(reached) AS component_id FROM r GROUP BY node) m ON m.node = w.doc_id
+"""
+
+#: Windows of every size that items have, as strings.
+DECONTAMINATION_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+iw AS (
+  SELECT DISTINCT item, size, array_to_string(words[p + 1 : p + size], ' ') AS seq
+  FROM (SELECT item, words, least(13, len(words)) AS size, unnest(range(0, len(words) - least(13, len(words)) + 1)) AS p FROM i WHERE len(words) > 0)),
+dw AS (
+  SELECT doc_id, size, p, array_to_string(words[p + 1 : p + size], ' ') AS seq
+  FROM (SELECT doc_id, words, size, unnest(range(0, greatest(len(words) - size + 1, 0))) AS p FROM d, (SELECT DISTINCT size FROM iw))),
+hit AS (SELECT dw.doc_id, dw.p, dw.size, iw.item FROM dw JOIN iw ON dw.size = iw.size AND dw.seq = iw.seq),
+covered AS (SELECT doc_id, count(DISTINCT p + j) AS n FROM (SELECT doc_id, p, unnest(range(0, size)) AS j FROM hit) GROUP BY doc_id),
+held AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(h.n, 0) AS n_items, sha256(coalesce(h.items, '')) AS items_sha256,
+       coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(d.words) AS contaminated
+FROM d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN held h ON h.doc_id = d.doc_id
+"""
+
 #: Windows of 20 words by list slices; the earliest of equal ones stays.
 SUBSTRING_SQL = r"""
 WITH w AS (
