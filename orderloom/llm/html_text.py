@@ -2,9 +2,9 @@
 
 A page is a sequence of words and tags. Words score positive and tags negative, by weights learned from
 labelled pages: for each kind of token the logarithm of how much more often it stands inside the marked
-content than outside. One linear scan finds the contiguous region with the largest sum. Words of blocks
-that are never content (by tag, or by the class, id or role of a block) count as outside tokens and are
-left out of the region.
+content than outside. One linear scan finds the contiguous region with the largest sum. A block
+that never is content (by tag, or by its class, id or role) is one negative token, whatever it holds,
+and is left out of the region.
 
 The region's text is what its blocks hold: character references decoded, white space inside a block one
 space, blocks joined by a newline. Nothing else is dropped, and no length is capped.
@@ -80,26 +80,27 @@ def _outside(name: str, attributes: str, within: bool) -> bool:
 
 
 def tokens(page: str) -> list[tuple]:
-    """(kind, name or text): "<name" and ">name" for tags, "w" for text, "x" for text of blocks that never are content, "|" block borders before their tags."""
+    """(kind, name or text): "<name" and ">name" for tags, "w" for text, "a" for linked text, "x" for a whole block that never is content."""
     out: list[tuple] = []
     at, skip, depth, within, link, comments = 0, None, 0, 0, False, False
     size = len(page)
     while at < size:
         m = _TOKEN.search(page, at)
         end = m.start() if m else size
-        if end > at:
-            out.append(("x" if skip else "a" if link else "w", page[at:end]))
+        if end > at and not skip:
+            out.append(("a" if link else "w", page[at:end]))
         if not m:
             break
         at = m.end()
         name = m[2]
         if name is None:
-            if m[0].startswith("<![CDATA["):
-                out.append(("x" if skip else "w", html.escape(m[0][9:].removesuffix("]]>"))))
+            if m[0].startswith("<![CDATA[") and not skip:
+                out.append(("w", html.escape(m[0][9:].removesuffix("]]>"))))
             continue
         name, closing, attributes = name.lower(), bool(m[1]), m[3] or ""
-        out.append((">" if closing else "<", name))
         if closing:
+            if not skip:
+                out.append((">", name))
             if name in ("article", "main"):
                 within = max(0, within - 1)
             if name == "a":
@@ -115,16 +116,16 @@ def tokens(page: str) -> list[tuple]:
             depth += name == skip and not attributes.endswith("/")
         elif name not in VOID and _outside(name, attributes, within > 0):
             skip, depth = name, 1
+            out.append(("x", name))
             comments = bool(re.search(r"comment|repl|respond|disqus|discussion", attributes.lower()))
+        if not skip:
+            out.append(("<", name))
         if name in ("article", "main"):
             within += 1
         link = link or name == "a"
         if name in RAW and not attributes.endswith("/"):
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
-            to = close.start() if close else size
-            if to > at:
-                out.append(("x", page[at:to]))
-            at = to
+            at = close.start() if close else size
     return out
 
 
@@ -140,10 +141,10 @@ def fit(labelled: list[str] = LABELLED) -> dict[str, float]:
             if kind in "<>":
                 where["t" + text] += 1
             else:
-                where[kind] += len(text.split())
+                where[kind] += 1 if kind == "x" else len(text.split())
     odds = {k: math.log((inside[k] + 0.5) / (outside[k] + 0.5)) for k in {*inside, *outside}}
     # words score positive and tags negative; a tag that stands inside only costs next to nothing
-    return {k: (max(0.1, min(v, 1.0)) if k in "wa" else min(-0.01, max(v, -4.0)) if k != "x" else min(v, -1.0)) for k, v in odds.items()} | {"t": -0.3}
+    return {k: (max(0.1, min(v, 1.0)) if k in "wa" else min(-0.01, max(v, -4.0)) if k != "x" else -0.5) for k, v in odds.items()} | {"t": -0.3}
 
 
 def region(toks: list[tuple], weights: dict[str, float]) -> tuple[int, int]:
@@ -151,7 +152,7 @@ def region(toks: list[tuple], weights: dict[str, float]) -> tuple[int, int]:
     best, where, total, start = 0.0, (0, 0), 0.0, 0
     unknown = weights["t"]
     for i, (kind, text) in enumerate(toks):
-        total += weights.get("t" + text, unknown) if kind in "<>" else weights[kind] * len(text.split())
+        total += weights.get("t" + text, unknown) if kind in "<>" else weights["x"] if kind == "x" else weights[kind] * len(text.split())
         if total < 0:
             total, start = 0.0, i + 1
         elif total > best or (total == best and start == where[0] and total > 0):

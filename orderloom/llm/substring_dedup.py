@@ -226,7 +226,11 @@ def _cut(batches, text: int, hits: int):
 
 
 def dedup_substrings(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """All columns of ``docs``, with ``_kept`` (the words left, joined by one space), ``_words`` and ``_removed``."""
+    """All columns of ``docs``, with ``_kept`` (the words left, joined by one space), ``_words`` and ``_removed``.
+
+    Columns of ``docs`` that have the names used here (``_kept _words _removed _id _th hits``) are left out.
+    """
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("_kept", "_words", "_removed", "_id", "_th", "hits")])
     found = repeats(docs, length, seed)
     keyed = _keyed(docs)
     joined = keyed.join(found.hint("shuffle_hash"), ["_id", "_th"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "hits")
