@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import events, metrics, rules
-from ..operators.delivery import consume, dead_letters, projections
+from ..operators.delivery import dead_letters, projections
 from ..settings import Settings
-from ..sources.files import exists, messages, raw_stream, wait_for
+from ..sources.files import messages, raw_stream, wait_for
 
 
 def _started(writer, name: str, checkpoint: str, available_now: bool):
@@ -61,26 +61,28 @@ def live_metrics(spark: SparkSession, settings: Settings, available_now: bool =
     return _started(writer, "live_metrics", settings.checkpoint("live"), available_now).start()
 
 
+def _received(spark: SparkSession, settings: Settings) -> DataFrame:
+    keep = tuple(F.col(c) for c in ("kafkaKey", "kafkaPartition", "kafkaOffset", "payload"))
+    return events.decode(events.envelope(messages(spark, settings)), keep=keep)
+
+
 def consumer(spark: SparkSession, settings: Settings, available_now: bool = False) -> StreamingQuery:
-    """Projects each event once and puts what can't be projected under the dead-letter topic."""
-    projection, processed, dead = settings.at("projection"), settings.at("processed"), settings.at("topic", f"{settings.topic}.DLT")
+    """Projects each event once. The ids that were consumed are the query's state (on disk), so a batch
+    costs what it holds and not what came before; its folders are overwritten if it is repeated."""
+    fresh = rules.valid(_received(spark, settings), rules.PROJECTION).dropDuplicates(["eventId"])
 
     def step(df: DataFrame, batch_id: int) -> None:
-        # each batch has folders of its own, and those of a batch that is repeated don't count as seen
-        keep = tuple(F.col(c) for c in ("kafkaKey", "kafkaPartition", "kafkaOffset", "payload"))
-        rows = rules.with_reasons(events.decode(events.envelope(df), keep=keep), rules.PROJECTION).persist()
-        try:
-            seen = spark.read.schema("eventId string, batch long").parquet(processed).where(F.col("batch") < batch_id) if exists(spark, processed) else spark.createDataFrame([], "eventId string")
-            fresh = consume(rows.where(F.size("reasons") == 0), seen, "kafkaPartition", "kafkaOffset")
-            shape, done = projections(fresh)
-            shape.write.mode("overwrite").parquet(f"{projection}/batch={batch_id}")
-            dead_letters(rows.drop("reasons"), settings.topic).write.mode("overwrite").json(f"{dead}/batch={batch_id}")
-            done.write.mode("overwrite").parquet(f"{processed}/batch={batch_id}")
-        finally:
-            rows.unpersist()
-
-    writer = messages(spark, settings).writeStream.foreachBatch(step)
-    return _started(writer, "consumer", settings.checkpoint("consumer"), available_now).start()
+        for rows, place in zip(projections(df), ("projection", "processed")):
+            rows.write.mode("overwrite").parquet(f"{settings.at(place)}/batch={batch_id}")
+
+    return _started(fresh.writeStream.foreachBatch(step), "consumer", settings.checkpoint("consumer"), available_now).start()
+
+
+def dead_letter_queue(spark: SparkSession, settings: Settings, available_now: bool = False) -> StreamingQuery:
+    """Puts what can't be projected under the dead-letter topic, with the reasons."""
+    dead = dead_letters(_received(spark, settings), settings.topic)
+    writer = dead.writeStream.format("json").outputMode("append").option("path", settings.at("topic", f"{settings.topic}.DLT"))
+    return _started(writer, "dead_letter_queue", settings.checkpoint("dead_letters"), available_now).start()
 
 
 def run_all(spark: SparkSession, settings: Settings) -> None:

@@ -75,6 +75,7 @@ def test_consumer_takes_each_event_once(spark, settings):
     feed(spark, settings, 1, ("a", 2, {}), ("b", 0, {}))
     layers.consumer(spark, settings, available_now=True).awaitTermination()
     assert sorted(r.eventId for r in spark.read.parquet(settings.at("projection")).collect()) == ["a", "b"]
+    layers.dead_letter_queue(spark, settings, available_now=True).awaitTermination()
     dead = spark.read.json(settings.at("topic", f"{settings.topic}.DLT")).collect()
     assert [(r.topic, r.reasons) for r in dead] == [(f"{settings.topic}.DLT", ["quantity_not_positive"])]
 
