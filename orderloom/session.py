@@ -30,3 +30,14 @@ def prepared(spark: SparkSession) -> SparkSession:
     for key, value in CONF.items():
         spark.conf.set(key, value)
     return spark
+
+
+def catalog_conf(name: str, warehouse: str, uri: str, user: str = "", password: str = "") -> dict[str, str]:
+    """Session settings of a snapshot catalog over JDBC; its jar must be on the class path."""
+    prefix = f"spark.sql.catalog.{name}"
+    conf = {
+        "spark.sql.extensions": "org.apache.iceberg.spark.extensions.IcebergSparkSessionExtensions",
+        prefix: "org.apache.iceberg.spark.SparkCatalog", f"{prefix}.type": "jdbc", f"{prefix}.uri": uri, f"{prefix}.warehouse": warehouse,
+        f"{prefix}.io-impl": "org.apache.iceberg.hadoop.HadoopFileIO",
+    }
+    return conf | ({f"{prefix}.jdbc.user": user, f"{prefix}.jdbc.password": password} if user else {})

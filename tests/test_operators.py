@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from orderloom import contracts
 from orderloom.operators import delivery, events, metrics, quality, rules
-from orderloom.plans import pipeline, serving
+from orderloom.plans import outbox, pipeline, serving
 from orderloom.settings import Settings
 from orderloom.sources.files import wait_for
 from orderloom.sources.versions import Conflict, VersionedTable
@@ -191,6 +191,41 @@ def test_replays(spark):
     assert (row.status, row.attempts, row.lastError) == ("PUBLISHED", 1, None) and row.publishedAt
 
 
+def test_outbox_is_published_in_order_and_keeps_failures(spark, tmp_path):
+    t = dt.datetime(2026, 1, 1)
+    rows = [(f"e{i}", t + dt.timedelta(seconds=-i), "{}") for i in range(5)]
+    store = VersionedTable(spark, f"file://{tmp_path}/outbox", day_of=None)
+    store.create(delivery.outbox_entries(spark.createDataFrame(rows, "eventId string, createdAt timestamp, payload string")))
+    settings = Settings(root=f"file://{tmp_path}", source_format="json", outbox_batch=3)
+    calls = []
+
+    def broken(batch, _):
+        calls.append([r.id for r in batch.collect()])
+        raise OSError("down" * 1000)
+
+    assert outbox.publish_step(spark, store, settings, broken) == {"sent": 0, "failed": 3}
+    assert calls == [["e4", "e3", "e2"]] * 3  # the first try and two more
+    state = {r.id: (r.status, r.attempts, len(r.lastError or "")) for r in store.read().collect()}
+    assert state["e4"] == ("PENDING", 1, 2000) and state["e0"] == ("PENDING", 0, 0)
+    assert outbox.publish_step(spark, store, settings) == {"sent": 3, "failed": 0}
+    assert outbox.publish_step(spark, store, settings) == {"sent": 2, "failed": 0}
+    assert outbox.publish_step(spark, store, settings) == {"sent": 0, "failed": 0}
+    sent = spark.read.schema(contracts.MESSAGE).json(settings.at("topic", settings.topic))
+    assert sent.count() == 5 and {r.status for r in store.read().collect()} == {"PUBLISHED"}
+
+
+def test_final_errors_are_not_retried():
+    calls = []
+
+    def run():
+        calls.append(1)
+        raise ValueError
+
+    with pytest.raises(ValueError):
+        outbox.retried(run, 2, 0)
+    assert len(calls) == 1
+
+
 def test_requests(spark):
     kind = "idempotencyKey string, customerId string, productId string, quantity int, unitPrice decimal(19,2), channel string, location string"
     df = spark.createDataFrame([("k", "c", "p", 1, D("0.01"), "WEB", "SP"), ("", "c" * 81, None, 0, D("0.00"), "w" * 31, " ")], kind)
