@@ -33,7 +33,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = place(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
 def freed(spark: SparkSession) -> None:
@@ -42,13 +44,12 @@ def freed(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a table made by written()."""
-    spark = df.sparkSession
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        if f.startswith(shared_dir(spark).replace("file://", "file:")) or "orderloom" in f or f.startswith(shared_dir(spark)):
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by written(), once nothing that is still to run reads them."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def tasks(spark: SparkSession) -> int:
@@ -89,4 +90,6 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         seen = now
     else:
         raise RuntimeError("components didn't converge")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())
+    out._scratch = e._scratch
+    return out

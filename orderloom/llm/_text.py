@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 BLOCK = 1 << 20
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 
 _rng = np.random.default_rng(20240229)
 _TABLE = _rng.integers(1, 1 << 63, 256, dtype=U) * U(2) + U(1)

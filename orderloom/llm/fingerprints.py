@@ -129,6 +129,7 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     ends = _ranges.cuts(light, total // (8 * n) + 1)
     shard = _ranges.number(ends)
     tops = sorted(tuple(r) for r in light.groupBy(shard.alias("s")).agg(F.max(F.struct("_id", "_th")).alias("t")).select("s", "t._id", "t._th").collect())
+    _store.dropped(light)
     if not tops:
         return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     # descending: what follows a range is the top of the one below, and the topmost after the lowest

@@ -226,8 +226,12 @@ def _pairs(batches, percent: int, parts: int, bucket: int):
         if big.any():
             out = ([], [])
             for x, k in zip(head[big], size[big]):
-                out[0].append(int(_text.mix(sig[x : x + 1])[0] % U(parts)))
-                out[1].append(_text.planes(sig[x : x + k], 6))
+                members = sig[x + 1 : x + k]
+                salt = _text.mix(members) & U(15)  # one set heads many buckets
+                for v in range(16):
+                    if (mine := members[salt == v]).size:
+                        out[0].append(int(_text.mix(sig[x : x + 1] + U(v << 48))[0] % U(parts)))
+                        out[1].append(_text.planes(np.append(sig[x], mine), 6))
             yield _batch({"part": out[0], "kind": [1] * len(out[0]), "blob": out[1]}, types)
         left = np.repeat(np.where(big, 0, size), size) - (np.arange(len(token)) - np.repeat(head, size)) - 1
         lo, hi = [], []
@@ -405,8 +409,8 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     _store.freed(spark)
 
     # candidates that links may join, directly or not, are compared together
-    crowd = _store.components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnsRenamed({"node": "low", "component": "c"})
-    crowd = crowd.join(verts, "low")
+    grouped = _store.components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    crowd = grouped.withColumnsRenamed({"node": "low", "component": "c"}).join(verts, "low")
     sizes = crowd.groupBy("c").agg(F.greatest(F.ceil(F.count("*") / 256), F.ceil(F.sum("n") / 150_000)).alias("blocks"))
     placed = _store.written(crowd.join(sizes, "c").select("_id", "sig", "c", "blocks", F.pmod(F.xxhash64("sig"), "blocks").alias("i")), "placed")
     sets = texts.select("_id", F.xxhash64("_id").alias("k"), "text").mapInArrow(lambda b: _sets(b, width, bits), "_id long, sig long, n long, tokens binary")
@@ -418,11 +422,12 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     del sets, units
     _store.freed(spark)
 
-    joined = _store.components(links)
+    linked = joined = _store.components(links)
     lowest = joined.join(reps, joined["node"] == reps["sig"]).groupBy("component").agg(F.min("_id").alias("m"))
     joined = joined.join(lowest, "component").select(F.col("node").alias("sig"), "m")
     named = reps.join(joined, "sig", "left").where("copies > 1 or m is not null").select("sig", F.coalesce("m", "_id").alias("m"))
     named = _store.written(named, "named")
+    _store.dropped(found, reps, verts, grouped, placed, links, linked)
     rows = facts.select("_id", "n", "sig").join(named, "sig", "left")
     own = F.when((F.col("n") > 0) & F.col("m").isNotNull(), F.col("m")).otherwise(F.col("_id"))
     back = lambda c: F.when(c != NO_ID, c)

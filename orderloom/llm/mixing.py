@@ -178,6 +178,7 @@ def mix_blocks(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, repeat:
     limit = F.when(F.col("pass") < F.col("full"), F.col("source_size")).otherwise(F.col("rest"))
     ranked = ranked.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("words"), limit - F.col("at"))).cast("long"))
     ranked = _store.written(ranked.select("_row", "doc_id", "size", "source_size", "target", "key", "pass", "block", "taken", "nth"), "blocks")
+    _store.dropped(sized, sources)
 
     quotas = ranked.where("taken > 0").groupBy("key").agg(F.count("*").alias("q"))
     cuts = _store.written(split_quotas(quotas, levels), "cuts")

@@ -182,6 +182,7 @@ def write_archive(pages: DataFrame, root: str, roll: int = ROLL, shard_bytes: in
     rows = records.unionByName(notes).repartitionByRange(max(1, len(cuts) + 1), "shard").sortWithinPartitions("shard", "_id", "digest", "kind", "url")
     written = rows.mapInArrow(lambda b: _write(b, root, roll), _MANIFEST)
     written.write.parquet(f"{root}/_manifest")
+    _store.dropped(light, copies)
     manifest = spark.read.schema(written.schema).parquet(f"{root}/_manifest")
     manifest.mapInArrow(lambda b: _renamed(b, root), _MANIFEST).count()
     return manifest
