@@ -31,7 +31,7 @@ def decode(df: DataFrame, payload: str | Column = "payload", keep: tuple[Column,
 
 def parsed_events(messages: DataFrame) -> DataFrame:
     """What the live metrics read."""
-    return rules.valid(decode(messages, "value"), rules.PARSED)
+    return rules.valid(rules.computed(decode(messages, "value")), rules.PARSED)
 
 
 def refined(raw: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def refined(raw: DataFrame) -> DataFrame:
 
 def trusted_orders(raw: DataFrame) -> DataFrame:
     """Valid orders, not yet deduplicated: an invalid copy must not shadow a valid one."""
-    return rules.valid(refined(raw), rules.COMPUTABLE)
+    return rules.valid(rules.computed(refined(raw)), rules.COMPUTABLE)
 
 
 def reject_orders(raw: DataFrame) -> DataFrame:
