@@ -30,8 +30,8 @@ DIMENSIONS = 1 << 18
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: A feature is used if toxic texts hold it more often than unlabelled ones by so many standard errors.
 DEVIATION = 3.0
-POSITIVE = 4000
-UNLABELLED = 16000
+POSITIVE = 3000
+UNLABELLED = 8000
 ROUNDS = 120
 RATE = 0.05
 DECAY = 2e-5
@@ -105,7 +105,7 @@ def selected(pos: tuple, unl: tuple, deviation: float = DEVIATION) -> np.ndarray
 
 def only(x: tuple, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     live = keep[x[0]]
-    return x[0][live], np.bincount(np.repeat(np.arange(len(x[1])), x[1])[live], minlength=len(x[1]))
+    return x[0][live].astype(np.int64), np.bincount(np.repeat(np.arange(len(x[1])), x[1])[live], minlength=len(x[1]))
 
 
 def _blobs(batches):
@@ -132,8 +132,9 @@ def train(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabell
     parts = {}
     for kind, part in ((1, pos), (0, rows.where(unit < unlabelled / max(n, 1)))):
         got = part.select(F.lit(kind).alias("kind"), "text").mapInArrow(_blobs, "kind int, words binary").select("words").collect()
-        arrays = [np.frombuffer(r["words"], "<u4").astype(np.int64) for r in got]
-        parts[kind] = (np.concatenate(arrays) if arrays else np.zeros(0, np.int64), np.array([len(a) for a in arrays], np.int64))
+        sizes = np.array([len(r["words"]) // 4 for r in got], np.int64)
+        parts[kind] = (np.frombuffer(b"".join(r["words"] for r in got), "<u4"), sizes)
+        del got
     keep = selected(parts[1], parts[0])
     return fit(only(parts[1], keep), only(parts[0], keep), prior)
 
