@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import events, metrics, rules
 from ..operators.delivery import dead_letters, projections
 from ..settings import Settings
-from ..sources.files import messages, raw_stream, wait_for
+from ..sources.files import file_system, messages, raw_stream, wait_for
 
 
 def _started(writer, name: str, checkpoint: str, available_now: bool):
@@ -53,6 +53,19 @@ def live_totals(spark: SparkSession, path: str) -> DataFrame:
     return latest.select(*KEYS, "v.*")
 
 
+def compact_live(spark: SparkSession, path: str) -> None:
+    """Folds the micro-batches' folders into the last one; for when the query is stopped."""
+    fs, root = file_system(spark, path)
+    folders = sorted(f.getPath().getName() for f in fs.listStatus(root) if f.getPath().getName().startswith("batch="))
+    if len(folders) < 2:
+        return
+    last = int(folders[-1].partition("=")[2])
+    live_totals(spark, path).withColumn("batch", F.lit(last).cast("long")).write.mode("overwrite").parquet(f"{path}/_compact")
+    for name in folders:
+        fs.delete(file_system(spark, f"{path}/{name}")[1], True)
+    fs.rename(file_system(spark, f"{path}/_compact")[1], file_system(spark, f"{path}/{folders[-1]}")[1])
+
+
 def live_metrics(spark: SparkSession, settings: Settings, available_now: bool = False, console: bool = False) -> StreamingQuery:
     stream = live_stream(messages(spark, settings), settings)
     writer = stream.writeStream.outputMode("update")
