@@ -1,7 +1,7 @@
 """License scans with ordered signature rules, in DataFrame functions only.
 
-A text is lower-cased (A-Z) and reduced to its words, one space between them. Cheap substring tests
-gate this at all, then each rule by its own keywords, so that only few regular expressions see a text.
+A text is lower-cased (A-Z) and reduced to its words, one space between them. Each rule is gated by its
+own keyword, at the start of a word of that text, so that only few regular expressions see a text.
 Detections are intervals. One that lies within another (or equals one of a better rule) is suppressed;
 of two that overlap in part, the one of lower priority is. Base phrases are counted exactly and never
 suppressed. Everything is a projection of the row: no shuffle, and no limit on texts or detections.
@@ -24,9 +24,6 @@ SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same for texts that still have capitals.
 RAW_SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A text without any of these can't match a rule or a base phrase ("cc by" is tested apart).
-GATES = ["licen", "gpl", "copyright", "creativecommons", "creative commons", "public domain", "permission", "redistribution", "warranty", "warranties", "spdx", "unlicense", "wtfpl", "eula", "all rights", "cc0"]
-CC_GATE = "(?i)cc" + RAW_SEPARATOR + "by"
 
 # Families of versioned licenses: label, keyword, names (alternatives), versions.
 _VERSIONED = [
@@ -66,7 +63,8 @@ _SINGLE = [
     ("bsd-2-clause", "bsd", 65, 0.9, r"(?:bsd 2 clause|2 clause bsd|simplified bsd licen[cs]e)"),
     ("bsd-3-clause", "bsd", 65, 0.9, r"(?:bsd 3 clause|3 clause bsd|new bsd licen[cs]e|modified bsd licen[cs]e)"),
     ("bsd-4-clause", "bsd", 65, 0.9, r"(?:bsd 4 clause|4 clause bsd|original bsd licen[cs]e)"),
-    ("0bsd", "0bsd", 65, 0.9, r"(?:0bsd|zero clause bsd)"),
+    ("0bsd", "0bsd", 65, 0.9, r"0bsd"),
+    ("0bsd", "zero clause bsd", 65, 0.9, r"zero clause bsd"),
     ("zlib", "zlib", 60, 0.85, r"zlib(?: libpng)? licen[cs]e"),
     ("unlicense", "unlicense", 60, 0.9, r"unlicense"),
     ("unlicense", "released into the public domain", 75, 0.9, r"this is free and unencumbered software released into the public domain"),
@@ -155,7 +153,7 @@ def word_total(text: Column) -> Column:
 def detections(norm: Column, table) -> Column:
     """All (start, end, id) of the rules whose keyword the text holds; offsets count characters."""
     by_keyword = _rule_map(table)
-    keywords = F.filter(F.map_keys(by_keyword), lambda k: F.contains(norm, k))
+    keywords = F.filter(F.map_keys(by_keyword), lambda k: F.contains(norm, F.concat(F.lit(" "), k)))
     chosen = F.flatten(F.transform(keywords, lambda k: F.element_at(by_keyword, k)))
 
     def places(rule: Column) -> Column:
@@ -202,13 +200,8 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, table=None) -> DataFrame:
         if any(w[:i] == w[-i:] for i in range(1, len(w))):
             raise ValueError(f"places of {phrase!r} could overlap")
     text = F.coalesce(F.col("text"), F.lit(""))
-    low = F.lower(text)
-    gate = F.lit(False)
-    for g in GATES:
-        gate = gate | F.contains(low, F.lit(g))
-    gate = gate | (F.contains(low, F.lit("cc")) & text.rlike(CC_GATE))
     words = F.btrim(F.regexp_replace(F.translate(text, UPPER, LOWER), SEPARATOR, " "))
-    rows = docs.select("doc_id", word_total(text).alias("n_words"), F.when(gate, F.concat(F.lit(" "), words, F.lit(" "))).alias("norm"))
+    rows = docs.select("doc_id", word_total(text).alias("n_words"), F.concat(F.lit(" "), words, F.lit(" ")).alias("norm"))
     spaces = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
 
     def place(phrase: str, label: str) -> Column:
@@ -218,12 +211,11 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, table=None) -> DataFrame:
             (F.col("n_words") - spaces(F.element_at(p, -1)) + 1 - size).alias("last"), F.lit(label).alias("label")))
 
     found = [place(*x) for x in base.items()]
-    base_places = F.when(F.col("norm").isNotNull(), F.filter(F.array(*found), lambda p: p["n"] > 0)).otherwise(F.array().cast("array<struct<n:int,first:int,last:bigint,label:string>>"))
-    rows = rows.withColumns({"base": base_places, "found": F.when(F.col("norm").isNotNull(), resolved(detections(F.col("norm"), table), table))})
+    rows = rows.withColumns({"base": F.filter(F.array(*found), lambda p: p["n"] > 0), "found": resolved(detections(F.col("norm"), table), table)})
     label, weight = F.array(*[F.lit(r[0]) for r in table]), F.array(*[F.lit(r[3]) for r in table])
-    own = F.coalesce(F.transform("found", lambda d: F.element_at(label, d["id"] + 1)), F.array().cast("array<string>"))
+    own = F.transform("found", lambda d: F.element_at(label, d["id"] + 1))
     base_labels = F.array_sort(F.array_distinct(F.transform("base", lambda p: p["label"])))
-    best = F.array_max(F.concat(F.coalesce(F.transform("found", lambda d: F.element_at(weight, d["id"] + 1)), F.array().cast("array<double>")), F.transform("base", lambda p: F.lit(1.0)), F.array(F.lit(0.0))))
+    best = F.array_max(F.concat(F.transform("found", lambda d: F.element_at(weight, d["id"] + 1)), F.transform("base", lambda p: F.lit(1.0)), F.array(F.lit(0.0))))
     return rows.select(
         "doc_id", "n_words",
         F.aggregate("base", F.lit(0).cast("long"), lambda a, p: a + p["n"]).alias("n_base"),
@@ -232,7 +224,7 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, table=None) -> DataFrame:
         F.array_join(base_labels, ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(own, base_labels))), ",").alias("labels"),
         best.alias("score"),
-        F.coalesce(F.size("found"), F.lit(0)).alias("n_detections"),
+        F.size("found").alias("n_detections"),
     )
 
 

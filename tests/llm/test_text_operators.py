@@ -190,6 +190,51 @@ def test_license_rules(spark):
         licenses.scan(df, {"a b a": "x"})
 
 
+def expansions(pattern):
+    """Texts that a rule's pattern matches: every branch, each optional part without and with."""
+    import re._parser as parser
+
+    def of(items):
+        out = [""]
+        for kind, arg in items:
+            kind = str(kind)
+            if kind == "LITERAL":
+                more = [chr(arg)]
+            elif kind == "IN":
+                more = ["7" if str(arg[0][0]) == "CATEGORY" else chr(arg[0][1] if str(arg[0][0]) == "LITERAL" else arg[0][1][0])]
+            elif kind == "BRANCH":
+                more = [x for branch in arg[1] for x in of(branch)]
+            elif kind == "MAX_REPEAT":
+                more = [x * n for n in {arg[0], min(arg[1], arg[0] + 1)} for x in of(arg[2])]
+            elif kind == "SUBPATTERN":
+                more = of(arg[-1])
+            else:
+                assert kind == "ASSERT_NOT", kind
+                more = [""]
+            out = list(dict.fromkeys(a + b for a in out for b in more))
+        return out
+
+    return of(parser.parse(pattern))
+
+
+def test_license_keywords_lose_no_match(spark):
+    table = licenses.rules()
+    texts = []
+    keywords = collections.defaultdict(set)
+    for label, keyword, _, _, pattern in table:
+        keywords[label, pattern].add(keyword)
+    for (label, pattern), some in keywords.items():
+        every = expansions(pattern)
+        assert all(any(f" {k}" in f" {x}" for k in some) for x in every), (label, pattern)
+        texts += [x.upper().replace(" ", "\n") for x in (every[0], every[-1])]
+    texts += ["BSD-3-Clause", "Dual MIT / Apache-2.0", "All\nrights reserved", "in the public\ndomain", "Creative\nCommons Attribution 4.0", "Zero-Clause BSD", "under the same terms as Perl itself", "simple replacement permits"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in licenses.scan(df).collect()}
+    assert got == {i: licenses.brute(t, table=table) for i, t in enumerate(texts)}
+    assert [got[i][5] for i in range(len(texts) - 8, len(texts))] == ["bsd-3-clause", "apache-2.0", "proprietary", "public-domain", "cc-by-4.0", "0bsd", "perl", ""]
+    assert all(got[i][7] for i in range(len(texts) - 8))
+
+
 # --- fingerprints
 
 
