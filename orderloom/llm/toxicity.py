@@ -4,10 +4,11 @@ A linear model over hashed words and word beginnings (present or not) is trained
 unlabelled ones. The unlabelled hold toxic texts too, so the risk of the negative class is the risk over
 unlabelled texts less what the class prior says that their toxic share contributes; where that estimate
 falls below zero, its gradient is turned (non-negative estimator). The prior is the toxic share of the
-labelled texts. The offset is set so that the prior's share of the unlabelled texts scores 0.5 or more.
+labelled texts. The offset is set so that the prior's share of all texts that are not held out scores 0.5
+or more, by a histogram of their margins (bins of 1 / ``BINS`` in asinh; a bin that would exceed the share stays below).
 
-Learned are only rows that are not held out, at most about ``POSITIVE`` toxic and ``UNLABELLED`` other
-texts, chosen by a hash of the id; the words of a text are never cut. All texts are scored in full.
+The weights are learned only from rows that are not held out, at most about ``POSITIVE`` toxic and ``UNLABELLED``
+other texts, chosen by a hash of the id; the words of a text are never cut. All texts are scored in full.
 
 Defined results: null, empty and wordless texts get the score of the offset alone; a null doc_id is held
 in; of repeated label rows toxic wins, of repeated documents all are scored alike; without a toxic label
@@ -35,6 +36,9 @@ UNLABELLED = 8000
 ROUNDS = 120
 RATE = 0.05
 DECAY = 2e-5
+#: Bins of the margins' histogram a unit of asinh, and the last one; what lies beyond is counted there.
+BINS = 4096
+LAST = 50_000
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,8 +91,6 @@ def fit(pos: tuple, unl: tuple, prior: float, rounds: int = ROUNDS) -> tuple[np.
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
-    inside = _margin(column, sizes, w)[n_pos:]
-    b = -float(np.quantile(inside, 1 - prior)) - 1e-9 if n_unl else b
     out = np.zeros(DIMENSIONS)
     out[used] = w
     return out, b
@@ -115,6 +117,27 @@ def _blobs(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([words[e - s : e].astype("<u4").tobytes() for s, e in zip(sizes, end)], pa.binary())], ["kind", "words"])
 
 
+def offset(rows: DataFrame, weights: np.ndarray, prior: float) -> float:
+    """The offset at which at most the prior's share of all ``rows`` scores 0.5 or more: the lowest cut between bins."""
+    shared = rows.sparkSession.sparkContext.broadcast(weights)
+
+    def tally(batches):
+        total = np.zeros(2 * LAST + 1, np.int64)
+        for batch in _text.pieces(batches, "text"):
+            at = np.floor(np.arcsinh(_margin(*features(batch.column(0)), shared.value)) * BINS)
+            total += np.bincount(np.clip(at, -LAST, LAST).astype(np.int64) + LAST, minlength=len(total))
+        live = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(live - LAST), pa.array(total[live])], ["bin", "n"])
+
+    got = rows.select("text").mapInArrow(tally, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
+    bins, n = np.array(sorted((r["bin"], r["n"]) for r in got), np.int64).reshape(-1, 2).T
+    above = np.cumsum(n[::-1])[::-1]
+    fits = np.flatnonzero(above <= prior * n.sum())
+    # right above the last bin that doesn't fit
+    first = len(bins) if not len(fits) else fits[0]
+    return -float(np.sinh((bins[first - 1] + 1) / BINS)) if first else 0.0
+
+
 def train(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabelled: int = UNLABELLED) -> tuple[np.ndarray, float] | None:
     """The model from documents and labels that aren't held out; None without toxic ones."""
     spark = docs.sparkSession
@@ -136,7 +159,8 @@ def train(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabell
         parts[kind] = (np.frombuffer(b"".join(r["words"] for r in got), "<u4"), sizes)
         del got
     keep = selected(parts[1], parts[0])
-    return fit(only(parts[1], keep), only(parts[0], keep), prior)
+    weights, b = fit(only(parts[1], keep), only(parts[0], keep), prior)
+    return weights, offset(rows, weights, prior) if n else b
 
 
 def score(docs: DataFrame, model, keep: list[str]) -> DataFrame:

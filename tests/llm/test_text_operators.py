@@ -303,6 +303,20 @@ def test_toxicity(spark, empty):
     assert {r._score for r in toxicity.score(table, None, ["doc_id"]).collect()} == {0.0}
 
 
+def test_toxicity_offset_counts_all_rows(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join([*prose(f"o{i}", 20).split(), *(rng.choice(["vilest", "wretch", "odious", "craven"]) for _ in range(rng.randint(1, 4) if i % 4 == 0 else i % 9 == 0))])) for i in range(1500)]
+    known = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows if i % 3], "doc_id long, toxic int")
+    table = frame(spark, rows).repartition(3)
+    own = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5}
+    prior = sum(i % 4 == 0 for i in own if i % 3) / sum(1 for i in own if i % 3)
+    for unlabelled in (150, 8000):
+        got = toxicity.score(table, toxicity.train(table, known, unlabelled=unlabelled), ["doc_id"]).collect()
+        scores = [r._score for r in got if r.doc_id in own]
+        next_one = max(x for x in scores if x < 0.5)
+        assert sum(x >= 0.5 for x in scores) <= prior * len(own) < sum(x >= next_one - 0.002 for x in scores)
+
+
 # --- WARC
 
 
