@@ -21,12 +21,26 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest doc_id stays."""
+    """Of each group of linked rows one stays: that of the smallest doc_id (null is the smallest), then of the smallest text hash, then of the other columns."""
     docs = _documents(docs)
-    linked = jaccard_join.link_documents(docs)
-    gone = _store.written(linked.where("component_id <> doc_id").select("doc_id"), "copies")
+    key = F.xxhash64("text")
+    linked = jaccard_join.link_documents(docs, key=key).where("group is not null")
+    ids = linked.groupBy("group", "doc_id", "key").agg(F.count("*").alias("n"))
+    first = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "key", "n")
+    # groups of one row need nothing; of the others the first key stays, with one row
+    groups = ids.groupBy("group").agg(F.min(first).alias("first"), F.sum("n").alias("rows")).where("rows > 1")
+    tops = groups.select("group", F.col("first.doc_id").alias("top"), F.col("first.key").alias("top_key"), F.col("first.n").alias("top_n"))
+    stays = F.col("doc_id").eqNullSafe(F.col("top")) & (F.col("key") == F.col("top_key"))
+    some = ids.join(tops, "group").where(~stays | (F.col("top_n") > 1)).select("doc_id", "key", stays.alias("stays"))
+    some = _store.written(some, "copies")
     _store.freed(spark)
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    same = docs["doc_id"].eqNullSafe(some["doc_id"]) & (key == some["key"])
+    out = docs.join(some, same, "left_anti")
+    repeated = some.where("stays")
+    if not repeated.isEmpty():
+        held = docs.join(repeated, same, "left_semi").groupBy("doc_id", key.alias("_key")).agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("_row"))
+        out = out.select(*COLUMNS).unionByName(held.select("doc_id", "_row.*").select(*COLUMNS))
+    return out.select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

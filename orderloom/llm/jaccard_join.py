@@ -27,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _store, _text
@@ -81,11 +81,12 @@ def _batch(cols: dict, types: dict) -> pa.RecordBatch:
 
 
 def _facts(batches, width: int):
-    """(_id, n, sig) of each document."""
+    """(_id, n, sig) of each document, and its key if there is one."""
     types = {"_id": pa.int64(), "n": pa.int64(), "sig": pa.int64()}
     for batch in _text.pieces(batches):
         keys, sizes = shingle_sets(batch.column(1), width)
-        yield _batch({"_id": batch.column(0), "n": sizes.astype(np.int64), "sig": signatures(keys, sizes)}, types)
+        more = {"key": batch.column(2)} if batch.num_columns > 2 else {}
+        yield _batch({"_id": batch.column(0), "n": sizes.astype(np.int64), "sig": signatures(keys, sizes)} | more, types | dict.fromkeys(more, pa.int64()))
 
 
 def _fresh(keys: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -372,15 +373,19 @@ def _blocks(batches, percent: int):
         yield forest(*held)
 
 
-def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders: int = ORDERS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of ``docs``: the smallest doc_id that links reach."""
+def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, orders: int = ORDERS, key: Column | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of ``docs``: the smallest doc_id that links reach.
+
+    With ``key`` (of longs) also that of the row, and a ``group`` that no other component has, whatever its ids.
+    """
     spark = docs.sparkSession
     sc = spark.sparkContext
     _store.small_batches(spark)
     n = _store.tasks(spark)
     parts = 8 * n
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), "text")
-    facts = _store.written(texts.mapInArrow(lambda b: _facts(b, width), "_id long, n long, sig long"), "facts")
+    noted = texts if key is None else docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), "text", key.alias("key"))
+    facts = _store.written(noted.mapInArrow(lambda b: _facts(b, width), "_id long, n long, sig long" + ("" if key is None else ", key long")), "facts")
 
     tallies = texts.select("text").mapInArrow(lambda b: _tallies(b, width, parts), "part int, blob binary")
     often = tallies.repartition(n, "part").sortWithinPartitions("part").mapInArrow(lambda b: _frequent(b, parts, OFTEN), "token long, n long")
@@ -424,14 +429,15 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
     linked = joined = _store.components(links)
     lowest = joined.join(reps, joined["node"] == reps["sig"]).groupBy("component").agg(F.min("_id").alias("m"))
-    joined = joined.join(lowest, "component").select(F.col("node").alias("sig"), "m")
-    named = reps.join(joined, "sig", "left").where("copies > 1 or m is not null").select("sig", F.coalesce("m", "_id").alias("m"))
+    joined = joined.join(lowest, "component").select(F.col("node").alias("sig"), "m", "component")
+    named = reps.join(joined, "sig", "left").where("copies > 1 or m is not null").select("sig", F.coalesce("m", "_id").alias("m"), *([] if key is None else [F.coalesce("component", "sig").alias("group")]))
     named = _store.written(named, "named")
     _store.dropped(found, reps, verts, grouped, placed, links, linked)
-    rows = facts.select("_id", "n", "sig").join(named, "sig", "left")
+    rows = facts.select("_id", "n", "sig", *([] if key is None else ["key"])).join(named, "sig", "left")
     own = F.when((F.col("n") > 0) & F.col("m").isNotNull(), F.col("m")).otherwise(F.col("_id"))
     back = lambda c: F.when(c != NO_ID, c)
-    return rows.select(back(F.col("_id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(own).alias("component_id"))
+    more = [] if key is None else ["key", F.when(F.col("n") > 0, F.coalesce("group", "sig")).alias("group")]
+    return rows.select(back(F.col("_id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(own).alias("component_id"), *more)
 
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -53,3 +53,15 @@ def test_stages_keep_columns_of_documents(spark, sf_dir):
     for _, stage in p.STAGES[:-1]:
         assert stage(spark, docs.limit(0), sf_dir).columns == p.COLUMNS
     assert substring_dedup.LENGTH == 20
+
+
+def test_near_copies_of_repeated_and_null_ids(spark):
+    import corpus_pipeline as p
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a, "en"), (1, a, "en"), (2, a + " more", "en"), (5, b, "de"), (5, b, "en"), (5, c, "en"), (6, c, "en"), (4, c + " more", "en"), (None, d, "en"), (None, d, "en"), (9, d, "en"), (7, "", "en"), (7, "", "en")]
+    df = spark.createDataFrame([(i, t, x, "s", len(t)) for i, t, x in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted(((r.doc_id or 0), r.text, r.lang) for r in p.drop_near_copies(spark, df, "").collect())
+    assert got == [(0, d, "en"), (1, a, "en"), (4, c + " more", "en"), (5, b, "de"), (7, "", "en"), (7, "", "en")]
+    single = p.drop_near_copies(spark, df.where("doc_id in (2, 6)"), "").collect()
+    assert sorted(r.doc_id for r in single) == [2, 6]
