@@ -229,10 +229,14 @@ def _parsed(raw: bytes) -> tuple:
 
 
 def read_archive(spark, root: str) -> DataFrame:
-    """The records of all files that the manifest names."""
+    """The records of exactly the files that the manifest names; fails where one is missing or differs in size."""
     schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("record_type", T.StringType()), T.StructField("refers_to", T.LongType()), T.StructField("target_uri", T.StringType()), T.StructField("payload_digest", T.StringType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload", T.BinaryType())])
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.gz").load(root)
-    return files.select("content").mapInArrow(_records, schema)
+    manifest = spark.read.schema(_MANIFEST).parquet(f"{root}/_manifest").select("name", "bytes")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.gz").load(root).withColumn("name", F.element_at(F.split("path", "/"), -1))
+    bad = manifest.join(files.select("name", "length"), "name", "left").where("length is null or length <> bytes").first()
+    if bad:
+        raise OSError(f"{bad['name']} of the manifest " + ("is missing" if bad["length"] is None else f"has {bad['length']} instead of {bad['bytes']} bytes"))
+    return files.join(F.broadcast(manifest.select("name")), "name", "left_semi").select("content").mapInArrow(_records, schema)
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:

@@ -352,6 +352,21 @@ def test_warc_edges(spark, tmp_path):
     assert back == [(-1, "revisit", 1), (1, "response", None), (1, "response", None), (1, "revisit", 1)]
 
 
+def test_warc_reads_what_the_manifest_names(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    warc.write_archive(spark.createDataFrame([(i, "u", prose(i, 300)) for i in range(20)], "page_id long, url string, html string"), root, roll=3000)
+    name, data = sorted(warc.local_files(str(tmp_path)).items())[1]
+    file = tmp_path / name
+    (tmp_path / "part-999999-0000.warc.gz").write_bytes(data)
+    assert warc.read_archive(spark, root).count() == 20
+    file.rename(tmp_path / f"_temporary-0-{name}")
+    with pytest.raises(OSError, match="is missing"):
+        warc.read_archive(spark, root)
+    file.write_bytes(data[:-1])
+    with pytest.raises(OSError, match="bytes"):
+        warc.read_archive(spark, root)
+
+
 # --- HTML
 
 
