@@ -33,7 +33,6 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     stays = F.col("doc_id").eqNullSafe(F.col("top")) & (F.col("key") == F.col("top_key"))
     some = ids.join(tops, "group").where(~stays | (F.col("top_n") > 1)).select("doc_id", "key", stays.alias("stays"))
     some = _store.written(some, "copies")
-    _store.freed(spark)
     same = docs["doc_id"].eqNullSafe(some["doc_id"]) & (key == some["key"])
     out = docs.join(some, same, "left_anti")
     repeated = some.where("stays")
@@ -80,5 +79,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = _store.written(stage(spark, docs, sf_dir), f"stage-{name}")
-        _store.freed(spark)
     return docs
