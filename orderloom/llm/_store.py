@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,24 +29,28 @@ def place(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def cleaned(spark: SparkSession):
+    """Queries that are made and run within it remove their shuffle files at their end; the setting is put back."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: it survives lost executors and cuts the lineage."""
     spark = df.sparkSession
     path = place(spark, name)
-    df.write.parquet(path)
+    with cleaned(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
 
-def freed(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of plans that are no longer held; what the first round lets go frees more."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def dropped(*tables: DataFrame) -> None:
     """Deletes the files of tables made by written(), once nothing that is still to run reads them."""
     for df in tables:
@@ -59,35 +63,47 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of whole texts must stay small whatever the texts' length."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-
-
 def plain(df: DataFrame, *cols: str) -> DataFrame:
     """Only the columns an operator works on, so that extra ones can't clash with its own."""
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
+def _lowest(rows: DataFrame) -> DataFrame:
+    """(u, m, n): the smallest v of each u, and how many rows it has."""
+    return rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+
+
+def _met(rows: DataFrame, low: DataFrame, limit: int) -> DataFrame:
+    """rows (u, v) with the m of their u from ``low``. Nodes of more than ``limit`` rows, of which there
+    can't be more than rows / limit, are broadcast, so that no task joins all rows of one node."""
+    hubs = F.broadcast(low.where(F.col("n") > limit).select(F.col("u").alias("_u"), F.col("m").alias("_m")))
+    marked = rows.join(hubs, F.col("u") == F.col("_u"), "left")
+    cold = marked.where("_u is null").select("u", "v").join(low.select("u", "m"), "u")
+    return marked.where("_u is not null").select("u", "v", F.col("_m").alias("m")).union(cold.select("u", "v", "m"))
+
+
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """(u, v) undirected links of longs -> (node, component): the smallest node that links reach.
 
     Alternates large-star and small-star steps; each step is a table in the shared folder. Nodes
     without links aren't returned; an empty input gives an empty result.
     """
-    e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
+    spark = edges.sparkSession
+    shape = lambda e: e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    e = written(shape(edges.select("u", "v")), "edges")
+    count = lambda: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+    seen = count()
     for _ in range(limit):
+        often = max(100, 2 * seen["n"] // tasks(spark))
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        new = written(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-        now = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        low = _lowest(both).withColumn("m", F.least("u", "m"))
+        large = _met(both, low, often).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = _lowest(large)
+        small = _met(large, least, often).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        new = written(shape(small), "edges")
         dropped(e)
         e = new
+        now = count()
         if seen == now:
             break
         seen = now

@@ -172,7 +172,6 @@ def mark(docs: DataFrame, benchmark: DataFrame, keep: list[str], span: int = SPA
     """The columns ``keep`` of each document, with ``_words``, ``_hits`` (disjoint stretches of words) and ``_items``."""
     spark = docs.sparkSession
     sc = spark.sparkContext
-    _store.small_batches(spark)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
     windows = items.mapInArrow(lambda b: _windows(b, span, width), "item string, size int, hash long, tokens array<long>")
     blocks = 1

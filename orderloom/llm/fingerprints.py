@@ -120,7 +120,6 @@ def _follow(batches):
 def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     """Digests of each text and of its edited text, with their likeness and that to the next document."""
     spark = docs.sparkSession
-    _store.small_batches(spark, 1000)
     n = _store.tasks(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("text"))

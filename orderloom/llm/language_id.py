@@ -113,7 +113,6 @@ def _tally(batches):
 
 def profiles(labelled: DataFrame, size: int = SIZE, sample: int = SAMPLE):
     """(languages, sorted n-grams, rank of each in each language or -1) from (doc_id, lang, text)."""
-    _store.small_batches(labelled.sparkSession)
     labelled = labelled.where("lang is not null")
     many = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not many:
@@ -143,7 +142,6 @@ def best(text: str | None, langs, keys, ranks, size: int = SIZE) -> tuple[str, f
 def predict(docs: DataFrame, model, keep: list[str], size: int = SIZE) -> DataFrame:
     """The columns ``keep`` with ``_lang`` and ``_score``; only the text decides."""
     spark = docs.sparkSession
-    _store.small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):

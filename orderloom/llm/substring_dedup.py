@@ -6,7 +6,11 @@ ways: within one anchor's occurrences, the whole windows around them are compare
 whose words also start earlier is a repeat. Adjacent repeats join to maximal ones.
 
 A chunk of texts first settles its own repeats and sends only the first occurrence of each window,
-so a passage that a third of all documents hold reaches its reducer once a chunk.
+so a passage that a third of all documents hold reaches its reducer once a chunk. Windows are dealt by
+their anchor, which keeps neighbours together. All anchors are counted before, in ``CELLS`` cells of
+their hash: those of a cell with more than ``HEAVY`` times its share of all windows (a common phrase in
+many contexts) are dealt by the whole window instead, which also puts equal windows together.
+The number of parts follows from the number of windows, so a part's size doesn't grow with the input.
 
 Defined results: a null or wordless text has no words and loses none; a text under ``length`` words
 has no window; of equal windows the earliest (smallest doc_id, then smallest start) stays; rows that
@@ -29,6 +33,10 @@ from ._text import U
 
 LENGTH = 20
 SEED = 8
+CELLS = 1 << 16
+HEAVY = 4
+#: Windows of a part, on average at most.
+PART = 4_000_000
 _MASK = U((1 << 48) - 1)
 _BLOB = "part int, kind int, blob binary"
 _HIT = "_id long, _th long, s long, e long"
@@ -54,21 +62,59 @@ def _pack(ids, ths, doc, start, anchor, win) -> bytes:
     head = np.array([len(held), len(first), len(doc)], "<i8").tobytes()
     return head + b"".join((
         _text.planes(ids[held].view(U), 8), _text.planes(ths[held].view(U), 8),
-        _text.planes(local, 4), _text.planes(start[first], 4), _text.planes(count, 2), _text.planes(anchor[first], 8), _text.planes(win, 6),
+        _text.planes(local, 4), _text.planes(start[first], 4), _text.planes(count, 4), _text.planes(anchor[first], 8), _text.planes(win, 6),
     ))
 
 
 def _unpack(blob: bytes):
     d, r, n = np.frombuffer(blob, "<i8", 3)
     at, out = 24, []
-    for k, width in ((d, 8), (d, 8), (r, 4), (r, 4), (r, 2), (r, 8), (n, 6)):
+    for k, width in ((d, 8), (d, 8), (r, 4), (r, 4), (r, 4), (r, 8), (n, 6)):
         a, at = _text.unplanes(blob, int(k), width, at)
         out.append(a)
     return out
 
 
-def _seeds(batches, length: int, seed: int, parts: int):
-    """Per chunk: repeats that it settles itself (kind 1), and first windows dealt by anchor (kind 0)."""
+def _cell(anchor: np.ndarray) -> np.ndarray:
+    return (_text.mix(anchor) >> U(48)).astype(np.int64) % CELLS
+
+
+def _loads(batches, length: int, seed: int):
+    """(cell, windows) of a task's texts."""
+    total = np.zeros(CELLS, np.int64)
+    for batch in _text.pieces(batches, "text"):
+        data, offs = _text.buffer(batch.column(0))
+        starts, ends, first = _text.spans(data, offs, _text.SPACE)
+        h = _text.word_hashes(data, starts, ends, fold=False)
+        m = len(h) - length + 1
+        if m <= 0:
+            continue
+        doc = np.repeat(np.arange(batch.num_rows), np.diff(first))
+        inside = doc[:m] == doc[length - 1 :]
+        total += np.bincount(_cell(_sliding_min(_text.grams(h, seed), length - seed + 1)[inside]), minlength=CELLS)
+    held = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["cell", "n"])
+
+
+def crowded(texts: DataFrame, length: int, seed: int) -> tuple[int, np.ndarray]:
+    """How many windows all texts have, and the cells of anchors with more than their share (at most CELLS / HEAVY)."""
+    cells = texts.select("text").mapInArrow(lambda b: _loads(b, length, seed), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    with _store.cleaned(texts.sparkSession):
+        got = cells.toPandas()  # at most CELLS rows
+    n = got["n"].to_numpy(np.int64)
+    heavy = np.zeros(CELLS, bool)
+    heavy[got["cell"].to_numpy(np.int64)[n > HEAVY * n.sum() / CELLS + HEAVY]] = True
+    return int(n.sum()), heavy
+
+
+def _dealt(anchor: np.ndarray, win: np.ndarray, heavy: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each window; equal windows have equal anchors and get the same part."""
+    key = np.where(heavy[_cell(anchor)], win, anchor)
+    return (_text.mix(key) % U(parts)).astype(np.int32)
+
+
+def _seeds(batches, length: int, seed: int, parts: int, heavy):
+    """Per chunk: repeats that it settles itself (kind 1), and first windows dealt to parts (kind 0)."""
     salt = TaskContext.get().partitionId()
     for batch in _text.pieces(batches):
         data, offs = _text.buffer(batch.column(2))
@@ -109,8 +155,9 @@ def _seeds(batches, length: int, seed: int, parts: int):
                 yield pa.RecordBatch.from_arrays([pa.array([salt % parts], pa.int32()), pa.array([1], pa.int32()), pa.array([blob], pa.binary())], ["part", "kind", "blob"])
         keep = ~repeat
         # identical rows of one document would only meet themselves
-        doc, start, anchor, win = doc[keep], start[keep], anchor[keep], win[keep] & _MASK
-        part = (_text.mix(anchor) % U(parts)).astype(np.int32)
+        doc, start, anchor, win = doc[keep], start[keep], anchor[keep], win[keep]
+        part = _dealt(anchor, win, heavy.value, parts)
+        win = win & _MASK
         order = np.argsort(part, kind="stable")
         cut = np.flatnonzero(np.diff(part[order], prepend=-1))
         out = ([], [])
@@ -194,11 +241,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """(_id, _th, hits): for each text with repeated windows, their stretches of words [s, e)."""
     spark = docs.sparkSession
-    _store.small_batches(spark)
     n = _store.tasks(spark)
-    parts = 8 * n
     texts = _keyed(_store.plain(docs, "doc_id", "text")).select("_id", "_th", "text")
-    seeds = texts.mapInArrow(lambda b: _seeds(b, length, seed, parts), _BLOB)
+    windows, cells = crowded(texts, length, seed)
+    parts = max(8 * n, -(-windows // PART))
+    heavy = spark.sparkContext.broadcast(cells)
+    seeds = texts.mapInArrow(lambda b: _seeds(b, length, seed, parts, heavy), _BLOB)
     hits = seeds.repartition(n, "part").sortWithinPartitions("part").mapInArrow(lambda b: _repeats(b, length), _HIT)
     return hits.groupBy("_id", "_th").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("hits"))
 

@@ -141,7 +141,6 @@ def offset(rows: DataFrame, weights: np.ndarray, prior: float) -> float:
 def train(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabelled: int = UNLABELLED) -> tuple[np.ndarray, float] | None:
     """The model from documents and labels that aren't held out; None without toxic ones."""
     spark = docs.sparkSession
-    _store.small_batches(spark)
     known = labels.where(~held_out()).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total, toxic = known.agg(F.count("*"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0))).first()
     if not toxic:
@@ -166,7 +165,6 @@ def train(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabell
 def score(docs: DataFrame, model, keep: list[str]) -> DataFrame:
     """The columns ``keep`` with ``_score``."""
     spark = docs.sparkSession
-    _store.small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):

@@ -166,7 +166,6 @@ def _renamed(batches, root: str):
 def write_archive(pages: DataFrame, root: str, roll: int = ROLL, shard_bytes: int = SHARD, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Writes all rows of (page_id, url, html) below ``root`` and returns the committed manifest."""
     spark = pages.sparkSession
-    _store.small_batches(spark, 500)
     fs, path = _file_system(root)
     fs.create_dir(path, recursive=True)
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
@@ -242,7 +241,6 @@ def read_archive(spark, root: str) -> DataFrame:
 def op1_warc(spark, sf_dir: str) -> DataFrame:
     root = _store.place(spark, "warc")
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), root)
-    _store.freed(spark)
     return read_archive(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -9,10 +9,11 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orderloom.llm import decontaminate, fingerprints, html_text, jaccard_join, language_id, licenses, mixing, queries, substring_dedup, toxicity, warc
+from orderloom.llm import decontaminate, fingerprints, jaccard_join, language_id, licenses, mixing, queries, substring_dedup, toxicity, warc
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, _id string, part string, sig string, n string, low string, c string, hits string, size string, key string, shard string, _text string"
 CORE = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -80,6 +81,33 @@ def test_substrings_of_repeated_rows(spark):
     assert {r.doc_id: r._removed for r in lost.collect()} == {None: 0, 5: 60}
 
 
+def test_substrings_of_texts_beyond_two_bytes(spark):
+    long = prose("long", 600)
+    rows = [(1, " ".join([long] * 120)), (2, "start " + " ".join([long] * 120)), (3, "x " * 70_000), (4, "x " * 66_000 + "y")]
+    out = frame(spark, rows).repartition(4, "doc_id")
+    assert digests(substring_dedup.dedup_substrings(out)) == substring_dedup.brute(rows)
+
+
+def test_common_phrase_is_dealt_by_window(spark, monkeypatch):
+    phrase = " ".join(f"common{i}" for i in range(12))
+    rows = [(i, " ".join([prose(f"l{i}", 25), phrase, prose(f"r{i}", 25)])) for i in range(1500)] + [(9000, prose("l3", 25) + " " + phrase)]
+    table = frame(spark, rows).repartition(6)
+    monkeypatch.setattr(substring_dedup, "HEAVY", 50)
+    total, heavy = substring_dedup.crowded(table, 20, 8)
+    assert total == sum(max(len(t.split()) - 19, 0) for _, t in rows) and 0 < heavy.sum() <= substring_dedup.CELLS / 50
+    assert digests(substring_dedup.dedup_substrings(table)) == substring_dedup.brute(rows)
+    anchor, win = np.full(5000, np.flatnonzero(heavy[substring_dedup._cell(np.arange(1 << 19, dtype=np.uint64))])[0], np.uint64), np.arange(5000, dtype=np.uint64)
+    parts = substring_dedup._dealt(anchor, win, heavy, 40)
+    assert np.bincount(parts, minlength=40).max() < 250 and len(set(substring_dedup._dealt(anchor, win, ~heavy, 40))) == 1
+
+
+def test_settings_of_the_session_stay(spark, docs):
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    before = [spark.conf.get(k, None) for k in keys]
+    substring_dedup.dedup_substrings(docs.limit(3)).count()
+    assert before == [spark.conf.get(k, None) for k in keys]
+
+
 # --- n-gram Jaccard join
 
 
@@ -365,36 +393,3 @@ def test_warc_reads_what_the_manifest_names(spark, tmp_path):
     file.write_bytes(data[:-1])
     with pytest.raises(OSError, match="bytes"):
         warc.read_archive(spark, root)
-
-
-# --- HTML
-
-
-PAGES = [
-    (None, ""), ("", ""), ("<p>hello", "hello"), ("plain  words\nonly", "plain words only"),
-    ('<div class="ad">x<article><p>Main text goes on here</p></article>', "Main text goes on here"),
-    ("<nav><a>m</a></nav><main><header><h1>T</h1></header><p>A &lt;b&gt; c&nbsp;d &amp;amp; e</p><aside>no</aside><section id='comments'><article><p>bad comment</p></article></section></main><footer>f</footer>", "T\nA <b> c d &amp; e"),
-    ("<html><head><title>t</title><script>var a='</p>';</script></head><body><header>Site name</header><div class='cookie-notice'>We use cookies</div><article><h1>Title</h1><p>One<br>two <b>th</b>ree</p><form>Mail <input></form><p>last.</p></article><footer>Imprint</footer></body></html>", "Title\nOne two three\nlast."),
-]
-
-
-def test_html(spark):
-    df = spark.createDataFrame([(i, None, h, "x") for i, (h, _) in enumerate(PAGES)], "page_id long, url string, html string, _html string")
-    got = {r.page_id: r._main for r in html_text.extract_pages(df, ["page_id", "url"]).collect()}
-    assert got == {i: w for i, (_, w) in enumerate(PAGES)}
-    assert html_text.extract_pages(df.limit(0), ["page_id"]).count() == 0
-
-
-def test_region_is_the_best_one():
-    rng = random.Random(2)
-    weights = {"w": 1.0, "x": -2.0, "a": 0.5, "t": -0.7}
-    for _ in range(200):
-        toks = [rng.choice([("w", "a b"), ("w", "a"), ("x", "n"), ("<", "p"), (">", "p"), ("a", "l")]) for _ in range(rng.randint(0, 14))]
-        value = [weights["t"] if k in "<>" else weights["x"] if k == "x" else weights[k] * len(t.split()) for k, t in toks]
-        a, b = html_text.region(toks, weights)
-        assert sum(value[a:b]) == pytest.approx(max([0.0] + [sum(value[i:j]) for i in range(len(value)) for j in range(i + 1, len(value) + 1)]))
-
-
-def test_weights_have_the_named_signs():
-    w = html_text.fit()
-    assert w["w"] > 0 and all(v < 0 for k, v in w.items() if k.startswith("t"))
