@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -69,9 +70,10 @@ def test_pieces_keep_all_rows():
     assert [x for p in parts for x in p.column(0).to_pylist()] == batch.column(0).to_pylist() + batch.column(0).to_pylist()[2:5]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("chunk", [None, 25, 700])
+def test_components(spark, chunk):
     rng = random.Random(4)
-    edges = [(rng.randrange(200) - 100, rng.randrange(200) - 100) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(40)]
+    edges = [(rng.randrange(200) - 100, rng.randrange(200) - 100) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000 + i, 9000) for i in range(1800)] + [(3000, 5000 + 7 * i) for i in range(200)]
     root = {v: v for e in edges for v in e}
 
     def find(x):
@@ -83,7 +85,7 @@ def test_components(spark):
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
     linked = {v for a, b in edges if a != b for v in (a, b)}
-    got = {r.node: r.component for r in _store.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r.node: r.component for r in _store.components(spark.createDataFrame(edges, "u long, v long").repartition(5), chunk=chunk).collect()}
     assert got == {v: find(v) for v in linked}
     assert _store.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
