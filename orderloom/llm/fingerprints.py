@@ -6,9 +6,9 @@ logarithm of the text's length. The difference of two digests adds up bucket dis
 quartiles weigh double, and the distance of the lengths; it is bounded, and likeness falls linearly
 from 1 (no difference) to 0 (the bound).
 
-The edited text needs the next document's beginning. Ranges of doc_id are sorted in tasks of their own;
-the first document of each range is also sent to the range before, so one shuffle moves the texts once
-and no order of all documents is ever built in one task.
+The edited text needs the next document's beginning. Ranges of (doc_id, text hash) with about equal bytes
+are sorted in tasks of their own; the first document of each range is also sent to the range before, so one
+shuffle moves the texts once and no order of all documents is ever built in one task.
 
 Defined results: a null text is empty and has the digest of no bytes; rows with the same doc_id follow
 each other by the hash of their texts; a null doc_id is smaller than all others; a single document is its
@@ -31,6 +31,8 @@ BUCKETS = 512
 TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 4))
 #: Difference at and beyond which two texts are unlike.
 BOUND = 0.9
+#: Bytes of a range: at least, at most (more beyond 65536 ranges).
+RANGE = (4 << 20, 32 << 20)
 STEP = 1.1
 NO_ID = -(2**63)
 _K = np.random.default_rng(99).integers(1 << 20, 1 << 31, 16, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -125,7 +127,7 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("text"))
     light = _store.written(rows.select("_id", "_th", (F.octet_length("text") + 100).cast("long").alias("_size")), "order")
     total = light.agg(F.sum("_size")).first()[0] or 0
-    ends = _ranges.cuts(light, total // (8 * n) + 1)
+    ends = _ranges.cuts(light, min(max(total // (2 * n), RANGE[0]), RANGE[1]))
     shard = _ranges.number(ends)
     tops = sorted(tuple(r) for r in light.groupBy(shard.alias("s")).agg(F.max(F.struct("_id", "_th")).alias("t")).select("s", "t._id", "t._th").collect())
     _store.dropped(light)
@@ -135,15 +137,15 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     top_of = {s: (i, h) for s, i, h in tops}
     above = {s: tops[(k + 1) % len(tops)][0] for k, (s, _, _) in enumerate(tops)}
     size = len(ends) + 1
-    array = lambda values: F.array(*[F.lit(v).cast("long") for v in values])
-    at = (F.col("shard") + 1).cast("int")
+    array = _ranges.numbers
+    at = F.col("shard") + 1
     own = [top_of.get(s, (0, 0)) for s in range(size)]
-    is_top = (F.element_at(array(x[0] for x in own), at) == F.col("_id")) & (F.element_at(array(x[1] for x in own), at) == F.col("_th"))
-    host = F.element_at(array(above.get(s, 0) for s in range(size)), at)
+    is_top = (F.try_element_at(array(x[0] for x in own), at) == F.col("_id")) & (F.try_element_at(array(x[1] for x in own), at) == F.col("_th"))
+    host = F.try_element_at(array(above.get(s, 0) for s in range(size)), at)
     here = F.struct(F.col("shard").alias("s"), F.lit(0).alias("guest"))
     rows = rows.withColumn("shard", shard).withColumn("place", F.explode(F.when(is_top, F.array(here, F.struct(host.alias("s"), F.lit(1).alias("guest")))).otherwise(F.array(here))))
     rows = rows.select(F.col("place.s").alias("shard"), F.col("place.guest").alias("guest"), "_id", "text", "_th")
-    rows = rows.repartition(n, "shard").sortWithinPartitions("shard", "guest", F.desc("_id"), F.desc("_th")).select("shard", "guest", "_id", "text")
+    rows = rows.repartitionById(size, F.col("shard").cast("int")).sortWithinPartitions("shard", "guest", F.desc("_id"), F.desc("_th")).select("shard", "guest", "_id", "text")
     return rows.mapInArrow(_follow, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

@@ -1,20 +1,22 @@
 """WARC archives: a deterministic sharded writer, and a reader that verifies what it reads.
 
-Records are range-sorted by (page_id, url, payload digest): ranges of page_id are cut where equal
-shares of the payload bytes end, a shard a range. Each shard is a chain of files that roll by compressed
-size; a record is a gzip member of its own with regenerated headers, so the bytes of all files depend on
-the records alone. Payloads that repeat are stored once (response), by the largest page_id; the others
-are revisits of it.
+Records are range-sorted by (page_id, payload digest, url): ranges of page_id and digest are cut where equal
+shares of the payload bytes end, a shard and a task a range. Each shard is a chain of files that roll by
+compressed size; each starts with a warcinfo record. A record is a gzip member of its own with regenerated
+headers, so the bytes of all files depend on the records alone. Payloads that repeat are stored once
+(response), by the largest page_id; the others are revisits that name its record, its URI and its page.
 
 A task writes files under a temporary name of its own and returns their manifest rows. The manifest is
 committed as a Parquet table by Spark, so only attempts that succeeded are in it; then each file of the
 manifest gets its final name, which may be repeated at will. Readers take the names from the manifest:
-a lost or repeated attempt leaves temporary files but never a record twice.
+a lost or repeated attempt leaves temporary files but never a record twice. Once all files have their names,
+what is left of temporary ones is deleted.
 
 Files are written through pyarrow's file systems (local, HDFS, S3, GCS), and read by Spark.
 
 Defined results: a null payload is empty, and empty payloads equal each other; of rows with the same
-page_id and payload one is the response, the others revisit it; a null page_id sorts first and is smaller
+page_id and payload one is the response (the first by url), the others revisit it; equal rows get record
+ids of their own; a null page_id sorts first and is smaller
 than all others; a null url is written as an empty target; an empty table gives an archive without
 files; other columns are ignored.
 """
@@ -37,7 +39,7 @@ from pyspark.sql import types as T
 
 from . import _ranges, _store
 
-#: Compressed bytes after which a file rolls, and payload bytes of a shard (more beyond 4096 shards).
+#: Compressed bytes after which a file rolls, and payload bytes of a shard (more beyond 65536 shards).
 ROLL = 16 << 20
 SHARD = 32 << 20
 #: Payloads of at least so many bytes are stored once.
@@ -58,35 +60,55 @@ def _file_system(path: str):
     return pafs.FileSystem.from_uri(path.replace("s3a://", "s3://"))
 
 
-def record_id(page_id: int, url: str, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_NAMES, f'{page_id}|{url}|{digest}')}>"
+def record_id(page_id: int, url: str, digest: str, copy: int = 0) -> str:
+    """A record's name; ``copy`` counts equal rows."""
+    return f"<urn:uuid:{uuid.uuid5(_NAMES, f'{page_id}|{url}|{digest}' + f'|{copy}' * bool(copy))}>"
+
+
+def target(url: str) -> str:
+    return quote(url, safe=";/?:@&=+$,#%!*()~[]'")
 
 
 def base32(sha1: bytes) -> str:
     return base64.b32encode(sha1).decode()
 
 
-def record(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None, length: int, date: str = DATE) -> bytes:
-    """One WARC/1.1 record; with ``refers_to`` a revisit, which holds the HTTP header only."""
+def record(page_id: int, url: str, payload: bytes, digest: str, refers_to: tuple[int, str] | None, length: int, copy: int = 0, date: str = DATE) -> bytes:
+    """One WARC/1.1 record; with ``refers_to`` (page and url of the response) a revisit, which holds the HTTP header only."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     shown = lambda x: "" if x == NO_ID else x
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if refers_to is not None else 'response'}",
-        f"WARC-Record-ID: {record_id(page_id, url, digest)}",
+        f"WARC-Record-ID: {record_id(page_id, url, digest, copy)}",
         f"WARC-Date: {date}",
-        f"WARC-Target-URI: {quote(url, safe=';/?:@&=+$,#%!*()~[]' + chr(39))}",
+        f"WARC-Target-URI: {target(url)}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Block-Digest: sha1:{base32(hashlib.sha1(block).digest())}",
         f"X-Page-ID: {shown(page_id)}",
     ]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {shown(refers_to)}"]
+        top, where = refers_to
+        head += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: {record_id(top, where, digest)}",
+            f"WARC-Refers-To-Target-URI: {target(where)}",
+            f"WARC-Refers-To-Date: {date}",
+            f"X-Refers-To-Page-ID: {shown(top)}",
+        ]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(head).encode() + block + b"\r\n\r\n"
 
 
+def info(name: str, date: str = DATE) -> bytes:
+    """The record that a file starts with."""
+    block = b"software: orderloom\r\nformat: WARC File Format 1.1\r\n"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(_NAMES, name)}>", f"WARC-Date: {date}", f"WARC-Filename: {name}",
+            f"WARC-Block-Digest: sha1:{base32(hashlib.sha1(block).digest())}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}", "", ""]
+    return "\r\n".join(head).encode() + block + b"\r\n\r\n"
+
+
 def member(data: bytes) -> bytes:
     """A gzip member without time or name."""
     z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
@@ -105,13 +127,17 @@ class _Shard:
             self.name = f"part-{self.shard:06d}-{self.part:04d}.warc.gz"
             self.temp = f"_temporary-{uuid.uuid4().hex}-{self.name}"
             self.out, self.size, self.records, self.sha = self.fs.open_output_stream(f"{self.path}/{self.temp}", compression=None), 0, 0, hashlib.sha256()
-        self.out.write(data)
-        self.sha.update(data)
-        self.size += len(data)
+            self._put(member(info(self.name)))
+        self._put(data)
         self.records += 1
         if self.size >= self.roll:
             self.close()
 
+    def _put(self, data: bytes) -> None:
+        self.out.write(data)
+        self.sha.update(data)
+        self.size += len(data)
+
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
@@ -120,8 +146,8 @@ class _Shard:
 
 
 def _write(batches, root: str, roll: int):
-    """Rows sorted by (shard, _id, url, digest, kind): notes on a payload's copies (kind 0) before the records they are about."""
-    now, note, first = None, None, None
+    """Rows sorted by (shard, _id, digest, kind, url): notes on a payload's copies (kind 0) before the records they are about."""
+    now, note, first, last, copy = None, None, None, None, 0
 
     def ended():
         now.close()
@@ -137,15 +163,16 @@ def _write(batches, root: str, roll: int):
                     yield ended()
                 now = _Shard(root, shard, roll)
             if kind == 0:
-                note = (i, digest, top)
+                note = (i, digest, top, url)
                 continue
             payload = payload or b""
-            refers = note[2] if note and note[:2] == (i, digest) else None
-            if refers == i:
-                refers = i if first == (i, digest) else None  # of the rows with the largest page_id, one is the response
+            refers = note[2:] if note and note[:2] == (i, digest) else None
+            if refers and refers[0] == i:
+                refers = refers if first == (i, digest) else None  # of the rows with the largest page_id, one is the response
                 first = (i, digest)
-            sha = base32(bytes.fromhex(digest))
-            now.add(member(record(i, url, payload, sha, refers, len(payload))))
+            copy = copy + 1 if last == (i, url, digest) else 0
+            last = (i, url, digest)
+            now.add(member(record(i, url, payload, base32(bytes.fromhex(digest)), refers, len(payload), copy)))
     if now is not None:
         yield ended()
 
@@ -171,22 +198,35 @@ def write_archive(pages: DataFrame, root: str, roll: int = ROLL, shard_bytes: in
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     keyed = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
     light = _store.written(keyed.select("_id", "url", F.sha1("payload").alias("digest"), (F.octet_length("payload") + 512).cast("long").alias("_size")), "pages")
-    cuts = _ranges.cuts(light, shard_bytes)
-    shard = _ranges.number(cuts).alias("shard")
+    order = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")
+    cuts = _ranges.cuts(light.withColumn("_th", order), shard_bytes)
+    shard = _ranges.number(cuts, "_id", order).cast("long").alias("shard")
 
-    copies = light.where(F.col("_size") >= min_bytes + 512).groupBy("digest").agg(F.max("_id").alias("top"), F.count("*").alias("n")).where("n > 1").select("digest", "top")
+    same = light.where(F.col("_size") >= min_bytes + 512).groupBy("digest", "_id").agg(F.min("url").alias("url"), F.count("*").alias("n"))
+    copies = same.groupBy("digest").agg(F.max(F.struct("_id", "url")).alias("top"), F.sum("n").alias("n")).where("n > 1").select("digest", F.col("top._id").alias("top"), F.col("top.url").alias("top_url"))
     copies = _store.written(copies, "copies")
-    notes = light.select("_id", "url", "digest").join(copies, "digest").select(shard, "_id", F.lit("").alias("url"), "digest", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("payload"), "top").distinct()
-    records = keyed.select(shard, "_id", "url", F.sha1("payload").alias("digest"), F.lit(1).alias("kind"), "payload", F.lit(None).cast("long").alias("top"))
-    rows = records.unionByName(notes).repartitionByRange(max(1, len(cuts) + 1), "shard").sortWithinPartitions("shard", "_id", "digest", "kind", "url")
+    notes = light.select("_id", "digest").join(copies, "digest").select(shard, "_id", F.col("top_url").alias("url"), "digest", F.lit(0).alias("kind"), F.lit(None).cast("binary").alias("payload"), "top").distinct()
+    records = keyed.select("_id", "url", F.sha1("payload").alias("digest"), F.lit(1).alias("kind"), "payload", F.lit(None).cast("long").alias("top"))
+    records = records.select(shard, "_id", "url", "digest", "kind", "payload", "top")
+    rows = records.unionByName(notes).repartitionById(len(cuts) + 1, F.col("shard").cast("int")).sortWithinPartitions("shard", "_id", "digest", "kind", "url")
     written = rows.mapInArrow(lambda b: _write(b, root, roll), _MANIFEST)
-    written.write.parquet(f"{root}/_manifest")
+    with _store.cleaned(spark):
+        written.write.parquet(f"{root}/_manifest")
     _store.dropped(light, copies)
     manifest = spark.read.schema(written.schema).parquet(f"{root}/_manifest")
     manifest.mapInArrow(lambda b: _renamed(b, root), _MANIFEST).count()
+    _swept(spark, root)
     return manifest
 
 
+def _swept(spark, root: str) -> None:
+    """Deletes the temporary files that failed or repeated attempts left."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/_temporary-*")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for left in fs.globStatus(path) or ():
+        fs.delete(left.getPath(), False)
+
+
 def _records(batches):
     """(page_id, type, refers_to, url, digest, payload bytes, payload) of each record, its digests recomputed."""
     fields = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
@@ -202,8 +242,10 @@ def _records(batches):
                     raw.write(z.decompress(view[step : step + (1 << 20)]))
                     step = min(len(view), step + (1 << 20))
                 at = step - len(z.unused_data)
-                rows.append(_parsed(raw.getvalue()))
-                held += len(rows[-1][6] or b"")
+                if (one := _parsed(raw.getvalue())) is None:
+                    continue
+                rows.append(one)
+                held += len(one[6] or b"")
                 if held > 4 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), fields)], names)
                     rows, held = [], 0
@@ -211,13 +253,16 @@ def _records(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), fields)], names)
 
 
-def _parsed(raw: bytes) -> tuple:
+def _parsed(raw: bytes) -> tuple | None:
+    """A page's record; None for a file's own record."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     h = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
     block = rest[: int(h["Content-Length"])]
     if lines[0] != "WARC/1.1" or rest[len(block) :] != b"\r\n\r\n" or base32(hashlib.sha1(block).digest()) != h["WARC-Block-Digest"][5:]:
         raise ValueError("damaged record")
+    if h["WARC-Type"] == "warcinfo":
+        return None
     http, _, payload = block.partition(b"\r\n\r\n")
     length = int(http.rpartition(b"Content-Length: ")[2])
     digest, kind = h["WARC-Payload-Digest"][5:], h["WARC-Type"]

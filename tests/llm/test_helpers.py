@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import random
 import re
 
@@ -91,10 +92,16 @@ def test_components(spark, chunk):
 
 
 def test_ranges(spark):
-    keys = [0] * 50 + list(range(1, 40)) + [10**15 + i for i in range(200)] + [-(2**63), 2**63 - 1]
-    df = spark.createDataFrame([(k, 1) for k in keys], "_id long, _size long")
+    rng = random.Random(8)
+    keys = [0] * 50 + list(range(1, 40)) + [10**15 + i for i in range(200)] + [-(2**63), 2**63 - 1] + [77] * 400
+    rows = [(k, 5 if k == 0 else rng.randrange(-(2**63), 2**63), 1) for k in keys]
+    df = spark.createDataFrame(rows, "_id long, _th long, _size long").cache()
     ends = _ranges.cuts(df, 20)
-    assert ends == _ranges.cuts(df.repartition(5), 20) == sorted(ends)
-    sizes = {r[0]: r[1] for r in df.groupBy(_ranges.number(ends)).agg(F.count("*")).collect()}
-    assert sum(sizes.values()) == len(keys) and max(sizes.values()) <= 70 and len(sizes) >= 8
-    assert _ranges.cuts(df.limit(0), 20) == []
+    assert ends == _ranges.cuts(df.repartition(5), 20) == sorted(set(ends))
+    got = [(r._id, r._th, r.n) for r in df.withColumn("n", _ranges.number(ends)).collect()]
+    assert all(n == sum(e < (i, t) for e in ends) for i, t, n in got)
+    sizes = collections.Counter(n for _, _, n in got)
+    assert sum(sizes.values()) == len(keys) and max(sizes[k] for k in sizes if k != next(n for i, _, n in got if i == 0)) <= 40 and len(sizes) == len(ends) + 1 >= 18
+    one = _ranges.cuts(df, 20, second=None)
+    assert len({e for e in one if e[0] == 77}) <= 1 and _ranges.cuts(df.limit(0), 20) == []
+    assert _ranges.cuts(df.where("_id = 0"), 20) == []

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -282,6 +283,52 @@ def test_fingerprints(docs, empty):
     assert fingerprints.fingerprint_pairs(docs.where("doc_id = 10")).first().near_next == 1
 
 
+def plain_digest(text):
+    """The digest of one text with plain integers."""
+    data, most = text.encode(), (1 << 32) - 1
+    k, counts = [int(x) for x in fingerprints._K], [0] * 512
+    for j, (a, b, c) in enumerate(fingerprints.TRIPLETS):
+        for p in range(len(data) - c):
+            h = (data[p + a] + 1) * k[0] & most
+            h = (h ^ h >> 15) + (data[p + b] + 1) * k[1] & most
+            h = (h ^ h >> 13) * k[2] + (data[p + c] + 1) * k[3] + j * k[4] & most
+            counts[((h ^ h >> 16) * k[5] & most) >> 23] += 1
+    order = sorted(counts)
+    code = [sum(n > order[512 * i // 4 - 1] for i in (1, 2, 3)) for n in counts]
+    size = min(round(math.log(len(data)) / math.log(1.1)) + 1, 255) if data else 0
+    packed = bytes(code[i] | code[i + 1] << 2 | code[i + 2] << 4 | code[i + 3] << 6 for i in range(0, 512, 4))
+    return f"{size:02x}{packed.hex()}", code, size
+
+
+def plain_likeness(a, b):
+    far = {0: 0, 1: 1, 2: 2, 3: 6}
+    body = sum(far[abs(x - y)] for x, y in zip(a[1], b[1])) / 512
+    return 1 - min((body + min(max(abs(a[2] - b[2]) - 1, 0) * 0.01, 0.3)) / 0.9, 1)
+
+
+def test_fingerprints_by_plain_integers(spark):
+    rows = [(i, t) for i, t in ROWS if len(t or "") < 3000][:45] + [(7, "again"), (7, "again"), (7, "other"), (None, "lost"), (None, None)]
+    table = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, _size long, fingerprint string").repartition(3)
+    got = sorted(tuple(r) for r in fingerprints.fingerprint_pairs(table).collect() if r.doc_id not in (7, None))
+    ids = [i for i, _ in rows]
+    alone = sorted(((i, t or "") for i, t in rows if ids.count(i) == 1 and i is not None), reverse=True)
+    follow = {a[0]: b[1] for a, b in zip(alone, alone[1:])}
+    assert [r[0] for r in got] == [i for i, _ in reversed(alone)]
+    for r in got:
+        text = dict(alone)[r[0]]
+        if r[0] in (8, min(follow), alone[-1][0]):  # next to repeated ids, or the last
+            continue
+        edit = fingerprints.edited_text(text, follow[r[0]])
+        one, two, three = plain_digest(text), plain_digest(edit), plain_digest(follow[r[0]])
+        assert r[3:5] == (one[0], two[0]) and r[5] == pytest.approx(plain_likeness(one, two)) and r[6] == pytest.approx(plain_likeness(one, three))
+    assert fingerprints.fingerprint_pairs(table).count() == len(rows)
+
+
+def test_edits_are_nearer_than_strangers(spark, sf_dir):
+    got = queries.queries()["op5_fingerprints"](spark, sf_dir).where("n_chars > 200 and near_next < 1").collect()
+    assert sum(r.near_edited > r.near_next for r in got) >= 0.95 * len(got) > 50
+
+
 # --- language
 
 
@@ -357,6 +404,13 @@ def want_records(rows):
     return {i: (len((h or "").encode()), base64.b32encode(hashlib.sha1((h or "").encode()).digest()).decode(), None if top[(h or "").encode()] == i else top[(h or "").encode()]) for i, _, h in rows}
 
 
+def members(data):
+    while data:
+        z = zlib.decompressobj(31)
+        yield z.decompress(data)
+        data = z.unused_data
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(i, f"http://é x/{i}", ["same", "", None, prose(i, 300), "same", "Ü\r\n\r\n" * 5][i % 6]) for i in range(150)] + [(1000, None, "x" * 3_000_000)]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, digest string")
@@ -367,6 +421,12 @@ def test_warc_round_trip(spark, tmp_path):
     assert files == warc.local_files(roots[1]) and len(files) > 5
     back = warc.read_archive(spark, f"file://{roots[0]}").collect()
     assert {r.page_id: (r.payload_bytes, r.payload_digest, r.refers_to) for r in back} == want_records(rows)
+    heads = {name: [m.partition(b"\r\n\r\n")[0].decode().split("\r\n") for m in members(data)] for name, data in files.items()}
+    names = collections.Counter(x for f in heads.values() for h in f for x in h if x.startswith("WARC-Record-ID"))
+    assert max(names.values()) == 1 and all(h[0][1] == "WARC-Type: warcinfo" and f"WARC-Filename: {n}" in h[0] for n, h in heads.items())
+    refers = {x.partition(": ")[2] for f in heads.values() for h in f for x in h if x.startswith("WARC-Refers-To: ")}
+    responses = {x.partition(": ")[2] for f in heads.values() for h in f if h[1] == "WARC-Type: response" for x in h if x.startswith("WARC-Record-ID: ")}
+    assert refers and refers <= responses
     text = {i: (h or "").encode() for i, _, h in rows}
     assert all(bytes(r.payload) == text[r.page_id] for r in back if r.record_type == "response")
 
@@ -379,6 +439,17 @@ def test_warc_edges(spark, tmp_path):
     warc.write_archive(spark.createDataFrame([(1, "u", "a"), (1, "u", "a"), (None, "v", "a"), (1, "w", "b")], kind), ties)
     back = sorted((r.page_id or -1, r.record_type, r.refers_to) for r in warc.read_archive(spark, ties).collect())
     assert back == [(-1, "revisit", 1), (1, "response", None), (1, "response", None), (1, "revisit", 1)]
+    (tmp_path / "ties" / "_temporary-0-part").write_bytes(b"left")
+    warc._swept(spark, ties)
+    assert not [x for x in (tmp_path / "ties").iterdir() if x.name.startswith("_temporary")] and warc.read_archive(spark, ties).count() == 4
+
+
+def test_warc_rows_of_one_page_are_split(spark, tmp_path):
+    rows = [(7, f"u{i % 3}", prose(f"w{i % 150}", 200)) for i in range(300)] + [(None, "u", None)] * 5
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}", roll=10_000, shard_bytes=30_000)
+    assert len({n[:11] for n in warc.local_files(str(tmp_path))}) >= 5
+    back = warc.read_archive(spark, f"file://{tmp_path}").collect()
+    assert len(back) == 305 and collections.Counter(r.record_type for r in back) == {"response": 151, "revisit": 154}
 
 
 def test_warc_reads_what_the_manifest_names(spark, tmp_path):
