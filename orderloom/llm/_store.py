@@ -6,10 +6,14 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+#: Links that a task contracts at once, 16 bytes each.
+CHUNK = 2_000_000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -82,18 +86,51 @@ def _met(rows: DataFrame, low: DataFrame, limit: int) -> DataFrame:
     return marked.where("_u is not null").select("u", "v", F.col("_m").alias("m")).union(cold.select("u", "v", "m"))
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links as a forest: each node and the smallest that these links reach, if that is another."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while len(a):
+        x, y = label[a], label[b]
+        live = x != y
+        a, b, x, y = a[live], b[live], x[live], y[live]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while ((up := label[label]) != label).any():
+            label = up
+    far = label != np.arange(len(nodes))
+    return nodes[far], nodes[label[far]]
+
+
+def _contract(batches, chunk: int):
+    held, n = [], 0
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        n += batch.num_rows
+        if n >= chunk:
+            held, n = [contracted(*(np.concatenate(c) for c in zip(*held)))], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held.pop()], ["u", "v"])
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in contracted(*(np.concatenate(c) for c in zip(*held)))], ["u", "v"])
+
+
+def components(edges: DataFrame, limit: int = 60, chunk: int | None = None) -> DataFrame:
     """(u, v) undirected links of longs -> (node, component): the smallest node that links reach.
 
-    Alternates large-star and small-star steps; each step is a table in the shared folder. Nodes
-    without links aren't returned; an empty input gives an empty result.
+    Tasks contract ``chunk`` links at a time to forests. Where that leaves more than one chunk's forest,
+    large-star and small-star steps join them, until a round changes nothing. Each step is a table in the
+    shared folder. Nodes without links aren't returned; an empty input gives an empty result.
     """
-    spark = edges.sparkSession
+    spark, chunk = edges.sparkSession, chunk or CHUNK
     shape = lambda e: e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    count = lambda e: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     e = written(shape(edges.select("u", "v")), "edges")
-    count = lambda: e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    seen = count()
-    for _ in range(limit):
+    n = e.count()
+    forest = written(e.coalesce(max(1, -(-n // chunk))).mapInArrow(lambda b: _contract(b, chunk), "u long, v long"), "edges")
+    dropped(e)
+    e = forest
+    seen = count(e) if n > chunk else None
+    for _ in range(limit if seen else 0):
         often = max(100, 2 * seen["n"] // tasks(spark))
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = _lowest(both).withColumn("m", F.least("u", "m"))
@@ -102,13 +139,12 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         small = _met(large, least, often).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         new = written(shape(small), "edges")
         dropped(e)
-        e = new
-        now = count()
-        if seen == now:
+        e, before, seen = new, seen, count(new)
+        if seen == before:
             break
-        seen = now
     else:
-        raise RuntimeError("components didn't converge")
+        if seen:
+            raise RuntimeError("components didn't converge")
     out = e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v"), F.col("v")).distinct())
     out._scratch = e._scratch
     return out

@@ -7,12 +7,14 @@ overlap that the threshold asks for. A pair is a candidate only if it passes und
 the whole sets are compared.
 
 * Equal sets meet as one signature first, so copies never become pairs.
-* A token's bucket of up to ``BUCKET`` sets yields its pairs packed and pre-counted; all sets of a
-  larger bucket are taken for candidates of each other.
+* A token's bucket is cut where sizes leave a gap that no linked pair spans. A piece of up to ``BUCKET``
+  sets yields its pairs packed and pre-counted; all sets of a larger piece are taken for candidates of
+  each other, without the filters of the other orders.
 * Sets that candidates join form clusters. A cluster is cut into blocks, and each pair of its blocks
   is verified in one task by sparse products: no row is emitted for a pair, and none is lost.
 * Links become components by star contraction. Nothing of all documents goes to the driver; what is
   broadcast is bounded: the most frequent shingles (``HEAVY``) and a bitmap of candidates (``BITS``).
+* The number of parts follows from the number of shingles, so a part's size doesn't grow with the input.
 
 Shingles are compared as 48-bit hashes and sets as 64-bit signatures.
 
@@ -37,6 +39,9 @@ WIDTH = 5
 PERCENT = 80
 ORDERS = 3
 BUCKET = 96
+#: Parts at least, so that what a part's number leaves of a token's 42 bits fits 4 bytes; prefix tokens of a part at most, on average.
+PARTS = 1 << 10
+PART = 4_000_000
 #: Frequent shingles kept on the driver, at most; 9 bytes each. Fewer only change the orders.
 HEAVY = 1_000_000
 #: Sets that hold a frequent shingle, at least.
@@ -173,7 +178,7 @@ def _prefixes(batches, width: int, percent: int, orders: int, parts: int, heavy)
             for p, k in _dealt(part):
                 d = owner[k]
                 out[0].append(j * parts + p)
-                out[1].append(_text.planes(t[k], 4) + _text.planes(sig[docs[d]], 6) + _text.planes(np.minimum(n[d], 65535), 2))
+                out[1].append(_text.planes(t[k], 4) + _text.planes(sig[docs[d]], 6) + _text.planes(n[d], 4))
         yield _batch({"part": out[0], "blob": out[1]}, {"part": pa.int32(), "blob": pa.binary()})
 
 
@@ -181,7 +186,7 @@ def need(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
     """Tokens that the prefixes of a linked pair share at least."""
     overlap = -(-percent * (na + nb) // (100 + percent))
     rest = np.maximum(-(-percent * na // 100) - 1, -(-percent * nb // 100) - 1)
-    return np.where(np.maximum(na, nb) >= 65535, 1, np.maximum(overlap - rest, 1))
+    return np.maximum(overlap - rest, 1)
 
 
 def _grouped(batches):
@@ -198,14 +203,14 @@ def _grouped(batches):
         yield part, held
 
 
-def _pairs(batches, percent: int, parts: int, bucket: int):
+def _pairs(batches, percent: int, parts: int, bucket: int, deal: int):
     """Packed pairs of small buckets with their counts (kind 0); the members of larger ones (kind 1)."""
     types = {"part": pa.int32(), "kind": pa.int32(), "blob": pa.binary()}
     for part, blobs in _grouped(batches):
         cols = [[], [], []]
         for blob in blobs:
-            k, at = len(blob) // 12, 0
-            for c, w in zip(cols, (4, 6, 2)):
+            k, at = len(blob) // 14, 0
+            for c, w in zip(cols, (4, 6, 4)):
                 x, at = _text.unplanes(blob, k, w, at)
                 c.append(x)
         token, sig, n = (np.concatenate(c) for c in cols)
@@ -216,12 +221,15 @@ def _pairs(batches, percent: int, parts: int, bucket: int):
         same[1:-1] = t[1:] == t[:-1]
         live = order[same[1:] | same[:-1]]
         token, sig, n = token[live], sig[live], n[live].astype(np.int64)
-        order = np.lexsort((sig, token))
+        order = np.lexsort((sig, n, token))
         token, sig, n = token[order], sig[order], n[order]
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
         token, sig, n = token[new], sig[new], n[new]
-        head = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, np.int64)
+        # sizes rise within a token: a gap that is too wide for a link ends a piece
+        first = np.ones(len(token), bool)
+        first[1:] = (token[1:] != token[:-1]) | (100 * n[:-1] < percent * n[1:])
+        head = np.flatnonzero(first)
         size = np.diff(np.append(head, len(token)))
         big = size > bucket
         if big.any():
@@ -231,7 +239,7 @@ def _pairs(batches, percent: int, parts: int, bucket: int):
                 salt = _text.mix(members) & U(15)  # one set heads many buckets
                 for v in range(16):
                     if (mine := members[salt == v]).size:
-                        out[0].append(int(_text.mix(sig[x : x + 1] + U(v << 48))[0] % U(parts)))
+                        out[0].append(int(_text.mix(sig[x : x + 1] + U(v << 48))[0] % U(deal)))
                         out[1].append(_text.planes(np.append(sig[x], mine), 6))
             yield _batch({"part": out[0], "kind": [1] * len(out[0]), "blob": out[1]}, types)
         left = np.repeat(np.where(big, 0, size), size) - (np.arange(len(token)) - np.repeat(head, size)) - 1
@@ -239,7 +247,7 @@ def _pairs(batches, percent: int, parts: int, bucket: int):
         at, lag = np.flatnonzero(left >= 1), 1
         while len(at):
             na, nb = n[at], n[at + lag]
-            near = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) | (np.maximum(na, nb) >= 65535)
+            near = 100 * na >= percent * nb
             lo.append(at[near])
             hi.append(at[near] + lag)
             lag += 1
@@ -247,17 +255,18 @@ def _pairs(batches, percent: int, parts: int, bucket: int):
         if not lo or not sum(map(len, lo)):
             continue
         lo, hi = np.concatenate(lo), np.concatenate(hi)
+        lo, hi = np.where(sig[lo] < sig[hi], lo, hi), np.where(sig[lo] < sig[hi], hi, lo)
         a, b, na, nb = sig[lo], sig[hi], n[lo], n[hi]
         order = np.lexsort((b, a))
         a, b, na, nb = a[order], b[order], na[order], nb[order]
         first = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
         count = np.diff(np.append(first, len(a)))
         a, b, na, nb = a[first], b[first], na[first], nb[first]
-        to = (_text.mix(a) % U(parts)).astype(np.int64)
+        to = (_text.mix(a) % U(deal)).astype(np.int64)
         out = ([], [])
         for p, k in _dealt(to):
             out[0].append(p)
-            out[1].append(b"".join(_text.planes(v[k], w) for v, w in ((a, 6), (b, 6), (na, 2), (nb, 2), (count, 4), (np.full(len(a), part // parts), 1))))
+            out[1].append(b"".join(_text.planes(v[k], w) for v, w in ((a, 6), (b, 6), (na, 4), (nb, 4), (count, 4), (np.full(len(a), part // parts), 1))))
         yield _batch({"part": out[0], "kind": [0] * len(out[0]), "blob": out[1]}, types)
 
 
@@ -268,8 +277,8 @@ def _candidates(batches, percent: int, orders: int):
     def settled(blobs):
         cols = [[] for _ in range(6)]
         for blob in blobs:
-            k, at = len(blob) // 21, 0
-            for c, w in zip(cols, (6, 6, 2, 2, 4, 1)):
+            k, at = len(blob) // 25, 0
+            for c, w in zip(cols, (6, 6, 4, 4, 4, 1)):
                 x, at = _text.unplanes(blob, k, w, at)
                 c.append(x)
         a, b, na, nb, count, j = (np.concatenate(c) for c in cols)
@@ -380,24 +389,27 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
-    _store.small_batches(spark)
     n = _store.tasks(spark)
-    parts = 8 * n
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), "text")
     noted = texts if key is None else docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), "text", key.alias("key"))
     facts = _store.written(noted.mapInArrow(lambda b: _facts(b, width), "_id long, n long, sig long" + ("" if key is None else ", key long")), "facts")
 
+    shingles = facts.agg(F.sum("n")).first()[0] or 0
+    deal = max(8 * n, shingles // PART)
+    parts = max(PARTS, deal)
+
     tallies = texts.select("text").mapInArrow(lambda b: _tallies(b, width, parts), "part int, blob binary")
     often = tallies.repartition(n, "part").sortWithinPartitions("part").mapInArrow(lambda b: _frequent(b, parts, OFTEN), "token long, n long")
-    often = often.orderBy(F.desc("n"), "token").limit(HEAVY).toPandas().sort_values("token")
-    token = np.sort(often["token"].to_numpy(np.int64).view(U))
+    with _store.cleaned(spark):
+        often = often.orderBy(F.desc("n"), "token").limit(HEAVY).toPandas()
+    token = often["token"].to_numpy(np.int64).view(U)
+    order = np.argsort(token)
     grade = np.minimum(np.log2(np.maximum(often["n"].to_numpy(np.float64), 1)).astype(np.uint8), 63)
+    token, grade = token[order], grade[order]
     heavy = sc.broadcast((token, grade))
-    del tallies, often
-    _store.freed(spark)
 
     packed = texts.select("text").mapInArrow(lambda b: _prefixes(b, width, percent, orders, parts, heavy), "part int, blob binary")
-    pairs = packed.repartition(n, "part").sortWithinPartitions("part").mapInArrow(lambda b: _pairs(b, percent, parts, BUCKET), "part int, kind int, blob binary")
+    pairs = packed.repartition(n, "part").sortWithinPartitions("part").mapInArrow(lambda b: _pairs(b, percent, parts, BUCKET, deal), "part int, kind int, blob binary")
     found = pairs.repartition(n, "part").sortWithinPartitions("part").mapInArrow(lambda b: _candidates(b, percent, orders), "kind int, a long, b long")
     found = _store.written(found, "candidates")
 
@@ -406,12 +418,11 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     )
     ends = found.select(F.col("a").alias("low")).union(found.select("b")).distinct()
     verts = _store.written(reps.join(ends, "low").withColumn("k", F.xxhash64("_id")), "vertices")
-    words = verts.select((F.shiftrightunsigned("k", 6) % BITS).alias("w"), F.expr("shiftleft(1L, cast(k & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    with _store.cleaned(spark):
+        words = verts.select((F.shiftrightunsigned("k", 6) % BITS).alias("w"), F.expr("shiftleft(1L, cast(k & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     bitmap = np.zeros(BITS, U)
     bitmap[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64).view(U)
     bits = sc.broadcast(bitmap)
-    del packed, pairs, ends
-    _store.freed(spark)
 
     # candidates that links may join, directly or not, are compared together
     grouped = _store.components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -424,8 +435,6 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     units = units.select("c", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "sig", "n", "tokens")
     links = units.repartition(n, "c", "i", "j").sortWithinPartitions("c", "i", "j").mapInArrow(lambda b: _blocks(b, percent), "u long, v long")
     links = _store.written(links, "links")
-    del sets, units
-    _store.freed(spark)
 
     linked = joined = _store.components(links)
     lowest = joined.join(reps, joined["node"] == reps["sig"]).groupBy("component").agg(F.min("_id").alias("m"))
