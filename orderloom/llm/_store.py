@@ -77,13 +77,15 @@ def _lowest(rows: DataFrame) -> DataFrame:
     return rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
 
 
-def _met(rows: DataFrame, low: DataFrame, limit: int) -> DataFrame:
-    """rows (u, v) with the m of their u from ``low``. Nodes of more than ``limit`` rows, of which there
-    can't be more than rows / limit, are broadcast, so that no task joins all rows of one node."""
-    hubs = F.broadcast(low.where(F.col("n") > limit).select(F.col("u").alias("_u"), F.col("m").alias("_m")))
-    marked = rows.join(hubs, F.col("u") == F.col("_u"), "left")
-    cold = marked.where("_u is null").select("u", "v").join(low.select("u", "m"), "u")
-    return marked.where("_u is not null").select("u", "v", F.col("_m").alias("m")).union(cold.select("u", "v", "m"))
+def met(rows: DataFrame, low: DataFrame, key: str, limit: int) -> DataFrame:
+    """rows with the columns of ``low`` (a row a key, ``n`` the number of its rows). Keys of more than ``limit``
+    rows, of which there can't be more than rows / limit, are broadcast, so that no task joins all rows of one."""
+    more = [c for c in low.columns if c not in (key, "n")]
+    hubs = F.broadcast(low.where(F.col("n") > limit).select(F.col(key).alias("_k"), *[F.col(c).alias(f"_hub_{c}") for c in more]))
+    marked = rows.join(hubs, F.col(key) == F.col("_k"), "left")
+    hot = marked.where("_k is not null").select(*rows.columns, *[F.col(f"_hub_{c}").alias(c) for c in more])
+    cold = marked.where("_k is null").select(*rows.columns).join(low.select(key, *more), key)
+    return hot.union(cold.select(*rows.columns, *more))
 
 
 def contracted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,9 +136,9 @@ def components(edges: DataFrame, limit: int = 60, chunk: int | None = None) -> D
         often = max(100, 2 * seen["n"] // tasks(spark))
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = _lowest(both).withColumn("m", F.least("u", "m"))
-        large = _met(both, low, often).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = met(both, low, "u", often).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = _lowest(large)
-        small = _met(large, least, often).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        small = met(large, least, "u", often).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         new = written(shape(small), "edges")
         dropped(e)
         e, before, seen = new, seen, count(new)

@@ -10,8 +10,11 @@ the whole sets are compared.
 * A token's bucket is cut where sizes leave a gap that no linked pair spans. A piece of up to ``BUCKET``
   sets yields its pairs packed and pre-counted; all sets of a larger piece are taken for candidates of
   each other, without the filters of the other orders.
-* Sets that candidates join form clusters. A cluster is cut into blocks, and each pair of its blocks
-  is verified in one task by sparse products: no row is emitted for a pair, and none is lost.
+* Sets that candidates join form clusters, and a cluster is cut into blocks of up to ``BLOCK`` sets, each
+  verified in one task by a product. Heads of the linked groups found there are compared in blocks, too.
+  That joins most near copies of one text. Then a larger cluster is cut anew, along its components: each
+  pair of blocks is verified, but for those of one component, which have nothing left to join. No row is
+  emitted for a pair, and no link between components is lost.
 * Links become components by star contraction. Nothing of all documents goes to the driver; what is
   broadcast is bounded: the most frequent shingles (``HEAVY``) and a bitmap of candidates (``BITS``).
 * The number of parts follows from the number of shingles, so a part's size doesn't grow with the input.
@@ -44,6 +47,10 @@ PARTS = 1 << 10
 PART = 4_000_000
 #: Frequent shingles kept on the driver, at most; 9 bytes each. Fewer only change the orders.
 HEAVY = 1_000_000
+#: Sets and shingles of a block, on average at most, and members of a group whose head is compared with others.
+BLOCK = 96
+BLOCK_SHINGLES = 60_000
+GROUP = 4
 #: Sets that hold a frequent shingle, at least.
 OFTEN = 32
 #: Words of the candidates' bitmap, 8 bytes each.
@@ -395,7 +402,7 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     facts = _store.written(noted.mapInArrow(lambda b: _facts(b, width), "_id long, n long, sig long" + ("" if key is None else ", key long")), "facts")
 
     shingles = facts.agg(F.sum("n")).first()[0] or 0
-    deal = max(8 * n, shingles // PART)
+    deal = max(2 * n, shingles // PART)
     parts = max(PARTS, deal)
 
     tallies = texts.select("text").mapInArrow(lambda b: _tallies(b, width, parts), "part int, blob binary")
@@ -426,22 +433,54 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
     # candidates that links may join, directly or not, are compared together
     grouped = _store.components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    crowd = grouped.withColumnsRenamed({"node": "low", "component": "c"}).join(verts, "low")
-    sizes = crowd.groupBy("c").agg(F.greatest(F.ceil(F.count("*") / 256), F.ceil(F.sum("n") / 150_000)).alias("blocks"))
-    placed = _store.written(crowd.join(sizes, "c").select("_id", "sig", "c", "blocks", F.pmod(F.xxhash64("sig"), "blocks").alias("i")), "placed")
+    crowd = _store.written(grouped.withColumnsRenamed({"node": "low", "component": "c"}).join(verts, "low").select("_id", "sig", "n", "c"), "crowd")
+    often = max(100, 2 * crowd.count() // n)
+    many = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    placed = _store.met(crowd.select("_id", "sig", "c"), crowd.groupBy("c").agg(F.count("*").alias("n"), many.alias("blocks")), "c", often)
+    placed = _store.written(placed.withColumn("i", F.pmod(F.xxhash64("sig"), "blocks")), "placed")
     sets = texts.select("_id", F.xxhash64("_id").alias("k"), "text").mapInArrow(lambda b: _sets(b, width, bits), "_id long, sig long, n long, tokens binary")
-    units = sets.join(placed, ["_id", "sig"])
-    units = units.select("c", "i", "sig", "n", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
-    units = units.select("c", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "sig", "n", "tokens")
-    links = units.repartition(n, "c", "i", "j").sortWithinPartitions("c", "i", "j").mapInArrow(lambda b: _blocks(b, percent), "u long, v long")
-    links = _store.written(links, "links")
-
-    linked = joined = _store.components(links)
-    lowest = joined.join(reps, joined["node"] == reps["sig"]).groupBy("component").agg(F.min("_id").alias("m"))
-    joined = joined.join(lowest, "component").select(F.col("node").alias("sig"), "m", "component")
+    held = _store.written(sets.join(placed, ["_id", "sig"]).select("c", "blocks", "i", "sig", "n", "tokens"), "held")
+
+    def verified(units: DataFrame) -> DataFrame:
+        """Links of the sets of each unit (c, i, j)."""
+        rows = units.select("c", "i", "j", "sig", "n", "tokens").repartition(n, "c", "i", "j").sortWithinPartitions("c", "i", "j")
+        return _store.written(rows.mapInArrow(lambda b: _blocks(b, percent), "u long, v long"), "links")
+
+    links = [verified(held.withColumn("j", F.col("i")))]
+    wide, scratch = held.where("blocks > 1"), []
+    if not placed.where("blocks > 1").isEmpty():
+        named = _store.written(wide.select("c", "i", "sig").join(links[0].withColumnRenamed("u", "sig"), "sig", "left").select("c", "i", "sig", F.coalesce("v", "sig").alias("label")), "labels")
+        heads = named.groupBy("c", "i", "label").agg(F.count("*").alias("members")).where(F.col("members") >= GROUP)
+        cuts = heads.groupBy("c").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).alias("cuts"))
+        heads = _store.written(_store.met(heads.select("c", F.col("label").alias("sig")), cuts, "c", often), "heads")
+        links.append(verified(heads.join(wide.select("sig", "n", "tokens"), "sig").withColumn("i", F.pmod(F.xxhash64("sig"), "cuts")).withColumn("j", F.col("i"))))
+        joint = _store.components(links[0].union(links[1]))
+        named2 = _store.written(named.select("c", "sig").join(joint.withColumnsRenamed({"node": "sig"}), "sig", "left").select("c", "sig", F.coalesce("component", "sig").alias("label")), "labels")
+        # components that fill blocks get some of their own; the others share blocks of the number 0
+        groups = named2.groupBy("c", "label").agg(F.count("*").alias("m"))
+        pure = groups.where(F.col("m") >= BLOCK // 2).select("label", F.col("m").alias("n"), F.ceil(F.col("m") / BLOCK).alias("own"))
+        rest = groups.where(F.col("m") < BLOCK // 2).groupBy("c").agg(F.sum("m").alias("n"), F.ceil(F.sum("m") / BLOCK).alias("shared"))
+        alone = _store.met(named2.select("c", "sig", "label"), pure, "label", often).select("c", "sig", "label", F.pmod(F.xxhash64("sig"), "own").alias("k"), F.lit(True).alias("pure"))
+        mixed = _store.met(named2.join(pure.select("label"), "label", "left_anti").select("c", "sig"), rest, "c", often)
+        mixed = mixed.select("c", "sig", F.lit(0).cast("long").alias("label"), F.pmod(F.xxhash64("sig"), "shared").alias("k"), F.lit(False).alias("pure"))
+        block = F.struct("pure", "label", "k")
+        dealt = _store.written(alone.union(mixed).select("c", "sig", block.alias("own")), "dealt")
+        lists = dealt.groupBy("c").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("own")).alias("all"))
+        pairs = _store.met(dealt, lists, "c", often).select("c", "sig", "own", (F.array_position("all", F.col("own")) - 1).alias("p"), F.posexplode("all").alias("q", "other"))
+        pairs = pairs.where(~(F.col("own.pure") & F.col("other.pure") & (F.col("own.label") == F.col("other.label"))))
+        pairs = pairs.select("sig", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"))
+        links.append(verified(pairs.join(wide.select("c", "sig", "n", "tokens"), "sig")))
+        scratch = [named, heads, joint, named2, dealt]
+    all_links = links[0]
+    for more in links[1:]:
+        all_links = all_links.union(more)
+
+    linked = joined = _store.components(all_links)
+    lowest = joined.join(reps, joined["node"] == reps["sig"]).groupBy("component").agg(F.count("*").alias("n"), F.min("_id").alias("m"))
+    joined = _store.met(joined, lowest, "component", often).select(F.col("node").alias("sig"), "m", "component")
     named = reps.join(joined, "sig", "left").where("copies > 1 or m is not null").select("sig", F.coalesce("m", "_id").alias("m"), *([] if key is None else [F.coalesce("component", "sig").alias("group")]))
     named = _store.written(named, "named")
-    _store.dropped(found, reps, verts, grouped, placed, links, linked)
+    _store.dropped(found, reps, verts, grouped, crowd, placed, held, linked, *links, *scratch)
     rows = facts.select("_id", "n", "sig", *([] if key is None else ["key"])).join(named, "sig", "left")
     own = F.when((F.col("n") > 0) & F.col("m").isNotNull(), F.col("m")).otherwise(F.col("_id"))
     back = lambda c: F.when(c != NO_ID, c)

@@ -119,6 +119,22 @@ def test_jaccard(docs, monkeypatch, bucket):
     assert got == jaccard_join.brute(ROWS)
 
 
+@pytest.mark.parametrize(("block", "bucket"), [(8, 4), (24, 96)])
+def test_jaccard_large_clusters(spark, monkeypatch, block, bucket):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "BUCKET", bucket)
+    rng = random.Random(6)
+
+    def copy(base, share):
+        return " ".join(rng.choice(WORDS) if rng.random() < share else w for w in base.split())
+
+    other = " ".join(BASE.split()[:140] + prose("tail", 60).split())
+    rows = [(i, copy(BASE, rng.choice([0.005, 0.01, 0.02, 0.04]))) for i in range(160)] + [(500 + i, copy(other, rng.choice([0.005, 0.03]))) for i in range(60)]
+    rows += [(900 + i, " ".join(BASE.split()[i:] + prose(f"e{i}", i).split())) for i in range(0, 60, 2)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_documents(frame(spark, rows).repartition(5)).collect()}
+    assert got == jaccard_join.brute(rows) and len({c for _, c in got.values()}) > 20
+
+
 def test_jaccard_edges(spark, empty):
     assert jaccard_join.link_documents(empty).count() == 0
     rows = frame(spark, [(5, "a b"), (3, "A  B"), (3, "A  B"), (4, None)])
