@@ -6,8 +6,11 @@ necessary prefix: the rarest, by the number of documents that hold it, counted o
 Texts join windows on that token only; its place must leave room for the window on both sides within
 the text (positional and length bound), and then the whole window's words are compared.
 
-The windows of up to ``BLOCK_WORDS`` item words are broadcast; a larger benchmark is joined block by
-block and the blocks' hits are merged by document.
+The windows of up to ``BLOCK_WORDS`` item words are broadcast. More are joined by a shuffle: documents are
+read three times, whatever the size of the benchmark. Bitmaps of the windows' tokens and then of the prefix
+tokens (at most ``BITS`` bits) leave few places of the documents; each goes with the hashes of the words around it
+to the windows of its token, where the whole window is compared. Windows of tokens that very many documents
+hold are broadcast, so that no task gets all places of one token.
 
 Defined results: null texts have no words; an item without words has no window; repeated item_ids
 count once, a null item_id is named by the empty string; rows that repeat a doc_id and its text are
@@ -29,6 +32,9 @@ from ._text import U
 
 SPAN = 13
 WIDTH = 5
+#: Bits of a bitmap at most, and for each token.
+BITS = 1 << 31
+BITS_EACH = 32
 #: Item words whose windows may be broadcast at once: about 13 * 8 bytes each.
 BLOCK_WORDS = 400_000
 _HITS = "_words long, _hits array<struct<s:long,e:long>>, _items array<string>"
@@ -168,37 +174,132 @@ def _index(rows, widths: list[int], rare: dict) -> dict:
     }
 
 
+def _bitmap(tokens: DataFrame):
+    """A broadcast bitmap of a table of longs; a token's bit may be set by others."""
+    spark = tokens.sparkSession
+    size = BITS_EACH * max(tokens.count(), 1)
+    words = 1 << max(10, min(size.bit_length() - 6, BITS.bit_length() - 7))
+    place = F.col("token").bitwiseAND(64 * words - 1)
+    with _store.cleaned(spark):
+        got = tokens.select(F.shiftright(place, 6).alias("w"), F.expr("shiftleft(1L, cast(token & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    bits = np.zeros(words, U)
+    bits[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).view(U)
+    return spark.sparkContext.broadcast(bits)
+
+
+def _set(bits: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Places of the tokens whose bit is set."""
+    at = (token & U(64 * len(bits) - 1)).astype(np.int64)
+    return np.flatnonzero((bits[at >> 6] >> (token & U(63))) & U(1))
+
+
+def _shared(batches, bits, widths: list[int]):
+    """(token, documents) of a chunk's tokens that the bitmap may hold."""
+    for batch in _text.pieces(batches):
+        h, _, doc = _words(batch, 0)
+        for k in widths:
+            token = _text.grams(h, k)
+            at = _set(bits.value, token)
+            at = at[doc[at] == doc[at + k - 1]]
+            pair = np.unique(np.stack([token[at], doc[at].astype(U)]), axis=1)[0]
+            if len(pair):
+                first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+                yield pa.RecordBatch.from_arrays([pa.array(pair[first].view(np.int64)), pa.array(np.diff(np.append(first, len(pair))))], ["token", "n"])
+
+
+def _places(batches, bits, widths: list[int], span: int):
+    """Places of the prefix tokens: (token, width, document's key, place, place of the first word around it, their hashes)."""
+    for batch in _text.pieces(batches, "_text"):
+        h, first, doc = _words(batch, 2)
+        ids, ths = (batch.column(i).to_numpy() for i in (0, 1))
+        for k in widths:
+            token = _text.grams(h, k)
+            at = _set(bits.value, token)
+            at = at[doc[at] == doc[at + k - 1]]
+            if not len(at):
+                continue
+            d = doc[at]
+            low, high = np.maximum(first[d], at - span), np.minimum(first[d + 1], at + span + k)
+            around = [h[a:b].tobytes() for a, b in zip(low, high)]
+            columns = [token[at].view(np.int64), np.full(len(at), k), ids[d], ths[d], at - first[d], low - first[d]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(around, pa.binary())], ["token", "width", "_di", "_dt", "at", "low", "around"])
+
+
+def _verified(batches):
+    """The candidates whose whole window is there: (_di, _dt, s, e, size, hash)."""
+    for batch in batches:
+        di, dt, at, low, offset, size, want = (batch.column(c).to_numpy() for c in ("_di", "_dt", "at", "low", "offset", "size", "hash"))
+        data, offs = _text.buffer(batch.column("around"))
+        h, begin, end = np.frombuffer(data.tobytes(), "<u8"), offs[:-1] // 8, offs[1:] // 8
+        s = begin + at - low - offset
+        ok = np.flatnonzero((s >= begin) & (s + size <= end))
+        ok = ok[_text.whole(h, s[ok], s[ok] + size[ok]) == want[ok].view(U)]
+        start = at[ok] - offset[ok]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (di[ok], dt[ok], start, start + size[ok], size[ok].astype(np.int64), want[ok])], ["_di", "_dt", "s", "e", "size", "hash"])
+
+
+def _counted(batches):
+    """The other columns of each batch, with how many words its texts (``_text``) have."""
+    for batch in _text.pieces(batches, "_text"):
+        data, offs = _text.buffer(batch.column("_text"))
+        _, _, first = _text.spans(data, offs, _text.SYMBOL)
+        keep = [i for i, c in enumerate(batch.schema.names) if c != "_text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(np.diff(first))], [*[batch.schema.names[i] for i in keep], "_words"])
+
+
+def _joined(docs: DataFrame, windows: DataFrame, keep: list[str], span: int) -> DataFrame:
+    """mark() for any number of windows."""
+    n = _store.tasks(docs.sparkSession)
+    windows = _store.written(windows, "windows")
+    whole = windows.groupBy("size", "hash").agg(F.first("tokens").alias("tokens"))
+    whole = _store.written(whole.withColumn("width", (F.col("size") - F.size("tokens") + 1).cast("long")), "windows")
+    widths = sorted(r["width"] for r in whole.select("width").distinct().collect())  # at most WIDTH
+    tokens = _store.written(whole.select(F.explode("tokens").alias("token")).distinct(), "tokens")
+    some = _bitmap(tokens)
+    counts = docs.select("text").mapInArrow(lambda b: _shared(b, some, widths), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).join(tokens, "token")
+    each = whole.select("size", "hash", "width", F.posexplode("tokens").alias("offset", "token")).join(counts, "token", "left")
+    rarest = each.groupBy("size", "hash", "width").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "offset")).alias("x")).select("size", "hash", "width", "x.*")
+    prefix = _store.written(rarest.where("n > 0").withColumn("offset", F.col("offset").cast("long")), "prefix")
+    rare = _bitmap(prefix.select("token").distinct())
+
+    key = {"_di": F.xxhash64("doc_id"), "_dt": F.xxhash64("text")}
+    source = docs.select(*[x.alias(c) for c, x in key.items()], F.col("text").alias("_text"))
+    near = source.mapInArrow(lambda b: _places(b, rare, widths, span), "token long, width long, _di long, _dt long, at long, low long, around binary")
+    near = _store.written(near, "places")
+    often = max(1000, 2 * near.count() // n)
+    met = _store.met(near.withColumnRenamed("width", "w"), prefix, "token", often).where("w = width")
+    hits = met.mapInArrow(_verified, "_di long, _dt long, s long, e long, size long, hash long")
+    hits = _store.written(hits.distinct(), "hits")
+    stretches = hits.groupBy("_di", "_dt").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("_hits"))
+    items = hits.select("_di", "_dt", "size", "hash").distinct().join(windows.select(F.col("size").cast("long").alias("size"), "hash", "item").distinct(), ["size", "hash"])
+    items = items.groupBy("_di", "_dt").agg(F.sort_array(F.collect_set("item")).alias("_items"))
+    found = _store.written(stretches.join(items, ["_di", "_dt"]).withColumnsRenamed({"_di": "_fi", "_dt": "_ft"}), "found")
+    _store.dropped(windows, whole, tokens, prefix, near, hits)
+    names = [f"_keep{i}" for i in range(len(keep))]  # whatever the columns are called
+    every = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(keep, names)], *[x.alias(c) for c, x in key.items()], F.col("text").alias("_text"))
+    shape = ", ".join(f"{x} {docs.schema[c].dataType.simpleString()}" for c, x in zip(keep, names))
+    every = every.mapInArrow(_counted, f"{shape}, _di long, _dt long, _words long")
+    out = every.join(found, (F.col("_di") == F.col("_fi")) & (F.col("_dt") == F.col("_ft")), "left")
+    none = lambda c: F.array().cast(found.schema[c].dataType)
+    return out.select(*[F.col(x).alias(c) for c, x in zip(keep, names)], "_words", F.coalesce("_hits", none("_hits")).alias("_hits"), F.coalesce("_items", none("_items")).alias("_items"))
+
+
 def mark(docs: DataFrame, benchmark: DataFrame, keep: list[str], span: int = SPAN, width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The columns ``keep`` of each document, with ``_words``, ``_hits`` (disjoint stretches of words) and ``_items``."""
-    spark = docs.sparkSession
-    sc = spark.sparkContext
+    """The columns ``keep`` of each document, with ``_words``, ``_hits`` (stretches of words, which may overlap) and ``_items``."""
+    sc = docs.sparkSession.sparkContext
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
     windows = items.mapInArrow(lambda b: _windows(b, span, width), "item string, size int, hash long, tokens array<long>")
-    blocks = 1
-    if (total := windows.count()) > block_words:
-        windows = _store.written(windows, "windows")
-        blocks = -(-total // block_words)
     types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    key = ["_id", "_th"]
-    parts = []
-    for i in range(blocks):
-        rows = (windows.where(F.pmod(F.xxhash64("size", "hash"), F.lit(blocks)) == i) if blocks > 1 else windows).collect()
-        widths = sorted({r["size"] - len(r["tokens"]) + 1 for r in rows})
-        tokens = sc.broadcast(np.unique(np.array([t for r in rows for t in r["tokens"]], np.int64).view(U)))
-        rare = docs.select("text").mapInArrow(lambda b, t=tokens, w=widths: _frequencies(b, t, w), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-        index = sc.broadcast(_index(rows, widths, {r["token"]: r["n"] for r in rare.collect()}))
-        if blocks == 1:
-            source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"))
-            return source.mapInArrow(lambda b, x=index: _match(b, x), f"{types}, {_HITS}")
-        source = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_th"), F.col("text").alias("_text"))
-        parts.append(source.mapInArrow(lambda b, x=index: _match(b, x), f"_id long, _th long, {_HITS}"))
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.union(p)
-    merged = both.groupBy(*key).agg(F.max("_words").alias("_words"), F.flatten(F.collect_list("_hits")).alias("_hits"), F.array_distinct(F.flatten(F.collect_list("_items"))).alias("_items"))
-    merged = merged.withColumnsRenamed({"_id": "_i", "_th": "_t"})
-    source = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_th": F.xxhash64("text")})
-    return source.join(merged, source["_id"].eqNullSafe(merged["_i"]) & (source["_th"] == merged["_t"])).select(*[F.col(f"`{c}`") for c in keep], "_words", "_hits", "_items")
+    if windows.count() > block_words:
+        return _joined(docs, windows, keep, span)
+    rows = windows.collect()
+    widths = sorted({r["size"] - len(r["tokens"]) + 1 for r in rows})
+    tokens = sc.broadcast(np.unique(np.array([t for r in rows for t in r["tokens"]], np.int64).view(U)))
+    with _store.cleaned(docs.sparkSession):
+        rare = docs.select("text").mapInArrow(lambda b: _frequencies(b, tokens, widths), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    index = sc.broadcast(_index(rows, widths, dict(zip(rare["token"].tolist(), rare["n"].tolist()))))
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"))
+    return source.mapInArrow(lambda b: _match(b, index), f"{types}, {_HITS}")
 
 
 def contamination(marked: DataFrame) -> DataFrame:

@@ -159,6 +159,24 @@ def test_decontamination(spark, docs, empty, block):
     assert none.where("contaminated or n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_WORDS, 0])
+def test_decontamination_of_other_ids(spark, block):
+    items = spark.createDataFrame([("q1", PASSAGE), ("q2", "one two three")], "item_id string, text string")
+    rows = [("a", PASSAGE, 1), ("a", PASSAGE, 1), ("a", "clean words only", 2), (None, "x " + PASSAGE, 3), ("z", None, 4), ("b", "one two three one two three", 5)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, _di int").withColumn("_text", F.lit("y"))
+    out = decontaminate.contamination(decontaminate.mark(df, items, ["doc_id", "_di"], block_words=block)).collect()
+    got = sorted((r._di, r.n_words, r.n_hit, ",".join(r["items"]), r.contaminated) for r in out)
+    assert got == [(1, 60, 60, "q1", True)] * 2 + [(2, 3, 0, "", False), (3, 61, 60, "q1", True), (4, 0, 0, "", False), (5, 6, 6, "q2", True)]
+
+
+def test_common_windows_are_met_by_broadcast(spark, monkeypatch):
+    rows = [(i, prose(f"q{i}", 30) + " " + " ".join(PASSAGE.split()[i % 3 : 40])) for i in range(1300)]
+    items = [(i, " ".join(PASSAGE.split()[i : i + 20])) for i in range(12)] + [(99, prose("q5", 14))]
+    out = decontaminate.contamination(decontaminate.mark(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"), ["doc_id"], block_words=0))
+    got = {r.doc_id: (r.n_words, r.n_hit, len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r.contaminated) for r in out.collect()}
+    assert got == decontaminate.brute(rows, items)
+
+
 # --- mixing
 
 
