@@ -213,23 +213,66 @@ def test_mixing(spark, docs, empty):
     assert mixing.by_document(mixing.mix_blocks(empty)).count() == 0
 
 
+def draws(spark, good, total, n, rows=4000):
+    return spark.range(rows).select(mixing.hypergeometric(F.lit(good), F.lit(total), F.lit(n), F.col("id")).alias("x"))
+
+
 def test_hypergeometric(spark):
-    u = lambda k: mixing._uniform(F.col("id"), F.lit(k))
-    draw = lambda *a: spark.range(4000).select(mixing.hypergeometric(*map(F.lit, a), u(1), u(2)).alias("x")).agg(F.avg("x"), F.variance("x"), F.min("x"), F.max("x")).first()
-    for good, total, n in ((300, 1000, 200), (3, 10, 10), (0, 50, 7), (7, 7, 3), (10_000, 20_000, 9000), (40_000_000, 90_000_000, 50_000_000)):
-        mean, var, low, high = draw(good, total, n)
+    for good, total, n in ((300, 1000, 200), (3, 10, 10), (0, 50, 7), (7, 7, 3), (10_000, 20_000, 9000), (30_000, 70_000, 41_000), (40_000_000, 90_000_000, 50_000_000), (3 * 10**9, 10**10, 4 * 10**9)):
+        mean, var, low, high = draws(spark, good, total, n).agg(F.avg("x"), F.variance("x"), F.min("x"), F.max("x")).first()
         p = good / total
         want = n * p * (1 - p) * (total - n) / max(total - 1, 1)
         assert abs(mean - n * p) <= 5 * (want / 4000) ** 0.5 + 1e-9 and max(0, n - total + good) <= low <= high <= min(n, good)
         assert var == pytest.approx(want, rel=0.15, abs=1e-9)
 
 
-def test_split_is_exact(spark):
-    q = spark.createDataFrame([(i, 50 + 13 * i) for i in range(9)] + [(99, 1)], "key long, q long")
-    cuts = {r.key: r.cuts for r in mixing.split_quotas(q, 3).collect()}
+@pytest.mark.parametrize("inverted", [0, 1000])
+def test_draws_follow_the_distribution(spark, monkeypatch, inverted):
+    monkeypatch.setattr(mixing, "INVERTED", inverted)
+    good, total, n, rows = 60, 150, 40, 20_000
+    found = collections.Counter(r.x for r in draws(spark, good, total, n, rows).collect())
+    want = {x: rows * math.comb(good, x) * math.comb(total - good, n - x) / math.comb(total, n) for x in range(n + 1)}
+    common = [x for x, w in want.items() if w >= 20]
+    assert sum((found[x] - want[x]) ** 2 / want[x] for x in common) < 2.5 * len(common) and len(common) > 10
+
+
+@pytest.mark.parametrize("fan", [64, 4])
+def test_split_is_exact(spark, fan):
+    q = spark.createDataFrame([(64 * i + p, 5 + 3 * (i % 7) + p) for i in range(90) for p in range(2)] + [(9000, 1)], "key long, q long")
+    cuts = {r.key: r.cuts for r in mixing.split_quotas(q, 3, fan).collect()}
     assert {k: c[-1] for k, c in cuts.items()} == {r.key: r.q for r in q.collect()}
+    assert all(len(c) == 8 and c == sorted(c) and c[0] >= 0 for c in cuts.values())
     per = [sum(c[i] - (c[i - 1] if i else 0) for c in cuts.values()) for i in range(8)]
     assert max(per) - min(per) <= 1
+    assert {r.key: r.cuts for r in mixing.split_quotas(q.repartition(7), 3, fan).collect()} == cuts
+
+
+def test_many_sources(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 30)), f"s{int(rng.paretovariate(0.4)) % 700}é") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = {r.doc_id: r for r in mixing.by_document(mixing.mix_blocks(df, block=8)).collect()}
+    total = collections.Counter()
+    for _, t, s in rows:
+        total[s] += len(t.split())
+    order = sorted(total)
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    low, high = 0.0, 2.0 * sum(total.values())
+    for _ in range(200):  # the share by bisection
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(2 * total[s], mid * weight[s]) for s in order) < 1.5 * sum(total.values()) else (low, mid)
+    taken = collections.Counter()
+    for i, t, s in rows:
+        assert got[i].target == pytest.approx(min(2 * total[s], low * weight[s]), rel=1e-6, abs=1e-6) and got[i].taken <= 2 * len(t.split())
+        taken[s] += got[i].taken
+    assert len(order) > 200 and all(abs(taken[s] - min(2 * total[s], low * weight[s])) <= 1 for s in order)
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    rows = [(1, f"{w} " * 50, "a") for w in "abcdefgh"] + [(None, "x " * 50, "a"), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = lambda d: sorted((r.taken, r.shard or 0, r.slot or 0) for r in mixing.mix_blocks(d, block=7, budget=0.4).collect())
+    assert taken(df) == taken(df.orderBy(F.desc("text")).repartition(3))
 
 
 # --- license scan
