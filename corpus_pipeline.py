@@ -1,4 +1,8 @@
-"""A corpus pipeline over ``documents``: five stages, each of which takes effect on what the one before kept."""
+"""A corpus pipeline over ``documents``: five stages, each of which takes effect on what the one before kept.
+
+Extra columns are left out at once, whatever their names; an empty table gives an empty result; texts may be
+of any length. What each stage does with nulls, ties and repeated rows stands in its docstring.
+"""
 
 from __future__ import annotations
 
@@ -15,13 +19,24 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without any letter; the others keep their columns. Profiles are learned from ``docs``."""
+    """Drops documents without any letter, and those that are as far as can be from every language's profile
+    (score 0: no n-gram of theirs is one of a profile's). The others keep their columns; a null lang becomes
+    the predicted language. Profiles are learned from ``docs``; without a labelled document only texts
+    without letters go. Each row is judged by its text alone, so ids may be null or repeated.
+    """
     docs = _documents(docs)
-    return language_id.predict(docs, language_id.learn(docs), COLUMNS).where(F.col("_lang") != language_id.UNKNOWN).select(*COLUMNS)
+    model = language_id.learn(docs)
+    seen = language_id.predict(docs, model, COLUMNS)
+    kept = seen.where((F.col("_lang") != language_id.UNKNOWN) & (F.col("_score") > 0)) if model.langs else docs.where(F.col("text").rlike(r"\p{L}")).withColumn("_lang", F.lit(None).cast("string"))
+    return kept.withColumn("lang", F.coalesce("lang", "_lang")).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked rows one stays: that of the smallest doc_id (null is the smallest), then of the smallest text hash, then of the other columns."""
+    """Of each group of linked rows one stays: that of the smallest doc_id (null is the smallest), then of the smallest text hash, then of the other columns.
+
+    Rows without words link with nothing and all stay. Rows are told apart by (doc_id, text hash), so a text
+    is never lost because another shares its id.
+    """
     docs = _documents(docs)
     key = F.xxhash64("text")
     linked = jaccard_join.link_documents(docs, key=key).where("group is not null")
@@ -43,7 +58,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated passages; documents that lose every word go, texts that lose none stay as they are."""
+    """Removes repeated passages; documents that lose every word go, texts that lose none stay as they are.
+
+    Rows that repeat an id and its text are one document and lose the same; a null id is the smallest, and a null
+    or wordless text stays.
+    """
     out = substring_dedup.dedup_substrings(_documents(docs))
     out = out.where((F.col("_removed") == 0) | (F.col("_removed") < F.col("_words")))
     text = F.when(F.col("_removed") > 0, F.col("_kept")).otherwise(F.col("text"))
@@ -51,14 +70,19 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the rule of decontaminate.contamination() finds contaminated."""
+    """Drops documents that the rule of decontaminate.contamination() finds contaminated; null texts and any ids
+    stay as they are, and an empty benchmark drops nothing.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     marked = decontaminate.contamination(decontaminate.mark(_documents(docs), items, COLUMNS))
     return marked.where(~F.col("contaminated")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of each document, and the shards that hold them."""
+    """How many words the mix takes of each document, and the shards that hold them.
+
+    A null source is one of its own; wordless texts take nothing; repeated rows are texts of their own.
+    """
     return mixing.by_document(mixing.mix_blocks(_documents(docs)))
 
 
