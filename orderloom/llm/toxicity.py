@@ -8,10 +8,10 @@ labelled texts. The offset is set so that the prior's share of all texts that ar
 or more, by a histogram of their margins (bins of 1 / ``BINS`` in asinh; a bin that would exceed the share stays below).
 
 The weights are learned only from rows that are not held out, at most about ``POSITIVE`` toxic and ``UNLABELLED``
-other texts, chosen by a hash of the id; the words of a text are never cut. All texts are scored in full.
+other texts, chosen by a hash of the id and the text; the words of a text are never cut. All texts are scored in full.
 
 Defined results: null, empty and wordless texts get the score of the offset alone; a null doc_id is held
-in; of repeated label rows toxic wins, of repeated documents all are scored alike; without a toxic label
+in; of repeated label rows toxic wins; repeated documents are scored alike, and counted once in the samples; without a toxic label
 all scores are 0; an empty table gives an empty result; other columns are never read.
 """
 
@@ -66,27 +66,33 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def slopes(p: np.ndarray, n_pos: int, prior: float) -> np.ndarray:
+    """How the risk changes with each text's margin; p: probabilities, of the toxic texts first."""
+    n_unl = len(p) - n_pos
+    # losses of the positive class and of the negative class: -log p, -log (1 - p)
+    negative = -np.log(np.maximum(1 - p, 1e-12))
+    rest = negative[n_pos:].mean() - prior * negative[:n_pos].mean()
+    g = np.empty(len(p))
+    if rest >= 0:
+        g[:n_pos] = prior * (p[:n_pos] - 1) / n_pos - prior * p[:n_pos] / n_pos
+        g[n_pos:] = p[n_pos:] / n_unl
+    else:  # step back from a negative estimate
+        g[:n_pos] = prior * p[:n_pos] / n_pos
+        g[n_pos:] = -p[n_pos:] / n_unl
+    return g
+
+
 def fit(pos: tuple, unl: tuple, prior: float, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
     """Weights and offset of the non-negative PU risk with the logistic loss, by Adam over all given texts."""
     words, sizes = np.concatenate((pos[0], unl[0])), np.concatenate((pos[1], unl[1]))
-    n_pos, n_unl = len(pos[1]), len(unl[1])
+    n_pos = len(pos[1])
     owner = np.repeat(np.arange(len(sizes)), sizes)
     used, column = np.unique(words, return_inverse=True)
     w, b = np.zeros(len(used)), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for t in range(1, rounds + 1):
         p = _sigmoid(_margin(column, sizes, w) + b)
-        # losses of the positive class and of the negative class: -log p, -log (1 - p)
-        lower = 1e-12
-        negative = -np.log(np.maximum(1 - p, lower))
-        rest = negative[n_pos:].mean() - prior * negative[:n_pos].mean()
-        g = np.empty(len(p))
-        if rest >= 0:
-            g[:n_pos] = prior * (p[:n_pos] - 1) / n_pos - prior * p[:n_pos] / n_pos
-            g[n_pos:] = p[n_pos:] / n_unl
-        else:  # step back from a negative estimate
-            g[:n_pos] = prior * p[:n_pos] / n_pos
-            g[n_pos:] = -p[n_pos:] / n_unl
+        g = slopes(p, n_pos, prior)
         grad = np.append(np.bincount(column, weights=g[owner], minlength=len(used)) + DECAY * w, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
@@ -146,14 +152,17 @@ def train(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabell
     if not toxic:
         return None
     prior = min(max(toxic / total, 0.001), 0.5)
-    unit = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000)) / 1_000_000
+    unit = lambda *c: F.pmod(F.xxhash64(F.lit(11), *c), F.lit(1_000_000)) / 1_000_000
     rows = docs.where(~held_out()).select("doc_id", "text")
-    ids = known.where((F.col("toxic") == 1) & (unit < positive / toxic)).select("doc_id")
+    ids = known.where((F.col("toxic") == 1) & (unit(F.col("doc_id")) < positive / toxic)).select("doc_id")
     pos = rows.join(F.broadcast(ids), "doc_id", "left_semi")  # about POSITIVE ids
-    n = rows.count()
+    n, found = rows.count(), pos.count()
+    some = lambda df, share: df.where(unit(F.col("doc_id"), F.xxhash64("text")) < share).distinct()
+    pos, unl = some(pos, min(1.0, 1.2 * positive / max(found, 1))), some(rows, unlabelled / max(n, 1))
     parts = {}
-    for kind, part in ((1, pos), (0, rows.where(unit < unlabelled / max(n, 1)))):
-        got = part.select(F.lit(kind).alias("kind"), "text").mapInArrow(_blobs, "kind int, words binary").select("words").collect()
+    for kind, part in ((1, pos), (0, unl)):
+        with _store.cleaned(spark):
+            got = part.select(F.lit(kind).alias("kind"), "text").mapInArrow(_blobs, "kind int, words binary").select("words").collect()
         sizes = np.array([len(r["words"]) // 4 for r in got], np.int64)
         parts[kind] = (np.frombuffer(b"".join(r["words"] for r in got), "<u4"), sizes)
         del got

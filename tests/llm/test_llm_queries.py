@@ -55,6 +55,43 @@ def test_stages_keep_columns_of_documents(spark, sf_dir):
     assert substring_dedup.LENGTH == 20
 
 
+AWKWARD = [
+    (1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, "12 ?!", "en", "a", 5), (None, "plain words of a text", "en", None, 3), (None, "plain words of a text", None, None, 3), (4, "plain words of a text", "en", "b", 3),
+    (5, "\u4e00\u4e8c", None, "b", 2), (6, "words of a plain text " * 4000, "en", "b", 9), (7, "one more text of plain words", None, "b", None), (7, "another text of its own, with words", "en", "a", 1), (7, "another text of its own, with words", "en", "a", 1),
+]
+
+
+def awkward(spark):
+    rows = [(*r, "x", "y", 1) for r in AWKWARD]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _lang string, hits string, _id int")
+
+
+def test_language_stage_decides(spark):
+    import corpus_pipeline as p
+
+    out = [(r.doc_id, r.text, r.lang) for r in p.identify_language(spark, awkward(spark), "").collect()]
+    assert {i for i, _, _ in out} == {None, 4, 6, 7} and {x for _, _, x in out} == {"en"} and len(out) == 7
+    unlabelled = awkward(spark).withColumn("lang", p.F.lit(None).cast("string"))
+    assert {r.doc_id for r in p.identify_language(spark, unlabelled, "").collect()} == {None, 4, 5, 6, 7}
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_take_awkward_rows(spark, sf_dir, k):
+    import corpus_pipeline as p
+
+    name, stage = p.STAGES[k]
+    out = stage(spark, awkward(spark), sf_dir).collect()
+    if name == "ngram_jaccard_join":
+        assert sorted((r.doc_id or 0, r.text or "") for r in out) == sorted({(0, AWKWARD[3][1]), (1, ""), (2, ""), *((d, t) for d, t, *_ in AWKWARD if d in (3, 5, 6, 7))})
+    elif name == "substring_dedup":
+        assert len(out) == len(AWKWARD) and next(r.text for r in out if r.doc_id == 6) == "words of a plain text"
+        assert {r.text for r in out if r.doc_id != 6} == {t for d, t, *_ in AWKWARD if d != 6}
+    elif name == "decontamination":
+        assert len(out) == len(AWKWARD)
+    elif name == "mixing":
+        assert len(out) == len(AWKWARD) and all(0 <= r.taken <= 2 * r.size for r in out) and sum(r.size == 0 for r in out) == 2
+
+
 def test_near_copies_of_repeated_and_null_ids(spark):
     import corpus_pipeline as p
 

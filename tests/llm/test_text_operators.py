@@ -46,7 +46,7 @@ ROWS = [
 
 
 def frame(spark, rows, source=lambda i: f"s{i % 3}"):
-    full = [(i, t, None if i % 7 == 0 else "en", source(i) if i is not None else None, len(t or "")) + ("x",) * 11 for i, t in rows]
+    full = [(i, t, "en" if i is None or i % 7 else None, source(i) if i is not None else None, len(t or "")) + ("x",) * 11 for i, t in rows]
     return spark.createDataFrame(full, KIND)
 
 
@@ -419,15 +419,57 @@ def test_language(spark, sf_dir, docs, empty):
     got = {r.doc_id: (r._lang, r._score) for r in language_id.predict(docs, model, CORE).collect()}
     assert {i for i, (x, _) in got.items() if x == "und"} == {0, 1, 2, 18} and all(0 <= s <= 1 for _, s in got.values())
     for i, t in ROWS[:12]:
-        assert got[i] == language_id.best(t, *model)
+        assert got[i] == language_id.best(t, model)
     assert language_id.predict(empty, model, ["doc_id"]).count() == 0
     assert {r._lang for r in language_id.predict(docs, language_id.profiles(empty), ["doc_id"]).collect()} == {"und"}
 
 
-def test_rank_distance():
-    key, rank = language_id.ranking(language_id.grams("aab"), 10)
-    assert dict(zip(key.tolist(), rank.tolist()))[98] == 0  # "a" + 1, twice
-    assert rank.tolist()[1:] == [(1 + len(rank) - 1) / 2] * (len(rank) - 1)
+def plain_counts(text):
+    """Letter n-grams of one to three letters by plain strings; a blank stands for a word's end."""
+    words = "".join(c.lower()[0] if c.isalpha() else " " for c in text or "").split()
+    found = collections.Counter()
+    line = " " + " ".join(words) + " " if words else ""
+    for n in (1, 2, 3):
+        for i in range(len(line) - n + 1):
+            g = line[i : i + n]
+            if g.strip() and not (n == 3 and g[1] == " "):
+                found[g] += 1
+    return found
+
+
+def plain_ranks(found, size):
+    # ties at the end of a profile are cut by the packed number of the n-gram, as in the module
+    order = sorted(found.items(), key=lambda x: (-x[1], sum((ord(c) + 1 if c != " " else 1) << 21 * k for k, c in enumerate(reversed(x[0])))))[:size]
+    at = collections.defaultdict(list)
+    for i, (_, n) in enumerate(order):
+        at[n].append(i)
+    return {g: sum(at[n]) / len(at[n]) for g, n in order}
+
+
+def test_rank_order_by_plain_strings(spark):
+    texts = {"xx": ["abba abc", "baba", "cab éa"], "yy": ["zzz yzy", "ZY zé zzz"], "zz": ["Ωμέγα αβ", "木林 木"]}
+    rows = [(i, lang, t) for i, (lang, t) in enumerate((lang, t) for lang, ts in texts.items() for t in ts)] + [(90, None, "qq"), (91, "empty", None), (92, "empty", "12 !")]
+    model = language_id.profiles(spark.createDataFrame(rows, "doc_id long, lang string, text string"), size=12)
+    assert model.langs == ["xx", "yy", "zz"]
+    want = {lang: plain_ranks(sum((plain_counts(t) for t in ts), collections.Counter()), 12) for lang, ts in texts.items()}
+    for text in ["abba", "zzy cab", "é", "Ω 木 a", "q", "zyzzy abba cab abba", "αβγ", "a" * 500, "aab"]:
+        mine = plain_ranks(plain_counts(text), 12)
+        far = {lang: sum(min(abs(p[g] - r), 12) if g in p else 12 for g, r in mine.items()) / (12 * len(mine)) for lang, p in want.items()}
+        assert model.distances(text, 12).tolist() == pytest.approx([far[x] for x in model.langs])
+        assert language_id.best(text, model, 12) == (min(sorted(far), key=far.get), pytest.approx(max(0.0, 1 - min(far.values()))))
+
+
+def test_letters_are_those_of_unicode(spark):
+    table = language_id._letters()
+    assert all((table[c] != 1) == chr(c).isalpha() for c in [*range(0x300), *range(0x3130, 0x3200), 0x2A6DE, 0x2A6E5, 0x32010, 0x323AF, 0x323B0, 0x10FFFF])
+    model = language_id.profiles(spark.createDataFrame([(1, "ja", "\U00032010木")], "doc_id long, lang string, text string"))
+    assert language_id.best("\U00032010", model)[0] == "ja" and language_id.best("\U0002a6e5 1", model) == ("und", 0.0)
+
+
+def test_no_language_is_left_out(spark):
+    rows = [(i, f"l{i:04d}", f"{chr(0x4E00 + i)}{chr(0x6000 + i)}") for i in range(1200)] + [(5, "l0005", "\u4e05\u6005")] * 3
+    model = language_id.profiles(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert len(model.langs) == 1200 and all(language_id.best(t, model)[0] == x for _, x, t in rows[::97])
 
 
 # --- toxicity
@@ -456,6 +498,40 @@ def test_toxicity(spark, empty):
     assert {r._score for r in toxicity.score(table, None, ["doc_id"]).collect()} == {0.0}
 
 
+def test_slopes_are_those_of_the_risk():
+    rng = np.random.default_rng(3)
+    for prior, n_pos, n_unl in ((0.1, 5, 40), (0.5, 30, 10), (0.3, 1, 1)):
+        for shift in (-3, 0, 3):
+            z = rng.normal(0, 2, n_pos + n_unl) + np.r_[np.full(n_pos, shift), np.zeros(n_unl)]
+
+            def risk(z):
+                """The non-negative estimate, text by text; below zero what is turned."""
+                plus = sum(prior * math.log(1 + math.exp(-x)) / n_pos for x in z[:n_pos])
+                rest = sum(math.log(1 + math.exp(x)) / n_unl for x in z[n_pos:]) - sum(prior * math.log(1 + math.exp(x)) / n_pos for x in z[:n_pos])
+                return plus + rest if rest >= 0 else -rest
+
+            step = 1e-5
+            want = [(risk(z + step * e) - risk(z - step * e)) / (2 * step) for e in np.eye(len(z))]
+            assert toxicity.slopes(1 / (1 + np.exp(-z)), n_pos, prior) == pytest.approx(want, abs=1e-6)
+
+
+def test_toxicity_of_labelled_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.score(docs, toxicity.train(docs, labels), ["doc_id"]).where(language_id.held_out()).join(labels, "doc_id").select("_score", "toxic").collect()
+    bad, good = (np.array([r._score for r in got if r.toxic == k]) for k in (1, 0))
+    assert len(bad) > 50 and (bad[:, None] > good[None, :]).mean() >= 0.93
+    assert (bad >= 0.5).mean() >= 0.8 and (good >= 0.5).mean() <= 0.04
+
+
+def test_repeated_and_null_ids_stay_within_the_samples(spark):
+    rows = [(i, prose(f"n{i}", 20) + (" vilest" if i % 4 == 0 else "")) for i in range(600)] + [(None, prose(f"z{i}", 20)) for i in range(600)] + [(8, prose("same", 20) + " vilest")] * 900
+    known = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
+    model = toxicity.train(frame(spark, rows), known, positive=60, unlabelled=200)
+    got = {r.doc_id: r._score for r in toxicity.score(frame(spark, rows[:600] + [(9999, "x" * 300_000)]), model, ["doc_id"]).collect()}
+    bad, good = [got[i] for i in range(0, 600, 4)], [got[i] for i in range(1, 600, 4)]
+    assert np.mean([x > y for x in bad for y in good]) > 0.95 and 0 <= got[9999] <= 1
+
+
 def test_toxicity_offset_counts_all_rows(spark):
     rng = random.Random(4)
     rows = [(i, " ".join([*prose(f"o{i}", 20).split(), *(rng.choice(["vilest", "wretch", "odious", "craven"]) for _ in range(rng.randint(1, 4) if i % 4 == 0 else i % 9 == 0))])) for i in range(1500)]
