@@ -5,8 +5,12 @@ At least once, with idempotent effects: repeating any step with the same input c
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import rules
 from .events import first_of_each
@@ -21,17 +25,22 @@ def accept(requests: DataFrame, known: DataFrame, *order: str | Column) -> DataF
     """One row for each request (idempotencyKey, eventId, createdAt, payloadHash): what it is answered.
 
     The first request of a key is accepted unless the key is known; all others replay the stored
-    eventId and createdAt. Payloads aren't compared for that, but a differing one is marked.
-    known: (idempotencyKey, eventId, createdAt, payloadHash).
+    eventId and createdAt. Of requests that are equal in all of the order's columns, one is the first.
+    Payloads aren't compared for that, but a differing one is marked. A request without a key replays
+    nothing: it is answered with its own event. known: (idempotencyKey, eventId, createdAt, payloadHash).
     """
     order = order or ("createdAt", "eventId")
-    stored = known.select("idempotencyKey", F.col("eventId").alias("_e"), F.col("createdAt").alias("_c"), F.col("payloadHash").alias("_h"))
-    first = first_of_each(requests, "idempotencyKey", *order).select("idempotencyKey", F.col("eventId").alias("_fe"), F.col("createdAt").alias("_fc"), F.col("payloadHash").alias("_fh"))
-    rows = requests.join(first, "idempotencyKey").join(stored, "idempotencyKey", "left")
-    event, created, digest = F.coalesce("_e", "_fe"), F.coalesce("_c", "_fc"), F.coalesce("_h", "_fh")
-    replayed = F.col("_e").isNotNull() | (F.col("eventId") != F.col("_fe"))
-    out = rows.withColumns({"answeredId": event, "answeredAt": created, "replayed": replayed, "payloadConflict": replayed & (F.col("payloadHash") != digest)})
-    return out.drop("_e", "_c", "_h", "_fe", "_fc", "_fh")
+    stored = known.where("idempotencyKey is not null").select("idempotencyKey", F.col("eventId").alias("_e"), F.col("createdAt").alias("_c"), F.col("payloadHash").alias("_h"))
+    # null keys are spread over groups of their own
+    same = W.partitionBy("idempotencyKey", F.when(F.col("idempotencyKey").isNull(), F.xxhash64("eventId"))).orderBy(*order)
+    first = {f"_f{i}": F.first_value(c).over(same) for i, c in enumerate(("eventId", "createdAt", "payloadHash"))}
+    rows = requests.withColumns(first | {"_nth": F.row_number().over(same)}).join(stored, "idempotencyKey", "left")
+    keyed = F.col("idempotencyKey").isNotNull()
+    answer = lambda old, new, own: F.when(keyed, F.coalesce(old, new)).otherwise(F.col(own))
+    replayed = keyed & (F.col("_e").isNotNull() | (F.col("_nth") > 1))
+    digest = answer("_h", "_f2", "payloadHash")
+    out = rows.withColumns({"answeredId": answer("_e", "_f0", "eventId"), "answeredAt": answer("_c", "_f1", "createdAt"), "replayed": replayed, "payloadConflict": replayed & ~F.col("payloadHash").eqNullSafe(digest)})
+    return out.drop("_e", "_c", "_h", "_f0", "_f1", "_f2", "_nth")
 
 
 def accepted(answers: DataFrame) -> DataFrame:
@@ -65,22 +74,64 @@ def settle(outbox: DataFrame, results: DataFrame, error_chars: int = 2000) -> Da
     }).drop("_tried", "_error")
 
 
+def tried(outbox: DataFrame, results: DataFrame, error_chars: int = 2000) -> DataFrame:
+    """The outbox under a log of results (id, error, triedAt): one without error publishes, each other is an attempt."""
+    sent = F.col("error").isNull()
+    each = results.groupBy("id").agg(
+        F.bool_or(sent).alias("_sent"), F.count_if(~sent).cast("int").alias("_failed"), F.max_by(F.when(~sent, F.struct("error")), F.when(~sent, F.col("triedAt"))).alias("_last"), F.min(F.when(sent, F.col("triedAt"))).alias("_at")
+    )
+    joined = outbox.join(each, "id", "left")
+    done = F.coalesce("_sent", F.lit(False))
+    return joined.withColumns({
+        "status": F.when(done, F.lit(PUBLISHED)).otherwise(F.col("status")),
+        "attempts": F.col("attempts") + F.coalesce("_failed", F.lit(0)),
+        "lastError": F.when(done, F.lit(None).cast("string")).when(F.col("_last").isNotNull(), F.substring("_last.error", 1, error_chars)).otherwise(F.col("lastError")),
+        "publishedAt": F.coalesce("_at", "publishedAt"),
+    }).drop("_sent", "_failed", "_last", "_at")
+
+
+def retried(run: Callable[[], None], retries: int = 2, pause: float = 1.0, final: tuple[type[Exception], ...] = (ValueError,)) -> None:
+    """Runs again after a failure, at most ``retries`` times; ``final`` errors aren't tried again."""
+    for attempt in range(retries + 1):
+        try:
+            return run()
+        except final:
+            raise
+        except Exception:
+            if attempt == retries:
+                raise
+            time.sleep(pause)
+
+
 def consume(events: DataFrame, processed: DataFrame, *order: str | Column) -> DataFrame:
     """Events whose eventId was not processed before, each once."""
     fresh = events.join(processed.select("eventId"), "eventId", "left_anti")
     return first_of_each(fresh, "eventId", *(order or ("occurredAt",)))
 
 
+PROJECTED = ("eventId", "customerId", "productId", "quantity", "unitPrice", "channel", "location", "occurredAt", "processedAt")
+PROCESSED = ("eventId", "eventType", "processedAt")
+
+
+def consumed(events: DataFrame) -> DataFrame:
+    """What is kept of consumed events: one row has the columns of the projection and of the processed ids,
+    so that both are written by one commit."""
+    return events.withColumn("processedAt", F.current_timestamp()).select(*dict.fromkeys(PROJECTED + PROCESSED))
+
+
 def projections(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(projection, processed) rows of consumed events; written together, the projection first."""
-    now = F.current_timestamp()
-    shape = events.select("eventId", "customerId", "productId", "quantity", "unitPrice", "channel", "location", "occurredAt", now.alias("processedAt"))
-    return shape, events.select("eventId", "eventType", now.alias("processedAt"))
+    """(projection, processed) rows of consumed events."""
+    rows = consumed(events)
+    return rows.select(*PROJECTED), rows.select(*PROCESSED)
 
 
 def dead_letters(df: DataFrame, topic: str, broken: tuple[rules.Rule, ...] = rules.PROJECTION) -> DataFrame:
     """Records that break the projection's rules, under the dead-letter topic and on their own partition."""
-    bad = rules.rejected(df, broken)
+    return as_dead(rules.rejected(df, broken), topic)
+
+
+def as_dead(bad: DataFrame, topic: str) -> DataFrame:
+    """Records with ``reasons`` as messages of the dead-letter topic."""
     return bad.select(F.lit(f"{topic}.DLT").alias("topic"), F.col("kafkaPartition").alias("partition"), F.col("kafkaKey").alias("key"), F.col("payload").alias("value"), "reasons")
 
 

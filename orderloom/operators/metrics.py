@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.columns import money
 
@@ -67,7 +68,7 @@ def shares(page: DataFrame, first: int = 12) -> DataFrame:
     """The first rows of an ordered page with their revenue as a percentage of the page's largest."""
     from ..functions.columns import share_of
 
-    most = page.agg(F.max("total_revenue").alias("most"))
-    rows = page.orderBy(F.desc("event_date"), "channel", "location").limit(first)
+    # a page is bounded, so one window over it costs less than a second computation of the page
+    rows = page.withColumn("most", F.max("total_revenue").over(W.partitionBy())).orderBy(F.desc("event_date"), "channel", "location").limit(first)
     pct = F.round(share_of(F.col("total_revenue"), F.col("most")).cast("double"), 6)
-    return rows.crossJoin(F.broadcast(most)).withColumn("share", pct).withColumn("bar", F.greatest("share", F.lit(4.0))).drop("most")
+    return rows.withColumn("share", pct).withColumn("bar", F.greatest("share", F.lit(4.0))).drop("most")

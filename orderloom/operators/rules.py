@@ -25,8 +25,8 @@ def present(column: str) -> Rule:
 
 
 def text(column: str, most: int) -> list[Rule]:
-    """Not blank and not too long."""
-    return [Rule(f"{column}_blank", lambda: F.trim(column) != ""), Rule(f"{column}_long", lambda: F.col(column).isNull() | (F.char_length(column) <= most))]
+    """Not blank (tabs and line ends are blank, too) and not too long."""
+    return [Rule(f"{column}_blank", lambda: F.col(column).rlike(r"[^\x00-\x20]")), Rule(f"{column}_long", lambda: F.col(column).isNull() | (F.char_length(column) <= most))]
 
 
 #: What the live metrics ask of a parsed event.
@@ -41,7 +41,7 @@ TRUSTED = (
 )
 #: Beyond the trusted rules, what this engine routes to rejects instead of failing a batch.
 COMPUTABLE = (*TRUSTED, Rule("revenue_out_of_range", lambda: F.col("revenue").isNotNull()))
-#: What the order request must fulfil.
+#: What the order request must fulfil. The lengths and least amounts.
 REQUEST = (
     *text("idempotencyKey", 120),
     *text("customerId", 80),

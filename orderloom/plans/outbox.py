@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.delivery import next_batch, settle
+from ..operators.delivery import next_batch, retried, tried
 from ..settings import Settings
 from ..sources.versions import VersionedTable
 
 
-def retried(run: Callable[[], None], retries: int = 2, pause: float = 1.0, final: tuple[type[Exception], ...] = (ValueError,)) -> None:
-    """Runs again after a failure, at most ``retries`` times; ``final`` errors aren't tried again."""
-    for attempt in range(retries + 1):
-        try:
-            return run()
-        except final:
-            raise
-        except Exception:
-            if attempt == retries:
-                raise
-            time.sleep(pause)
-
-
 def as_messages(batch: DataFrame) -> DataFrame:
     """Keyed by the aggregate, so that events of one order keep their order."""
     return batch.select(F.col("aggregateId").cast("binary").alias("key"), F.col("payload").cast("binary").alias("value"))
@@ -35,24 +21,64 @@ def send(batch: DataFrame, settings: Settings) -> None:
     """To the Kafka topic, or as files of messages below the root."""
     rows = as_messages(batch)
     if settings.source_format == "kafka":
-        rows.write.format("kafka").option("kafka.bootstrap.servers", settings.kafka_servers).option("kafka.acks", "all").option("topic", settings.topic).save()
+        ms = int(settings.send_seconds * 1000)
+        limits = {"kafka.delivery.timeout.ms": str(ms), "kafka.request.timeout.ms": str(ms * 4 // 5), "kafka.linger.ms": "0", "kafka.max.block.ms": str(ms)}
+        rows.write.format("kafka").option("kafka.bootstrap.servers", settings.kafka_servers).option("kafka.acks", "all").option("topic", settings.topic).options(**limits).save()
         return
     stamp = rows.withColumns({"topic": F.lit(settings.topic), "partition": F.pmod(F.xxhash64("key"), F.lit(3)).cast("int"), "offset": F.monotonically_increasing_id(), "timestamp": F.current_timestamp()})
     stamp.write.mode("append").format(settings.source_format).save(settings.at("topic", settings.topic))
 
 
-def publish_step(spark: SparkSession, store: VersionedTable, settings: Settings, sender: Callable[[DataFrame, Settings], None] = send) -> dict[str, int]:
-    """One round. At least once: a crash between sending and marking sends the batch again."""
-    outbox = store.read()
-    batch = next_batch(outbox, settings.outbox_batch)
-    ids = [r["id"] for r in batch.select("id").collect()]  # at most outbox_batch
-    if not ids:
-        return {"sent": 0, "failed": 0}
-    error = None
+class Outbox:
+    """Entries and results are tables that are only appended to, so that producers and the publisher can't undo
+    each other's work, and a step costs what it sends."""
+
+    def __init__(self, spark: SparkSession, path: str, error_chars: int = 2000):
+        self.spark, self.error_chars = spark, error_chars
+        self.entries, self.results = (VersionedTable(spark, f"{path.rstrip('/')}/{x}", day_of=None) for x in ("entries", "results"))
+
+    def add(self, entries: DataFrame) -> None:
+        """Rows of outbox_entries()."""
+        self.entries.append(entries) if self.entries.exists() else self.entries.create(entries)
+
+    def read(self) -> DataFrame:
+        """The entries with their present status."""
+        return tried(self.entries.read(), self.results.read(), self.error_chars) if self.results.exists() else self.entries.read()
+
+    def note(self, results: DataFrame) -> None:
+        self.results.append(results) if self.results.exists() else self.results.create(results)
+
+    def compact(self, keep: int = 2) -> None:
+        """Small folders into one each; older snapshots go."""
+        for t in (self.entries, self.results):
+            if t.exists():
+                t.compact()
+                t.expire(keep)
+
+
+def _sent(batch: DataFrame, ids: list[str], settings: Settings, sender: Callable[[DataFrame, Settings], None]) -> dict[str, str | None]:
+    """The error of each id, None if it was sent. A batch that fails is halved until it is clear which entries fail."""
     try:
-        retried(lambda: sender(batch, settings), settings.consumer_retries, 0.0)
+        retried(lambda: sender(batch.where(F.col("id").isin(ids)).orderBy("createdAt", "id"), settings), settings.consumer_retries if len(ids) == 1 else 0, 0.0)
+        return dict.fromkeys(ids)
     except Exception as e:  # noqa: BLE001  kept with the entries
-        error = f"{type(e).__name__}: {e}"[: settings.error_chars]
-    results = spark.createDataFrame([(i, error) for i in ids], "id string, error string")
-    store.overwrite(settle(outbox, F.broadcast(results), settings.error_chars))
-    return {"sent": 0 if error else len(ids), "failed": len(ids) if error else 0}
+        if len(ids) == 1:
+            return {ids[0]: f"{type(e).__name__}: {e}"[: settings.error_chars]}
+    half = len(ids) // 2
+    return _sent(batch, ids[:half], settings, sender) | _sent(batch, ids[half:], settings, sender)
+
+
+def publish_step(spark: SparkSession, store: Outbox, settings: Settings, sender: Callable[[DataFrame, Settings], None] = send) -> dict[str, int]:
+    """One round over the oldest pending entries, each with a result of its own.
+
+    At least once: a crash between sending and noting sends the batch again, and so does a failure within it.
+    """
+    rows = next_batch(store.read(), settings.outbox_batch).collect()  # at most outbox_batch
+    if not rows:
+        return {"sent": 0, "failed": 0}
+    batch = spark.createDataFrame(rows, store.entries.current().struct)
+    done = _sent(batch, [r["id"] for r in rows], settings, sender)
+    results = spark.createDataFrame(list(done.items()), "id string, error string").withColumn("triedAt", F.current_timestamp())
+    store.note(results.coalesce(1))
+    failed = sum(e is not None for e in done.values())
+    return {"sent": len(done) - failed, "failed": failed}

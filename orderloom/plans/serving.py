@@ -72,16 +72,39 @@ def publish_files(summary: DataFrame, daily: DataFrame, path: str) -> Published:
 
 
 def publish_jdbc(summary: DataFrame, daily: DataFrame, url: str, summary_table: str, daily_table: str, properties: dict[str, str] | None = None) -> Published:
-    """Overwrites two tables by truncating them, after the checks passed on materialised rows."""
+    """Replaces the rows of two tables in one transaction.
+
+    Both models are written to tables named ``_staged`` and checked there; then one transaction empties both
+    tables and fills them from those. Readers see either both old or both new models, and a failure
+    leaves the old ones. Table names are inserted into SQL as they are.
+    """
     spark = summary.sparkSession
+    properties = properties or {}
     widths = ", ".join(f"{c} VARCHAR({n})" for c, n in SERVING_WIDTHS.items())
-    summary, daily = summary.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else summary.persist(), daily.persist()
-    found = _checked(summary, daily)
-    for df, name, types in ((summary, summary_table, None), (daily, daily_table, widths)):
-        writer = df.write.mode("overwrite").option("truncate", "true")
-        if types:
-            writer = writer.option("createTableColumnTypes", types)
-        writer.jdbc(url, name, properties=properties or {})
+    tables = ((conforms(summary, SERVING_SUMMARY), summary_table, None), (conforms(daily, SERVING_DAILY), daily_table, widths))
+    for df, name, types in tables:
+        for rows, table, mode in ((df, f"{name}_staged", "overwrite"), (df.limit(0), name, "append")):
+            writer = rows.write.mode(mode).option("truncate", "true")
+            (writer.option("createTableColumnTypes", types) if types else writer).jdbc(url, table, properties=properties)
+    found = _checked(*[spark.read.jdbc(url, f"{name}_staged", properties=properties) for _, name, _ in tables])
+    jvm = spark.sparkContext._jvm
+    options = jvm.java.util.Properties()
+    for key, value in properties.items():
+        options.setProperty(key, value)
+    connection = jvm.java.sql.DriverManager.getConnection(url, options)
+    try:
+        connection.setAutoCommit(False)
+        statement = connection.createStatement()
+        for df, name, _ in tables:
+            columns = ", ".join(f'"{c}"' for c in df.columns)
+            statement.executeUpdate(f"DELETE FROM {name}")
+            statement.executeUpdate(f"INSERT INTO {name} ({columns}) SELECT {columns} FROM {name}_staged")
+        connection.commit()
+    except Exception:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()
     return found
 
 

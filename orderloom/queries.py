@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from . import contracts
 from .operators import delivery, events, metrics, quality, rules
-from .plans import serving
+from .plans import outbox, pipeline, serving
 from .settings import Settings
-from .sources import fixtures
+from .sources import files, fixtures
 from .sources.fixtures import MESSAGES_SQL, ORDERS_SQL, scratch
 from .sources.versions import VersionedTable
 from .streaming import layers
@@ -92,8 +92,99 @@ def quality_failures(spark, sf_dir):
 
 
 def reconcile(spark, sf_dir):
+    """The trusted layer, the versioned table and the summary's file, each written and counted on its own."""
+    settings = Settings(root=scratch(spark, "reconcile"))
+    fixtures.orders(spark, sf_dir).write.parquet(settings.trusted)
+    orders = files.table(spark, settings.trusted)
+    VersionedTable(spark, settings.versioned).create(orders)
+    pipeline.write_summary(orders, settings.summary)
+    got = quality.reconciliation(orders, VersionedTable(spark, settings.versioned).read(), files.table(spark, settings.summary))
+    return spark.createDataFrame([(got["trusted"], got["table"], got["summary"])], "trusted_rows long, table_rows long, summary_orders long")
+
+
+def reconcile_decisions(spark, sf_dir):
+    n = fixtures.orders(spark, sf_dir).count()
+    rows = []
+    for case, counts in (("equal", (n, n, n)), ("table", (n, n - 1, n)), ("summary", (n, n, n - 1))):
+        try:
+            quality.reconcile(*counts)
+            rows.append((case, True))
+        except quality.ReconciliationError:
+            rows.append((case, False))
+    return spark.createDataFrame(rows, "differs string, passed boolean")
+
+
+def gate_decisions(spark, sf_dir):
+    """What the gate says of clean orders and of messages with faults."""
+    rows = []
+    for name, df in (("orders", fixtures.orders(spark, sf_dir)), ("messages", events.decode(_raw(spark, sf_dir)))):
+        try:
+            rows.append((name, "totalRows", quality.gate(df)["totalRows"]))
+        except quality.QualityError as e:
+            rows += [(name, metric, value) for metric, value in e.failures.items()]
+    return spark.createDataFrame(rows, "source string, metric string, value long")
+
+
+def empty_guard(spark, sf_dir):
+    orders, rows = fixtures.read(spark, sf_dir, "orders"), []
+    for name, df in (("all", orders), ("none", orders.where("o_orderkey < 0"))):
+        try:
+            contracts.not_empty(df, name)
+            rows.append((name, True))
+        except contracts.EmptyInput:
+            rows.append((name, False))
+    return spark.createDataFrame(rows, "input string, accepted boolean")
+
+
+def gold_files(spark, sf_dir):
+    """Daily sales as they lie in their files, by day."""
+    path = scratch(spark, "daily")
+    pipeline.write_daily(fixtures.orders(spark, sf_dir), path)
+    return files.table(spark, path).drop("goldProcessedAt")
+
+
+def gold_summary_file(spark, sf_dir):
+    path = scratch(spark, "summary")
+    pipeline.write_summary(fixtures.orders(spark, sf_dir), path)
+    df = files.table(spark, path)
+    return df.drop("goldProcessedAt").withColumn("files", F.lit(len(df.inputFiles())))
+
+
+def pipeline_stages(spark, sf_dir):
+    """The stages over clean orders, and over the same orders with one of them twice."""
+    settings, rows = Settings(root=scratch(spark, "pipeline")), []
+    orders = fixtures.orders(spark, sf_dir).withColumn("silverProcessedAt", F.current_timestamp())
+    orders.hint("rebalance").write.parquet(settings.trusted)
+    stages = pipeline.run(spark, settings)
+    rows += [("clean", s.name, s.status, s.evidence.get("totalRows") or s.evidence.get("days") or s.evidence.get("summary")) for s in stages]
+    files.table(spark, settings.trusted).orderBy("eventId").limit(1).write.mode("append").parquet(settings.trusted)
+    try:
+        pipeline.run(spark, settings)
+    except pipeline.PipelineFailed as e:
+        rows += [("twice", s.name, s.status, None) for s in e.stages]
+    return spark.createDataFrame(rows, "input string, stage string, status string, evidence long")
+
+
+def published(spark, sf_dir):
+    """Counts of a publication, and the singleton that readers get."""
+    path = scratch(spark, "serving")
     orders = fixtures.orders(spark, sf_dir)
-    return orders.agg(F.count("*").alias("trusted_rows")).crossJoin(metrics.by(orders, (), (metrics.ORDERS,)).withColumnRenamed("totalOrders", "summary_orders")).selectExpr("*", "trusted_rows = summary_orders AS reconciled")
+    done = serving.publish_files(serving.summary_model(metrics.summary(orders)), serving.daily_model(metrics.daily(orders)), path)
+    row = serving.Store(spark, path).summary()
+    return spark.createDataFrame([(row["id"], row["total_orders"], row["total_revenue"], done.summary_rows, done.daily_rows)], "id int, total_orders long, total_revenue decimal(19,2), summary_rows long, daily_rows long")
+
+
+def page_checks(spark, sf_dir):
+    """Which pages are refused: dates the wrong way round, limits out of bounds."""
+    model, day, rows = _daily_model(spark, sf_dir).limit(0), dt.date(1997, 1, 1), []
+    cases = {"default": {}, "one": {"limit": 1}, "most": {"limit": 1000}, "none": {"limit": 0}, "more": {"limit": 1001}, "same day": {"start": day, "end": day}, "backwards": {"start": day, "end": day - dt.timedelta(1)}}
+    for name, case in cases.items():
+        try:
+            serving.daily_sales(model, **case)
+            rows.append((name, True))
+        except ValueError:
+            rows.append((name, False))
+    return spark.createDataFrame(rows, "page string, accepted boolean")
 
 
 def serving_summary(spark, sf_dir):
@@ -193,13 +284,33 @@ def outbox_settled(spark, sf_dir):
     return delivery.settle(box, results).groupBy("status", "attempts", F.length("lastError").alias("error_chars"), F.col("publishedAt").isNotNull().alias("stamped")).agg(F.count("*").alias("n"))
 
 
+def outbox_published(spark, sf_dir):
+    """One round over the oldest 50 of all orders, of which one can't be sent, then one more."""
+    settings = Settings(root=scratch(spark, "outbox"), source_format="parquet")
+    orders = fixtures.read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("eventId"), F.col("o_orderdate").cast("timestamp").alias("createdAt"), F.lit("{}").alias("payload"))
+    box = outbox.Outbox(spark, settings.at("outbox"))
+    box.add(delivery.outbox_entries(orders))
+    bad = delivery.next_batch(box.read(), 1).first()["id"]
+
+    def sender(batch, settings):
+        if not batch.where(F.col("id") == bad).isEmpty():
+            raise OSError("refused")
+        outbox.send(batch.coalesce(1), settings)
+
+    for _ in range(2):
+        outbox.publish_step(spark, box, settings, sender)
+    sent = spark.read.schema(contracts.MESSAGE).parquet(settings.at("topic", settings.topic)).select(F.col("key").cast("string").alias("id"), F.lit(1).alias("sent"))
+    return box.read().join(sent, "id", "left").groupBy("status", "attempts", F.coalesce("sent", F.lit(0)).alias("sent")).agg(F.count("*").alias("n"))
+
+
 def dead_letters(spark, sf_dir):
     rows = events.decode(_raw(spark, sf_dir), keep=tuple(F.col(c) for c in ("kafkaKey", "kafkaPartition", "payload")))
     return delivery.dead_letters(rows, fixtures.TOPIC).select("topic", "partition", "key", "value", F.array_join("reasons", ",").alias("reasons"))
 
 
 def order_lookup(spark, sf_dir):
-    found = delivery.find(fixtures.orders(spark, sf_dir).orderBy("eventId"), fixtures.orders(spark, sf_dir).agg(F.min("eventId")).first()[0])
+    first = fixtures.read(spark, sf_dir, "lineitem").agg(F.min(F.concat_ws("-", "l_orderkey", "l_linenumber"))).first()[0]
+    found = delivery.find(fixtures.orders(spark, sf_dir), first)
     return spark.createDataFrame([(found["eventId"], found["quantity"], found["channel"])], "eventId string, quantity int, channel string")
 
 
@@ -232,7 +343,20 @@ def stream_minute(spark, sf_dir):
 def stream_consumer(spark, sf_dir):
     settings = _topic(spark, sf_dir).but(files_per_trigger=1)
     layers.consumer(spark, settings, available_now=True).awaitTermination()
-    return spark.read.parquet(settings.at("projection")).select("eventId", "quantity", "unitPrice", "channel")
+    return layers.projection(spark, settings).select("eventId", "quantity", "unitPrice", "channel")
+
+
+def stream_late(spark, sf_dir):
+    """Trusted orders of four batches: on time, an hour later, late by then, and copies of what came before."""
+    settings = Settings(root=scratch(spark, "late"), source_format="parquet", wait_seconds=5.0, files_per_trigger=1)
+    base, kind = 1_790_894_400, "value string, offset long"
+    for n, batch in enumerate(((("a", 0), ("a", 0)), (("b", 3600),), (("late", 60), ("c", 3700)), (("a", 3650), ("c", 3700), ("d", 3800)))):
+        rows = [(f'{{"eventId":"{i}","occurredAt":{base + s},"customerId":"c","productId":"p","quantity":1,"unitPrice":2.5,"channel":"web","location":"x"}}', 100 * n + k) for k, (i, s) in enumerate(batch)]
+        df = spark.createDataFrame(rows, kind).select(F.lit("k").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), F.lit("t").alias("topic"), F.lit(0).alias("partition"), "offset", F.timestamp_seconds(F.lit(base)).alias("timestamp"))
+        df.coalesce(1).write.mode("append").parquet(settings.at("topic", settings.topic))
+        layers.raw_layer(spark, settings, available_now=True).awaitTermination()
+        layers.trusted_layer(spark, settings, available_now=True).awaitTermination()
+    return spark.read.parquet(settings.trusted).select("eventId", F.unix_seconds("occurredAt").alias("seconds"))
 
 
 def queries() -> dict:
@@ -240,6 +364,7 @@ def queries() -> dict:
         gold_daily, gold_summary, bronze_envelope, json_decode, json_props, silver_valid, silver_normalised, silver_reject_reasons, silver_dedup, order_dedup, minute_metrics,
         quality_metrics, duplicate_rows, quality_failures, reconcile, serving_summary, serving_daily, daily_filtered, daily_location, segment_share, schema_align, snapshot_history,
         as_of, overwrite, idempotent_accept, consume_once, outbox_pending, outbox_settled, dead_letters, order_lookup, request_reasons, stream_silver, stream_minute, stream_consumer,
+        reconcile_decisions, gate_decisions, empty_guard, gold_files, gold_summary_file, pipeline_stages, published, page_checks, outbox_published, stream_late,
     )
     return {f"q_{f.__name__}": f for f in own}
 
@@ -275,7 +400,17 @@ def oracle_sql() -> dict[str, str]:
         "quality_metrics": f"{m} SELECT count(*) AS totalRows, count(*) FILTER (fault = 'malformed') AS nullEventId, count(*) FILTER (cust IS NULL OR fault = 'malformed') AS nullCustomerId, count(*) FILTER (prod IS NULL OR fault = 'malformed') AS nullProductId, count(*) FILTER (fault = 'zero') AS invalidQuantity, count(*) FILTER (fault = 'negative') AS invalidUnitPrice, count(*) FILTER (fault = 'malformed') AS nullQuantity, count(*) FILTER (fault = 'malformed') AS nullUnitPrice, count(*) FILTER (copy = 1) AS duplicateRows FROM m",
         "duplicate_rows": f"WITH {lines} SELECT eventId, count(*) AS copies FROM o GROUP BY 1 HAVING count(*) > 1",
         "quality_failures": f"{m} SELECT * FROM (SELECT 'nullEventId' AS metric, count(*) FILTER (fault = 'malformed') AS value FROM m UNION ALL SELECT 'nullCustomerId' AS metric, count(*) FILTER (cust IS NULL OR fault = 'malformed') AS value FROM m UNION ALL SELECT 'nullProductId', count(*) FILTER (prod IS NULL OR fault = 'malformed') FROM m UNION ALL SELECT 'invalidQuantity', count(*) FILTER (fault = 'zero') FROM m UNION ALL SELECT 'invalidUnitPrice', count(*) FILTER (fault = 'negative') FROM m UNION ALL SELECT 'duplicateRows', count(*) FILTER (copy = 1) FROM m) WHERE value > 0",
-        "reconcile": f"{o} SELECT count(*) AS trusted_rows, count(DISTINCT eventId) AS summary_orders, count(*) = count(DISTINCT eventId) AS reconciled FROM o",
+        "reconcile": f"{o} SELECT count(*) AS trusted_rows, count(*) AS table_rows, count(DISTINCT eventId) AS summary_orders FROM o",
+        "reconcile_decisions": "SELECT * FROM (VALUES ('equal', true), ('table', false), ('summary', false)) t(differs, passed)",
+        "gate_decisions": f"{m}, {ORDERS_SQL.strip()} SELECT 'orders' AS source, 'totalRows' AS metric, count(*) AS value FROM o UNION ALL SELECT 'messages', 'nullEventId', count(*) FILTER (fault = 'malformed') FROM m UNION ALL SELECT 'messages', 'nullCustomerId', count(*) FILTER (cust IS NULL OR fault = 'malformed') FROM m UNION ALL SELECT 'messages', 'nullProductId', count(*) FILTER (prod IS NULL OR fault = 'malformed') FROM m UNION ALL SELECT 'messages', 'invalidQuantity', count(*) FILTER (fault = 'zero') FROM m UNION ALL SELECT 'messages', 'invalidUnitPrice', count(*) FILTER (fault = 'negative') FROM m UNION ALL SELECT 'messages', 'duplicateRows', count(*) FILTER (copy = 1) FROM m",
+        "empty_guard": "SELECT 'all' AS input, count(*) > 0 AS accepted FROM orders UNION ALL SELECT 'none', count(*) > 0 FROM orders WHERE o_orderkey < 0",
+        "gold_files": f"{o}, {_DAILY} SELECT * FROM g",
+        "gold_summary_file": f"{o} SELECT {_SALES}, count(DISTINCT customerId) AS uniqueCustomers, count(DISTINCT productId) AS uniqueProducts, 1 AS files FROM o",
+        "pipeline_stages": f"{o} SELECT 'clean' AS input, s AS stage, 'done' AS status, CASE s WHEN 'aggregates' THEN (SELECT count(DISTINCT eventDate) FROM o) WHEN 'publication' THEN 1 WHEN 'table' THEN NULL ELSE (SELECT count(*) FROM o) END AS evidence FROM (VALUES ('quality'), ('aggregates'), ('table'), ('reconciliation'), ('publication')) v(s) UNION ALL SELECT 'twice', s, CASE s WHEN 'quality' THEN 'failed' ELSE 'skipped' END, NULL FROM (VALUES ('quality'), ('aggregates'), ('table'), ('reconciliation'), ('publication')) v(s)",
+        "published": f"{o}, {_DAILY} SELECT 1 AS id, count(DISTINCT eventId) AS total_orders, CAST(sum(revenue) AS DECIMAL(19,2)) AS total_revenue, CAST(1 AS BIGINT) AS summary_rows, (SELECT count(*) FROM g) AS daily_rows FROM o",
+        "page_checks": "SELECT * FROM (VALUES ('default', true), ('one', true), ('most', true), ('none', false), ('more', false), ('same day', true), ('backwards', false)) t(page, accepted)",
+        "outbox_published": "SELECT 'PUBLISHED' AS status, 0 AS attempts, 1 AS sent, CAST(98 AS BIGINT) AS n UNION ALL SELECT 'PENDING', 2, 0, 1 UNION ALL SELECT 'PENDING', 0, 0, count(*) - 99 FROM orders",
+        "stream_late": "SELECT * FROM (VALUES ('a', CAST(1790894400 AS BIGINT)), ('b', 1790898000), ('c', 1790898100), ('d', 1790898200)) t(eventId, seconds)",
         "serving_summary": f"{o} SELECT CAST(1 AS SMALLINT) AS id, totalOrders AS total_orders, totalItems AS total_items, totalRevenue AS total_revenue, averageOrderValue AS average_order_value, uc AS unique_customers, up AS unique_products FROM (SELECT {_SALES}, count(DISTINCT customerId) AS uc, count(DISTINCT productId) AS up FROM o)",
         "serving_daily": f"{o}, {_DAILY} {_SERVED}",
         "daily_filtered": f"{o}, {_DAILY} {_SERVED} WHERE eventDate BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' AND channel = 'BUILDING' ORDER BY eventDate DESC, channel, location LIMIT 50",

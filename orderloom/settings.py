@@ -32,7 +32,9 @@ class Settings:
     table: str = "orders"
     # delivery
     outbox_batch: int = 50
+    send_seconds: float = 5.0
     consumer_retries: int = 2
+    consumer_pause: float = 1.0
     error_chars: int = 2000
     # serving
     jdbc_url: str | None = None

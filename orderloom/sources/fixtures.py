@@ -21,8 +21,12 @@ FAULTS = ((11, "malformed"), (13, "no_customer"), (17, "zero"), (19, "negative")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, or in a temporary folder where that is unset (local runs)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/orderloom-{os.getuid()}"
+    """A new folder below spark.checkpoint.dir; in a temporary folder only where that is unset and the master is local."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}/orderloom-{os.getuid()}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

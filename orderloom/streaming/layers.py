@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import events, metrics, rules
-from ..operators.delivery import dead_letters, projections
+from ..operators.delivery import PROCESSED, PROJECTED, as_dead, consumed, dead_letters, retried
 from ..settings import Settings
 from ..sources.files import file_system, messages, raw_stream, wait_for
 
@@ -42,7 +46,7 @@ KEYS = ("window_start", "window_end", "channel")
 
 def upsert(batch: DataFrame, batch_id: int, path: str) -> None:
     """Keeps each window's latest totals. Batches write their own folder, so a repeated batch replaces itself."""
-    batch.withColumn("batch", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
+    batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id:012d}")
 
 
 def live_totals(spark: SparkSession, path: str) -> DataFrame:
@@ -54,16 +58,24 @@ def live_totals(spark: SparkSession, path: str) -> DataFrame:
 
 
 def compact_live(spark: SparkSession, path: str) -> None:
-    """Folds the micro-batches' folders into the last one; for when the query is stopped."""
+    """Folds the micro-batches' folders into one; for when the query is stopped.
+
+    The folded totals get the last batch's number, negative, which readers rank below any batch. They appear
+    whole before anything is deleted, older folds go first, and a repeated call ends what one that crashed began.
+    """
     fs, root = file_system(spark, path)
-    folders = sorted(f.getPath().getName() for f in fs.listStatus(root) if f.getPath().getName().startswith("batch="))
-    if len(folders) < 2:
+    numbers = sorted(int(x.partition("=")[2]) for f in fs.listStatus(root) if (x := f.getPath().getName()).startswith("batch="))
+    batches, folds = [n for n in numbers if n >= 0], [n for n in numbers if n < 0]
+    if not batches:
         return
-    last = int(folders[-1].partition("=")[2])
-    live_totals(spark, path).withColumn("batch", F.lit(last).cast("long")).write.mode("overwrite").parquet(f"{path}/_compact")
-    for name in folders:
-        fs.delete(file_system(spark, f"{path}/{name}")[1], True)
-    fs.rename(file_system(spark, f"{path}/_compact")[1], file_system(spark, f"{path}/{folders[-1]}")[1])
+    name = lambda n: f"batch={n:012d}" if n >= 0 else f"batch=-{-n:012d}"
+    fold = -batches[-1] - 1
+    if fold not in folds:
+        staged = f"{path}/_compact-{uuid.uuid4().hex}"
+        live_totals(spark, path).write.parquet(staged)
+        fs.rename(file_system(spark, staged)[1], file_system(spark, f"{path}/{name(fold)}")[1])
+    for n in [x for x in folds if x != fold] + batches:
+        fs.delete(file_system(spark, f"{path}/{name(n)}")[1], True)
 
 
 def live_metrics(spark: SparkSession, settings: Settings, available_now: bool = False, console: bool = False) -> StreamingQuery:
@@ -79,14 +91,35 @@ def _received(spark: SparkSession, settings: Settings) -> DataFrame:
     return events.decode(events.envelope(messages(spark, settings)), keep=keep)
 
 
-def consumer(spark: SparkSession, settings: Settings, available_now: bool = False) -> StreamingQuery:
+def _consumed(df: DataFrame, batch_id: int, settings: Settings) -> None:
+    """Projection and processed ids by one write, which replaces that of a repeated batch."""
+    consumed(df).write.mode("overwrite").parquet(f"{settings.at('consumed')}/batch={batch_id}")
+
+
+def projection(spark: SparkSession, settings: Settings) -> DataFrame:
+    return spark.read.parquet(settings.at("consumed")).select(*PROJECTED)
+
+
+def processed(spark: SparkSession, settings: Settings) -> DataFrame:
+    return spark.read.parquet(settings.at("consumed")).select(*PROCESSED)
+
+
+def consumer(spark: SparkSession, settings: Settings, available_now: bool = False, save: Callable[[DataFrame, int, Settings], None] = _consumed) -> StreamingQuery:
     """Projects each event once. The ids that were consumed are the query's state (on disk), so a batch
-    costs what it holds and not what came before; its folders are overwritten if it is repeated."""
+    costs what it holds and not what came before.
+
+    A batch that can't be saved is tried again after a pause, twice; then its records go under the dead-letter
+    topic with the error as their reason. If that fails, too, the query fails.
+    """
     fresh = rules.valid(_received(spark, settings), rules.PROJECTION).dropDuplicates(["eventId"])
 
     def step(df: DataFrame, batch_id: int) -> None:
-        for rows, place in zip(projections(df), ("projection", "processed")):
-            rows.write.mode("overwrite").parquet(f"{settings.at(place)}/batch={batch_id}")
+        try:
+            retried(lambda: save(df, batch_id, settings), settings.consumer_retries, settings.consumer_pause)
+        except Exception as e:  # noqa: BLE001  kept with the records
+            reason = f"{type(e).__name__}: {e}"[: settings.error_chars]
+            dead = as_dead(df.withColumn("reasons", F.array(F.lit(reason))), settings.topic)
+            dead.write.mode("overwrite").json(f"{settings.at('dead', f'{settings.topic}.DLT')}/batch={batch_id}")
 
     return _started(fresh.writeStream.foreachBatch(step), "consumer", settings.checkpoint("consumer"), available_now).start()
 
@@ -98,8 +131,16 @@ def dead_letter_queue(spark: SparkSession, settings: Settings, available_now: bo
     return _started(writer, "dead_letter_queue", settings.checkpoint("dead_letters"), available_now).start()
 
 
-def run_all(spark: SparkSession, settings: Settings) -> None:
-    """The raw layer and the live metrics side by side; returns or raises when either ends."""
-    raw_layer(spark, settings)
-    live_metrics(spark, settings)
-    spark.streams.awaitAnyTermination()
+def run_all(spark: SparkSession, settings: Settings, poll: float = 1.0) -> None:
+    """The raw layer and the live metrics side by side; when either ends or fails, the other is stopped,
+    and a failure is raised."""
+    both = [raw_layer(spark, settings), live_metrics(spark, settings)]
+    try:
+        while all(q.isActive for q in both):
+            time.sleep(poll)
+    finally:
+        for q in both:
+            q.stop()
+    for q in both:
+        if q.exception() is not None:
+            raise q.exception()

@@ -15,6 +15,7 @@ from orderloom.operators import delivery, events, metrics, quality, rules
 from orderloom.plans import outbox, pipeline, serving
 from orderloom.settings import Settings
 from orderloom.sources.files import wait_for
+from orderloom.sources import versions
 from orderloom.sources.versions import Conflict, VersionedTable
 
 EVENT = {
@@ -126,15 +127,78 @@ def test_versions(spark, tmp_path):
     _, shaped = t.overwrite(df.union(df.limit(1)).withColumn("x", F.lit(1)))
     assert shaped.dropped == ("x",) and t.compare() == {"previous": 4, "current": 5}
     assert t.as_of(first.snapshot_id).count() == 4
+    seen = t.current()
+    t.append(df.limit(1))
+    with pytest.raises(Conflict):  # made from a snapshot that isn't the current one any more
+        t.overwrite(df, expected=seen)
+    assert t.read().count() == 6 and len(t.current().folders) == 2
+    t.overwrite(t.read().limit(5), expected=t.current())
     t.add_columns(note="string")
     assert t.read().columns == ["id", "occurredAt", "note"] and t.read().where("note is null").count() == 5
-    assert [r.operation for r in t.history().collect()] == ["create", "overwrite", "add columns"]
+    assert [r.operation for r in t.history().collect()] == ["create", "overwrite", "append", "overwrite", "add columns"]
     with pytest.raises(Conflict):
-        t._commit("late", "x", df.schema, first)
+        t._commit("late", ["x"], df.schema, first)
+    t.append(df.limit(2).withColumn("note", F.lit("n")))
+    assert t.read().where("note is null").count() == 5 and t.read().count() == 7
+    before = sorted(map(str, t.read().collect()))
+    t.compact()
+    assert len(t.current().folders) == 1 and sorted(map(str, t.read().collect())) == before
+    assert t.expire(keep=2) == 5 and len(t.history().collect()) == 2 and sorted(map(str, t.read().collect())) == before and t.compare() == {"previous": 7, "current": 7}
+    assert len(list((tmp_path / "t" / "data").iterdir())) == len({f for s in t._entries() for f in s.folders})
     with pytest.raises(LookupError):
         t.as_of(1)
 
 
+def test_appends_meet(spark, tmp_path):
+    t = VersionedTable(spark, f"file://{tmp_path}/meet", day_of=None)
+    t.create(spark.range(2).toDF("id"))
+    write, own = t._write, []
+
+    def slow(df):  # another writer commits while this one writes
+        path = write(df)
+        if not own:
+            own.append(1)
+            VersionedTable(spark, t.path, day_of=None).append(spark.range(10, 13).toDF("id"))
+        return path
+
+    t._write = slow
+    t.append(spark.range(5, 6).toDF("id"))
+    assert sorted(r.id for r in t.read().collect()) == [0, 1, 5, 10, 11, 12]
+
+
+def test_a_day_is_split(spark, tmp_path):
+    t = VersionedTable(spark, f"file://{tmp_path}/day")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"  # joins what is small, as this is
+    spark.conf.set(key, "false")
+    try:
+        t.create(spark.range(20000).withColumn("occurredAt", F.lit(dt.datetime(2026, 1, 1))))
+    finally:
+        spark.conf.unset(key)
+    sizes = [r["n"] for r in t.read().groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 1 and max(sizes) < 15000
+
+
+def test_catalog_tables(spark, monkeypatch):
+    from unittest import mock
+
+    assert Settings(root="x", catalog="c", namespace="n", table="t").table_name == "c.n.t"
+    spark.range(1).write.mode("overwrite").saveAsTable("known_here")
+    assert versions.table_exists(spark, "spark_catalog.default", "known_here") and not versions.table_exists(spark, "default", "unknown")
+    fake = mock.MagicMock()
+    versions.catalog_as_of(fake, "c.n.t", 7)
+    fake.sql.assert_called_once_with("SELECT * FROM c.n.t VERSION AS OF 7")
+    versions.catalog_history(fake, "c.n.t")
+    fake.table.assert_called_with("c.n.t.snapshots")
+    for known in (False, True):
+        df = mock.MagicMock()
+        monkeypatch.setattr(versions, "table_exists", lambda *a, known=known: known)
+        monkeypatch.setattr(versions, "align", lambda d, schema: mock.MagicMock(df=d))
+        versions.register(df, "c", "n", "t")
+        df.sparkSession.sql.assert_called_with("CREATE NAMESPACE IF NOT EXISTS `c`.`n`")
+        df.writeTo.assert_called_once_with("`c`.`n`.`t`")
+        assert df.writeTo().overwrite.called == known and df.writeTo().tableProperty().partitionedBy().create.called != known
+
+
 def models(spark):
     day = dt.date(2026, 10, 2)
     df = orders(spark, [("1", "a", "x", 2, D(100), D(200), "WEB", "SP", day), ("2", "b", "y", 1, D(50), D(50), "MOBILE", "RJ", day - dt.timedelta(1))])
@@ -171,6 +235,12 @@ def test_publish_jdbc(spark, tmp_path):
     url = f"jdbc:derby:{tmp_path}/db;create=true"
     for _ in range(2):
         serving.publish_jdbc(*models(spark), url, "sales_summary", "sales_daily", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    summary, daily = models(spark)
+    for bad in (daily.limit(0), daily.withColumn("channel", F.lit("x" * 51))):  # refused or failed, the old rows stay
+        with pytest.raises(Exception):  # noqa: B017
+            serving.publish_jdbc(summary.withColumn("total_orders", F.lit(9).cast("long")), bad, url, "sales_summary", "sales_daily", driver)
+    assert spark.read.jdbc(url, "sales_summary", properties=driver).first()["total_orders"] == 2
     back = spark.read.jdbc(url, "sales_daily", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
     assert back.count() == 2 and back.where("channel = 'WEB'").count() == 1
 
@@ -182,6 +252,9 @@ def test_replays(spark):
     now = spark.createDataFrame([("a", "e1", t, 1), ("b", "e2", t, 5), ("b", "e3", t, 6)], kind)
     got = {r.eventId: (r.answeredId, r.replayed, r.payloadConflict) for r in delivery.accept(now, known).collect()}
     assert got == {"e1": ("e0", True, False), "e2": ("e2", False, False), "e3": ("e2", True, True)}
+    odd = spark.createDataFrame([(None, "n1", t, 1), (None, "n1", t, 1), (None, "n2", t, 2), ("c", "e4", t, 1), ("c", "e4", t, None)], kind)
+    rows = sorted((r.idempotencyKey or "", r.eventId, r.answeredId, r.replayed, r.payloadConflict) for r in delivery.accept(odd, known).collect())
+    assert [x[:4] for x in rows] == [("", "n1", "n1", False), ("", "n1", "n1", False), ("", "n2", "n2", False), ("c", "e4", "e4", False), ("c", "e4", "e4", True)] and rows[-1][4]
     box = delivery.outbox_entries(delivery.accepted(delivery.accept(now, known)).withColumn("payload", F.lit("{}")))
     assert [r.id for r in delivery.next_batch(box).collect()] == ["e2"]
     failed = delivery.settle(box, spark.createDataFrame([("e2", "x" * 5000)], "id string, error string"))
@@ -194,8 +267,9 @@ def test_replays(spark):
 def test_outbox_is_published_in_order_and_keeps_failures(spark, tmp_path):
     t = dt.datetime(2026, 1, 1)
     rows = [(f"e{i}", t + dt.timedelta(seconds=-i), "{}") for i in range(5)]
-    store = VersionedTable(spark, f"file://{tmp_path}/outbox", day_of=None)
-    store.create(delivery.outbox_entries(spark.createDataFrame(rows, "eventId string, createdAt timestamp, payload string")))
+    store = outbox.Outbox(spark, f"file://{tmp_path}/outbox")
+    entries = lambda rows: delivery.outbox_entries(spark.createDataFrame(rows, "eventId string, createdAt timestamp, payload string"))
+    store.add(entries(rows))
     settings = Settings(root=f"file://{tmp_path}", source_format="json", outbox_batch=3)
     calls = []
 
@@ -204,14 +278,26 @@ def test_outbox_is_published_in_order_and_keeps_failures(spark, tmp_path):
         raise OSError("down" * 1000)
 
     assert outbox.publish_step(spark, store, settings, broken) == {"sent": 0, "failed": 3}
-    assert calls == [["e4", "e3", "e2"]] * 3  # the first try and two more
+    assert calls[0] == ["e4", "e3", "e2"] and calls.count(["e4"]) == 3  # the first try and two more
     state = {r.id: (r.status, r.attempts, len(r.lastError or "")) for r in store.read().collect()}
     assert state["e4"] == ("PENDING", 1, 2000) and state["e0"] == ("PENDING", 0, 0)
+
+    def one_bad(batch, settings):  # and an entry that comes while the batch is sent
+        if not store.read().where("id = 'new'").count():
+            store.add(entries([("new", t + dt.timedelta(days=1), "{}")]))
+        if batch.where("id = 'e3'").count():
+            raise OSError("no")
+        outbox.send(batch, settings)
+
+    assert outbox.publish_step(spark, store, settings, one_bad) == {"sent": 2, "failed": 1}
+    state = {r.id: (r.status, r.attempts, r.lastError) for r in store.read().collect()}
+    assert state["new"][0] == "PENDING" and state["e3"] == ("PENDING", 2, "OSError: no") and state["e4"] == ("PUBLISHED", 1, None)
     assert outbox.publish_step(spark, store, settings) == {"sent": 3, "failed": 0}
-    assert outbox.publish_step(spark, store, settings) == {"sent": 2, "failed": 0}
+    store.compact()
+    assert outbox.publish_step(spark, store, settings) == {"sent": 1, "failed": 0}
     assert outbox.publish_step(spark, store, settings) == {"sent": 0, "failed": 0}
     sent = spark.read.schema(contracts.MESSAGE).json(settings.at("topic", settings.topic))
-    assert sent.count() == 5 and {r.status for r in store.read().collect()} == {"PUBLISHED"}
+    assert sent.count() == 6 and {r.status for r in store.read().collect()} == {"PUBLISHED"} and all(r.publishedAt for r in store.read().collect())
 
 
 def test_final_errors_are_not_retried():
@@ -222,13 +308,13 @@ def test_final_errors_are_not_retried():
         raise ValueError
 
     with pytest.raises(ValueError):
-        outbox.retried(run, 2, 0)
+        delivery.retried(run, 2, 0)
     assert len(calls) == 1
 
 
 def test_requests(spark):
     kind = "idempotencyKey string, customerId string, productId string, quantity int, unitPrice decimal(19,2), channel string, location string"
-    df = spark.createDataFrame([("k", "c", "p", 1, D("0.01"), "WEB", "SP"), ("", "c" * 81, None, 0, D("0.00"), "w" * 31, " ")], kind)
+    df = spark.createDataFrame([("k", "c", "p", 1, D("0.01"), "WEB", "SP"), ("", "c" * 81, None, 0, D("0.00"), "w" * 31, " \t\n")], kind)
     good, bad = (r.reasons for r in rules.with_reasons(df, rules.REQUEST).collect())
     assert good == [] and bad == ["idempotencyKey_blank", "customerId_long", "productId_blank", "quantity_below_1", "unitPrice_below_0.01", "channel_long", "location_blank"]
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import shutil
+import threading
 
 import pytest
 
@@ -55,7 +57,7 @@ def test_late_rows_and_copies(spark, settings, bounded):
     assert trusted(spark, settings) == (["a", "a", "b", "c"] if bounded else ["a", "b", "c"])
 
 
-def test_live_totals_are_upserted(spark, settings):
+def test_live_totals_are_upserted(spark, settings, tmp_path):
     path = settings.at("live")
     for n, (second, want) in enumerate([(5, 1), (50, 2), (60, 2)]):
         feed(spark, settings, n, (f"e{n}", second, {}))
@@ -68,8 +70,20 @@ def test_live_totals_are_upserted(spark, settings):
     layers.upsert(spark.createDataFrame(again.collect(), again.schema), 0, path)
     before = sorted(map(tuple, layers.live_totals(spark, path).collect()))
     assert {r[3] for r in before} == {1, 2}
+    folders = lambda: sorted(x.name for x in (tmp_path / "live").iterdir() if x.name.startswith("batch="))
+    old = {x: shutil.copytree(tmp_path / "live" / x, tmp_path / x) for x in folders()}
     layers.compact_live(spark, path)
+    assert sorted(map(tuple, layers.live_totals(spark, path).collect())) == before and len(folders()) == 1
+    for x in old:  # as a crash before the deletions leaves it
+        shutil.copytree(old[x], tmp_path / "live" / x)
     assert sorted(map(tuple, layers.live_totals(spark, path).collect())) == before
+    layers.compact_live(spark, path)
+    feed(spark, settings, 7, ("e7", 62, {}))
+    layers.live_metrics(spark, settings, available_now=True).awaitTermination()
+    assert {r.window_start.timestamp() - BASE: r.orders for r in layers.live_totals(spark, path).collect()} == {0: 2, 60: 2}
+    layers.compact_live(spark, path)
+    layers.compact_live(spark, path)
+    assert len(folders()) == 1 and {r.orders for r in layers.live_totals(spark, path).collect()} == {2}
 
 
 def test_consumer_takes_each_event_once(spark, settings):
@@ -77,7 +91,8 @@ def test_consumer_takes_each_event_once(spark, settings):
     layers.consumer(spark, settings, available_now=True).awaitTermination()
     feed(spark, settings, 1, ("a", 2, {}), ("b", 0, {}))
     layers.consumer(spark, settings, available_now=True).awaitTermination()
-    assert sorted(r.eventId for r in spark.read.parquet(settings.at("projection")).collect()) == ["a", "b"]
+    assert sorted(r.eventId for r in layers.projection(spark, settings).collect()) == ["a", "b"]
+    assert sorted(map(tuple, layers.processed(spark, settings).select("eventId", "eventType").collect())) == [("a", "ORDER_CREATED"), ("b", "ORDER_CREATED")]
     layers.dead_letter_queue(spark, settings, available_now=True).awaitTermination()
     dead = spark.read.json(settings.at("topic", f"{settings.topic}.DLT")).collect()
     assert [(r.topic, r.reasons) for r in dead] == [(f"{settings.topic}.DLT", ["quantity_not_positive"])]
@@ -86,3 +101,52 @@ def test_consumer_takes_each_event_once(spark, settings):
 def test_trusted_layer_waits_for_raw(spark, settings):
     with pytest.raises(TimeoutError):
         layers.trusted_layer(spark, settings.but(wait_seconds=0.2))
+
+
+def test_consumer_retries_then_dead_letters(spark, settings):
+    feed(spark, settings, 0, ("a", 0, {}))
+    calls = []
+
+    def save(df, batch_id, settings):
+        calls.append(batch_id)
+        raise OSError("no store")
+
+    settings = settings.but(consumer_pause=0.01)
+    layers.consumer(spark, settings, available_now=True, save=save).awaitTermination()
+    dead = spark.read.json(settings.at("dead", f"{settings.topic}.DLT")).collect()
+    assert calls == [0, 0, 0] and [(r.topic, r.reasons) for r in dead] == [(f"{settings.topic}.DLT", ["OSError: no store"])]
+    feed(spark, settings, 1, ("b", 0, {}))
+
+    def second(df, batch_id, settings):
+        calls.append(batch_id)
+        if len(calls) < 5:
+            raise OSError("once")
+        layers._consumed(df, batch_id, settings)
+
+    layers.consumer(spark, settings, available_now=True, save=second).awaitTermination()
+    assert [r.eventId for r in layers.projection(spark, settings).collect()] == ["b"]
+
+
+def test_both_queries_end_together(spark, settings):
+    feed(spark, settings, 0, ("a", 0, {}))
+    broken = settings.but(live_window="no window")
+    with pytest.raises(Exception):  # noqa: B017
+        layers.run_all(spark, broken, poll=0.1)
+    for q in spark.streams.active:
+        q.stop()
+    timer = threading.Timer(6, lambda: next(q for q in spark.streams.active if q.name == "live_metrics").stop())
+    timer.start()
+    layers.run_all(spark, settings, poll=0.1)
+    assert not spark.streams.active
+
+
+def test_scratch_needs_a_shared_folder(monkeypatch):
+    from unittest import mock
+
+    from orderloom.sources import fixtures
+
+    fake = mock.MagicMock()
+    fake.conf.get.return_value = None
+    fake.sparkContext.master = "spark://host:7077"
+    with pytest.raises(ValueError):
+        fixtures.scratch(fake, "x")
