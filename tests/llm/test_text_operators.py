@@ -285,6 +285,14 @@ def test_licenses(docs, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_licenses_of_awkward_rows(spark):
+    text = "under the MIT License " + "x " * 200_000 + "GPL-3.0 or later"
+    rows = [(1, text, 5), (1, text, 5), (None, "cc by nc", 5), (None, None, 5), (2, "", None)]
+    got = [tuple(r) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, norm int")).collect()]
+    assert sorted(str(x[1:]) for x in got) == sorted(str(licenses.brute(t)) for _, t, _ in rows)
+    assert sorted(x[0] or 0 for x in got) == [0, 0, 1, 1, 2]
+
+
 def test_license_rules(spark):
     table = licenses.rules()
     assert len(table) > 500 and len(set(licenses._SINGLE)) == len(licenses._SINGLE) > 250 and all(re.compile(licenses._bounded(r[4])) for r in table)
@@ -472,6 +480,13 @@ def test_no_language_is_left_out(spark):
     assert len(model.langs) == 1200 and all(language_id.best(t, model)[0] == x for _, x, t in rows[::97])
 
 
+def test_languages_of_repeated_and_long_rows(spark):
+    rows = [(1, "en", "the words of a text"), (1, "en", "the words of a text"), (2, "fr", "les mots d'un texte"), (None, "fr", "les mots"), (3, None, "the words " * 50_000), (3, None, "the words " * 50_000), (None, None, None)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, lang string, text string, _lang string")
+    got = [(r.doc_id, r._lang) for r in language_id.predict(df, language_id.learn(df), ["doc_id"]).collect()]
+    assert sorted(got, key=str) == sorted([(1, "en"), (1, "en"), (2, "fr"), (None, "fr"), (3, "en"), (3, "en"), (None, "und")], key=str)
+
+
 # --- toxicity
 
 
