@@ -49,8 +49,12 @@ def daily(trusted: DataFrame) -> DataFrame:
 
 
 def summary(trusted: DataFrame) -> DataFrame:
-    """One row over everything; the distinct counts share one scan (each row is expanded once a count,
-    and values are made distinct before and after the shuffle)."""
+    """One row over everything; the distinct counts share one scan.
+
+    Each row is expanded fourfold (one for the sums, one for each distinct count), but only within a task:
+    values are made distinct before the shuffle, which therefore carries at most one row for each task and
+    distinct id, customer and product, and again after it.
+    """
     return stamped(by(trusted, (), GLOBAL), "goldProcessedAt")
 
 

@@ -178,6 +178,30 @@ def test_a_day_is_split(spark, tmp_path):
     assert len(sizes) > 1 and max(sizes) < 15000
 
 
+def test_stamps(spark):
+    began = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None) - dt.timedelta(seconds=5)
+    e = raw(spark, EVENT)
+    out = events.trusted_orders(e)
+    end = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None) + dt.timedelta(seconds=5)
+    utc = lambda df, c: df.select(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")).first()[0]
+    messages = spark.createDataFrame([(b"k", b"{}", "t", 0, 1, began)], contracts.MESSAGE)
+    for df, c in ((out, "silverProcessedAt"), (events.envelope(messages), "ingestedAt"), (metrics.daily(out), "goldProcessedAt"), (metrics.summary(out), "goldProcessedAt")):
+        assert began <= dt.datetime.fromisoformat(utc(df, c)) <= end, c
+
+
+def test_catalog_settings():
+    from orderloom.session import CONF, catalog_conf, prepared
+
+    got = catalog_conf("lake", "s3a://w", "jdbc:postgresql://h/db", "u", "p")
+    assert got["spark.sql.catalog.lake.warehouse"] == "s3a://w" and got["spark.sql.catalog.lake.uri"].startswith("jdbc:") and got["spark.sql.catalog.lake.jdbc.user"] == "u"
+    assert "spark.sql.catalog.lake.jdbc.user" not in catalog_conf("lake", "w", "u")
+    from unittest import mock
+
+    fake = mock.MagicMock()
+    prepared(fake)
+    assert fake.conf.set.call_count == len(CONF)
+
+
 def test_catalog_tables(spark, monkeypatch):
     from unittest import mock
 
