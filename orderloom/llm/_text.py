@@ -178,10 +178,3 @@ def runs(flags: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     new[1:] = (at[1:] != at[:-1] + 1) | breaks[at[1:]]
     first = np.flatnonzero(new)
     return at[first], np.diff(np.append(first, len(at)))
-
-
-def hash_bytes(x: bytes) -> int:
-    """A stable 63-bit number of a byte string."""
-    import xxhash
-
-    return xxhash.xxh64_intdigest(x) >> 1
