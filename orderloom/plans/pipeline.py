@@ -54,7 +54,8 @@ def run_stages(stages: list[Stage]) -> list[Stage]:
 
 def write_daily(trusted: DataFrame, path: str) -> None:
     """Replaces all days; those without sales any more disappear."""
-    metrics.daily(trusted).hint("rebalance", "eventDate").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("eventDate").parquet(path)
+    days = metrics.daily(trusted).repartition(int(trusted.sparkSession.conf.get("spark.sql.shuffle.partitions")), "eventDate")  # a file a day, opened by all tasks
+    days.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("eventDate").parquet(path)
 
 
 def write_summary(trusted: DataFrame, path: str) -> None:

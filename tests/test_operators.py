@@ -244,7 +244,7 @@ def test_publish_files_and_read(spark, tmp_path):
         with pytest.raises(ValueError):
             store.daily(**bad)
     plan = store.daily(start=dt.date(2026, 10, 2))._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(event_date" in plan and "TakeOrderedAndProject" in plan
+    assert "PushedFilters: [IsNotNull(event_date), GreaterThanOrEqual(event_date" in plan and "TakeOrderedAndProject" in plan
 
 
 def test_unservable_rows(spark, tmp_path):
