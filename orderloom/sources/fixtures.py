@@ -34,24 +34,40 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One order event for each line; an id may occur more than once."""
-    line, order, customer, nation, part = (read(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "nation", "part"))
-    rows = (
-        line.join(order, line.l_orderkey == order.o_orderkey).join(customer, order.o_custkey == customer.c_custkey)
-        .join(nation, customer.c_nationkey == nation.n_nationkey).join(part, line.l_partkey == part.p_partkey)
-    )
-    rows = rows.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("eventId"), F.col("o_orderdate").cast("timestamp").alias("occurredAt"), F.col("o_custkey").cast("string").alias("customerId"),
-        F.col("l_partkey").cast("string").alias("productId"), F.col("l_quantity").cast("int").alias("quantity"), F.col("p_retailprice").cast(MONEY).alias("unitPrice"),
-        domain("c_mktsegment").alias("channel"), domain("n_name").alias("location"), *LINE_ORDER,
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with their part's price and their order's date: numbers only, for they are shuffled."""
+    line, order, part = (read(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
+    price = part.select("p_partkey", F.col("p_retailprice").cast(MONEY).alias("unitPrice"))
+    dated = order.select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("timestamp").alias("occurredAt"))
+    rows = line.join(price, line.l_partkey == price.p_partkey).join(dated, line.l_orderkey == dated.o_orderkey)
+    return rows.select("l_orderkey", "l_linenumber", "o_custkey", "occurredAt", "unitPrice", *LINE_ORDER)
+
+
+def _events(lines: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines as order events; domain values are formed on the small sides."""
+    customer, nation = (read(lines.sparkSession, sf_dir, t) for t in ("customer", "nation"))
+    buyer = customer.select("c_custkey", "c_nationkey", domain("c_mktsegment").alias("channel"))
+    place = nation.select("n_nationkey", domain("n_name").alias("location"))
+    rows = lines.join(buyer, lines.o_custkey == buyer.c_custkey).join(place, buyer.c_nationkey == place.n_nationkey).select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("eventId"), "occurredAt", F.col("o_custkey").cast("string").alias("customerId"),
+        F.col("l_partkey").cast("string").alias("productId"), F.col("l_quantity").cast("int").alias("quantity"), "unitPrice", "channel", "location", *LINE_ORDER,
     )
     return rows.withColumns({"revenue": amount("quantity", "unitPrice"), "eventDate": F.to_date("occurredAt")})
 
 
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One order event for each line; an id may occur more than once."""
+    return _events(_lines(spark, sf_dir), sf_dir)
+
+
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The trusted orders: the first line of each id."""
-    return first_of_each(order_lines(spark, sf_dir), "eventId", *LINE_ORDER).drop(*LINE_ORDER)
+    """The trusted orders: the first line of each id.
+
+    An id stands for (order, line number), and all lines of an order have one customer, so copies go before that
+    join; where the order's join shuffles by its key, the window needs no shuffle of its own.
+    """
+    first = first_of_each(_lines(spark, sf_dir), ["l_orderkey", "l_linenumber"], *LINE_ORDER)
+    return _events(first, sf_dir).drop(*LINE_ORDER)
 
 
 def _fault() -> str:
