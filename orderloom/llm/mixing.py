@@ -177,6 +177,8 @@ def split_quotas(quotas: DataFrame, levels: int = SHARD_LEVELS, fan: int = FAN)
     heights = max(1, -(-(deepest // 64).bit_length() // bits))
     summed = lambda q: F.aggregate(q, F.lit(0).cast("long"), lambda a, x: a + x["q"])
     part = F.struct("key", "q")
+    # one expression for all levels: putting it together takes the driver longer than a level's draws
+    left = _shares(F.col("parts"), F.col("draws"), F.col("level"), F.col("height"), F.col("node"))
     leaves = quotas.groupBy(F.floor(F.col("key") / (64 << bits)).alias("g")).agg(F.sort_array(F.collect_list(part)).alias("parts")).withColumn("node", F.lit(0).cast("long"))
     for level in range(levels):
         if heights > 1:
@@ -190,7 +192,7 @@ def split_quotas(quotas: DataFrame, levels: int = SHARD_LEVELS, fan: int = FAN)
             if height < heights - 1:
                 below = drawn.select("node", F.explode(F.arrays_zip("parts", "left")).alias("x")).select("node", F.col("x.parts.key").alias("g"), F.col("x.left").alias("draws"))
                 drawn = tier.join(below, ["node", "g"])
-            drawn = drawn.withColumn("left", _shares(F.col("parts"), F.col("draws"), F.lit(level), F.lit(height), F.col("node")))
+            drawn = drawn.withColumns({"level": F.lit(level), "height": F.lit(height)}).withColumn("left", left)
         give = lambda q: F.zip_with("parts", "left", lambda p, x: F.struct(p["key"].alias("key"), q(p["q"], x).alias("q")))
         halves = F.array(F.struct((2 * F.col("node")).alias("node"), give(lambda q, x: x).alias("parts")), F.struct((2 * F.col("node") + 1).alias("node"), give(lambda q, x: q - x).alias("parts")))
         leaves = drawn.select("g", F.explode(halves).alias("half")).select("g", "half.node", "half.parts")
