@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, html_text, jaccard_join, language_id, licenses, mixing, substring_dedup, toxicity, warc
+from . import decontaminate, fingerprints, html_text, jaccard_join, language_id, licenses, mixing, packing, phrases, sequenced, substring_dedup, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,12 +17,15 @@ def queries() -> dict:
         "op8_licenses": licenses.op8_licenses,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_html_text": html_text.op10_html_text,
+        "op11_changes": sequenced.op11_changes,
+        "op12_phrases": phrases.op12_phrases,
+        "op13_packing": packing.op13_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that SQL can express; tests hold the others to brute-force versions."""
-    return {"op1_warc": WARC_SQL, "op3_ngram_jaccard_join": JACCARD_SQL, "op4_substring_dedup": SUBSTRING_SQL, "op6_decontamination": DECONTAMINATION_SQL}
+    return {"op1_warc": WARC_SQL, "op3_ngram_jaccard_join": JACCARD_SQL, "op4_substring_dedup": SUBSTRING_SQL, "op6_decontamination": DECONTAMINATION_SQL, "op12_phrases": PHRASES_SQL}
 
 
 #: Digests to base32 in groups of 20 bits.
@@ -94,3 +97,21 @@ SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(len(w.words) - co
        sha256(coalesce(k.text, '')) AS kept_sha256
 FROM w LEFT JOIN kept k ON w.doc_id = k.doc_id
 """
+
+#: All n-grams within pieces, counted as lists of words; whole divisions of 128-bit numbers.
+PHRASES_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY 1),
+g AS (SELECT lang, s, array_to_string(w[i:i + s - 1], ' ') AS phrase FROM (SELECT lang, w, s, unnest(generate_series(1, len(w) - s + 1)) AS i FROM p, (VALUES (1), (2), (3), (4), (5)) v(s) WHERE len(w) >= s)),
+f AS (SELECT lang, s, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+c AS (
+  SELECT x.lang, x.s, x.phrase, x.f AS a, k, l.f AS l, r.f AS r, t.n AS n, CAST((CAST(1000 AS HUGEINT) * x.f * t.n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM f x, (VALUES (1), (2), (3), (4)) v(k), f l, f r, t
+  WHERE x.s > k AND l.lang = x.lang AND l.phrase = array_to_string(x.w[1:k], ' ') AND r.lang = x.lang AND r.phrase = array_to_string(x.w[k + 1:], ' ') AND t.lang = x.lang),
+b AS (SELECT * EXCLUDE (j) FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS j FROM c) WHERE j = 1),
+d AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM f y WHERE y.lang = b.lang AND y.s > b.s AND contains(' ' || y.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * y.f >= 100 * b.a)),
+o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM d)
+SELECT * FROM o WHERE rank <= 2000
+"""
