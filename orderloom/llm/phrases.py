@@ -38,8 +38,9 @@ TOP = 2000
 UNKNOWN = "und"
 #: 64-bit words of the bitmap of frequent pairs.
 BITS = 1 << 20
-#: Groups in which a language's top phrases are found first.
+#: Groups of a language's phrases, in which its total is met and its top phrases are found first; bytes of text a task works on at once.
 SALTS = 64
+CHUNK = 2 << 20
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9]] = True
 _STOP = np.zeros(256, bool)
@@ -81,7 +82,7 @@ class Words:
 
 
 def _chunks(batches):
-    for batch in _text.pieces(batches):
+    for batch in _text.pieces(batches, limit=CHUNK):
         words = Words(batch.column(0), batch.column(1))
         if len(words.hash):
             yield words
@@ -147,13 +148,14 @@ def _part(first: str, length: str):
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, ratio: int = RATIO, top: int = TOP) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first ``top`` phrases by score, count and phrase."""
     counts = phrase_counts(docs, longest, least)
-    total = counts.where("size = 0").select("lang", F.col("f").alias("n"))
+    salt = F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int")
+    total = counts.where("size = 0").select("lang", F.col("f").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     known = counts.where("size > 0")
     found = known.where("size > 1").select("lang", "size", "phrase", F.col("f").alias("a"), F.split("phrase", " ").alias("words"))
 
     cuts = found.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1))).select("lang", "phrase", "a", "k", _part("1", "k").alias("left"), _part("k + 1", "size - k").alias("right"))
     part = lambda name, count: known.select("lang", F.col("phrase").alias(name), F.col("f").alias(count))
-    joined = cuts.join(part("left", "l"), ["lang", "left"]).join(part("right", "r"), ["lang", "right"]).join(total, "lang")
+    joined = cuts.join(part("left", "l"), ["lang", "left"]).join(part("right", "r"), ["lang", "right"]).withColumn("_salt", salt).join(total, ["lang", "_salt"])
     exact = {c: F.col(c).cast("decimal(18,0)").alias(c) for c in "alrn"}
     scored = joined.select("lang", "phrase", "a", "k", "l", "r", "n", (F.lit(1000).cast("decimal(4,0)") * exact["a"] * exact["n"]).alias("up"), (exact["l"] * exact["r"]).alias("down")).withColumn("score", F.expr("up div down"))
     best = scored.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "l", "r", "a", "n")).alias("cut")).select("lang", "phrase", "cut.*")
@@ -164,7 +166,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, ra
     held = best.join(over, ["lang", "phrase"], "left").where(F.col("f").isNull() | (100 * F.col("f") < ratio * F.col("a")))
 
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    salted = held.withColumn("_salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).withColumn("_nth", F.row_number().over(W.partitionBy("lang", "_salt").orderBy(*order))).where(F.col("_nth") <= top)
+    salted = held.withColumn("_salt", salt).withColumn("_nth", F.row_number().over(W.partitionBy("lang", "_salt").orderBy(*order))).where(F.col("_nth") <= top)
     ranked = salted.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
