@@ -46,9 +46,12 @@ GRACE = 3
 SLOTS = 3
 NO_ID = -(2**63)
 ALL = 2**62
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+_STATE = "spark.sql.streaming.stateStore"
+#: A start runs one batch, so its stores are put away at once; they log changes, and take no disk before they need it.
+STATE = {
+    f"{_STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", f"{_STATE}.rocksdb.changelogCheckpointing.enabled": "true",
+    f"{_STATE}.rocksdb.allowFAllocate": "false", f"{_STATE}.rocksdb.trackTotalNumberOfRows": "false", f"{_STATE}.unloadOnCommit": "true",
+}
 
 HELD = "cid long, m long, day int, change_id long, op string, city string, balance double"
 #: kind 0 is a change, 1 touches a page; q and p are the client's pointers at the end of the last batch and now; due is the largest day that is due next.
@@ -206,9 +209,9 @@ class Applier:
 
     def _stream(self) -> None:
         """The query over what was added, on its checkpoint; the session's settings are put back."""
-        before = {k: self.spark.conf.get(k, None) for k in (_PROVIDER, _CHANGELOG)}
-        self.spark.conf.set(_PROVIDER, _ROCKS)
-        self.spark.conf.set(_CHANGELOG, "true")
+        before = {k: self.spark.conf.get(k, None) for k in STATE}
+        for k, v in STATE.items():
+            self.spark.conf.set(k, v)
         try:
             source = self.spark.readStream.schema(INPUT).parquet(f"{self.root}/in")
             out = source.groupBy("slot").transformWithStateInPandas(Pages(), OUTPUT, "append", "none")
