@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..contracts import struct
 from . import rules
 from .events import first_of_each
 
@@ -31,16 +32,16 @@ def accept(requests: DataFrame, known: DataFrame, *order: str | Column) -> DataF
     """
     order = order or ("createdAt", "eventId")
     stored = known.where("idempotencyKey is not null").select("idempotencyKey", F.col("eventId").alias("_e"), F.col("createdAt").alias("_c"), F.col("payloadHash").alias("_h"))
-    # null keys are spread over groups of their own
-    same = W.partitionBy("idempotencyKey", F.when(F.col("idempotencyKey").isNull(), F.xxhash64("eventId"))).orderBy(*order)
+    keyed = requests.where("idempotencyKey is not null")
+    # requests without a key are answered on their own, so they needn't meet
+    plain = requests.where("idempotencyKey is null").withColumns({"answeredId": F.col("eventId"), "answeredAt": F.col("createdAt"), "replayed": F.lit(False), "payloadConflict": F.lit(False)})
+    same = W.partitionBy("idempotencyKey").orderBy(*order)
     first = {f"_f{i}": F.first_value(c).over(same) for i, c in enumerate(("eventId", "createdAt", "payloadHash"))}
-    rows = requests.withColumns(first | {"_nth": F.row_number().over(same)}).join(stored, "idempotencyKey", "left")
-    keyed = F.col("idempotencyKey").isNotNull()
-    answer = lambda old, new, own: F.when(keyed, F.coalesce(old, new)).otherwise(F.col(own))
-    replayed = keyed & (F.col("_e").isNotNull() | (F.col("_nth") > 1))
-    digest = answer("_h", "_f2", "payloadHash")
-    out = rows.withColumns({"answeredId": answer("_e", "_f0", "eventId"), "answeredAt": answer("_c", "_f1", "createdAt"), "replayed": replayed, "payloadConflict": replayed & ~F.col("payloadHash").eqNullSafe(digest)})
-    return out.drop("_e", "_c", "_h", "_f0", "_f1", "_f2", "_nth")
+    rows = keyed.withColumns(first | {"_nth": F.row_number().over(same)}).join(stored, "idempotencyKey", "left")
+    replayed = F.col("_e").isNotNull() | (F.col("_nth") > 1)
+    conflict = replayed & ~F.col("payloadHash").eqNullSafe(F.when(F.col("_e").isNotNull(), F.col("_h")).otherwise(F.col("_f2")))
+    out = rows.withColumns({"answeredId": F.coalesce("_e", "_f0"), "answeredAt": F.coalesce("_c", "_f1"), "replayed": replayed, "payloadConflict": conflict})
+    return out.drop("_e", "_c", "_h", "_f0", "_f1", "_f2", "_nth").unionByName(plain)
 
 
 def accepted(answers: DataFrame) -> DataFrame:
@@ -111,6 +112,7 @@ def consume(events: DataFrame, processed: DataFrame, *order: str | Column) -> Da
 
 PROJECTED = ("eventId", "customerId", "productId", "quantity", "unitPrice", "channel", "location", "occurredAt", "processedAt")
 PROCESSED = ("eventId", "eventType", "processedAt")
+CONSUMED = struct("eventId string, customerId string, productId string, quantity int, unitPrice decimal(19,2), channel string, location string, occurredAt timestamp, processedAt timestamp, eventType string")
 
 
 def consumed(events: DataFrame) -> DataFrame:

@@ -58,6 +58,14 @@ def summary(trusted: DataFrame) -> DataFrame:
     return stamped(by(trusted, (), GLOBAL), "goldProcessedAt")
 
 
+def cube(trusted: DataFrame, keys: Iterable[str] = DAILY_KEYS) -> DataFrame:
+    """Sales of every combination of the keys, by one Expand: ``level`` has a bit for each key that is summed over, the first key's the
+    highest, which tells a subtotal from a null key. For orders whose ids are distinct, so they are counted as rows."""
+    keys = list(keys)
+    sales = [F.count("eventId").alias("totalOrders"), ITEMS.column(), REVENUE.column(), AVERAGE.column()]
+    return trusted.cube(*keys).agg(F.grouping_id(*keys).cast("int").alias("level"), *sales)
+
+
 def live(events: DataFrame, window: str = "1 minute") -> DataFrame:
     """Sales by window and channel; neither deduplicated nor normalised. Works on streams."""
     revenue = events.withColumn("revenue", F.col("quantity") * F.col("unitPrice"))

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import contracts
-from .operators import delivery, events, metrics, quality, rules
-from .plans import outbox, pipeline, serving
+from .operators import delivery, digests, events, metrics, quality, rules, sessions, sketches, temporal
+from .plans import incremental, outbox, pipeline, serving
 from .settings import Settings
 from .sources import files, fixtures
 from .sources.fixtures import MESSAGES_SQL, ORDERS_SQL, scratch
 from .sources.versions import VersionedTable
-from .streaming import layers
+from .streaming import joins, layers
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,12 +359,86 @@ def stream_late(spark, sf_dir):
     return spark.read.parquet(settings.trusted).select("eventId", F.unix_seconds("occurredAt").alias("seconds"))
 
 
+def layer_differences(spark, sf_dir):
+    """Keys of two layers whose rows differ: some orders lost, some changed, one copied, one new."""
+    first = fixtures.orders(spark, sf_dir).select("eventId", "customerId", "quantity", "revenue", "channel", "eventDate")
+    number = F.split_part("eventId", F.lit("-"), F.lit(1)).cast("long")
+    second = first.where(number % 97 != 3).withColumn("quantity", F.when(number % 97 == 5, F.col("quantity") + 1).otherwise(F.col("quantity")))
+    more = first.where(number % 97 == 7)
+    new = first.where(number % 97 == 9).withColumn("eventId", F.concat(F.lit("x-"), "eventId"))
+    return digests.differences(first, second.unionByName(more).unionByName(new), ["eventId"])
+
+
+def daily_incremental(spark, sf_dir):
+    """Daily files after three refreshes: the first orders, late ones of old days, and a day that is gone."""
+    root = scratch(spark, "incremental")
+    orders, source, target = silver_dedup(spark, sf_dir), f"{root}/trusted", f"{root}/daily"
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    put = lambda df: df.repartition(tasks, "eventDate").write.mode("append").partitionBy("eventDate").parquet(source)
+    put(orders.where("quantity <= 4"))
+    incremental.refresh_daily(spark, source, target)
+    put(orders.where("quantity > 4 and day(eventDate) <= 5"))
+    incremental.refresh_daily(spark, source, target)
+    day = spark.read.parquet(source).agg(F.min("eventDate")).first()[0]
+    fs, at = files.file_system(spark, f"{source}/eventDate={day}")
+    fs.delete(at, True)
+    incremental.refresh_daily(spark, source, target)
+    return incremental.daily_sales(spark, target).drop("goldProcessedAt")
+
+
+def user_sessions(spark, sf_dir):
+    rows = sessions.sessions(fixtures.read(spark, sf_dir, "events"), "user_id", "ts", 1800, {"value": F.col("value").cast(contracts.MONEY)})
+    return rows.select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "events", F.col("value").cast(contracts.MONEY).alias("value"))
+
+
+def sales_followed(spark, sf_dir):
+    """Sales with the lines shipped within five days of them; sales without any come once."""
+    sales = fixtures.read(spark, sf_dir, "sales").select("sale_id", F.col("sold_at").cast("timestamp").alias("sold_at"))
+    lines = fixtures.read(spark, sf_dir, "sale_lines").select("sale_id", "line_no", F.col("shipped_at").cast("timestamp").alias("shipped_at"))
+    rows = joins.followed(sales, lines, "sale_id", "sold_at", "shipped_at", "5 days")
+    return rows.select("sale_id", _text("sold_at").alias("sold_at"), "line_no", _text("shipped_at").alias("shipped_at"))
+
+
+def price_as_of(spark, sf_dir):
+    """Lines with the price that their part had last been ordered at when they were shipped."""
+    lines, ordered = (fixtures.read(spark, sf_dir, t) for t in ("lineitem", "orders"))
+    prices = lines.join(ordered, lines.l_orderkey == ordered.o_orderkey).groupBy("l_partkey", F.col("o_orderdate").cast("timestamp").alias("since")).agg(F.max(F.col("l_extendedprice").cast(contracts.MONEY)).alias("price"))
+    shipped = lines.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_shipdate").cast("timestamp").alias("shipped"))
+    rows = temporal.as_of(shipped, prices, "l_partkey", "shipped", "since", ["price"])
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.to_date("shipped").alias("shipped"), "price")
+
+
+def clicks_in_sales(spark, sf_dir):
+    """For each sale the clicks of its client within so many hours of it as its priority says."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    clicks = fixtures.read(spark, sf_dir, "clicks").select("client_id", "click_id", micros("ts").alias("at"))
+    sales = fixtures.read(spark, sf_dir, "sales").select("client_id", "sale_id", micros("sold_at").alias("start")).withColumn("stop", F.col("start") + 3_600_000_000 * (F.col("sale_id") % 5))
+    met = temporal.range_join(clicks.withColumnRenamed("click_id", "_click"), sales, ["client_id"], "at", "start", "stop", 3_600_000_000)
+    return met.groupBy("sale_id").agg(F.count("*").alias("clicks"), F.sum("_click").alias("click_ids"))
+
+
+def sketched_customers(spark, sf_dir):
+    """Distinct customers and the median revenue of each year from sketches a day, and whether they are within 5 % (of the count, and of the rank)."""
+    orders = fixtures.orders(spark, sf_dir)
+    days = sketches.daily_sketches(orders, ["eventDate"], {"customers": "customerId"}, {"revenues": "revenue"})
+    years = sketches.merged(days.withColumn("year", F.year("eventDate")), ["year"], ["customers"], ["revenues"])
+    told = sketches.estimates(years, ["year"], ["customers"], {"median": ("revenues", 0.5)})
+    exact = orders.join(told.select("year", "median"), F.year("eventDate") == F.col("year")).groupBy("year").agg(F.count_distinct("customerId").alias("exact"), F.avg((F.col("revenue") <= F.col("median")).cast("int")).alias("rank"))
+    rows = told.join(exact, "year")
+    return rows.select("year", "rows", F.col("exact").alias("customers"), (F.abs(F.col("customers") - F.col("exact")) <= 0.05 * F.col("exact")).alias("count_near"), (F.abs(F.col("rank") - 0.5) <= 0.05).alias("median_near"))
+
+
+def sales_cube(spark, sf_dir):
+    return metrics.cube(fixtures.orders(spark, sf_dir).withColumn("year", F.year("eventDate")), ("year", "channel", "location"))
+
+
 def queries() -> dict:
     own = (
         gold_daily, gold_summary, bronze_envelope, json_decode, json_props, silver_valid, silver_normalised, silver_reject_reasons, silver_dedup, order_dedup, minute_metrics,
         quality_metrics, duplicate_rows, quality_failures, reconcile, serving_summary, serving_daily, daily_filtered, daily_location, segment_share, schema_align, snapshot_history,
         as_of, overwrite, idempotent_accept, consume_once, outbox_pending, outbox_settled, dead_letters, order_lookup, request_reasons, stream_silver, stream_minute, stream_consumer,
         reconcile_decisions, gate_decisions, empty_guard, gold_files, gold_summary_file, pipeline_stages, published, page_checks, outbox_published, stream_late,
+        layer_differences, daily_incremental, user_sessions, sales_followed, price_as_of, clicks_in_sales, sketched_customers, sales_cube,
     )
     return {f"q_{f.__name__}": f for f in own}
 
@@ -428,6 +502,14 @@ def oracle_sql() -> dict[str, str]:
         "order_lookup": f"{o} SELECT eventId, quantity, channel FROM o ORDER BY eventId LIMIT 1",
         "request_reasons": f"{m} SELECT eid AS eventId, CASE fault WHEN 'no_customer' THEN 'customerId_blank' WHEN 'no_product' THEN 'productId_blank' WHEN 'zero' THEN 'quantity_below_1' ELSE 'unitPrice_below_0.01' END AS reasons FROM m WHERE fault IN ('no_customer', 'no_product', 'zero', 'negative')",
         "stream_silver": f"{m}, {_VALID} SELECT * EXCLUDE (kafkaOffset) FROM v WHERE kafkaOffset % 2 = 0",
+        "layer_differences": f"{o}, p AS (SELECT eventId, CAST(split_part(eventId, '-', 1) AS BIGINT) % 97 AS k FROM o) SELECT CASE k WHEN 9 THEN 'x-' ELSE '' END || eventId AS eventId, CASE k WHEN 3 THEN 'lost' WHEN 5 THEN 'changed' ELSE 'extra' END AS kind, CAST(CASE WHEN k IN (3, 5) THEN 1 ELSE 0 END AS BIGINT) AS gone, CAST(CASE k WHEN 3 THEN 0 ELSE 1 END AS BIGINT) AS come FROM p WHERE k IN (3, 5, 7, 9)",
+        "daily_incremental": f"{m}, {_VALID}, u AS (SELECT * FROM v WHERE kafkaOffset % 2 = 0 AND (quantity <= 4 OR day(eventDate) <= 5)), w AS (SELECT * FROM u WHERE eventDate <> (SELECT min(eventDate) FROM u)) SELECT eventDate, channel, location, {_SALES} FROM w GROUP BY 1, 2, 3",
+        "user_sessions": "WITH e AS (SELECT user_id, ts, value, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 1800000000 THEN 0 ELSE 1 END AS new FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, epoch_us(min(ts)) AS started, epoch_us(max(ts)) AS ended, count(*) AS events, CAST(sum(CAST(value AS DECIMAL(19,2))) AS DECIMAL(19,2)) AS value FROM s GROUP BY user_id, k",
+        "sales_followed": f"SELECT s.sale_id, strftime(sold_at, {_STAMP}) AS sold_at, line_no, strftime(shipped_at, {_STAMP}) AS shipped_at FROM sales s LEFT JOIN sale_lines l ON s.sale_id = l.sale_id AND shipped_at >= sold_at AND shipped_at <= sold_at + INTERVAL 5 DAY",
+        "price_as_of": "WITH p AS (SELECT l_partkey AS k, o_orderdate AS since, max(CAST(l_extendedprice AS DECIMAL(19,2))) AS price FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2) SELECT l_orderkey, l_linenumber, l_partkey, CAST(l_shipdate AS DATE) AS shipped, price FROM lineitem ASOF LEFT JOIN p ON l_partkey = k AND l_shipdate >= since",
+        "clicks_in_sales": "SELECT sale_id, count(*) AS clicks, CAST(sum(click_id) AS BIGINT) AS click_ids FROM sales s JOIN clicks c ON s.client_id = c.client_id AND c.ts >= sold_at AND c.ts < sold_at + to_hours(CAST(sale_id % 5 AS INTEGER)) GROUP BY 1",
+        "sketched_customers": f"{o} SELECT CAST(year(eventDate) AS INTEGER) AS year, count(*) AS rows, count(DISTINCT customerId) AS customers, true AS count_near, true AS median_near FROM o GROUP BY 1",
+        "sales_cube": f"{o}, y AS (SELECT *, CAST(year(eventDate) AS INTEGER) AS year FROM o) SELECT year, channel, location, CAST(grouping_id(year, channel, location) AS INTEGER) AS level, {_SALES} FROM y GROUP BY CUBE (year, channel, location)",
         "stream_minute": f"{m} {_MINUTE}",
         "stream_consumer": f"{m} SELECT eid AS eventId, qty AS quantity, amount AS unitPrice, chan AS channel FROM m WHERE fault NOT IN ('malformed', 'iso', 'zero', 'negative') AND copy = 0",
     }

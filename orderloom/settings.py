@@ -18,6 +18,7 @@ class Settings:
     topic: str = "retail.orders"
     starting_offsets: str = "earliest"
     files_per_trigger: int = 10
+    offsets_per_trigger: int = 1_000_000
     # time and state
     live_window: str = "1 minute"
     live_watermark: str = "2 minutes"
@@ -35,6 +36,7 @@ class Settings:
     send_seconds: float = 5.0
     consumer_retries: int = 2
     consumer_pause: float = 1.0
+    consumer_dead: int = 1000
     error_chars: int = 2000
     # serving
     jdbc_url: str | None = None

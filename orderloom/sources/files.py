@@ -13,7 +13,7 @@ from ..settings import Settings
 def messages(spark: SparkSession, settings: Settings) -> DataFrame:
     """The stream of messages: a Kafka topic, or a folder of JSON or Parquet files of the same columns."""
     if settings.source_format == "kafka":
-        options = {"kafka.bootstrap.servers": settings.kafka_servers, "subscribe": settings.topic, "startingOffsets": settings.starting_offsets}
+        options = {"kafka.bootstrap.servers": settings.kafka_servers, "subscribe": settings.topic, "startingOffsets": settings.starting_offsets, "maxOffsetsPerTrigger": str(settings.offsets_per_trigger)}
         return spark.readStream.format("kafka").options(**options).load()
     reader = spark.readStream.format(settings.source_format).schema(MESSAGE).option("maxFilesPerTrigger", settings.files_per_trigger)
     return reader.load(settings.at("topic", settings.topic))

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import events, metrics, rules
-from ..operators.delivery import PROCESSED, PROJECTED, as_dead, consumed, dead_letters, retried
+from ..operators.delivery import CONSUMED, PROCESSED, PROJECTED, as_dead, consumed, dead_letters, retried
 from ..settings import Settings
-from ..sources.files import file_system, messages, raw_stream, wait_for
+from ..sources.files import exists, file_system, messages, raw_stream, wait_for
 
 
 def _started(writer, name: str, checkpoint: str, available_now: bool):
@@ -41,6 +41,8 @@ def live_stream(source: DataFrame, settings: Settings) -> DataFrame:
     return metrics.flat_window(metrics.live(marked, settings.live_window))
 
 
+#: Values of the hash by which a failing batch is halved.
+SPLITS = 1 << 62
 KEYS = ("window_start", "window_end", "channel")
 
 
@@ -91,35 +93,77 @@ def _received(spark: SparkSession, settings: Settings) -> DataFrame:
     return events.decode(events.envelope(messages(spark, settings)), keep=keep)
 
 
-def _consumed(df: DataFrame, batch_id: int, settings: Settings) -> None:
-    """Projection and processed ids by one write, which replaces that of a repeated batch."""
-    consumed(df).write.mode("overwrite").parquet(f"{settings.at('consumed')}/batch={batch_id}")
+def _consumed(df: DataFrame, name: str, settings: Settings) -> None:
+    """Projection and processed ids by one write, which replaces that of a repeated batch or part."""
+    consumed(df).write.mode("overwrite").parquet(f"{settings.at('consumed')}/batch={name}")
+
+
+def _all_consumed(spark: SparkSession, settings: Settings) -> DataFrame:
+    """What was consumed so far; no rows before the first batch."""
+    if not exists(spark, settings.at("consumed")):
+        return spark.createDataFrame([], CONSUMED)
+    return spark.read.schema(CONSUMED).parquet(settings.at("consumed"))
 
 
 def projection(spark: SparkSession, settings: Settings) -> DataFrame:
-    return spark.read.parquet(settings.at("consumed")).select(*PROJECTED)
+    return _all_consumed(spark, settings).select(*PROJECTED)
 
 
 def processed(spark: SparkSession, settings: Settings) -> DataFrame:
-    return spark.read.parquet(settings.at("consumed")).select(*PROCESSED)
+    return _all_consumed(spark, settings).select(*PROCESSED)
+
+
+def _failing(df: DataFrame, save: Callable[[DataFrame, str], None], settings: Settings, low: int = 0, high: int = SPLITS) -> list[tuple[int, int, str]]:
+    """Saves what can be saved of the records whose hash lies in [low, high), and returns the ranges of single records that can't, with the error.
+
+    A range that fails is halved, down to one record; the whole batch and single records are tried again after a pause.
+    """
+    part = df.where((F.col("_at") >= low) & (F.col("_at") < high))
+    n = len(part.select("_at").limit(2).collect())
+    if not n:
+        return []
+    single = n == 1 or high - low == 1
+    try:
+        retried(lambda: save(part.drop("_at"), f"{low}-{high}"), settings.consumer_retries if single or high - low == SPLITS else 0, settings.consumer_pause)
+        return []
+    except Exception as e:  # noqa: BLE001  kept with the records
+        if single:
+            return [(low, high, f"{type(e).__name__}: {e}"[: settings.error_chars])]
+    middle, out = (low + high) // 2, []
+    for a, b in ((low, middle), (middle, high)):
+        out += _failing(df, save, settings, a, b)
+        if len(out) > settings.consumer_dead:
+            raise TooManyFailures(f"more than {settings.consumer_dead} records of a batch can't be saved: {out[-1][2]}")
+    return out
+
+
+class TooManyFailures(RuntimeError):
+    """So many records fail that the store is to blame, and not they."""
 
 
-def consumer(spark: SparkSession, settings: Settings, available_now: bool = False, save: Callable[[DataFrame, int, Settings], None] = _consumed) -> StreamingQuery:
+def consumer(spark: SparkSession, settings: Settings, available_now: bool = False, save: Callable[[DataFrame, str, Settings], None] = _consumed) -> StreamingQuery:
     """Projects each event once. The ids that were consumed are the query's state (on disk), so a batch
     costs what it holds and not what came before.
 
-    A batch that can't be saved is tried again after a pause, twice; then its records go under the dead-letter
-    topic with the error as their reason. If that fails, too, the query fails.
+    A batch that can't be saved is tried again after a pause, twice; then it is halved by the hash of its ids until the records that fail are
+    known, each of which is tried again, too. These go under the dead-letter topic with the error as their reason, and all
+    others are projected. Where more than ``consumer_dead`` fail, or the dead letters can't be written, the query fails and starts again with
+    that batch. ``save`` gets rows and a name, and replaces what it wrote under that name before.
     """
     fresh = rules.valid(_received(spark, settings), rules.PROJECTION).dropDuplicates(["eventId"])
 
     def step(df: DataFrame, batch_id: int) -> None:
+        fs, left = file_system(spark, f"{settings.at('consumed')}/batch={batch_id}")
+        fs.delete(left, True)  # what an attempt that crashed has saved
+        rows = df.withColumn("_at", F.pmod(F.xxhash64("eventId"), F.lit(SPLITS))).persist()
         try:
-            retried(lambda: save(df, batch_id, settings), settings.consumer_retries, settings.consumer_pause)
-        except Exception as e:  # noqa: BLE001  kept with the records
-            reason = f"{type(e).__name__}: {e}"[: settings.error_chars]
-            dead = as_dead(df.withColumn("reasons", F.array(F.lit(reason))), settings.topic)
-            dead.write.mode("overwrite").json(f"{settings.at('dead', f'{settings.topic}.DLT')}/batch={batch_id}")
+            bad = _failing(rows, lambda part, name: save(part, f"{batch_id}/part={name}", settings), settings)
+            if bad:
+                known = F.broadcast(spark.createDataFrame(bad, "_low long, _high long, _reason string"))  # at most consumer_dead
+                lost = rows.join(known, (F.col("_at") >= F.col("_low")) & (F.col("_at") < F.col("_high")))
+                as_dead(lost.withColumn("reasons", F.array("_reason")), settings.topic).write.mode("overwrite").json(f"{settings.at('dead', f'{settings.topic}.DLT')}/batch={batch_id}")
+        finally:
+            rows.unpersist()
 
     return _started(fresh.writeStream.foreachBatch(step), "consumer", settings.checkpoint("consumer"), available_now).start()
 
