@@ -75,13 +75,13 @@ def settle(outbox: DataFrame, results: DataFrame, error_chars: int = 2000) -> Da
     }).drop("_tried", "_error")
 
 
-def tried(outbox: DataFrame, results: DataFrame, error_chars: int = 2000) -> DataFrame:
-    """The outbox under a log of results (id, error, triedAt): one without error publishes, each other is an attempt."""
+def tried(outbox: DataFrame, results: DataFrame, error_chars: int = 2000, by: tuple[str, ...] = ("id",)) -> DataFrame:
+    """The outbox under a log of results (id, error, triedAt): one without error publishes, each other is an attempt. ``by`` names the columns that both share."""
     sent = F.col("error").isNull()
-    each = results.groupBy("id").agg(
+    each = results.groupBy(*by).agg(
         F.bool_or(sent).alias("_sent"), F.count_if(~sent).cast("int").alias("_failed"), F.max_by(F.when(~sent, F.struct("error")), F.when(~sent, F.col("triedAt"))).alias("_last"), F.min(F.when(sent, F.col("triedAt"))).alias("_at")
     )
-    joined = outbox.join(each, "id", "left")
+    joined = outbox.join(each, list(by), "left")
     done = F.coalesce("_sent", F.lit(False))
     return joined.withColumns({
         "status": F.when(done, F.lit(PUBLISHED)).otherwise(F.col("status")),

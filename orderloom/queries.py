@@ -103,15 +103,17 @@ def reconcile(spark, sf_dir):
 
 
 def reconcile_decisions(spark, sf_dir):
-    n = fixtures.orders(spark, sf_dir).count()
-    rows = []
-    for case, counts in (("equal", (n, n, n)), ("table", (n, n - 1, n)), ("summary", (n, n, n - 1))):
+    """What is said of three counts: of equal layers, of a table that lacks large orders, of a summary without the first day's."""
+    counts = fixtures.orders(spark, sf_dir).groupBy("eventDate").agg(F.count("*").alias("n"), F.count_if(F.col("quantity") < 50).alias("some")).agg(
+        F.sum("n").alias("n"), F.sum("some").alias("some"), F.min_by("n", "eventDate").alias("first")).first()
+    n, rows = counts["n"], []
+    for case, three in (("equal", (n, n, n)), ("table", (n, counts["some"], n)), ("summary", (n, n, n - counts["first"]))):
         try:
-            quality.reconcile(*counts)
-            rows.append((case, True))
+            quality.reconcile(*three)
+            rows.append((case, *three, True))
         except quality.ReconciliationError:
-            rows.append((case, False))
-    return spark.createDataFrame(rows, "differs string, passed boolean")
+            rows.append((case, *three, False))
+    return spark.createDataFrame(rows, "differs string, trusted long, in_table long, in_summary long, passed boolean")
 
 
 def gate_decisions(spark, sf_dir):
@@ -175,16 +177,18 @@ def published(spark, sf_dir):
 
 
 def page_checks(spark, sf_dir):
-    """Which pages are refused: dates the wrong way round, limits out of bounds."""
-    model, day, rows = _daily_model(spark, sf_dir).limit(0), dt.date(1997, 1, 1), []
+    """Rows and revenue of pages; nulls for those that are refused: dates the wrong way round, limits out of bounds."""
+    path = scratch(spark, "pages")
+    _daily_model(spark, sf_dir).write.parquet(path)
+    model, day, rows = files.table(spark, path), dt.date(1997, 1, 1), []
     cases = {"default": {}, "one": {"limit": 1}, "most": {"limit": 1000}, "none": {"limit": 0}, "more": {"limit": 1001}, "same day": {"start": day, "end": day}, "backwards": {"start": day, "end": day - dt.timedelta(1)}}
     for name, case in cases.items():
         try:
-            serving.daily_sales(model, **case)
-            rows.append((name, True))
+            page = serving.daily_sales(model, **case).agg(F.count("*"), F.sum("total_revenue").cast(contracts.MONEY)).first()
+            rows.append((name, page[0], page[1]))
         except ValueError:
-            rows.append((name, False))
-    return spark.createDataFrame(rows, "page string, accepted boolean")
+            rows.append((name, None, None))
+    return spark.createDataFrame(rows, "page string, rows long, revenue decimal(19,2)")
 
 
 def serving_summary(spark, sf_dir):
@@ -261,6 +265,14 @@ def idempotent_accept(spark, sf_dir):
     return delivery.accept(_requests(spark, sf_dir), known).select("idempotencyKey", "eventId", "answeredId", "replayed", "payloadConflict")
 
 
+def intake(spark, sf_dir):
+    """Answers of two intakes into one outbox, the later requests against what the earlier ones stored."""
+    box = outbox.Outbox(spark, scratch(spark, "intake"))
+    rows = _requests(spark, sf_dir).withColumn("payload", F.lit("{}"))
+    early = F.col("createdAt") < F.lit("1996-01-01").cast("timestamp")
+    return outbox.intake(box, rows.where(early)).unionByName(outbox.intake(box, rows.where(~early))).select("idempotencyKey", "eventId", "answeredId", "replayed", "payloadConflict")
+
+
 def consume_once(spark, sf_dir):
     rows = events.trusted_orders(_raw(spark, sf_dir))
     done = fixtures.read(spark, sf_dir, "events").where("event_id % 4 = 0").select(F.concat(F.lit("evt-"), F.col("event_id").cast("string")).alias("eventId"))
@@ -347,16 +359,14 @@ def stream_consumer(spark, sf_dir):
 
 
 def stream_late(spark, sf_dir):
-    """Trusted orders of four batches: on time, an hour later, late by then, and copies of what came before."""
-    settings = Settings(root=scratch(spark, "late"), source_format="parquet", wait_seconds=5.0, files_per_trigger=1)
-    base, kind = 1_790_894_400, "value string, offset long"
-    for n, batch in enumerate(((("a", 0), ("a", 0)), (("b", 3600),), (("late", 60), ("c", 3700)), (("a", 3650), ("c", 3700), ("d", 3800)))):
-        rows = [(f'{{"eventId":"{i}","occurredAt":{base + s},"customerId":"c","productId":"p","quantity":1,"unitPrice":2.5,"channel":"web","location":"x"}}', 100 * n + k) for k, (i, s) in enumerate(batch)]
-        df = spark.createDataFrame(rows, kind).select(F.lit("k").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), F.lit("t").alias("topic"), F.lit(0).alias("partition"), "offset", F.timestamp_seconds(F.lit(base)).alias("timestamp"))
-        df.coalesce(1).write.mode("append").parquet(settings.at("topic", settings.topic))
+    """Trusted orders of the events of three spans of days: what comes after later days is behind the watermark."""
+    settings = Settings(root=scratch(spark, "late"), source_format="parquet", wait_seconds=5.0, files_per_trigger=1000)
+    rows = fixtures.messages(spark, sf_dir)
+    for days in ("BETWEEN 10 AND 20", "< 10", "> 20"):
+        rows.where(f"day(timestamp) {days}").coalesce(4).write.mode("append").parquet(settings.at("topic", settings.topic))
         layers.raw_layer(spark, settings, available_now=True).awaitTermination()
         layers.trusted_layer(spark, settings, available_now=True).awaitTermination()
-    return spark.read.parquet(settings.trusted).select("eventId", F.unix_seconds("occurredAt").alias("seconds"))
+    return spark.read.parquet(settings.trusted).select("eventId", "quantity", "eventDate")
 
 
 def layer_differences(spark, sf_dir):
@@ -438,7 +448,7 @@ def queries() -> dict:
         quality_metrics, duplicate_rows, quality_failures, reconcile, serving_summary, serving_daily, daily_filtered, daily_location, segment_share, schema_align, snapshot_history,
         as_of, overwrite, idempotent_accept, consume_once, outbox_pending, outbox_settled, dead_letters, order_lookup, request_reasons, stream_silver, stream_minute, stream_consumer,
         reconcile_decisions, gate_decisions, empty_guard, gold_files, gold_summary_file, pipeline_stages, published, page_checks, outbox_published, stream_late,
-        layer_differences, daily_incremental, user_sessions, sales_followed, price_as_of, clicks_in_sales, sketched_customers, sales_cube,
+        layer_differences, daily_incremental, user_sessions, sales_followed, price_as_of, clicks_in_sales, sketched_customers, sales_cube, intake,
     )
     return {f"q_{f.__name__}": f for f in own}
 
@@ -475,16 +485,16 @@ def oracle_sql() -> dict[str, str]:
         "duplicate_rows": f"WITH {lines} SELECT eventId, count(*) AS copies FROM o GROUP BY 1 HAVING count(*) > 1",
         "quality_failures": f"{m} SELECT * FROM (SELECT 'nullEventId' AS metric, count(*) FILTER (fault = 'malformed') AS value FROM m UNION ALL SELECT 'nullCustomerId' AS metric, count(*) FILTER (cust IS NULL OR fault = 'malformed') AS value FROM m UNION ALL SELECT 'nullProductId', count(*) FILTER (prod IS NULL OR fault = 'malformed') FROM m UNION ALL SELECT 'invalidQuantity', count(*) FILTER (fault = 'zero') FROM m UNION ALL SELECT 'invalidUnitPrice', count(*) FILTER (fault = 'negative') FROM m UNION ALL SELECT 'duplicateRows', count(*) FILTER (copy = 1) FROM m) WHERE value > 0",
         "reconcile": f"{o} SELECT count(*) AS trusted_rows, count(*) AS table_rows, count(DISTINCT eventId) AS summary_orders FROM o",
-        "reconcile_decisions": "SELECT * FROM (VALUES ('equal', true), ('table', false), ('summary', false)) t(differs, passed)",
+        "reconcile_decisions": f"{o}, c AS (SELECT count(*) AS n, count(*) FILTER (quantity < 50) AS k, count(*) FILTER (eventDate = (SELECT min(eventDate) FROM o)) AS f FROM o) SELECT 'equal' AS differs, n AS trusted, n AS in_table, n AS in_summary, true AS passed FROM c UNION ALL SELECT 'table', n, k, n, n = k FROM c UNION ALL SELECT 'summary', n, n, n - f, f = 0 FROM c",
         "gate_decisions": f"{m}, {ORDERS_SQL.strip()} SELECT 'orders' AS source, 'totalRows' AS metric, count(*) AS value FROM o UNION ALL SELECT 'messages', 'nullEventId', count(*) FILTER (fault = 'malformed') FROM m UNION ALL SELECT 'messages', 'nullCustomerId', count(*) FILTER (cust IS NULL OR fault = 'malformed') FROM m UNION ALL SELECT 'messages', 'nullProductId', count(*) FILTER (prod IS NULL OR fault = 'malformed') FROM m UNION ALL SELECT 'messages', 'invalidQuantity', count(*) FILTER (fault = 'zero') FROM m UNION ALL SELECT 'messages', 'invalidUnitPrice', count(*) FILTER (fault = 'negative') FROM m UNION ALL SELECT 'messages', 'duplicateRows', count(*) FILTER (copy = 1) FROM m",
         "empty_guard": "SELECT 'all' AS input, count(*) > 0 AS accepted FROM orders UNION ALL SELECT 'none', count(*) > 0 FROM orders WHERE o_orderkey < 0",
         "gold_files": f"{o}, {_DAILY} SELECT * FROM g",
         "gold_summary_file": f"{o} SELECT {_SALES}, count(DISTINCT customerId) AS uniqueCustomers, count(DISTINCT productId) AS uniqueProducts, 1 AS files FROM o",
         "pipeline_stages": f"{o} SELECT 'clean' AS input, s AS stage, 'done' AS status, CASE s WHEN 'aggregates' THEN (SELECT count(DISTINCT eventDate) FROM o) WHEN 'publication' THEN 1 WHEN 'table' THEN NULL ELSE (SELECT count(*) FROM o) END AS evidence FROM (VALUES ('quality'), ('aggregates'), ('table'), ('reconciliation'), ('publication')) v(s) UNION ALL SELECT 'twice', s, CASE s WHEN 'quality' THEN 'failed' ELSE 'skipped' END, NULL FROM (VALUES ('quality'), ('aggregates'), ('table'), ('reconciliation'), ('publication')) v(s)",
         "published": f"{o}, {_DAILY} SELECT 1 AS id, count(DISTINCT eventId) AS total_orders, CAST(sum(revenue) AS DECIMAL(19,2)) AS total_revenue, CAST(1 AS BIGINT) AS summary_rows, (SELECT count(*) FROM g) AS daily_rows FROM o",
-        "page_checks": "SELECT * FROM (VALUES ('default', true), ('one', true), ('most', true), ('none', false), ('more', false), ('same day', true), ('backwards', false)) t(page, accepted)",
+        "page_checks": f"{o}, {_DAILY}, r AS (SELECT *, row_number() OVER (ORDER BY eventDate DESC, channel, location) AS k FROM g) SELECT page, CASE WHEN ok THEN (SELECT count(*) FROM r WHERE k <= most AND (NOT same OR eventDate = DATE '1997-01-01')) END AS rows, CASE WHEN ok THEN (SELECT CAST(sum(totalRevenue) AS DECIMAL(19,2)) FROM r WHERE k <= most AND (NOT same OR eventDate = DATE '1997-01-01')) END AS revenue FROM (VALUES ('default', true, 100, false), ('one', true, 1, false), ('most', true, 1000, false), ('none', false, 0, false), ('more', false, 0, false), ('same day', true, 1000000000, true), ('backwards', false, 0, false)) t(page, ok, most, same)",
         "outbox_published": "SELECT 'PUBLISHED' AS status, 0 AS attempts, 1 AS sent, CAST(98 AS BIGINT) AS n UNION ALL SELECT 'PENDING', 2, 0, 1 UNION ALL SELECT 'PENDING', 0, 0, count(*) - 99 FROM orders",
-        "stream_late": "SELECT * FROM (VALUES ('a', CAST(1790894400 AS BIGINT)), ('b', 1790898000), ('c', 1790898100), ('d', 1790898200)) t(eventId, seconds)",
+        "stream_late": f"{m}, {_VALID} SELECT eventId, quantity, eventDate FROM v WHERE kafkaOffset % 2 = 0 AND day(eventDate) >= 10",
         "serving_summary": f"{o} SELECT CAST(1 AS SMALLINT) AS id, totalOrders AS total_orders, totalItems AS total_items, totalRevenue AS total_revenue, averageOrderValue AS average_order_value, uc AS unique_customers, up AS unique_products FROM (SELECT {_SALES}, count(DISTINCT customerId) AS uc, count(DISTINCT productId) AS up FROM o)",
         "serving_daily": f"{o}, {_DAILY} {_SERVED}",
         "daily_filtered": f"{o}, {_DAILY} {_SERVED} WHERE eventDate BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' AND channel = 'BUILDING' ORDER BY eventDate DESC, channel, location LIMIT 50",
@@ -513,4 +523,5 @@ def oracle_sql() -> dict[str, str]:
         "stream_minute": f"{m} {_MINUTE}",
         "stream_consumer": f"{m} SELECT eid AS eventId, qty AS quantity, amount AS unitPrice, chan AS channel FROM m WHERE fault NOT IN ('malformed', 'iso', 'zero', 'negative') AND copy = 0",
     }
+    out["intake"] = out["idempotent_accept"]
     return {f"q_{k}": v for k, v in out.items()}

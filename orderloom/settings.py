@@ -33,6 +33,9 @@ class Settings:
     table: str = "orders"
     # delivery
     outbox_batch: int = 50
+    outbox_pause: float = 1.0
+    outbox_settle: int = 20
+    outbox_give_up: int = 4
     send_seconds: float = 5.0
     consumer_retries: int = 2
     consumer_pause: float = 1.0

@@ -288,6 +288,63 @@ def test_replays(spark):
     assert (row.status, row.attempts, row.lastError) == ("PUBLISHED", 1, None) and row.publishedAt
 
 
+def test_outbox_settles_into_its_history(spark, tmp_path):
+    t = dt.datetime(2026, 1, 1)
+    store = outbox.Outbox(spark, f"file://{tmp_path}/outbox")
+    settings = Settings(root=f"file://{tmp_path}", source_format="json", outbox_batch=2, outbox_settle=2, outbox_pause=0.0, outbox_give_up=2)
+    kind = "idempotencyKey string, eventId string, createdAt timestamp, payloadHash long, payload string"
+    ask = lambda *rows: {r.eventId: (r.answeredId, r.replayed) for r in outbox.intake(store, spark.createDataFrame([(k, e, t + dt.timedelta(seconds=n), 1, "{}") for n, (k, e) in enumerate(rows)], kind)).collect()}
+    assert ask(("a", "e0"), ("a", "e1"), ("b", "e2"), (None, "e3")) == {"e0": ("e0", False), "e1": ("e0", True), "e2": ("e2", False), "e3": ("e3", False)}
+
+    def refuses(batch, settings):
+        if not batch.where("id = 'e0'").isEmpty():
+            raise OSError("refused")
+        outbox.send(batch, settings)
+
+    steps = iter([False] * 3 + [True])
+    assert outbox.publish(spark, store, settings, lambda: next(steps), refuses) == 2
+    state = lambda: {r.id: (r.status, r.attempts) for r in store.read().collect()}
+    assert state() == {"e0": ("PENDING", 3), "e2": ("PUBLISHED", 0), "e3": ("PUBLISHED", 0)}
+    assert [(r.id, r.epoch, r.attempts) for r in store.entries.read().collect()] == [("e0", 1, 3)] and store.results.read().count() == 0
+    # keys of what went to the history are known, and what is settled twice counts once
+    assert ask(("b", "e9"), ("c", "e8")) == {"e9": ("e2", True), "e8": ("e8", False)}
+    store.history.append(store.history.read())
+    outbox.publish_step(spark, store, settings)
+    assert state() == {"e0": ("PUBLISHED", 3), "e2": ("PUBLISHED", 0), "e3": ("PUBLISHED", 0), "e8": ("PUBLISHED", 0)}
+    plan = delivery.next_batch(store.waiting())._jdf.queryExecution().toString()
+    assert "outbox/history" not in plan
+    # a broker that is down costs a few sends, and entries that weren't tried keep their attempts
+    ask(*[(None, f"f{i}") for i in range(8)])
+    sends = []
+
+    def down(batch, settings):
+        sends.append(1)
+        raise OSError("down")
+
+    outbox.publish_step(spark, store, settings.but(outbox_batch=8, consumer_retries=0), down)
+    assert len(sends) == 5 and sum(a for s, a in state().values() if s == "PENDING") == 2
+
+
+def test_an_intake_that_lost_answers_anew(spark, tmp_path):
+    t = dt.datetime(2026, 1, 1)
+    store = outbox.Outbox(spark, f"file://{tmp_path}/outbox")
+    kind = "idempotencyKey string, eventId string, createdAt timestamp, payloadHash long, payload string"
+    row = lambda e: spark.createDataFrame([("k", e, t, 1, "{}")], kind)
+    outbox.intake(store, spark.createDataFrame([("x", "e", t, 1, "{}")], kind))
+    keys, raced = store.keys, []
+
+    def late():
+        before = keys()
+        if not raced:
+            raced.append(1)
+            outbox.intake(outbox.Outbox(spark, f"file://{tmp_path}/outbox"), row("first"))
+        return before
+
+    store.keys = late
+    assert [(r.answeredId, r.replayed) for r in outbox.intake(store, row("second")).collect()] == [("first", True)]
+    assert sorted(r.id for r in store.read().collect()) == ["e", "first"]
+
+
 def test_outbox_is_published_in_order_and_keeps_failures(spark, tmp_path):
     t = dt.datetime(2026, 1, 1)
     rows = [(f"e{i}", t + dt.timedelta(seconds=-i), "{}") for i in range(5)]
