@@ -3,9 +3,9 @@
 A text is lower-cased (A-Z) and reduced to its words, one space between them. Each rule is gated by one
 word that whatever it matches must hold (a test proves that for every rule); the text's words are looked
 up among these at once, so that only few regular expressions see a text, whatever the number of rules.
-Detections are intervals. One that lies within another (or equals one of a better rule) is suppressed;
-of two that overlap in part, the one of lower priority is. Base phrases are counted exactly and never
-suppressed. Everything is a projection of the row: no shuffle, and no limit on texts or detections.
+Detections are intervals. One that lies within another that stays (or equals one of a better rule) is suppressed;
+of two that overlap in part, the one of lower priority is, if the other stays: what is suppressed suppresses
+nothing. Base phrases are counted exactly and never suppressed. Everything is a projection of the row: no shuffle, and no limit on texts or detections.
 
 Defined results: null and empty texts have no words, no places and score 0; places are null when there
 are none; repeated rows give equal rows; an empty table gives an empty result; other columns are ignored.
@@ -406,24 +406,36 @@ def detections(norm: Column, table) -> Column:
 
 
 def resolved(found: Column, table) -> Column:
-    """The detections that no other suppresses."""
+    """The detections that stay: one gives way to another that stays and holds it whole, or overlaps it and has a higher priority.
+
+    Those that no other holds are settled first, by falling priority, and then those within them, which come back if what
+    held them is gone. What is suppressed suppresses nothing.
+    """
     priority = F.array(*[F.lit(r[2]) for r in table])
     rank = lambda d: F.element_at(priority, d["id"] + 1)
     kind = "array<struct<start:int,stop:int,id:int,priority:int>>"
-    ordered = F.transform(F.array_sort(F.transform(found, lambda d: F.struct(d["start"].alias("start"), (-d["stop"]).alias("back"), (-rank(d)).alias("low"), d["id"].alias("id")))), lambda d: F.struct(d["start"].alias("start"), (-d["back"]).alias("stop"), d["id"].alias("id"), (-d["low"]).alias("priority")))
+    plain = lambda d: F.struct(d["start"].alias("start"), (-d["back"]).alias("stop"), d["id"].alias("id"), (-d["low"]).alias("priority"))
+    ordered = F.transform(F.array_sort(F.transform(found, lambda d: F.struct(d["start"].alias("start"), (-d["stop"]).alias("back"), (-rank(d)).alias("low"), d["id"].alias("id")))), plain)
     start = F.struct(F.lit(-1).alias("to"), F.array().cast(kind).alias("kept"))
-    outer = F.aggregate(ordered, start, lambda a, d: F.when(d["stop"] <= a["to"], a).otherwise(F.struct(d["stop"].alias("to"), F.concat(a["kept"], F.array(d)).alias("kept"))), lambda a: a["kept"])
-    # what is left is ordered by start and by end, so only neighbours decide
-    def rivals(all_: Column) -> Column:
-        def stays(d: Column, i: Column) -> Column:
-            before, after = F.try_element_at(all_, F.when(i > 0, i).otherwise(-F.size(all_) - 1)), F.try_element_at(all_, i + 2)
-            lost = (before["stop"] > d["start"]) & (before["priority"] > d["priority"])
-            lost_next = (after["start"] < d["stop"]) & (after["priority"] > d["priority"])
-            return ~(F.coalesce(lost, F.lit(False)) | F.coalesce(lost_next, F.lit(False)))
 
-        return F.filter(all_, stays)
+    def settled(all_: Column, outer: Column) -> Column:
+        first = lambda x: F.transform(F.array_sort(F.transform(x, lambda d: F.struct((-d["priority"]).alias("low"), (d["start"] - d["stop"]).alias("long"), d["start"].alias("start"), (-d["stop"]).alias("back"), d["id"].alias("id")))), plain)
+        holds = lambda k, d: (k["start"] <= d["start"]) & (k["stop"] >= d["stop"])
+        beats = lambda k, d: (k["priority"] > d["priority"]) & (k["start"] < d["stop"]) & (d["start"] < k["stop"])
+        queue = F.concat(first(outer), first(F.array_except(all_, outer)))
+        return F.aggregate(queue, F.array().cast(kind), lambda kept, d: F.when(F.exists(kept, lambda k: holds(k, d) | beats(k, d)), kept).otherwise(F.concat(kept, F.array(d))))
+
+    def decided(all_: Column) -> Column:
+        outer = F.aggregate(all_, start, lambda a, d: F.when(d["stop"] <= a["to"], a).otherwise(F.struct(d["stop"].alias("to"), F.concat(a["kept"], F.array(d)).alias("kept"))), lambda a: a["kept"])
+
+        def rivals(x: Column) -> Column:
+            # ordered by start and by end, so one that overlaps any other overlaps a neighbour; else nothing is at odds
+            near = F.transform(x, lambda d, i: F.coalesce(F.try_element_at(x, i + 2)["start"] < d["stop"], F.lit(False)))
+            return F.when(F.exists(near, lambda v: v) & (F.size(F.array_distinct(F.transform(x, lambda d: d["priority"]))) > 1), settled(all_, x)).otherwise(x)
+
+        return _let(outer, rivals)
 
-    return _let(outer, rivals)
+    return _let(ordered, decided)
 
 
 def scan(docs: DataFrame, base: dict[str, str] = BASE, table=None) -> DataFrame:
@@ -480,11 +492,15 @@ def brute(text: str | None, base: dict[str, str] = BASE, table=None) -> tuple:
     found = []
     for i, (_, _, rank, _, pattern) in enumerate(table):
         found += [(m.start(), -m.end(), -rank, i) for m in _compiled(pattern).finditer(norm)]
-    kept: list = []
-    for s, e, rank, i in sorted(found):
-        if not kept or -e > kept[-1][1]:
-            kept.append((s, -e, -rank, i))
-    left = [d for j, d in enumerate(kept) if not (j and kept[j - 1][1] > d[0] and kept[j - 1][2] > d[2]) and not (j + 1 < len(kept) and kept[j + 1][0] < d[1] and kept[j + 1][2] > d[2])]
+    spans = [(s, -e, -rank, i) for s, e, rank, i in found]
+    holds = lambda k, d: k[0] <= d[0] and k[1] >= d[1]
+    # of equal spans the one of the highest priority, then the first rule, holds the others
+    inner = [d for d in spans if any(k != d and holds(k, d) and ((k[0], k[1]) != (d[0], d[1]) or (k[2], -k[3]) > (d[2], -d[3])) for k in spans)]
+    left: list = []
+    for group in ([d for d in spans if d not in inner], inner):
+        for d in sorted(group, key=lambda d: (-d[2], d[0] - d[1], d[0], d[3])):
+            if not any(holds(k, d) or (k[2] > d[2] and k[0] < d[1] and d[0] < k[1]) for k in left):
+                left.append(d)
     names = sorted({x for _, x in at})
     labels = sorted({*names, *(table[d[3]][0] for d in left)})
     score = max([0.0, *[table[d[3]][3] for d in left], *[1.0 for _ in at]])

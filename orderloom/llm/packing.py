@@ -3,8 +3,9 @@
 A document is its token ids and an end id. Documents longer than a sequence are cut into full pieces; the last one may be shorter.
 Pieces are dealt to groups of about ``GROUP``. Each group packs its pieces by best-fit decreasing and bounds the number of
 sequences it needs from below by dual feasible functions (sums of sizes under functions that no feasible sequence can push above
-its capacity). Where the two are equal, the group is certified and settled. The others keep their full sequences and
-exchange the pieces of the rest: these are dealt anew into fewer groups, packed again, and so on until everything is certified, one
+its capacity). Where the two are equal, the group is certified: no packing of its pieces alone needs fewer. It is settled if the bound
+comes from sizes that don't fit together; if it comes from the sum of sizes, what is left over in its last sequences can still fill those of
+others. Such groups, and those with a gap, keep the sequences that are full but for a 32nd and exchange the pieces of the rest: these are dealt anew into fewer groups, packed again, and so on until everything is settled, one
 group is left, or a round no longer saves a sequence; then the packing before it stays.
 
 * Pieces are dealt by task and place, so copies of one document spread over all groups; a group's size doesn't grow with the input.
@@ -37,6 +38,8 @@ END = 0
 #: Pieces of a group, on average; rounds of exchanges at most.
 GROUP = 50_000
 ROUNDS = 6
+#: A sequence of a group with a gap stays as it is if less than this part of it is free; what is emptier is exchanged.
+SLACK = 32
 #: Bytes of text that a task tokenises at once; units whose ids a worker keeps.
 CHUNK = 8 << 20
 KNOWN = 2_000_000
@@ -223,9 +226,9 @@ def _packed(table: pa.Table, capacity: int) -> pa.Table:
     size = table["length"].to_numpy()
     seq, off, used = best_fit(size, capacity)
     bound = lower_bound(np.bincount(size, minlength=capacity + 1), capacity)
-    full = np.bincount(seq, size, used)[seq] >= capacity
+    full = np.bincount(seq, size, used)[seq] >= capacity - capacity // SLACK
     n = table.num_rows
-    more = {"seq": seq, "offset": off, "used": np.full(n, used), "bound": np.full(n, bound), "settled": full | (used == bound)}
+    more = {"seq": seq, "offset": off, "used": np.full(n, used), "bound": np.full(n, bound), "settled": full | ((used == bound) & (bound > -(-int(size.sum()) // capacity)))}
     for name, value in more.items():
         table = table.append_column(name, pa.array(value))
     return table
