@@ -6,7 +6,7 @@ import datetime as dt
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..contracts import SERVING_DAILY, SERVING_SUMMARY, SERVING_WIDTHS, ContractError, conforms
@@ -35,31 +35,56 @@ class Published:
     daily_rows: int
 
 
-def _checked(summary: DataFrame, daily: DataFrame) -> Published:
-    """Row counts of what is about to be published, or ContractError."""
-    bad = rules.rejected(daily, rules.SERVED).select("event_date", "channel", "location", "reasons").take(5)
+class Watched:
+    """A model whose rows are counted by the write that stages it, so that nothing is read again."""
+
+    def __init__(self, model: DataFrame, served: tuple[rules.Rule, ...] = ()):
+        self.seen = Observation()
+        bad = F.count_if(F.size(rules.reasons(served)) > 0) if served else F.lit(0)
+        self.df = model.observe(self.seen, F.count("*").alias("rows"), bad.alias("bad"))
+
+    def counts(self) -> tuple[int, int]:
+        """Rows, and those that break a rule; once the write is done."""
+        got = self.seen.get
+        return got["rows"], got["bad"]
+
+
+def _checked(summary: Watched, daily: Watched, staged: DataFrame) -> Published:
+    """Row counts of what is about to be published, or ContractError; staged rows are only read to name some that can't be served."""
+    (summaries, _), (days, bad) = summary.counts(), daily.counts()
     if bad:
-        raise ContractError(f"rows that can't be served: {[r.asDict() for r in bad]}")
-    found = Published(summary.count(), daily.count())
-    if found.summary_rows != 1:
-        raise ContractError(f"the summary has {found.summary_rows} rows, not 1")
-    if not found.daily_rows:
+        rows = rules.rejected(staged, rules.SERVED).select("event_date", "channel", "location", "reasons").take(5)
+        raise ContractError(f"{bad} rows that can't be served: {[r.asDict() for r in rows]}")
+    if summaries != 1:
+        raise ContractError(f"the summary has {summaries} rows, not 1")
+    if not days:
         raise ContractError("there are no daily rows")
-    return found
+    return Published(summaries, days)
+
+
+def _sweep(spark: SparkSession, path: str, current: str, keep: int) -> None:
+    """Deletes all but the newest ``keep`` versions; the current one always stays."""
+    fs, at = file_system(spark, f"{path}/versions")
+    found = sorted(fs.listStatus(at), key=lambda f: (f.getModificationTime(), f.getPath().getName()))
+    for f in found[: -max(keep, 1)]:
+        if f.getPath().getName() != current.rpartition("/")[2]:
+            fs.delete(f.getPath(), True)
 
 
-def publish_files(summary: DataFrame, daily: DataFrame, path: str) -> Published:
+def publish_files(summary: DataFrame, daily: DataFrame, path: str, keep: int = 3) -> Published:
     """Stages both models under a new version, checks what was written, then swaps the pointer to it.
 
-    Readers see either both old or both new models. Daily rows are sorted by date in few files (a day has few
+    Readers see either both old or both new models; one that has opened a version can read it until ``keep`` further publications are done. Daily rows are sorted by date in few files (a day has few
     rows, and a folder for each would cost more than it saves), so date filters skip files and row groups.
     """
     spark = summary.sparkSession
     version = f"{path}/versions/{uuid.uuid4().hex}"
-    conforms(summary, SERVING_SUMMARY).coalesce(1).write.parquet(f"{version}/summary")
+    one = Watched(conforms(summary, SERVING_SUMMARY).coalesce(1))
+    one.df.write.parquet(f"{version}/summary")
     ordered = conforms(daily, SERVING_DAILY).repartitionByRange("event_date", "channel", "location").sortWithinPartitions("event_date", "channel", "location")
-    ordered.write.parquet(f"{version}/daily")
-    found = _checked(spark.read.parquet(f"{version}/summary"), spark.read.schema(SERVING_DAILY).parquet(f"{version}/daily"))
+    days = Watched(ordered, rules.SERVED)  # above the range exchange, whose sampling would count rows twice
+    days.df.write.parquet(f"{version}/daily")
+    found = _checked(one, days, spark.read.schema(SERVING_DAILY).parquet(f"{version}/daily"))
     fs, pointer = file_system(spark, f"{path}/current")
     _, staged = file_system(spark, f"{path}/current-{uuid.uuid4().hex}")
     out = fs.create(staged, True)
@@ -70,6 +95,7 @@ def publish_files(summary: DataFrame, daily: DataFrame, path: str) -> Published:
     options = spark.sparkContext._gateway.new_array(rename, 1)
     options[0] = rename.OVERWRITE
     context.rename(staged, pointer, options)
+    _sweep(spark, path, version, keep)
     return found
 
 
@@ -84,11 +110,12 @@ def publish_jdbc(summary: DataFrame, daily: DataFrame, url: str, summary_table:
     properties = properties or {}
     widths = ", ".join(f"{c} VARCHAR({n})" for c, n in SERVING_WIDTHS.items())
     tables = ((conforms(summary, SERVING_SUMMARY), summary_table, None), (conforms(daily, SERVING_DAILY), daily_table, widths))
-    for df, name, types in tables:
-        for rows, table, mode in ((df, f"{name}_staged", "overwrite"), (df.limit(0), name, "append")):
+    watched = Watched(tables[0][0]), Watched(tables[1][0], rules.SERVED)
+    for (df, name, types), seen in zip(tables, watched):
+        for rows, table, mode in ((seen.df, f"{name}_staged", "overwrite"), (df.limit(0), name, "append")):
             writer = rows.write.mode(mode).option("truncate", "true")
             (writer.option("createTableColumnTypes", types) if types else writer).jdbc(url, table, properties=properties)
-    found = _checked(*[spark.read.jdbc(url, f"{name}_staged", properties=properties) for _, name, _ in tables])
+    found = _checked(*watched, spark.read.jdbc(url, f"{daily_table}_staged", properties=properties))
     jvm = spark.sparkContext._jvm
     options = jvm.java.util.Properties()
     for key, value in properties.items():

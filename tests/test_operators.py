@@ -247,6 +247,21 @@ def test_publish_files_and_read(spark, tmp_path):
     assert "PushedFilters: [IsNotNull(event_date), GreaterThanOrEqual(event_date" in plan and "TakeOrderedAndProject" in plan
 
 
+def test_publications_keep_the_last_versions(spark, tmp_path):
+    path = f"file://{tmp_path}/serving"
+    serving.publish_files(*models(spark), path)
+    reader = serving.Store(spark, path).daily()  # opened before the next ones
+    for _ in range(2):
+        serving.publish_files(*models(spark), path)
+        assert reader.count() == 2
+    serving.publish_files(*models(spark), path)
+    assert len(list((tmp_path / "serving" / "versions").iterdir())) == 3
+    assert serving.Store(spark, path).daily().count() == 2
+    seen = serving.Watched(models(spark)[1].withColumn("channel", F.when(F.col("channel") == "WEB", F.col("channel"))), serving.rules.SERVED)
+    seen.df.write.parquet(f"file://{tmp_path}/watched")
+    assert seen.counts() == (2, 1)
+
+
 def test_unservable_rows(spark, tmp_path):
     summary, daily = models(spark)
     with pytest.raises(contracts.ContractError):
