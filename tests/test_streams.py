@@ -199,6 +199,27 @@ def test_followed_on_a_stream_is_followed_on_a_batch(spark, tmp_path, how):
     assert got == [("end", 5), ("w", 4), ("x", 1), ("x", 2), *([("y", 0), ("z", 0)] if how == "left_outer" else [])]
 
 
+def test_overdue_entries_are_told_once_across_restarts(spark, tmp_path):
+    from orderloom.streaming.overdue import overdue
+
+    (tmp_path / "in").mkdir()
+    kind = "id string, at timestamp, kind string"
+    source = spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(f"file://{tmp_path}/in")
+    batches = [
+        [("slow", 0, "created"), ("quick", 0, "created"), ("quick", 30, "settled"), ("early", 10, "settled"), (None, 0, "created")],
+        [("early", 5, "created"), ("twice", 20, "created"), ("twice", 20, "created"), ("tardy", 20, "created"), ("tardy", 200, "settled")],
+        [("clock", 2000, "settled")], [("slow", 1990, "settled"), ("clock", 2001, "settled")], [("clock", 90_000, "settled")], [],
+    ]
+    told = []
+    for n, rows in enumerate(batches):
+        _timed(spark, f"file://{tmp_path}/in", n, rows, kind)
+        overdue(source, "1 minute", "1 hour", "1 minute").writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+        told.append(sorted((r.id, r.settledAt and r.settledAt.timestamp() - BASE, r.dueAt.timestamp() - BASE) for r in spark.read.schema("id string, createdAt timestamp, settledAt timestamp, dueAt timestamp").parquet(f"file://{tmp_path}/out").collect()))
+    assert told[-1] == [("slow", None, 60), ("tardy", 200, 80), ("twice", None, 80)] and told[2] == told[-1]
+    with pytest.raises(ValueError):
+        overdue(source, "1 hour", "1 minute")
+
+
 def test_both_queries_end_together(spark, settings):
     feed(spark, settings, 0, ("a", 0, {}))
     broken = settings.but(live_window="no window")
