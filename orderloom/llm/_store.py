@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 _own: list[str] = []
 #: Links that a task contracts at once, 16 bytes each.
@@ -72,6 +73,34 @@ def plain(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
+class Kept:
+    """Columns that pass by an operator, under names of its own on the way, so that any name may be given.
+
+    One that is called like a column of the operator's result (``own``, in any case) gets as many underscores behind it as it takes.
+    """
+
+    def __init__(self, df: DataFrame, keep: list[str], own: list[str]):
+        self._kept = [StructField(f"_keep{i}", df.schema[c].dataType) for i, c in enumerate(keep)]
+        self._given = [F.col("`" + c.replace("`", "``") + "`").alias(f.name) for c, f in zip(keep, self._kept)]
+        taken = {c.lower() for c in (*keep, *own)}
+        self.names = []
+        for c in keep:
+            if c.lower() in (x.lower() for x in own):
+                while c.lower() in taken:
+                    c += "_"
+                taken.add(c.lower())
+            self.names.append(c)
+
+    def given(self, df: DataFrame, *more) -> DataFrame:
+        return df.select(*self._given, *more)
+
+    def shape(self, more: str) -> StructType:
+        return StructType([*self._kept, *StructType.fromDDL(more)])
+
+    def back(self, df: DataFrame, *more) -> DataFrame:
+        return df.select(*[F.col(f.name).alias(c) for f, c in zip(self._kept, self.names)], *more)
+
+
 def _lowest(rows: DataFrame) -> DataFrame:
     """(u, m, n): the smallest v of each u, and how many rows it has."""
     return rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))

@@ -38,6 +38,8 @@ BITS_EACH = 32
 #: Item words whose windows may be broadcast at once: about 13 * 8 bytes each.
 BLOCK_WORDS = 400_000
 _HITS = "_words long, _hits array<struct<s:long,e:long>>, _items array<string>"
+#: Names of columns of mark() and contamination().
+OWN = ["_words", "_hits", "_items", "n_words", "n_hit", "items", "contaminated"]
 
 
 def _windows(batches, span: int, width: int):
@@ -247,7 +249,7 @@ def _counted(batches):
         yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in keep], pa.array(np.diff(first))], [*[batch.schema.names[i] for i in keep], "_words"])
 
 
-def _joined(docs: DataFrame, windows: DataFrame, keep: list[str], span: int) -> DataFrame:
+def _joined(docs: DataFrame, windows: DataFrame, kept: _store.Kept, span: int) -> DataFrame:
     """mark() for any number of windows."""
     n = _store.tasks(docs.sparkSession)
     windows = _store.written(windows, "windows")
@@ -275,31 +277,32 @@ def _joined(docs: DataFrame, windows: DataFrame, keep: list[str], span: int) ->
     items = items.groupBy("_di", "_dt").agg(F.sort_array(F.collect_set("item")).alias("_items"))
     found = _store.written(stretches.join(items, ["_di", "_dt"]).withColumnsRenamed({"_di": "_fi", "_dt": "_ft"}), "found")
     _store.dropped(windows, whole, tokens, prefix, near, hits)
-    names = [f"_keep{i}" for i in range(len(keep))]  # whatever the columns are called
-    every = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in zip(keep, names)], *[x.alias(c) for c, x in key.items()], F.col("text").alias("_text"))
-    shape = ", ".join(f"{x} {docs.schema[c].dataType.simpleString()}" for c, x in zip(keep, names))
-    every = every.mapInArrow(_counted, f"{shape}, _di long, _dt long, _words long")
+    every = kept.given(docs, *[x.alias(c) for c, x in key.items()], F.col("text").alias("_text"))
+    every = every.mapInArrow(_counted, kept.shape("_di long, _dt long, _words long"))
     out = every.join(found, (F.col("_di") == F.col("_fi")) & (F.col("_dt") == F.col("_ft")), "left")
     none = lambda c: F.array().cast(found.schema[c].dataType)
-    return out.select(*[F.col(x).alias(c) for c, x in zip(keep, names)], "_words", F.coalesce("_hits", none("_hits")).alias("_hits"), F.coalesce("_items", none("_items")).alias("_items"))
+    return kept.back(out, "_words", F.coalesce("_hits", none("_hits")).alias("_hits"), F.coalesce("_items", none("_items")).alias("_items"))
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, keep: list[str], span: int = SPAN, width: int = WIDTH, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The columns ``keep`` of each document, with ``_words``, ``_hits`` (stretches of words, which may overlap) and ``_items``."""
+    """The columns ``keep`` of each document, with ``_words``, ``_hits`` (stretches of words, which may overlap) and ``_items``.
+
+    A kept column with a name of ``OWN`` comes back with an underscore behind it.
+    """
+    kept = _store.Kept(docs, keep, OWN)
     sc = docs.sparkSession.sparkContext
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
     windows = items.mapInArrow(lambda b: _windows(b, span, width), "item string, size int, hash long, tokens array<long>")
-    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     if windows.count() > block_words:
-        return _joined(docs, windows, keep, span)
+        return _joined(docs, windows, kept, span)
     rows = windows.collect()
     widths = sorted({r["size"] - len(r["tokens"]) + 1 for r in rows})
     tokens = sc.broadcast(np.unique(np.array([t for r in rows for t in r["tokens"]], np.int64).view(U)))
     with _store.cleaned(docs.sparkSession):
         rare = docs.select("text").mapInArrow(lambda b: _frequencies(b, tokens, widths), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     index = sc.broadcast(_index(rows, widths, dict(zip(rare["token"].tolist(), rare["n"].tolist()))))
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text"))
-    return source.mapInArrow(lambda b: _match(b, index), f"{types}, {_HITS}")
+    found = kept.given(docs, F.col("text").alias("_text")).mapInArrow(lambda b: _match(b, index), kept.shape(_HITS))
+    return kept.back(found, "_words", "_hits", "_items")
 
 
 def contamination(marked: DataFrame) -> DataFrame:

@@ -10,7 +10,9 @@ scripts and the like, menus, asides, forms, footers, page headers, hidden elemen
 a role, or with such a class or id as a whole (``sidebar``; of compounds the last part counts, ``site-footer``,
 but not behind a word like ``has``, ``no`` or ``post``). Two things speak against that, except for scripts
 and the like: a block with more than half of the page's words that holds a headline, an article or
-nearly everything is the page itself; and one that is never closed ends where an article begins.
+nearly everything is the page itself; and one that is never closed ends where an article begins. Within an
+article, a block named after a menu or a search stays if it holds at least ``PLAIN`` words of which most aren't
+linked, and linked words count as others do: lists of links are part of what was written.
 
 The region's text is what its blocks hold: character references decoded, white space inside a block one
 space, blocks joined by a newline. Nothing else is dropped, and no length is capped.
@@ -32,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _store
+
 # attributes as browsers read them: a quote opens a string only right after "="
 _VALUE = r"""(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+)"""
 _TOKEN = re.compile(
@@ -55,6 +59,11 @@ comment comments commentlist disqus respond replies reply discussion comment-lis
 share sharing social related recommended recommendations trending pagination pager toolbar search searchform skip hidden copyright
 social-links share-buttons skip-link related-posts ad-slot ad-container cookie-bar
 """.split())
+#: Names that an article's own parts may have, and the words that such a part holds at least.
+SOFT = {"menu", "menus", "search"}
+PLAIN = 8
+#: The name of a link's tag within an article; it has a weight of its own.
+INNER = "a-within"
 #: First parts of compounds that name a page's or an article's own parts.
 OWN_PARTS = set("has with no without is in not hide show post entry article story content main section chapter page-has".split())
 OUTSIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar"}
@@ -73,8 +82,8 @@ def _named(value: str) -> set[str]:
     return found
 
 
-def _outside(name: str, attributes: str, within: bool) -> tuple[bool, bool]:
-    """Whether an element never holds content, and whether it holds readers' comments; ``within``: it stands inside an article."""
+def _outside(name: str, attributes: str, within: bool) -> tuple[bool, bool, bool]:
+    """Whether an element never holds content, whether it holds readers' comments, and whether that depends on its words; ``within``: it stands inside an article."""
     out, said, own = name in STRUCTURE, set(), False
     if attributes and name not in ("html", "body", "article", "main"):
         for m in _ATTRIBUTE.finditer(attributes):
@@ -86,15 +95,16 @@ def _outside(name: str, attributes: str, within: bool) -> tuple[bool, bool]:
                 own = own or any(re.split(r"[^a-z]+", x)[0] in OWN_PARTS for x in value.split())
     if within:
         said -= {"header", "banner"}
+    soft = within and not out and bool(said) and said <= SOFT
     out = out or bool(said) or (name == "header" and not within and not own)
-    return out, bool(said & _COMMENTS)
+    return out, bool(said & _COMMENTS), soft
 
 
 class _Block:
     """A stretch of tokens that may be left out: [start, end), where an article starts in it, and whether it was closed."""
 
-    def __init__(self, start: int, name: str, certain: bool, comments: bool):
-        self.start, self.name, self.certain, self.comments = start, name, certain, comments
+    def __init__(self, start: int, name: str, certain: bool, comments: bool, soft: bool):
+        self.start, self.name, self.certain, self.comments, self.soft = start, name, certain, comments, soft
         self.end, self.article, self.head = -1, -1, False
 
 
@@ -104,27 +114,30 @@ def _scanned(page: str) -> tuple[list[tuple], list[_Block], list[list[int]]]:
     blocks: list[_Block] = []
     articles: list[list[int]] = []
     stack: list[tuple] = []  # (name, block, article) of open elements
-    opened, live = Counter(), 0
+    opened = Counter()
+    live: list[_Block] = []  # open blocks, of which the first ``headed`` know of a headline and the first ``begun`` of an article
+    headed = begun = 0
     at, link, size = 0, 0, len(page)
 
     def close(count: int) -> None:
-        nonlocal link, live
+        nonlocal link, headed, begun
         for _ in range(count):
             n, b, a = stack.pop()
             opened[n] -= 1
             link -= n == "a"
             if b is not None:
                 b.end = len(out)
-                live -= 1
+                live.pop()
             if a is not None:
                 a[1] = len(out)
+        headed, begun = min(headed, len(live)), min(begun, len(live))
 
     while at < size:
         m = _TOKEN.search(page, at)
         end = m.start() if m else size
         if end > at:
             text = page[at:end]
-            out.append(("a" if link else "w", text, len(text.split())))
+            out.append(("w" if not link else "i" if opened["article"] or opened["main"] else "a", text, len(text.split())))
         if not m:
             break
         at, name = m.end(), m[2]
@@ -151,25 +164,29 @@ def _scanned(page: str) -> tuple[list[tuple], list[_Block], list[list[int]]]:
             else:
                 out.append((">", name, 0))
             continue
-        if name in ("article", "main", "h1") and live:
-            for _, b, _ in stack:
-                if b is not None:
-                    b.head = b.head or name != "article" or not b.comments
-                    if name != "h1" and b.article < 0 and not b.comments and not b.certain:
-                        b.article = len(out)
+        if name in ("main", "h1"):
+            for b in live[headed:]:
+                b.head = True
+            headed = len(live)
+        if name in ("main", "article"):
+            for b in live[begun:]:
+                b.head = b.head or not b.comments
+                if b.article < 0 and not b.comments and not b.certain:
+                    b.article = len(out)
+            begun = len(live)
         block = article = None
         if name not in VOID:
             certain = name in NEVER
-            outside, comments = (True, False) if certain else _outside(name, attributes, bool(opened["article"] or opened["main"]))
+            outside, comments, soft = (True, False, False) if certain else _outside(name, attributes, bool(opened["article"] or opened["main"]))
             if outside:
-                block = _Block(len(out), name, certain, comments)
+                block = _Block(len(out), name, certain, comments, soft)
                 blocks.append(block)
             if name == "article":
                 article = [len(out), -1]
                 articles.append(article)
         elif name == "input":
             continue
-        out.append(("<", name, 0))
+        out.append(("<", INNER if name == "a" and (opened["article"] or opened["main"]) else name, 0))
         if name in VOID or attributes.endswith("/") and name not in BLOCK and name not in RAW and name != "a":
             if block is not None:
                 block.end = len(out)
@@ -181,7 +198,8 @@ def _scanned(page: str) -> tuple[list[tuple], list[_Block], list[list[int]]]:
         stack.append((name, block, article))
         opened[name] += 1
         link += name == "a"
-        live += block is not None
+        if block is not None:
+            live.append(block)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(page, at)
             at = end.start() if end else size
@@ -193,10 +211,11 @@ def _scanned(page: str) -> tuple[list[tuple], list[_Block], list[list[int]]]:
 
 
 def tokens(page: str) -> tuple[list[tuple], list[tuple[int, int]]]:
-    """(kind, name or text, words): "<" and ">" for tags, "w" for text, "a" for linked text, "x" for a whole
-    block that never is content; and the places of the articles."""
+    """(kind, name or text, words): "<" and ">" for tags, "w" for text, "a" for linked text outside of articles,
+    "x" for a whole block that never is content; and the places of the articles."""
     raw, blocks, articles = _scanned(page)
     before = [0, *itertools.accumulate(n for _, _, n in raw)]
+    linked = [0, *itertools.accumulate(n if kind in "ai" else 0 for kind, _, n in raw)]
     words = lambda b: before[b.end] - before[b.start]
     outer, to = [], 0
     for b in blocks:
@@ -214,6 +233,7 @@ def tokens(page: str) -> tuple[list[tuple], list[tuple[int, int]]]:
         if b is not None and b.start == at and b.end > at:
             n = words(b)
             whole = not b.certain and 2 * n > total and (b.head or (not b.comments and 10 * free < n))
+            whole = whole or (b.soft and n >= PLAIN and 2 * (linked[b.end] - linked[b.start]) < n)
             if not whole:
                 out.append(("x", b.name, 1))
                 for i in range(at, b.end):
@@ -221,7 +241,8 @@ def tokens(page: str) -> tuple[list[tuple], list[tuple[int, int]]]:
                 at = b.end
                 continue
             b = next(left, None)
-        out.append(raw[at])
+        kind, text, n = raw[at]
+        out.append(("w" if kind == "i" else kind, text, n))
         at += 1
     place[len(raw)] = len(out)
     return out, [(place[s], place[e]) for s, e in articles]
@@ -326,8 +347,9 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 
 
 def extract_pages(pages: DataFrame, keep: list[str], labelled: list[str] = LABELLED) -> DataFrame:
-    """The columns ``keep`` with ``_main``."""
+    """The columns ``keep`` with ``_main``. A kept column of that name gets an underscore behind it."""
     weights = fit(labelled)
+    kept = _store.Kept(pages, keep, ["_main"])
 
     def run(batches):
         for batch in batches:
@@ -335,8 +357,7 @@ def extract_pages(pages: DataFrame, keep: list[str], labelled: list[str] = LABEL
             names = [x for x in batch.schema.names if x != "_html"]
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(x)) for x in names], pa.array([extract(x, weights) for x in batch.column(at).to_pylist()], pa.string())], [*names, "_main"])
 
-    types = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
-    return pages.select(*[F.col(f"`{c}`") for c in keep], F.col("html").alias("_html")).mapInArrow(run, f"{types}, _main string")
+    return kept.back(kept.given(pages, F.col("html").alias("_html")).mapInArrow(run, kept.shape("_main string")), "_main")
 
 
 def op10_html_text(spark, sf_dir: str) -> DataFrame:

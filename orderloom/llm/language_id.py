@@ -148,8 +148,9 @@ def best(text: str | None, model: Profiles, size: int = SIZE) -> tuple[str, floa
 
 
 def predict(docs: DataFrame, model, keep: list[str], size: int = SIZE) -> DataFrame:
-    """The columns ``keep`` with ``_lang`` and ``_score``; only the text decides."""
+    """The columns ``keep`` with ``_lang`` and ``_score``; only the text decides. A kept column of one of these names gets an underscore behind it."""
     spark = docs.sparkSession
+    kept = _store.Kept(docs, keep, ["_lang", "_score"])
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
@@ -158,8 +159,7 @@ def predict(docs: DataFrame, model, keep: list[str], size: int = SIZE) -> DataFr
             names = [x for x in batch.schema.names if x != "_text"]
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(x)) for x in names], pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], [*names, "_lang", "_score"])
 
-    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text")).mapInArrow(run, f"{types}, _lang string, _score double")
+    return kept.back(kept.given(docs, F.col("text").alias("_text")).mapInArrow(run, kept.shape("_lang string, _score double")), "_lang", "_score")
 
 
 def held_out() -> Column:

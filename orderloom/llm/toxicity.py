@@ -172,8 +172,9 @@ def train(docs: DataFrame, labels: DataFrame, positive: int = POSITIVE, unlabell
 
 
 def score(docs: DataFrame, model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` with ``_score``."""
+    """The columns ``keep`` with ``_score``. A kept column of that name gets an underscore behind it."""
     spark = docs.sparkSession
+    kept = _store.Kept(docs, keep, ["_score"])
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
@@ -186,8 +187,7 @@ def score(docs: DataFrame, model, keep: list[str]) -> DataFrame:
                 out = _sigmoid(_margin(*features(batch.column(batch.schema.get_field_index("_text"))), weights) + offset)
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(x)) for x in names], pa.array(out)], [*names, "_score"])
 
-    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_text")).mapInArrow(run, f"{types}, _score double")
+    return kept.back(kept.given(docs, F.col("text").alias("_text")).mapInArrow(run, kept.shape("_score double")), "_score")
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:

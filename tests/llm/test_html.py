@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 import itertools
 import random
+import time
 
 import pytest
 
@@ -13,6 +14,8 @@ from orderloom.llm import html_text
 WEIGHTS = html_text.fit()
 LONG = "Words of the article go on and on for a while here, as they do."
 CELLS = "".join("<tr>" + "".join(f"<td>{6 * i + j}</td>" for j in range(6)) + "</tr>" for i in range(10))
+LINKS = "; ".join(f"<a href={i}>Name of {i}</a>" for i in range(20))
+NAMES = "; ".join(f"Name of {i}" for i in range(20))
 NUMBERS = "\n".join(map(str, range(60)))
 PAGES = [
     (None, ""), ("", ""), ("<p>hello", "hello"), ("plain  words\nonly", "plain words only"), ("<br><hr><img src=x>", ""), ("<a href=x>", ""), ("a < b and <", "a < b and <"),
@@ -30,6 +33,11 @@ PAGES = [
     # a form around the page; comments longer than the article; an aside with articles
     (f"<form id=f><div class=nav><a href=1>Home</a></div><h1>T</h1><p>{LONG}</p><input></form>", "T\n" + LONG), (f"<h1>T</h1><p>{LONG}</p><div class=comments>" + f"<p>x {LONG}</p>" * 5 + "</div>", "T\n" + LONG),
     (f"<article><p>{LONG}</p></article><aside><article>Teaser</article></aside>", LONG), (f"<article><p>One<div class=ad>x</div>two {LONG}</p></article>", f"One\ntwo {LONG}"),
+    # lists of links and parts called menu that belong to the article; a menu of links doesn't, nor does a search box
+    (f"<article><h1>List</h1><p>{LINKS}</p><p>Done now.</p></article>", f"List\n{NAMES}\nDone now."),
+    (f"<article><h1>List</h1><ul>{''.join(f'<li>{x}</li>' for x in LINKS.split('; '))}</ul><p>{LONG}</p></article>", "List\n" + NAMES.replace("; ", "\n") + "\n" + LONG),
+    (f"<nav>{LINKS}</nav><article><p>{LONG}</p><section class=menu><p>Soup of the day with bread</p><p>Fish with <a href=p>new potatoes</a></p></section></article>", LONG + "\nSoup of the day with bread\nFish with new potatoes"),
+    (f"<main><div class=menu>{LINKS}</div><div class=search>Search: <input></div><article><p>{LONG}</p></article></main>", LONG),
     (f"<p>{LONG}</p><!-- <p>no</p> --><![CDATA[ x ]]><p style='display: none'>no</p><p hidden>no</p><p aria-hidden=true>no</p><p>end</p>", f"{LONG}\nx\nend"),
 ]
 
@@ -54,6 +62,31 @@ def test_very_long_pages():
         html_text.extract(bad + "<p>x", WEIGHTS)
 
 
+def test_deeply_nested_headings():
+    deep = 20_000
+    for a, b in (("<div>", "<h1>x</h1>"), ("<div class=ad>", "<h1>x</h1>"), ("<div class=ad>", "<article>"), ("<div class=ad>", "<main><h1>x</h1></main>")):
+        at = time.process_time()
+        html_text.extract(a * deep + b * 2000, WEIGHTS)
+        assert time.process_time() - at < 2
+
+
+def test_lists_of_links_and_inner_menus_of_held_out_pages():
+    rng = random.Random(5)
+    right = found = there = 0
+    for _ in range(200):
+        words = lambda a, b: " ".join(rng.choice(VOCABULARY) for _ in range(rng.randint(a, b)))
+        names = [words(1, 4) for _ in range(rng.randint(5, 30))]
+        listed = rng.choice(["<ul>{}</ul>", "<p>{}</p>", "<div>{}</div>"]).format(" ".join((f"<li><a href=x>{x}</a></li>" if rng.random() < 0.5 else f"<a href=x>{x}</a>") for x in names))
+        dishes = [words(4, 12) for _ in range(rng.randint(3, 9))]
+        menu = f"<section class='{rng.choice(['menu', 'lunch-menu', 'menus', 'search'])}'>" + "".join(f"<p>{x}</p>" for x in dishes) + "</section>"
+        lead, end = words(15, 60), words(8, 30)
+        page = f"<ul>{''.join(f'<li><a href=y>{words(1, 2)}</a></li>' for _ in range(8))}</ul><article><h1>{(head := words(3, 6))}</h1><p>{lead}</p>{listed}{menu}<p>{end}</p></article><div class='menu'>{words(3, 9)}</div><footer>{words(3, 9)}</footer>"
+        want = " ".join([head, lead, *names, *dishes, end])
+        a, b = (collections.Counter(x.split()) for x in (html_text.extract(page, WEIGHTS), want))
+        right, found, there = right + (a & b).total(), found + a.total(), there + b.total()
+    assert right >= 0.97 * found and right >= 0.97 * there
+
+
 VOCABULARY = "stone river answers under seven bright the of and a to in is was for old garden letter ocean paint silent tower north".split()
 
 

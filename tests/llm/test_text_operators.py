@@ -169,6 +169,22 @@ def test_decontamination_of_other_ids(spark, block):
     assert got == [(1, 60, 60, "q1", True)] * 2 + [(2, 3, 0, "", False), (3, 61, 60, "q1", True), (4, 0, 0, "", False), (5, 6, 6, "q2", True)]
 
 
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_WORDS, 0])
+def test_kept_columns_of_any_name(spark, block):
+    items = spark.createDataFrame([("q", PASSAGE)], "item_id string, text string")
+    extra = ["_text", "_words", "_Hits", "items", "n_hit", "_keep0", "_lang", "_score", "_score_", "_di", "a`b.c"]
+    df = spark.createDataFrame([("a", PASSAGE, *range(len(extra))), (None, "clean words", *range(len(extra)))], ", ".join(["doc_id string", "text string", *[f"`{c.replace('`', '``')}` int" for c in extra]]))
+    keep = ["doc_id", *extra]
+    got = decontaminate.contamination(decontaminate.mark(df, items, keep, block_words=block))
+    assert got.columns[: len(keep)] == ["doc_id", "_text", "_words_", "_Hits_", "items_", "n_hit_", *extra[5:]]
+    rows = sorted(map(tuple, got.collect()), key=lambda r: str(r[0]))
+    assert [r[1 : len(keep)] for r in rows] == [tuple(range(len(extra)))] * 2 and [r[-1] for r in rows] == [False, True]
+    got = language_id.predict(df, language_id.profiles(df.selectExpr("doc_id", "'x' AS lang", "text")), keep)
+    assert got.columns == ["doc_id", *extra[:6], "_lang_", "_score__", *extra[8:], "_lang", "_score"] and {r[1 : len(keep)] for r in map(tuple, got.collect())} == {tuple(range(len(extra)))}
+    got = toxicity.score(df, None, keep)
+    assert got.columns == ["doc_id", *extra[:7], "_score__", *extra[8:], "_score"] and {tuple(r)[1:] for r in got.collect()} == {(*range(len(extra)), 0.0)}
+
+
 def test_common_windows_are_met_by_broadcast(spark, monkeypatch):
     rows = [(i, prose(f"q{i}", 30) + " " + " ".join(PASSAGE.split()[i % 3 : 40])) for i in range(1300)]
     items = [(i, " ".join(PASSAGE.split()[i : i + 20])) for i in range(12)] + [(99, prose("q5", 14))]
