@@ -11,7 +11,7 @@ from . import contracts
 from .operators import delivery, digests, events, metrics, quality, rules, sessions, sketches, temporal
 from .plans import incremental, outbox, pipeline, serving
 from .settings import Settings
-from .sources import files, fixtures
+from .sources import files, fixtures, requests
 from .sources.fixtures import MESSAGES_SQL, ORDERS_SQL, scratch
 from .sources.versions import VersionedTable
 from .streaming import joins, layers
@@ -273,6 +273,24 @@ def intake(spark, sf_dir):
     return outbox.intake(box, rows.where(early)).unionByName(outbox.intake(box, rows.where(~early))).select("idempotencyKey", "eventId", "answeredId", "replayed", "payloadConflict")
 
 
+def requests_replayed(spark, sf_dir):
+    """Requests as two starts of one stream read them from their log, the second after more came, each beside what a replay of its offset range gives."""
+    root = scratch(spark, "requests")
+    log, seen = f"{root}/log", f"{root}/seen"
+    rows = _requests(spark, sf_dir).withColumn("payload", F.lit("{}"))
+    early = F.col("createdAt") < F.lit("1996-01-01").cast("timestamp")
+    bounds = [{}]
+    for part in (rows.where(early), rows.where(~early)):
+        requests.append(part, log, F.substring_index("idempotencyKey", "-", 1).cast("long") % 4, "idempotencyKey", "eventId")
+        bounds.append(requests.ends(log))
+        writer = requests.stream(spark, log).writeStream.option("checkpointLocation", f"{root}/checkpoint")
+        writer.trigger(availableNow=True).start(seen).awaitTermination()
+    key = ("partition", "offset", "idempotencyKey", "eventId")
+    replayed = [requests.replay(spark, log, *bounds[k : k + 2]).select(*key, F.lit(k + 1).alias("start")) for k in (0, 1)]
+    streamed = spark.read.schema(requests.SCHEMA).parquet(seen).select(*key)
+    return replayed[0].union(replayed[1]).join(streamed.withColumn("streamed", F.lit(1)), [*key], "full").groupBy(*key, "start").agg(F.sum("streamed").alias("streamed"))
+
+
 def consume_once(spark, sf_dir):
     rows = events.trusted_orders(_raw(spark, sf_dir))
     done = fixtures.read(spark, sf_dir, "events").where("event_id % 4 = 0").select(F.concat(F.lit("evt-"), F.col("event_id").cast("string")).alias("eventId"))
@@ -448,7 +466,7 @@ def queries() -> dict:
         quality_metrics, duplicate_rows, quality_failures, reconcile, serving_summary, serving_daily, daily_filtered, daily_location, segment_share, schema_align, snapshot_history,
         as_of, overwrite, idempotent_accept, consume_once, outbox_pending, outbox_settled, dead_letters, order_lookup, request_reasons, stream_silver, stream_minute, stream_consumer,
         reconcile_decisions, gate_decisions, empty_guard, gold_files, gold_summary_file, pipeline_stages, published, page_checks, outbox_published, stream_late,
-        layer_differences, daily_incremental, user_sessions, sales_followed, price_as_of, clicks_in_sales, sketched_customers, sales_cube, intake,
+        layer_differences, daily_incremental, user_sessions, sales_followed, price_as_of, clicks_in_sales, sketched_customers, sales_cube, intake, requests_replayed,
     )
     return {f"q_{f.__name__}": f for f in own}
 
@@ -524,4 +542,8 @@ def oracle_sql() -> dict[str, str]:
         "stream_consumer": f"{m} SELECT eid AS eventId, qty AS quantity, amount AS unitPrice, chan AS channel FROM m WHERE fault NOT IN ('malformed', 'iso', 'zero', 'negative') AND copy = 0",
     }
     out["intake"] = out["idempotent_accept"]
+    out["requests_replayed"] = out["idempotent_accept"].split(", f AS (")[0] + """
+        SELECT CAST(split_part(idempotencyKey, '-', 1) AS BIGINT) % 4 AS partition, row_number() OVER (PARTITION BY CAST(split_part(idempotencyKey, '-', 1) AS BIGINT) % 4
+          ORDER BY createdAt >= TIMESTAMP '1996-01-01', idempotencyKey, eventId) - 1 AS "offset", idempotencyKey, eventId,
+          CASE WHEN createdAt < TIMESTAMP '1996-01-01' THEN 1 ELSE 2 END AS start, CAST(1 AS BIGINT) AS streamed FROM r"""
     return {f"q_{k}": v for k, v in out.items()}
