@@ -8,9 +8,9 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import IntegralType, NullType, StructField, StructType
 
 _own: list[str] = []
 #: Links that a task contracts at once, 16 bytes each.
@@ -73,6 +73,14 @@ def plain(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 
+def long_id(df: DataFrame, name: str) -> Column:
+    """The id as a long. Ids of other types than integers are refused at once, rather than when a task meets one."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, (IntegralType, NullType)):
+        raise TypeError(f"{name} must be of an integer type, not {kind.simpleString()}; number the rows first")
+    return F.col(name).cast("long")
+
+
 class Kept:
     """Columns that pass by an operator, under names of its own on the way, so that any name may be given.
 

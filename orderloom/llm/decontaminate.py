@@ -35,6 +35,8 @@ WIDTH = 5
 #: Bits of a bitmap at most, and for each token.
 BITS = 1 << 31
 BITS_EACH = 32
+#: Words of a bitmap's cell, which one task fills.
+CELL = 1 << 14
 #: Item words whose windows may be broadcast at once: about 13 * 8 bytes each.
 BLOCK_WORDS = 400_000
 _HITS = "_words long, _hits array<struct<s:long,e:long>>, _items array<string>"
@@ -176,16 +178,34 @@ def _index(rows, widths: list[int], rare: dict) -> dict:
     }
 
 
+def _cells(batches):
+    """(cell, bits) of the cells of a bitmap that a task holds."""
+    held: dict = {}
+    for batch in batches:
+        cell, at = (c.to_numpy() for c in batch.columns)
+        order = np.argsort(cell, kind="stable")
+        cell, at = cell[order], at[order]
+        cut = np.flatnonzero(np.diff(cell, prepend=-1))
+        for a, b in zip(cut, np.append(cut[1:], len(cell))):
+            bits = held.setdefault(int(cell[a]), np.zeros(CELL, U))
+            np.bitwise_or.at(bits, at[a:b] >> 6, U(1) << (at[a:b] & 63).astype(U))
+    for cell, bits in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([cell]), pa.array([bits.tobytes()], pa.binary())], ["cell", "bits"])
+
+
 def _bitmap(tokens: DataFrame):
     """A broadcast bitmap of a table of longs; a token's bit may be set by others."""
     spark = tokens.sparkSession
     size = BITS_EACH * max(tokens.count(), 1)
     words = 1 << max(10, min(size.bit_length() - 6, BITS.bit_length() - 7))
     place = F.col("token").bitwiseAND(64 * words - 1)
+    cells = tokens.select(F.shiftright(place, CELL.bit_length() + 5).alias("cell"), place.bitwiseAND(64 * CELL - 1).alias("at"))
     with _store.cleaned(spark):
-        got = tokens.select(F.shiftright(place, 6).alias("w"), F.expr("shiftleft(1L, cast(token & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
-    bits = np.zeros(words, U)
-    bits[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64).view(U)
+        got = cells.repartition(_store.tasks(spark), "cell").mapInArrow(_cells, "cell long, bits binary").collect()  # BITS at most
+    bits = np.zeros(max(words, CELL), U)
+    for r in got:
+        bits[r["cell"] * CELL : (r["cell"] + 1) * CELL] = np.frombuffer(r["bits"], U)
+    bits = bits[:words]
     return spark.sparkContext.broadcast(bits)
 
 
@@ -250,9 +270,8 @@ def _counted(batches):
 
 
 def _joined(docs: DataFrame, windows: DataFrame, kept: _store.Kept, span: int) -> DataFrame:
-    """mark() for any number of windows."""
+    """mark() for any number of windows, which are a table."""
     n = _store.tasks(docs.sparkSession)
-    windows = _store.written(windows, "windows")
     whole = windows.groupBy("size", "hash").agg(F.first("tokens").alias("tokens"))
     whole = _store.written(whole.withColumn("width", (F.col("size") - F.size("tokens") + 1).cast("long")), "windows")
     widths = sorted(r["width"] for r in whole.select("width").distinct().collect())  # at most WIDTH
@@ -292,10 +311,11 @@ def mark(docs: DataFrame, benchmark: DataFrame, keep: list[str], span: int = SPA
     kept = _store.Kept(docs, keep, OWN)
     sc = docs.sparkSession.sparkContext
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
-    windows = items.mapInArrow(lambda b: _windows(b, span, width), "item string, size int, hash long, tokens array<long>")
+    windows = _store.written(items.mapInArrow(lambda b: _windows(b, span, width), "item string, size int, hash long, tokens array<long>"), "windows")
     if windows.count() > block_words:
         return _joined(docs, windows, kept, span)
     rows = windows.collect()
+    _store.dropped(windows)
     widths = sorted({r["size"] - len(r["tokens"]) + 1 for r in rows})
     tokens = sc.broadcast(np.unique(np.array([t for r in rows for t in r["tokens"]], np.int64).view(U)))
     with _store.cleaned(docs.sparkSession):

@@ -12,7 +12,8 @@ shuffle moves the texts once and no order of all documents is ever built in one
 
 Defined results: a null text is empty and has the digest of no bytes; rows with the same doc_id follow
 each other by the hash of their texts; a null doc_id is smaller than all others; a single document is its
-own next; an empty table gives an empty result; other columns are ignored.
+own next; an empty table gives an empty result; other columns are ignored. A doc_id that isn't of an
+integer type is refused (TypeError).
 """
 
 from __future__ import annotations
@@ -124,7 +125,7 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = _store.tasks(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("text"))
+    rows = docs.select(F.coalesce(_store.long_id(docs, "doc_id"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("text"))
     light = _store.written(rows.select("_id", "_th", (F.octet_length("text") + 100).cast("long").alias("_size")), "order")
     total = light.agg(F.sum("_size")).first()[0] or 0
     ends = _ranges.cuts(light, min(max(total // (2 * n), RANGE[0]), RANGE[1]))

@@ -24,7 +24,7 @@ Shingles are compared as 48-bit hashes and sets as 64-bit signatures.
 Defined results: a null, empty or wordless text has an empty set, links with nothing and is its own
 component; a text under ``width`` words has one shingle, its whole sequence; repeated rows are equal
 sets and link; a null doc_id counts as smaller than all others and comes back as null; an empty table
-gives an empty result; other columns are ignored.
+gives an empty result; other columns are ignored. A doc_id that isn't of an integer type is refused (TypeError).
 """
 
 from __future__ import annotations
@@ -397,8 +397,9 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     spark = docs.sparkSession
     sc = spark.sparkContext
     n = _store.tasks(spark)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), "text")
-    noted = texts if key is None else docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), "text", key.alias("key"))
+    own = F.coalesce(_store.long_id(docs, "doc_id"), F.lit(NO_ID)).alias("_id")
+    texts = docs.select(own, "text")
+    noted = texts if key is None else docs.select(own, "text", key.alias("key"))
     facts = _store.written(noted.mapInArrow(lambda b: _facts(b, width), "_id long, n long, sig long" + ("" if key is None else ", key long")), "facts")
 
     shingles = facts.agg(F.sum("n")).first()[0] or 0
@@ -482,10 +483,10 @@ def link_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     named = _store.written(named, "named")
     _store.dropped(found, reps, verts, grouped, crowd, placed, held, linked, *links, *scratch)
     rows = facts.select("_id", "n", "sig", *([] if key is None else ["key"])).join(named, "sig", "left")
-    own = F.when((F.col("n") > 0) & F.col("m").isNotNull(), F.col("m")).otherwise(F.col("_id"))
+    least = F.when((F.col("n") > 0) & F.col("m").isNotNull(), F.col("m")).otherwise(F.col("_id"))
     back = lambda c: F.when(c != NO_ID, c)
     more = [] if key is None else ["key", F.when(F.col("n") > 0, F.coalesce("group", "sig")).alias("group")]
-    return rows.select(back(F.col("_id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(own).alias("component_id"), *more)
+    return rows.select(back(F.col("_id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(least).alias("component_id"), *more)
 
 
 def op3_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ The number of parts follows from the number of windows, so a part's size doesn't
 Defined results: a null or wordless text has no words and loses none; a text under ``length`` words
 has no window; of equal windows the earliest (smallest doc_id, then smallest start) stays; rows that
 repeat a doc_id and its text are judged as one document and get equal results; a null doc_id comes first.
-An empty table gives an empty result. Extra columns are passed through only by ``dedup_substrings``.
+An empty table gives an empty result. A doc_id that isn't of an integer type is refused (TypeError). Extra columns are passed through only by ``dedup_substrings``.
 """
 
 from __future__ import annotations
@@ -235,7 +235,7 @@ def _repeats(batches, length: int):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_th": F.xxhash64("text")})
+    return docs.withColumns({"_id": F.coalesce(_store.long_id(docs, "doc_id"), F.lit(-(2**63))), "_th": F.xxhash64("text")})
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:

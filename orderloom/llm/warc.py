@@ -18,7 +18,7 @@ Defined results: a null payload is empty, and empty payloads equal each other; o
 page_id and payload one is the response (the first by url), the others revisit it; equal rows get record
 ids of their own; a null page_id sorts first and is smaller
 than all others; a null url is written as an empty target; an empty table gives an archive without
-files; other columns are ignored.
+files; other columns are ignored. A page_id that isn't of an integer type is refused (TypeError).
 """
 
 from __future__ import annotations
@@ -196,7 +196,7 @@ def write_archive(pages: DataFrame, root: str, roll: int = ROLL, shard_bytes: in
     fs, path = _file_system(root)
     fs.create_dir(path, recursive=True)
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    keyed = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
+    keyed = pages.select(F.coalesce(_store.long_id(pages, "page_id"), F.lit(NO_ID)).alias("_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
     light = _store.written(keyed.select("_id", "url", F.sha1("payload").alias("digest"), (F.octet_length("payload") + 512).cast("long").alias("_size")), "pages")
     order = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")
     cuts = _ranges.cuts(light.withColumn("_th", order), shard_bytes)

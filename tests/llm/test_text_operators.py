@@ -185,6 +185,23 @@ def test_kept_columns_of_any_name(spark, block):
     assert got.columns == ["doc_id", *extra[:7], "_score__", *extra[8:], "_score"] and {tuple(r)[1:] for r in got.collect()} == {(*range(len(extra)), 0.0)}
 
 
+def test_ids_that_are_no_integers_are_refused(spark):
+    df = spark.createDataFrame([("a", "b", "c")], "doc_id string, text string, html string").withColumn("page_id", F.col("doc_id"))
+    for run in (jaccard_join.link_documents, substring_dedup.dedup_substrings, fingerprints.fingerprint_pairs, lambda x: warc.write_archive(x.withColumn("url", F.lit("u")), "file:///none")):
+        with pytest.raises(TypeError, match="must be of an integer type, not string"):
+            run(df)
+    assert [r.component_id for r in jaccard_join.link_documents(df.withColumn("doc_id", F.lit(3).cast("short"))).collect()] == [3]
+
+
+@pytest.mark.parametrize("n", [0, 3, 100_000])
+def test_bitmap(spark, n):
+    tokens = [int(x) for x in np.random.default_rng(n).integers(-(2**63), 2**63 - 1, n)]
+    bits = decontaminate._bitmap(spark.createDataFrame([(x,) for x in tokens], "token long")).value
+    places = {x & (64 * len(bits) - 1) for x in tokens}
+    assert {64 * int(w) + k for w in np.flatnonzero(bits) for k in range(64) if int(bits[w]) >> k & 1} == places
+    assert len(decontaminate._set(bits, np.array(tokens, np.int64).view(np.uint64))) == n
+
+
 def test_common_windows_are_met_by_broadcast(spark, monkeypatch):
     rows = [(i, prose(f"q{i}", 30) + " " + " ".join(PASSAGE.split()[i % 3 : 40])) for i in range(1300)]
     items = [(i, " ".join(PASSAGE.split()[i : i + 20])) for i in range(12)] + [(99, prose("q5", 14))]
