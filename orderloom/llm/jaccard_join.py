@@ -7,9 +7,15 @@ overlap that the threshold asks for. A pair is a candidate only if it passes und
 the whole sets are compared.
 
 * Equal sets meet as one signature first, so copies never become pairs.
+* Each entry of a bucket carries a sketch of its set: the parity of the tokens that fall on each of 128
+  bits. Two sets differ in at least as many tokens as their sketches differ in bits, so a pair whose
+  sketches differ in more bits than a linked pair's sets may differ in tokens isn't a candidate, whatever
+  the order. That is exact, and is asked of each pair of a bucket before anything is emitted. Sets above
+  ``SKETCHED`` tokens have no sketch, and pass.
 * A token's bucket is cut where sizes leave a gap that no linked pair spans. A piece of up to ``BUCKET``
-  sets yields its pairs packed and pre-counted; all sets of a larger piece are taken for candidates of
-  each other, without the filters of the other orders.
+  sets yields the pairs that pass, packed and pre-counted. In a larger piece, a search along the pairs
+  that pass yields a forest: a link for each set but the first of its tree. Copies are found by the first
+  of them, so a piece of near copies is searched in one pass; one without any is compared pair by pair.
 * Sets that candidates join form clusters, and a cluster is cut into blocks of up to ``BLOCK`` sets, each
   verified in one task by a product. Heads of the linked groups found there are compared in blocks, too.
   That joins most near copies of one text. Then a larger cluster is cut anew, along its components: each
@@ -53,6 +59,8 @@ BLOCK_SHINGLES = 60_000
 GROUP = 4
 #: Sets that hold a frequent shingle, at least.
 OFTEN = 32
+#: Tokens of a set that has a sketch, at most; a pair may differ in 2/9 of its tokens, and chance differs in half of the bits.
+SKETCHED = 256
 #: Words of the candidates' bitmap, 8 bytes each.
 BITS = 1 << 17
 NO_ID = -(2**63)
@@ -88,6 +96,50 @@ def signatures(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return _text.mix(out + sizes.astype(U) * U(0xD6E8FEB86659FD93)).view(np.int64)
 
 
+def sketches(token: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two words of 64 parities each of the tokens of each set, none of them empty; zero for sets that are too large."""
+    bit = _text.mix(token * _SALT[4])
+    flag, upper = U(1) << (bit & U(63)), (bit >> U(6)) & U(1) == 1
+    at = np.cumsum(sizes) - sizes
+    return tuple(np.where(sizes <= SKETCHED, np.bitwise_xor.reduceat(np.where(mine, flag, U(0)), at), U(0)) for mine in (~upper, upper))
+
+
+def near(xa, ya, na, xb, yb, nb, percent: int) -> np.ndarray:
+    """Which pairs' sizes and sketches allow a link."""
+    both = na + nb
+    apart = np.bitwise_count(xa ^ xb).astype(np.int64) + np.bitwise_count(ya ^ yb)
+    small, large = np.minimum(na, nb), np.maximum(na, nb)
+    return (100 * small >= percent * large) & ((apart <= both - 2 * -(-percent * both // (100 + percent))) | (large > SKETCHED))
+
+
+def spanning(sig, x, y, n, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (from, to) that join all sets of a piece that pairs which may link join; sizes rise."""
+    queue: list = []
+    out: tuple = ([], [])
+    at = 0
+    while at < len(sig):
+        if queue:
+            own = queue.pop()
+        else:
+            own = (sig[at], x[at], y[at], n[at])
+            at += 1
+        # sizes rise: what is too small or too large for a link isn't looked at
+        lo = at + int(np.searchsorted(n[at:], -(-percent * own[3] // 100)))
+        hi = at + int(np.searchsorted(n[at:], 100 * own[3] // percent, "right"))
+        hit = near(own[1], own[2], own[3], x[lo:hi], y[lo:hi], n[lo:hi], percent)
+        if hit.any():
+            k = lo + np.flatnonzero(hit)
+            out[0].append(sig[k])
+            out[1].append(np.full(len(k), own[0], U))
+            queue += zip(sig[k], x[k], y[k], n[k])
+            left = np.ones(len(sig), bool)
+            left[:at] = False
+            left[k] = False
+            sig, x, y, n, at = sig[left], x[left], y[left], n[left], 0
+    none = [np.zeros(0, U)]
+    return np.concatenate(out[0] or none), np.concatenate(out[1] or none)
+
+
 def _batch(cols: dict, types: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, types[k]) for k, v in cols.items()], list(cols))
 
@@ -167,6 +219,7 @@ def _prefixes(batches, width: int, percent: int, orders: int, parts: int, heavy)
         if not len(docs):
             continue
         token, doc = keys & _LOW, np.repeat(np.arange(len(docs)), n).astype(U) << U(48)
+        x, y = sketches(token, n)
         rank = np.zeros(len(token), U)
         if len(tokens):
             hit = np.flatnonzero(may[(token & U((1 << 20) - 1)).astype(np.int64)])
@@ -185,7 +238,7 @@ def _prefixes(batches, width: int, percent: int, orders: int, parts: int, heavy)
             for p, k in _dealt(part):
                 d = owner[k]
                 out[0].append(j * parts + p)
-                out[1].append(_text.planes(t[k], 4) + _text.planes(sig[docs[d]], 6) + _text.planes(n[d], 4))
+                out[1].append(_text.planes(t[k], 4) + _text.planes(sig[docs[d]], 6) + _text.planes(n[d], 4) + _text.planes(x[d], 8) + _text.planes(y[d], 8))
         yield _batch({"part": out[0], "blob": out[1]}, {"part": pa.int32(), "blob": pa.binary()})
 
 
@@ -211,28 +264,28 @@ def _grouped(batches):
 
 
 def _pairs(batches, percent: int, parts: int, bucket: int, deal: int):
-    """Packed pairs of small buckets with their counts (kind 0); the members of larger ones (kind 1)."""
+    """Packed pairs of small pieces with their counts (kind 0); the links of larger ones (kind 1)."""
     types = {"part": pa.int32(), "kind": pa.int32(), "blob": pa.binary()}
     for part, blobs in _grouped(batches):
-        cols = [[], [], []]
+        cols = [[] for _ in range(5)]
         for blob in blobs:
-            k, at = len(blob) // 14, 0
-            for c, w in zip(cols, (4, 6, 4)):
-                x, at = _text.unplanes(blob, k, w, at)
-                c.append(x)
-        token, sig, n = (np.concatenate(c) for c in cols)
+            k, at = len(blob) // 30, 0
+            for c, w in zip(cols, (4, 6, 4, 8, 8)):
+                v, at = _text.unplanes(blob, k, w, at)
+                c.append(v)
+        token, sig, n, x, y = (np.concatenate(c) for c in cols)
         del cols
         order = np.argsort(token)
         t = token[order]
         same = np.zeros(len(t) + 1, bool)
         same[1:-1] = t[1:] == t[:-1]
         live = order[same[1:] | same[:-1]]
-        token, sig, n = token[live], sig[live], n[live].astype(np.int64)
+        token, sig, n, x, y = token[live], sig[live], n[live].astype(np.int64), x[live], y[live]
         order = np.lexsort((sig, n, token))
-        token, sig, n = token[order], sig[order], n[order]
+        token, sig, n, x, y = (c[order] for c in (token, sig, n, x, y))
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
-        token, sig, n = token[new], sig[new], n[new]
+        token, sig, n, x, y = (c[new] for c in (token, sig, n, x, y))
         # sizes rise within a token: a gap that is too wide for a link ends a piece
         first = np.ones(len(token), bool)
         first[1:] = (token[1:] != token[:-1]) | (100 * n[:-1] < percent * n[1:])
@@ -240,23 +293,21 @@ def _pairs(batches, percent: int, parts: int, bucket: int, deal: int):
         size = np.diff(np.append(head, len(token)))
         big = size > bucket
         if big.any():
+            trees = [spanning(sig[i : i + k], x[i : i + k], y[i : i + k], n[i : i + k], percent) for i, k in zip(head[big], size[big])]
+            u, v = (np.concatenate(c) for c in zip(*trees))
             out = ([], [])
-            for x, k in zip(head[big], size[big]):
-                members = sig[x + 1 : x + k]
-                salt = _text.mix(members) & U(15)  # one set heads many buckets
-                for v in range(16):
-                    if (mine := members[salt == v]).size:
-                        out[0].append(int(_text.mix(sig[x : x + 1] + U(v << 48))[0] % U(deal)))
-                        out[1].append(_text.planes(np.append(sig[x], mine), 6))
+            for p, k in _dealt((_text.mix(u ^ _text.mix(v)) % U(deal)).astype(np.int64)):
+                out[0].append(p)
+                out[1].append(_text.planes(u[k], 6) + _text.planes(v[k], 6))
             yield _batch({"part": out[0], "kind": [1] * len(out[0]), "blob": out[1]}, types)
         left = np.repeat(np.where(big, 0, size), size) - (np.arange(len(token)) - np.repeat(head, size)) - 1
         lo, hi = [], []
         at, lag = np.flatnonzero(left >= 1), 1
         while len(at):
-            na, nb = n[at], n[at + lag]
-            near = 100 * na >= percent * nb
-            lo.append(at[near])
-            hi.append(at[near] + lag)
+            to = at + lag
+            fit = near(x[at], y[at], n[at], x[to], y[to], n[to], percent)
+            lo.append(at[fit])
+            hi.append(to[fit])
             lag += 1
             at = at[left[at] >= lag]
         if not lo or not sum(map(len, lo)):
@@ -278,7 +329,7 @@ def _pairs(batches, percent: int, parts: int, bucket: int, deal: int):
 
 
 def _candidates(batches, percent: int, orders: int):
-    """(0, a, b): pairs that pass under every order; (1, a, b): the links of large buckets."""
+    """(0, a, b): pairs that pass under every order; (1, a, b): the links of large pieces."""
     types = {"kind": pa.int32(), "a": pa.int64(), "b": pa.int64()}
 
     def settled(blobs):
@@ -299,9 +350,13 @@ def _candidates(batches, percent: int, orders: int):
         return _batch({"kind": np.zeros(len(ok), np.int32), "a": a[ok].view(np.int64), "b": b[ok].view(np.int64)}, types)
 
     def large(blobs):
-        """Links of each member with the first of its bucket."""
-        members = [_text.unplanes(x, len(x) // 6, 6)[0] for x in blobs]
-        pairs = np.stack([np.concatenate([m[1:] for m in members]), np.repeat([m[0] for m in members], [len(m) - 1 for m in members])])
+        """Each link once."""
+        cols = [[], []]
+        for blob in blobs:
+            k = len(blob) // 12
+            for i in range(2):
+                cols[i].append(_text.unplanes(blob, k, 6, 6 * k * i)[0])
+        pairs = np.stack([np.concatenate(c) for c in cols])
         pairs = pairs[:, np.lexsort(pairs)]
         new = np.concatenate(([True], (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)))
         a, b = pairs[:, new].view(np.int64)

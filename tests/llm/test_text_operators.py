@@ -135,6 +135,49 @@ def test_jaccard_large_clusters(spark, monkeypatch, block, bucket):
     assert got == jaccard_join.brute(rows) and len({c for _, c in got.values()}) > 20
 
 
+def templates(count, kinds=40, take=12):
+    rng = random.Random(9)
+    sentences = [" ".join(f"t{i}x{j}" for j in range(9)) for i in range(kinds)]
+    return [(i, " ".join(rng.sample(sentences, take))) for i in range(count)]
+
+
+def test_jaccard_of_texts_from_the_same_sentences(spark, monkeypatch):
+    rows = templates(600, 16) + [(9000 + i, templates(1)[0][1] + f" end{i}") for i in range(120)]
+    monkeypatch.setattr(jaccard_join, "BUCKET", 16)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 24)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.link_documents(frame(spark, rows).repartition(5)).collect()}
+    assert got == jaccard_join.brute(rows) and len({c for _, c in got.values()}) > 500
+
+
+def test_sketches_lose_no_link():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 9, 40, 104, 200, 256, 257, 400):
+        sets = [np.unique(rng.integers(0, 1 << 48, n, dtype=np.uint64))]
+        for _ in range(60):  # sets that lose and win tokens, up to the bound and beyond
+            own = sets[0][rng.random(len(sets[0])) > rng.random() * 0.25]
+            own = np.unique(np.append(own, rng.integers(0, 1 << 48, rng.integers(0, n // 8 + 1), dtype=np.uint64)))
+            sets += [own] if len(own) else []
+        sizes = np.array([len(s) for s in sets])
+        x, y = jaccard_join.sketches(np.concatenate(sets), sizes)
+        order = np.argsort(sizes, kind="stable")
+        u, v = jaccard_join.spanning(np.arange(len(sets), dtype=np.uint64)[order], x[order], y[order], sizes[order], 80)
+        root = list(range(len(sets)))
+
+        def find(k):
+            while root[k] != k:
+                k = root[k]
+            return k
+
+        for a, b in zip(u.tolist(), v.tolist()):
+            root[find(a)] = find(b)
+        for a in range(len(sets)):
+            for b in range(a):
+                shared = len(np.intersect1d(sets[a], sets[b]))
+                if 100 * shared >= 80 * (sizes[a] + sizes[b] - shared):
+                    assert jaccard_join.near(x[a], y[a], sizes[a], x[b], y[b], sizes[b], 80) and find(a) == find(b)
+        assert len(u) == len(set(u.tolist())) < len(sets)
+
+
 def test_jaccard_edges(spark, empty):
     assert jaccard_join.link_documents(empty).count() == 0
     rows = frame(spark, [(5, "a b"), (3, "A  B"), (3, "A  B"), (4, None)])
