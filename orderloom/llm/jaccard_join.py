@@ -229,8 +229,8 @@ def _prefixes(batches, width: int, percent: int, orders: int, parts: int, heavy)
         prefix = n - -(-percent * n // 100) + 1
         take = _text.ragged(np.cumsum(n) - n, prefix)
         owner = np.repeat(np.arange(len(docs)), prefix)
-        out = ([], [])
         for j in range(orders):
+            out = ([], [])
             sorted_ = np.sort(doc | rank | (_text.mix(token * _SALT[j] + U(j)) >> U(22)))
             t = sorted_[take] & _M42
             part = (t % U(parts)).astype(np.int64)
@@ -239,7 +239,7 @@ def _prefixes(batches, width: int, percent: int, orders: int, parts: int, heavy)
                 d = owner[k]
                 out[0].append(j * parts + p)
                 out[1].append(_text.planes(t[k], 4) + _text.planes(sig[docs[d]], 6) + _text.planes(n[d], 4) + _text.planes(x[d], 8) + _text.planes(y[d], 8))
-        yield _batch({"part": out[0], "blob": out[1]}, {"part": pa.int32(), "blob": pa.binary()})
+            yield _batch({"part": out[0], "blob": out[1]}, {"part": pa.int32(), "blob": pa.binary()})
 
 
 def need(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
