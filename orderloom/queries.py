@@ -12,6 +12,7 @@ from .operators import delivery, digests, events, metrics, quality, rules, sessi
 from .plans import incremental, outbox, pipeline, serving
 from .settings import Settings
 from .sources import files, fixtures, requests
+from .sources.known import KnownIds
 from .sources.fixtures import MESSAGES_SQL, ORDERS_SQL, scratch
 from .sources.versions import VersionedTable
 from .streaming import joins, layers
@@ -297,6 +298,18 @@ def consume_once(spark, sf_dir):
     return delivery.consume(rows, done, "kafkaOffset").select("eventId", "kafkaOffset", "quantity", "unitPrice")
 
 
+def consume_indexed(spark, sf_dir):
+    """The batch that consumed each event: three batches of the topic, each against the index of those before it only."""
+    rows, at = events.trusted_orders(_raw(spark, sf_dir)).select("eventId", "kafkaOffset"), scratch(spark, "consumed")
+    known = KnownIds(spark, f"{at}/known")
+    for k in range(3):
+        batch = events.first_of_each(known.fresh(rows.where(F.col("kafkaOffset") % 3 == k), "eventId"), "eventId", "kafkaOffset")
+        batch.withColumn("batch", F.lit(k)).write.parquet(f"{at}/rows/{k}")
+        known.add(spark.read.parquet(f"{at}/rows/{k}"), "eventId", str(k))
+        known.fold()
+    return spark.read.parquet(*[f"{at}/rows/{k}" for k in range(3)])
+
+
 def _outbox(spark, sf_dir):
     return fixtures.read(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderstatus") == "P", delivery.PENDING).otherwise(delivery.PUBLISHED).alias("status"),
@@ -466,7 +479,7 @@ def queries() -> dict:
         quality_metrics, duplicate_rows, quality_failures, reconcile, serving_summary, serving_daily, daily_filtered, daily_location, segment_share, schema_align, snapshot_history,
         as_of, overwrite, idempotent_accept, consume_once, outbox_pending, outbox_settled, dead_letters, order_lookup, request_reasons, stream_silver, stream_minute, stream_consumer,
         reconcile_decisions, gate_decisions, empty_guard, gold_files, gold_summary_file, pipeline_stages, published, page_checks, outbox_published, stream_late,
-        layer_differences, daily_incremental, user_sessions, sales_followed, price_as_of, clicks_in_sales, sketched_customers, sales_cube, intake, requests_replayed,
+        layer_differences, daily_incremental, user_sessions, sales_followed, price_as_of, clicks_in_sales, sketched_customers, sales_cube, intake, requests_replayed, consume_indexed,
     )
     return {f"q_{f.__name__}": f for f in own}
 
@@ -524,6 +537,7 @@ def oracle_sql() -> dict[str, str]:
         "overwrite": f"{o} SELECT eventId, quantity, eventDate, CAST(NULL AS STRING) AS dataQualityStatus FROM o WHERE quantity <= 20",
         "idempotent_accept": "WITH r AS (SELECT CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS idempotencyKey, CAST(l_orderkey AS STRING) || '-' || CAST(l_linenumber AS STRING) || '/' || CAST(l_partkey AS STRING) || '/' || CAST(l_suppkey AS STRING) || '/' || strftime(l_shipdate, '%Y%m%d') || '/' || CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING) || '/' || CAST(CAST(round(l_discount * 100) AS BIGINT) AS STRING) || '/' || CAST(CAST(round(l_tax * 100) AS BIGINT) AS STRING) || '/' || CAST(CAST(l_quantity AS BIGINT) AS STRING) AS eventId, l_shipdate AS createdAt, l_partkey AS h FROM lineitem), f AS (SELECT *, first_value(eventId) OVER w AS answeredId, first_value(h) OVER w AS fh FROM r WINDOW w AS (PARTITION BY idempotencyKey ORDER BY createdAt, eventId)) SELECT idempotencyKey, eventId, answeredId, eventId <> answeredId AS replayed, eventId <> answeredId AND h <> fh AS payloadConflict FROM f",
         "consume_once": f"{m}, {_VALID} SELECT eventId, kafkaOffset, quantity, unitPrice FROM v WHERE kafkaOffset % 2 = 0 AND (kafkaOffset // 2) % 4 <> 0",
+        "consume_indexed": f"{m}, {_VALID} SELECT eventId, min(kafkaOffset) AS kafkaOffset, CAST(kafkaOffset % 3 AS INTEGER) AS batch FROM v WHERE (eventId, kafkaOffset % 3) IN (SELECT (eventId, min(kafkaOffset % 3)) FROM v GROUP BY eventId) GROUP BY eventId, kafkaOffset % 3",
         "outbox_pending": "SELECT CAST(o_orderkey AS STRING) AS id, CAST(o_orderdate AS DATE) AS created FROM orders WHERE o_orderstatus = 'P' ORDER BY o_orderdate, CAST(o_orderkey AS STRING) LIMIT 50",
         "outbox_settled": "SELECT CASE WHEN o_orderstatus = 'P' AND o_orderkey % 3 = 0 THEN 'PENDING' ELSE 'PUBLISHED' END AS status, CASE WHEN o_orderstatus = 'P' AND o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS attempts, CASE WHEN o_orderstatus = 'P' AND o_orderkey % 3 = 0 THEN 2000 END AS error_chars, o_orderstatus = 'P' AND o_orderkey % 3 <> 0 AS stamped, count(*) AS n FROM orders GROUP BY 1, 2, 3, 4",
         "dead_letters": f"{m} SELECT 'retail.orders.DLT' AS topic, part AS partition, CAST(event_id AS STRING) AS key, payload AS value, CASE fault WHEN 'malformed' THEN 'eventId_missing,occurredAt_missing,quantity_not_positive,unitPrice_not_positive' WHEN 'iso' THEN 'occurredAt_missing' WHEN 'zero' THEN 'quantity_not_positive' ELSE 'unitPrice_not_positive' END AS reasons FROM m WHERE fault IN ('malformed', 'iso', 'zero', 'negative') OR amount <= 0",
