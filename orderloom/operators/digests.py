@@ -72,8 +72,10 @@ def differences(first: DataFrame, second: DataFrame, key: list[str]) -> DataFram
     spark = first.sparkSession
     few = F.broadcast(spark.createDataFrame([(x,) for x in leaves], "_leaf int"))  # at most 65536 numbers
     a, b = (df.select(*names).withColumn("_leaf", _leaf(key)).join(few, "_leaf", "left_semi").drop("_leaf") for df in (first, second))
-    gone, come = a.exceptAll(b), b.exceptAll(a)
-    sides = gone.select(*key, F.lit(1).alias("g"), F.lit(0).alias("c")).unionAll(come.select(*key, F.lit(0).alias("g"), F.lit(1).alias("c")))
+    # copies of a row on either side, from one shuffle; F.count of a null counts nothing
+    both = a.withColumns({"_a": F.lit(1), "_b": F.lit(None).cast("int")}).unionByName(b.withColumns({"_a": F.lit(None).cast("int"), "_b": F.lit(1)}))
+    copies = both.groupBy(*names).agg((F.count("_a") - F.count("_b")).alias("_more")).where("_more <> 0")
+    sides = copies.select(*key, F.greatest("_more", F.lit(0)).alias("g"), F.greatest(-F.col("_more"), F.lit(0)).alias("c"))
     each = sides.groupBy(*key).agg(F.sum("g").alias("gone"), F.sum("c").alias("come"))
     kind = F.when((F.col("gone") > 0) & (F.col("come") > 0), CHANGED).when(F.col("gone") > 0, LOST).otherwise(EXTRA)
     return each.select(*key, kind.alias("kind"), "gone", "come")

@@ -26,6 +26,15 @@ def test_digests_tell_nulls_copies_and_keys(spark):
         digests.unequal_leaves(first, second.drop("b"), ["id"])
 
 
+def test_differences_scan_each_layer_once(spark, tmp_path):
+    """Beside the scans for the digests: rows of the leaves that differ come from one scan and one shuffle of each layer."""
+    for name, more in (("a", 0), ("b", 1)):
+        spark.range(50).select(F.col("id").cast("string"), (F.col("id") % 7 + more).alias("x")).write.parquet(f"file://{tmp_path}/{name}")
+    df = digests.differences(*(spark.read.parquet(f"file://{tmp_path}/{x}") for x in "ab"), ["id"])
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+    assert df.groupBy("kind").count().collect()[0].asDict() == {"kind": "changed", "count": 50}
+
+
 def orders(spark, *rows):
     return spark.createDataFrame([(f"e{i}", DAY + dt.timedelta(d), "WEB", "SP", 1, r) for i, d, r in rows], "eventId string, eventDate date, channel string, location string, quantity int, revenue int").withColumn("revenue", F.col("revenue").cast("decimal(19,2)"))
 
