@@ -20,9 +20,9 @@ from dataclasses import dataclass
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 FORMAT = "request_log"
@@ -193,20 +193,39 @@ def _written(batches, path: str, rows: int):
         yield put(pa.Table.from_batches(held))
 
 
+def _ranged(requests: DataFrame, partition: Column, order: tuple[str, ...], n: int) -> DataFrame:
+    """The requests with their log partition along n ranges of (partition, order), a task each; ``_id`` counts them within their range."""
+    more = {c: f"_by_{c}" for c in order if c not in _ARROW.names[2:]}
+    by = ["partition", *[more.get(c, c) for c in order]]
+    rows = requests.select(partition.cast("int").alias("partition"), *_ARROW.names[2:], *[F.col(c).alias(name) for c, name in more.items()])
+    return rows.repartitionByRange(n, *by).sortWithinPartitions(*by).drop(*more.values()).withColumn("_id", F.monotonically_increasing_id())
+
+
 def append(requests: DataFrame, path: str, partition: Column, *order: str, rows: int = FILE_ROWS) -> int:
     """Adds requests (idempotencyKey, eventId, createdAt, payloadHash, payload) behind what each partition holds, in ``order``; returns the number of files.
+    ValueError for requests without a partition.
 
     One append at a time. One that is given up halfway leaves some of its requests; appended again, they come twice, which intake answers by their keys.
     """
     spark = requests.sparkSession
     at, folder = fs.FileSystem.from_uri(path)
     at.create_dir(folder, recursive=True)
-    base = F.lit(0).cast("long")
-    for p, end in ends(path).items():
-        base = F.when(F.col("partition") == p, F.lit(end)).otherwise(base)
-    nth = F.row_number().over(W.partitionBy("partition").orderBy(*order)).cast("long") - 1
-    kept = requests.withColumn("partition", partition.cast("int")).withColumn("_nth", nth)
-    kept = kept.select("partition", (F.col("_nth") + base).alias("offset"), *_ARROW.names[2:], F.expr(f"_nth div {rows}").alias("chunk"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = kept.repartition(n, "partition", "chunk").sortWithinPartitions("partition", "chunk", "offset")
-    return dealt.mapInArrow(lambda b: _written(b, path, rows), "file string").count()
+    # ranges come from a sample, so they are kept: counting and numbering need the same ones
+    kept = _ranged(requests, partition, order, n).persist(StorageLevel.DISK_ONLY)
+    try:
+        ranged = kept.withColumn("_range", F.shiftright("_id", 33))
+        held, before, shift = ends(path), {}, []
+        for r in ranged.groupBy("partition", "_range").agg(F.count("*").alias("rows"), F.min("_id").alias("first")).orderBy("partition", "_range").collect():  # n and one a partition at most
+            p = r["partition"]
+            if p is None:
+                raise ValueError("some requests have no partition")
+            shift.append((p, r["_range"], before.get(p, 0) - r["first"], held.get(p, 0)))
+            before[p] = before.get(p, 0) + r["rows"]
+        base = F.broadcast(spark.createDataFrame(shift, "partition int, _range long, _shift long, _held long"))
+        nth = F.col("_id") + F.col("_shift")
+        numbered = ranged.join(base, ["partition", "_range"]).select("partition", (nth + F.col("_held")).alias("offset"), *_ARROW.names[2:], F.expr(f"(_id + _shift) div {rows}").alias("chunk"))
+        dealt = numbered.repartition(n, "partition", "chunk").sortWithinPartitions("partition", "chunk", "offset")
+        return dealt.mapInArrow(lambda b: _written(b, path, rows), "file string").count()
+    finally:
+        kept.unpersist()

@@ -109,3 +109,17 @@ def test_a_given_up_append_is_answered_once(spark, log):
     answers = delivery.accept(read, known, "partition", "offset")
     assert read.count() == 103 and sorted(r.eventId for r in delivery.accepted(answers).collect()) == sorted(f"e{i}" for i in range(98))
     assert answers.where("payloadConflict").count() == 0
+
+
+def test_one_partition_is_numbered_along_ranges(spark, tmp_path):
+    """One log partition for all requests: no task sorts more than its share, and offsets run through the ranges."""
+    path, df = f"file://{tmp_path}/one", rows(spark, 0, 4000).repartition(3)
+    most = requests._ranged(df, F.lit(0), ("id",), 8).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < 1500
+    assert requests.append(df.where("id < 1500"), path, F.lit(0), "id", rows=1000) == 2 and requests.append(df.where("id >= 1500"), path, F.lit(0), "id", rows=1000) == 3
+    assert got(requests.replay(spark, path)) == [(0, k, f"e{k}") for k in range(4000)]
+
+
+def test_requests_without_a_partition_are_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="requests have no partition"):
+        requests.append(rows(spark, 0, 4), f"file://{tmp_path}/none", F.when(F.col("id") > 1, 0), "id")
