@@ -49,11 +49,11 @@ def accepted(answers: DataFrame) -> DataFrame:
     return answers.where(~F.col("replayed"))
 
 
-def outbox_entries(created: DataFrame) -> DataFrame:
-    """Pending outbox rows for accepted requests (eventId, createdAt, payload)."""
+def outbox_entries(created: DataFrame, *keep: str) -> DataFrame:
+    """Pending outbox rows for accepted requests (eventId, createdAt, payload), beside the columns ``keep``."""
     return created.select(
         F.col("eventId").alias("id"), F.lit(AGGREGATE).alias("aggregateType"), F.col("eventId").alias("aggregateId"), F.lit(EVENT_TYPE).alias("eventType"), "payload",
-        F.lit(PENDING).alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("lastError"), "createdAt", F.lit(None).cast("timestamp").alias("publishedAt"),
+        F.lit(PENDING).alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("lastError"), "createdAt", F.lit(None).cast("timestamp").alias("publishedAt"), *keep,
     )
 
 

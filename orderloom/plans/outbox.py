@@ -116,8 +116,7 @@ def intake(store: Outbox, requests: DataFrame, tries: int = 5) -> DataFrame:
             seen = store.entries.current()
             answers = accept(requests, store.keys())
         answers = answers.persist()
-        new = accepted(answers)
-        rows = outbox_entries(new.select("eventId", "createdAt", "payload")).join(new.select(F.col("eventId").alias("id"), *KEYS), "id")
+        rows = outbox_entries(accepted(answers), *KEYS)
         try:
             store.add(rows, seen)
             return answers

@@ -454,3 +454,11 @@ def test_random_events_against_a_plain_model(spark):
             want.setdefault(e["eventId"], D(str(e["unitPrice"])) * e["quantity"])
     got = events.first_of_each(events.trusted_orders(raw(spark, *payloads)), "eventId", "kafkaOffset").collect()
     assert {r.eventId: r.revenue for r in got} == {k: v.quantize(D("0.01")) for k, v in want.items()}
+
+
+def test_intake_stores_each_accepted_request_once(spark, tmp_path):
+    """Two requests without a key that name one event: two entries, as many as were accepted."""
+    store = outbox.Outbox(spark, f"file://{tmp_path}/outbox")
+    t = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    outbox.intake(store, spark.createDataFrame([(None, "e", t, 1, "{}"), (None, "e", t, 2, "{}"), ("k", "f", t, 3, "{}")], "idempotencyKey string, eventId string, createdAt timestamp, payloadHash long, payload string"))
+    assert sorted((r.id, r.payloadHash) for r in store.entries.read().collect()) == [("e", 1), ("e", 2), ("f", 3)]
