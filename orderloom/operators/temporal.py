@@ -16,25 +16,27 @@ def as_of(events: DataFrame, versions: DataFrame, key: str, at: str, since: str,
     A null key or instant has no version.
     """
     bucket = F.date_trunc("month", "_t") if bucket is None else bucket
-    value = F.struct(*values)
-    v = versions.where(F.col(key).isNotNull() & F.col(since).isNotNull()).select(F.col(key).alias("_k"), F.col(since).alias("_t"), value.alias("_v")).withColumn("_b", bucket)
-    e = events.withColumns({"_k": F.col(key), "_t": F.col(at)}).withColumn("_b", bucket)
-
-    last = v.groupBy("_k", "_b").agg(F.max(F.struct("_t", "_v")).alias("_last"))
-    wanted = e.where("_k is not null and _b is not null").select("_k", "_b").distinct()
-    both = last.join(wanted, ["_k", "_b"], "full")
+    v = versions.where(F.col(key).isNotNull() & F.col(since).isNotNull()).select(F.col(key).alias("_k"), F.col(since).alias("_t"), F.struct(*values).alias("_v")).withColumn("_b", bucket)
+    known = F.col(key).isNotNull() & F.col(at).isNotNull()
+    # the key and the instant travel once
+    rest = [c for c in events.columns if c not in (key, at)]
+    e = events.where(known).select(F.col(key).alias("_k"), F.col(at).alias("_t"), F.struct(F.lit(True), *[F.col(f"`{c}`") for c in rest]).alias("_e")).withColumn("_b", bucket)
+    none = F.lit(None).cast(v.schema["_v"].dataType)
+
+    # what there is of each range, by one shuffle of at most a row a range and task
+    last = F.struct("_t", "_v")
+    both = v.select("_k", "_b", last.alias("_l")).unionByName(e.select("_k", "_b", F.lit(None).cast(v.select(last.alias("_l")).schema["_l"].dataType).alias("_l"))).groupBy("_k", "_b").agg(F.max("_l").alias("_last"))
     earlier = F.last("_last", ignorenulls=True).over(W.partitionBy("_k").orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
-    carried = both.select("_k", "_b", earlier.alias("_carry")).where("_carry is not null")
-
-    shape = events.columns
-    rows = e.select("_k", "_t", "_b", F.struct(*[F.col(f"`{c}`") for c in shape]).alias("_e"), F.lit(None).cast(v.schema["_v"].dataType).alias("_v"))
-    rows = rows.unionByName(v.withColumn("_e", F.lit(None).cast(rows.schema["_e"].dataType)))
-    # null keys and instants lie apart, by row
-    rows = rows.withColumn("_apart", F.when(F.col("_k").isNull() | F.col("_t").isNull(), F.xxhash64("_e")))
-    within = W.partitionBy("_k", "_b", "_apart").orderBy("_t", F.col("_e").isNotNull(), "_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    carried = both.select("_k", "_b", earlier.getField("_v").alias("_carry")).where("_carry is not null")
+
+    rows = e.withColumn("_v", none).unionByName(v.withColumn("_e", F.lit(None).cast(e.schema["_e"].dataType)))
+    # the window's partitions are the join's, so its rows aren't shuffled again
+    within = W.partitionBy("_k", "_b").orderBy("_t", F.col("_e").isNotNull(), "_v").rowsBetween(W.unboundedPreceding, W.currentRow)
     filled = rows.withColumn("_v", F.last("_v", ignorenulls=True).over(within)).where("_e is not null")
-    out = filled.join(carried, ["_k", "_b"], "left").withColumn("_v", F.coalesce("_v", F.col("_carry._v")))
-    return out.select("_e.*", *[F.col(f"_v.{c}").alias(c) for c in values])
+    out = filled.join(carried, ["_k", "_b"], "left").withColumn("_v", F.coalesce("_v", "_carry"))
+    shape = [(F.col("_k") if c == key else F.col("_t") if c == at else F.col(f"_e.`{c}`")).alias(c) for c in events.columns]
+    answered = out.select(*shape, *[F.col(f"_v.{c}").alias(c) for c in values])
+    return answered.union(events.where(~known).select("*", *[F.lit(None).cast(v.schema["_v"].dataType[c].dataType).alias(c) for c in values]))
 
 
 def range_join(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, stop: str, width: int) -> DataFrame:

@@ -122,3 +122,14 @@ def test_requests_without_a_key_do_not_meet(spark):
     assert out.where("idempotencyKey is null and not replayed and answeredId = eventId").count() == 50
     plain = delivery.accept(rows.where("idempotencyKey is null"), rows.limit(0)).where("idempotencyKey is null")
     assert plain.count() == 50
+
+
+def test_as_of_shuffles_events_once(spark):
+    """Four shuffles: what ranges hold, along keys, what is carried, and the rows; columns keep their places."""
+    events = spark.createDataFrame([(1, "a", 5), (2, None, 5), (3, "a", None)], "n int, key string, t int").select("n", "key", F.timestamp_seconds("t").alias("t"), "n")
+    prices = spark.createDataFrame([("a", 1, 10)], "key string, since int, n int").withColumn("since", F.timestamp_seconds("since"))
+    out = temporal.as_of(events.toDF("n", "key", "t", "m"), prices, "key", "t", "since", ["n"])
+    assert out.columns == ["n", "key", "t", "m", "n"]
+    assert sorted((r[0], r[1], r[3], r[4]) for r in out.collect()) == [(1, "a", 1, 10), (2, None, 2, None), (3, "a", 3, None)]
+    assert out._jdf.queryExecution().sparkPlan().toString().count("Join") == 1
+    assert temporal.as_of(events.toDF("n", "key", "t", "m"), prices, "key", "t", "since", ["n"])._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(_k") <= 4
