@@ -15,7 +15,9 @@ from pyspark.sql.types import IntegralType, NullType, StructField, StructType
 _own: list[str] = []
 #: Links that a task contracts at once, 16 bytes each.
 CHUNK = 2_000_000
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Shuffle files go at a query's end. Batches that Python gets hold so many bytes at most, whatever their rows hold: an executor has one in
+#: its JVM, outside the heap, and one in Python for each task and each of its Python steps.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,13 +38,15 @@ def place(spark: SparkSession, name: str) -> str:
 
 @contextmanager
 def cleaned(spark: SparkSession):
-    """Queries that are made and run within it remove their shuffle files at their end; the setting is put back."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    """Queries that are made and run within it remove their shuffle files at their end and pass Python small batches; the settings are put back."""
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -41,6 +41,8 @@ FAN = 64
 #: Standard deviation up to which a draw inverts the distribution; beyond, it is a rejection sample. Both are exact.
 INVERTED = 50
 ATTEMPTS = 64
+#: Rows of up to FAN parts that a task draws, at least, if there are more.
+ROWS = 16
 SEED = 20240917
 #: White space of the word rule, and a run of it.
 BLANKS = " \t\n\x0b\f\r"
@@ -170,6 +172,11 @@ def _shares(parts: Column, draws: Column, *key: Column) -> Column:
     return F.aggregate(parts, start, draw, lambda a: a["left"])
 
 
+def _few(table: DataFrame) -> DataFrame:
+    """In as many parts as its rows give tasks work: a draw's expression is large, and every task of its stage unpacks it, with rows or without."""
+    return table.repartition(max(1, min(_store.tasks(table.sparkSession), -(-table.count() // ROWS))))
+
+
 def split_quotas(quotas: DataFrame, levels: int = SHARD_LEVELS, fan: int = FAN) -> DataFrame:
     """(key, cuts): where along a key's taken blocks each of the 2^levels shards ends. quotas: (key, q); a source's keys are 64 apart."""
     bits = (fan - 1).bit_length()
@@ -180,22 +187,22 @@ def split_quotas(quotas: DataFrame, levels: int = SHARD_LEVELS, fan: int = FAN)
     # one expression for all levels: putting it together takes the driver longer than a level's draws
     left = _shares(F.col("parts"), F.col("draws"), F.col("level"), F.col("height"), F.col("node"))
     leaves = quotas.groupBy(F.floor(F.col("key") / (64 << bits)).alias("g")).agg(F.sort_array(F.collect_list(part)).alias("parts")).withColumn("node", F.lit(0).cast("long"))
+    leaves = _store.written(leaves, "tree")
     for level in range(levels):
-        if heights > 1:
-            leaves = _store.written(leaves, "tree")
         tiers = [leaves.select("node", "g", "parts")]
         for _ in range(heights - 1):
             up = tiers[-1].select("node", F.floor(F.col("g") / (1 << bits)).alias("up"), F.struct(F.col("g").alias("key"), summed("parts").alias("q")).alias("part"))
             tiers.append(up.groupBy("node", F.col("up").alias("g")).agg(F.sort_array(F.collect_list("part")).alias("parts")))
         drawn = tiers[-1].withColumn("draws", F.floor(summed("parts") / 2).cast("long"))
+        drawn = _few(drawn if heights == 1 else _store.written(drawn, "tree"))
         for height, tier in reversed(list(enumerate(tiers))):
             if height < heights - 1:
                 below = drawn.select("node", F.explode(F.arrays_zip("parts", "left")).alias("x")).select("node", F.col("x.parts.key").alias("g"), F.col("x.left").alias("draws"))
-                drawn = tier.join(below, ["node", "g"])
+                drawn = _few(_store.written(tier.join(below, ["node", "g"]), "tree"))
             drawn = drawn.withColumns({"level": F.lit(level), "height": F.lit(height)}).withColumn("left", left)
         give = lambda q: F.zip_with("parts", "left", lambda p, x: F.struct(p["key"].alias("key"), q(p["q"], x).alias("q")))
         halves = F.array(F.struct((2 * F.col("node")).alias("node"), give(lambda q, x: x).alias("parts")), F.struct((2 * F.col("node") + 1).alias("node"), give(lambda q, x: q - x).alias("parts")))
-        leaves = drawn.select("g", F.explode(halves).alias("half")).select("g", "half.node", "half.parts")
+        leaves = _store.written(drawn.select("g", F.explode(halves).alias("half")).select("g", "half.node", "half.parts"), "tree")
     each = leaves.select("node", F.explode("parts").alias("e")).select("node", "e.key", "e.q")
     upto = F.sum("q").over(W.partitionBy("key").orderBy("node"))
     return each.withColumn("to", upto).groupBy("key").agg(F.transform(F.sort_array(F.collect_list(F.struct("node", "to"))), lambda x: x["to"]).alias("cuts"))

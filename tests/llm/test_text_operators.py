@@ -11,10 +11,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from orderloom.llm import decontaminate, fingerprints, jaccard_join, language_id, licenses, mixing, queries, substring_dedup, toxicity, warc
+from orderloom.llm import _store, decontaminate, fingerprints, jaccard_join, language_id, licenses, mixing, queries, substring_dedup, toxicity, warc
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, _id string, part string, sig string, n string, low string, c string, hits string, size string, key string, shard string, _text string"
 CORE = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -323,6 +324,32 @@ def test_split_is_exact(spark, fan):
     assert {r.key: r.cuts for r in mixing.split_quotas(q.repartition(7), 3, fan).collect()} == cuts
 
 
+@pytest.mark.parametrize("fan", [64, 4])
+def test_draws_take_few_tasks(spark, monkeypatch, fan):
+    """The draw's expression stands on tables, in as many parts as their rows need, not in a stage of the shuffle's width."""
+    drawn = []
+    monkeypatch.setattr(mixing, "_few", lambda t, f=mixing._few: drawn.append(f(t)) or drawn[-1])
+    q = spark.createDataFrame([(64 * i + p, 5 + i + p) for i in range(90) for p in range(2)], "key long, q long")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        cuts = mixing.split_quotas(q, 3, fan)
+        assert "xxhash64" not in cuts._jdf.queryExecution().optimizedPlan().toString()
+        assert drawn and all(d.rdd.getNumPartitions() == max(1, min(40, -(-d.count() // mixing.ROWS))) for d in drawn)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_batches_for_python_are_small(spark):
+    count = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    rows = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text")).mapInArrow(count, "n long")
+    got = [r.n for r in _store.written(rows, "batches").collect()]
+    assert sum(got) == 4000 and max(got) <= 900
+    assert spark.conf.get(key, None) == before
+
+
 def test_many_sources(spark):
     rng = random.Random(5)
     rows = [(i, " ".join(["w"] * rng.randint(0, 30)), f"s{int(rng.paretovariate(0.4)) % 700}é") for i in range(4000)]
