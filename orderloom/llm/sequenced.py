@@ -27,6 +27,7 @@ are ignored.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -206,6 +207,13 @@ class Applier:
         self._stream()
         if rows is not None:
             self._advance()
+        self._freed()
+
+    def _freed(self) -> None:
+        """Gives back what a start leaves on the driver. Plans, broadcasts and shuffles are held from Python until its garbage is collected, and
+        a driver's heap grows to its limit before it collects what has become old."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
     def _stream(self) -> None:
         """The query over what was added, on its checkpoint; the session's settings are put back."""

@@ -47,6 +47,15 @@ def test_changes_of_a_huge_client_and_awkward_rows(spark):
     assert before == (spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get(f"{sequenced._STATE}.unloadOnCommit", None))
 
 
+def test_each_start_frees_the_driver(spark):
+    """A whole collection after each of the two starts, so that what they leave doesn't grow the driver's heap."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    df, before = changes(spark, [(i, 1, i, "I", dt.datetime(2024, 1, 1), "s", "t", "a", 1.0) for i in range(5)]), whole()
+    assert sequenced.apply_changes(df, batches=1).count() == 5
+    assert whole() >= before + 2
+
+
 def test_changes_of_an_empty_table(spark):
     assert sequenced.apply_changes(changes(spark, []).limit(0), batches=1).count() == 0
 
