@@ -324,6 +324,13 @@ def test_split_is_exact(spark, fan):
     assert {r.key: r.cuts for r in mixing.split_quotas(q.repartition(7), 3, fan).collect()} == cuts
 
 
+def test_refused_pages_leave_no_folder(spark, tmp_path):
+    df = spark.createDataFrame([("a", "u", "h")], "page_id string, url string, html string")
+    with pytest.raises(TypeError, match="must be of an integer type"):
+        warc.write_archive(df, f"file://{tmp_path}/archive")
+    assert not (tmp_path / "archive").exists()
+
+
 @pytest.mark.parametrize("fan", [64, 4])
 def test_draws_take_few_tasks(spark, monkeypatch, fan):
     """The draw's expression stands on tables, in as many parts as their rows need, not in a stage of the shuffle's width."""
