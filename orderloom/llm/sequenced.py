@@ -1,23 +1,24 @@
 """Sequenced change applier: changes that carry a running number per client are applied in order, late ones held back.
 
 ``Applier.feed`` takes a batch of changes (client, number n, day, ...) to a stateful Structured Streaming query, started anew for each
-batch on one checkpoint. Numbers are divided into pages of ``PAGE``. The state is a MapState: a page of a group of about ``CLIENTS``
-clients is one Arrow blob of held changes, with its earliest day. A task loads and writes only the pages that its rows touch, and
-pages of one client lie under many keys, so a huge client is spread over all tasks.
+batch on one checkpoint. Its keys are slots. A client whose changes lie in one range partition of (client, number) belongs to a slot by
+its hash; the state has the slot's held changes and each client's pointer (its next number). A client over several ranges has a slot
+for each of them, and the state the held changes of that range only.
 
-The pointers (each client's next number) follow from what the pages report, by joins and aggregates over (client, page):
-
-* At a batch's end the next number is the first that isn't held from the pointer on: in the pointer's page, or behind the
-  run of full pages that starts there.
+* At a batch's end the pointer is the first number that isn't held from it on.
 * At the next batch's start, a held change whose day + ``grace`` isn't after the largest day so far pulls the pointer over the gaps
   before it. That repeats as long as there is one, so the pointer ends behind the run that holds the largest number of them.
-* Pages below the pointer, and pages with a day that falls due, get a control row with the next batch; they hand out what is applied.
+* Both follow from a slot's rows, where it has all of a client. Of a client over several ranges, each range reports where its first gap
+  is, the largest number that is due and the gap behind that; the driver goes along these (a row a range, and two ranges a partition
+  at most) and sends the pointer with the next batch. So a start is one write, one shuffle to the state, and no join of what is held.
+* Each slot gets a control row with each batch, so that it hands out what is applied even if it has no change there.
 
 Of equal numbers, the first by batch, day and change id is held, unless the pointer has passed it; the others are rejected. So the
 changes of one number in one batch are settled before the state is asked, and rows of a batch need no order.
 
 ``dense_ranks`` and ``effects`` scan rows in order of (client, number) in range partitions; what a partition needs of those before it
-is a row a partition. Nothing that grows with the input goes through one task, to the driver or into a broadcast.
+is a row a partition. Nothing that grows with the input goes through one task, to the driver or into a broadcast; of more rows,
+ranges and slots become more, not larger (``RANGE``, ``SLOT``).
 
 Defined results: repeated rows are one; a null client_id is a client of its own (shared with -2^63); a null seq ranks first; rows without
 change_id or valid_at vanish; an op other than I and D, or null, is U; a day before the first batch's belongs to it; NaN and infinite
@@ -28,7 +29,7 @@ are ignored.
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,11 +41,13 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from . import _store
 
-PAGE = 128
-CLIENTS = 32
-GRACE = 3
-#: Keys of the stateful query a task.
+#: Rows of a range partition, and changes of a slot, that are aimed at where there are many; SLOTS are there a task at least.
+RANGE = 500_000
+SLOT = 200_000
 SLOTS = 3
+#: Held changes of a state entry.
+PIECE = 50_000
+GRACE = 3
 NO_ID = -(2**63)
 ALL = 2**62
 _STATE = "spark.sql.streaming.stateStore"
@@ -55,10 +58,13 @@ STATE = {
 }
 
 HELD = "cid long, m long, day int, change_id long, op string, city string, balance double"
-#: kind 0 is a change, 1 touches a page; q and p are the client's pointers at the end of the last batch and now; due is the largest day that is due next.
-INPUT = f"slot long, kind int, g long, page long, first boolean, {HELD}, q long, p long, due int, run int"
-OUTPUT = f"{HELD}, batch int, page long, held long, lead long, last_due long, gap long, earliest int, at int, kind string, run int"
+#: kind 0 is a change, 1 a slot's control row (p: the pointer of all its clients is there at least), 2 the pointers of a client over several
+#: ranges, at the end of the last batch (q) and now (p), with the range's first number (m). due is the largest day that is due next.
+INPUT = f"slot long, kind int, first boolean, {HELD}, q long, p long, due int, run int"
+OUTPUT = f"{HELD}, batch int, slot long, lead long, last_due long, gap long, kind string, run int"
 _HELD = [f.split(" ")[0] for f in HELD.split(", ")]
+_OUT = [f.split(" ")[0] for f in OUTPUT.split(", ")]
+_WHOLE = {c: "int64" for c in ("cid", "m", "change_id", "slot", "lead", "last_due", "gap")} | {c: "int32" for c in ("day", "batch", "run")}
 _SCHEMA = pa.schema(list(zip(_HELD, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.float64()))))
 
 
@@ -70,13 +76,10 @@ def _blob(rows: pd.DataFrame) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _rows(blobs: dict) -> pd.DataFrame:
-    """All rows of the blobs, with their keys."""
-    tables = [pa.ipc.open_stream(b).read_all() for b in blobs.values()]
-    rows = pa.concat_tables(tables) if tables else _SCHEMA.empty_table()
-    counts = [t.num_rows for t in tables]
-    keys = np.array(list(blobs), np.int64).reshape(-1, 2).repeat(counts, axis=0)
-    return _objects(rows.to_pandas()).assign(g=keys[:, 0], page=keys[:, 1])
+def _rows(blobs: list[bytes]) -> pd.DataFrame:
+    """All rows of the blobs."""
+    tables = [pa.ipc.open_stream(b).read_all() for b in blobs]
+    return _objects((pa.concat_tables(tables) if tables else _SCHEMA.empty_table()).to_pandas())
 
 
 def _objects(rows: pd.DataFrame) -> pd.DataFrame:
@@ -84,128 +87,145 @@ def _objects(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.assign(**{c: np.array([None if x is None or x != x else x for x in rows[c]], object) for c in ("op", "city")})
 
 
-class Pages(StatefulProcessor):
-    """Held changes by (group, page). All keys of one chunk of rows are loaded, worked on at once, and written back."""
+class Held(StatefulProcessor):
+    """Held changes of a slot, in pieces, and the pointers (q, p) of its clients, if it has all of them."""
 
     def init(self, handle) -> None:
-        self.pages = handle.getMapState("pages", "g long, page long", "blob binary, earliest int")
+        self.pointers = handle.getValueState("pointers", "blob binary, pieces int")
+        self.pieces = handle.getMapState("pieces", "piece int", "blob binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for at, chunk in enumerate(rows):
-            if len(chunk):
-                yield self._step(chunk, at)
+        chunks = [x for x in rows if len(x)]
+        if chunks:
+            yield self._step(int(key[0]), pd.concat(chunks) if len(chunks) > 1 else chunks[0])
 
     def close(self) -> None:
         pass
 
-    def _step(self, chunk: pd.DataFrame, at: int) -> pd.DataFrame:
-        touched = chunk[["g", "page"]].drop_duplicates()
-        keys = list(zip(touched["g"].tolist(), touched["page"].tolist()))
-        stored = {k: bytes(v[0]) for k in keys if (v := self.pages.getValue(k)) is not None}
-        held = _rows(stored).assign(old=True)
-
-        pointer = chunk.drop_duplicates(["cid", "page"])[["cid", "page", "q", "p"]]
-        run, due = int(chunk["run"].iloc[0]), int(chunk["due"].iloc[0])
-        held = held.merge(pointer, on=["cid", "page"], how="left")
-        gone = (held["m"] < held["p"]).to_numpy()
-        applied = held[gone]
-        applied = applied.assign(batch=np.where(applied["m"] < applied["q"], run - 1, run), kind="applied")
+    def _step(self, slot: int, given: pd.DataFrame) -> pd.DataFrame:
+        kind = given["kind"].to_numpy()
+        run, due, least = (int(given[c].to_numpy()[kind == 1][0]) for c in ("run", "due", "p"))
+        shared = kind == 2
+        state = self.pointers.get() if self.pointers.exists() else (b"", 0)
+        held = _rows([bytes(self.pieces.getValue((i,))[0]) for i in range(state[1])])
+        if shared.any():
+            known = given[["cid", "q", "p", "m"]].to_numpy()[shared]
+            cid, q, p, lo = known[np.argsort(known[:, 0])].T
+        else:
+            cid, q, p = np.frombuffer(state[0], np.int64).reshape(3, -1)
+            p, lo = np.maximum(p, least), np.zeros(len(cid), np.int64)
+
+        before_q, before_p = (_looked_up(cid, x, held["cid"].to_numpy()) for x in (q, p))
+        m = held["m"].to_numpy()
+        gone = m < before_p
+        applied = held[gone].assign(batch=np.where(m < before_q, run - 1, run)[gone], kind="applied")
         held = held[~gone]
 
-        fresh = _objects(chunk[chunk["kind"] == 0])
-        known = pd.MultiIndex.from_frame(held[["cid", "m"]]) if len(held) else None
-        taken = np.zeros(len(fresh), bool) if known is None else pd.MultiIndex.from_frame(fresh[["cid", "m"]]).isin(known)
-        take = fresh["first"].to_numpy(bool) & (fresh["m"] >= fresh["p"]).to_numpy() & ~taken
+        fresh = _objects(given[kind == 0])
+        take = fresh["first"].to_numpy(bool) & (fresh["m"].to_numpy() >= _looked_up(cid, p, fresh["cid"].to_numpy()))
+        if len(held) and len(fresh):
+            take &= ~pd.MultiIndex.from_frame(fresh[["cid", "m"]]).isin(pd.MultiIndex.from_frame(held[["cid", "m"]]))
         rejected = fresh[~take].assign(batch=run, kind="rejected")
-        columns = [*_HELD, "g", "page", "p", "old"]
-        parts = [x[columns] for x in (held, fresh[take].assign(old=False)) if len(x)]
-        held = pd.concat(parts) if parts else held[columns]
-        held = held.sort_values(["g", "page", "cid", "m"], kind="stable")
-        self._write(held, stored, keys)
-        facts = _facts(held, pointer, due).assign(kind="page", at=at)
-        frames = [x for x in (applied, rejected, facts) if len(x)]
-        out = pd.concat(frames) if frames else facts
-        out = out.assign(run=run).reindex(columns=[f.split(" ")[0] for f in OUTPUT.split(", ")])
-        whole = {c: "Int64" for c in ("cid", "m", "change_id", "page", "held", "lead", "last_due", "gap")} | {c: "Int32" for c in ("day", "batch", "earliest", "at", "run")}
-        return _objects(out.astype(whole)).assign(kind=np.array(out["kind"].tolist(), object))
-
-    def _write(self, held: pd.DataFrame, stored: dict, keys: list[tuple]) -> None:
-        left = set()
-        for key, rows in held.groupby(["g", "page"], sort=False):
-            key = (int(key[0]), int(key[1]))
-            left.add(key)
-            self.pages.updateValue(key, (_blob(rows), int(rows["day"].min())))
-        for key in keys:
-            if key in stored and key not in left:
-                self.pages.removeKey(key)
-
-
-def _facts(held: pd.DataFrame, pointer: pd.DataFrame, due: int) -> pd.DataFrame:
-    """A row for each (client, page) of ``pointer``: held changes, the first number that isn't held from the pointer (or the page's start)
-    on, the largest number that is due, the first behind it that isn't held, and the earliest day."""
-    rows = held.merge(pointer[["cid", "page"]], on=["cid", "page"]).sort_values(["cid", "page", "m"], kind="stable")
-    by = rows.groupby(["cid", "page"], sort=False)
-    floor = np.maximum(rows["p"], rows["page"] * PAGE)
-    nth = by.cumcount()
-    rows = rows.assign(lead=(rows["m"] - floor == nth).astype("int64"), due_m=np.where(rows["day"] <= due, rows["m"], -1), nth=nth)
-    rows["last_due"] = rows.groupby(["cid", "page"], sort=False)["due_m"].transform("max")
-    at_due = rows[rows["m"] == rows["last_due"]][["cid", "page", "nth"]].rename(columns={"nth": "due_nth"})
-    rows = rows.merge(at_due, on=["cid", "page"], how="left")
-    rows["gap"] = ((rows["m"] >= rows["last_due"]) & (rows["m"] - rows["last_due"] == rows["nth"] - rows["due_nth"])).astype("int64")
-    each = rows.groupby(["cid", "page"], sort=False).agg(held=("m", "size"), lead=("lead", "sum"), last_due=("last_due", "max"), gap=("gap", "sum"), earliest=("day", "min"), p=("p", "max")).reset_index()
-    each["lead"] += np.maximum(each["p"], each["page"] * PAGE)
-    each["gap"] = np.where(each["last_due"] >= 0, each["last_due"] + each["gap"], -1)
-    out = pointer[["cid", "page"]].merge(each.drop(columns="p"), on=["cid", "page"], how="left")
-    out["held"] = out["held"].fillna(0)
-    return out
+        parts = [x[_HELD] for x in (held, fresh[take]) if len(x)]
+        held = (pd.concat(parts) if parts else held[_HELD]).sort_values(["cid", "m"], kind="stable")
+
+        c = held["cid"].to_numpy()
+        who, lead, last_due, gap = _facts(c, held["m"].to_numpy(), held["day"].to_numpy(), np.maximum(_looked_up(cid, p, c), _looked_up(cid, lo, c)), due)
+        frames = [applied, rejected]
+        if shared.any():
+            pointers = b""
+            frames.append(pd.DataFrame({"cid": who, "lead": lead, "last_due": last_due, "gap": gap}).assign(kind="end", batch=run))
+        else:
+            idle = ~np.isin(cid, who)
+            moved = np.stack([np.concatenate((who, cid[idle])), np.concatenate((lead, p[idle])), np.concatenate((np.where(last_due >= lead, gap, lead), p[idle]))])
+            pointers = moved[:, np.argsort(moved[0])].astype(np.int64).tobytes()
+        if len(applied) or take.any() or pointers != bytes(state[0]):
+            self._write(held, pointers, state[1])
+        # whole numbers stay so: each frame gets all columns before they are put together
+        frames = [_shaped(x.assign(run=run, slot=slot)) for x in frames if len(x)]
+        return _objects(pd.concat(frames) if frames else _shaped(applied))
+
+    def _write(self, held: pd.DataFrame, pointers: bytes, before: int) -> None:
+        count = -(-len(held) // PIECE)
+        for i in range(count):
+            self.pieces.updateValue((i,), (_blob(held.iloc[i * PIECE : (i + 1) * PIECE]),))
+        for i in range(count, before):
+            self.pieces.removeKey((i,))
+        self.pointers.update((pointers, count))
+
+
+def _shaped(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.reindex(columns=_OUT).fillna(dict.fromkeys(_WHOLE, 0)).astype(_WHOLE)
+
+
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The value of each wanted key, 0 where there is none; keys are sorted."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0)
+
+
+def _facts(cid: np.ndarray, m: np.ndarray, day: np.ndarray, floor: np.ndarray, due: int) -> tuple[np.ndarray, ...]:
+    """Of each client: the first number that isn't held from ``floor`` on, the largest held one that is due (or -1) and the first
+    behind it that isn't held (or -1). Rows are sorted by (cid, m)."""
+    start = np.flatnonzero(np.append(True, cid[1:] != cid[:-1])[: len(cid)])
+    if not len(start):
+        return (np.zeros(0, np.int64),) * 4
+    at = np.arange(len(cid))
+    run = m - at
+    of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(cid))))
+    lead = floor[start] + np.add.reduceat((run - floor == -start[of]).astype(np.int64), start)
+    last = np.maximum.reduceat(np.where(day <= due, at, -1), start)
+    follows = (at >= last[of]) & (run == run[last[of]])
+    gap = m[last] + np.add.reduceat(follows.astype(np.int64), start)
+    return cid[start], lead, np.where(last >= 0, m[last], -1), np.where(last >= 0, gap, -1)
 
 
 class Applier:
     """Feeds batches in order; ``settled`` returns what was decided so far. A batch of changes has the columns client_id, n (from 1), day,
-    change_id, op, city, balance, and ``first``: whether it is the first of its client, number and batch."""
+    change_id, op, city, balance, ``first``: whether it is the first of its client, number and batch, and ``part``: the range that it lies
+    in, if its client has several, else null. ``spans`` has these: (part, client, smallest n - 1, largest n), in order of n."""
 
-    def __init__(self, spark: SparkSession, clients: int, grace: int = GRACE, root: str | None = None):
+    def __init__(self, spark: SparkSession, changes: int, spans: Iterable[tuple] = (), grace: int = GRACE, root: str | None = None):
         self.spark, self.grace, self.root = spark, grace, root or _store.place(spark, "changes")
-        self.groups, self.slots = max(1, clients // CLIENTS), SLOTS * _store.tasks(spark)
+        self.slots = max(SLOTS * _store.tasks(spark), changes // SLOT)
         self.run, self.largest = 0, None
-        self.live = self.pointers = None
-
-    def _where(self, rows: DataFrame) -> DataFrame:
-        """With the group, page and slot of (cid, m) or (cid, page)."""
-        group = F.pmod(F.xxhash64("cid"), F.lit(self.groups))
-        rows = rows.withColumns({"g": group} | ({} if "page" in rows.columns else {"page": F.expr(f"m div {PAGE}")}))
-        return rows.withColumn("slot", F.pmod(F.xxhash64("g", "page"), F.lit(self.slots)))
+        self.spans: dict = {}
+        for part, cid, lo, end in spans:
+            self.spans.setdefault(cid, []).append((self.slots + part, lo, end))
+        self.pointers = {cid: (0, 0) for cid in self.spans}
 
     def feed(self, rows: DataFrame, largest: int | None) -> None:
         """One batch; ``largest`` is the largest day of its rows, if there are any."""
         days = [x for x in (self.largest, largest) if x is not None]
         self.largest = max(days) if days else None
-        self._feed(rows.select(F.coalesce("client_id", F.lit(NO_ID)).alias("cid"), (F.col("n") - 1).alias("m"), "day", "change_id", "op", "city", "balance", "first"))
+        cid = F.coalesce("client_id", F.lit(NO_ID))
+        slot = F.coalesce(F.lit(self.slots) + F.col("part"), F.pmod(F.xxhash64(cid), F.lit(self.slots)))
+        self._feed(rows.select(cid.alias("cid"), (F.col("n") - 1).alias("m"), "day", "change_id", "op", "city", "balance", "first", slot.alias("slot"), F.lit(0).alias("kind")), 0)
 
     def finish(self) -> None:
         """Everything that is still held is applied."""
-        if self.pointers is not None:
-            self.pointers = self.pointers.withColumn("p", F.lit(ALL))
-            self._feed(None)
+        self.pointers = {cid: (q, ALL) for cid, (q, _) in self.pointers.items()}
+        self._feed(None, ALL)
 
-    def _feed(self, rows: DataFrame | None) -> None:
+    def _feed(self, rows: DataFrame | None, least: int) -> None:
         self.run += 1
         due = -(2**31) if self.largest is None else self.largest - self.grace
-        given = []
-        if rows is not None:
-            rows = rows.join(self.pointers, "cid", "left") if self.pointers is not None else rows.withColumns({"q": F.lit(0).cast("long"), "p": F.lit(0).cast("long")})
-            given.append(self._where(rows.withColumns({"q": F.coalesce("q", F.lit(0)), "p": F.coalesce("p", F.lit(0)), "kind": F.lit(0)})))
-        if self.live is not None:
-            near = self.live.join(self.pointers, "cid").where((F.col("page") * PAGE < F.col("p")) | (F.col("earliest") <= due))
-            given.append(self._where(near.select("cid", "page", "q", "p", F.lit(1).alias("kind"))))
-        both = given[0] if len(given) == 1 else given[0].unionByName(given[1], allowMissingColumns=True)
-        names = [f.split(" ") for f in INPUT.split(", ")]
+        shared = [(slot, cid, lo, *self.pointers[cid]) for cid, ranges in self.spans.items() for slot, lo, _ in ranges]
+        told = [(slot, 1, 0, 0, 0, least) for slot in (*range(self.slots), *sorted({x[0] for x in shared}))]
+        told += [(slot, 2, cid, lo, q, p) for slot, cid, lo, q, p in shared]
+        control = self.spark.createDataFrame(pd.DataFrame(told, columns=["slot", "kind", "cid", "m", "q", "p"]), "slot long, kind int, cid long, m long, q long, p long").coalesce(1)
+        both = control if rows is None else rows.unionByName(control, allowMissingColumns=True)
+        # a null among whole numbers would make them floats in pandas
+        none = lambda c, t: F.lit(None).cast(t) if t in ("string", "double") else F.lit(0).cast(t)
         both = both.withColumns({"due": F.lit(due), "run": F.lit(self.run)})
-        both = both.select(*[(F.col(c) if c in both.columns else F.lit(None)).cast(t).alias(c) for c, t in names])
+        columns = [(c, t, F.col(c).cast(t)) if c in both.columns else (c, t, none(c, t)) for c, t in (f.split(" ") for f in INPUT.split(", "))]
+        both = both.select(*[(x if t in ("string", "double") else F.coalesce(x, F.lit(0).cast(t))).alias(c) for c, t, x in columns])
         with _store.cleaned(self.spark):
             both.write.mode("append").parquet(f"{self.root}/in")
         self._stream()
-        if rows is not None:
+        if self.spans and rows is not None:
             self._advance()
         self._freed()
 
@@ -222,7 +242,7 @@ class Applier:
             self.spark.conf.set(k, v)
         try:
             source = self.spark.readStream.schema(INPUT).parquet(f"{self.root}/in")
-            out = source.groupBy("slot").transformWithStateInPandas(Pages(), OUTPUT, "append", "none")
+            out = source.groupBy("slot").transformWithStateInPandas(Held(), OUTPUT, "append", "none")
             writer = out.writeStream.format("parquet").partitionBy("kind", "run").option("path", f"{self.root}/out").option("checkpointLocation", f"{self.root}/checkpoint")
             writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
         finally:
@@ -233,43 +253,10 @@ class Applier:
         return self.spark.read.schema(OUTPUT).parquet(f"{self.root}/out").where(F.col("kind") == kind)
 
     def _advance(self) -> None:
-        """Pages and pointers after a batch, as tables."""
-        fact = F.struct("held", "lead", "last_due", "gap", "earliest")
-        told = self._out("page").where(F.col("run") == self.run).groupBy("cid", "page").agg(F.max_by(fact, "at").alias("v")).select("cid", "page", "v.*")
-        kept = told.where("held > 0")
-        if self.live is not None:
-            kept = self.live.join(told.select("cid", "page"), ["cid", "page"], "left_anti").unionByName(kept)
-        old, self.live = self.live, _store.written(kept, "pages")
-        moved = _store.written(self._pointers(), "pointers")
-        stale = [x for x in (old, self.pointers) if x is not None]
-        self.pointers = moved
-        _store.dropped(*stale)
-
-    def _pointers(self) -> DataFrame:
-        """(cid, q, p): where each client stands at the batch's end, and at the next one's start."""
-        live = self.live
-        now = live.groupBy("cid").agg(F.max(F.struct("last_due", "gap")).alias("d")).select("cid", F.col("d.last_due").alias("due"), F.col("d.gap").alias("gap"))
-        if self.pointers is not None:
-            now = now.join(self.pointers.select("cid", "p"), "cid", "left")
-        else:
-            now = now.withColumn("p", F.lit(0).cast("long"))
-        now = now.withColumn("p", F.coalesce("p", F.lit(0)))
-        # where to look for the first number that isn't held: from the pointer's page on, and from the page of the gap behind what is due
-        starts = now.select("*", F.posexplode(F.array(F.expr(f"p div {PAGE}"), F.expr(f"gap div {PAGE}"))).alias("which", "s"))
-        full = live.where(F.col("lead") == (F.col("page") + 1) * PAGE).select("cid", "page")
-        runs = starts.join(full.select("cid", F.col("page").alias("s"), F.lit(True).alias("full")), ["cid", "s"], "left")
-        ends = full.select("cid", (F.col("page") + 1).alias("page")).join(full, ["cid", "page"], "left_anti").select("cid", F.col("page").alias("end"))
-        far = runs.where("full").select("cid", "s").join(ends, "cid").where("end > s").groupBy("cid", "s").agg(F.min("end").alias("end"))
-        placed = runs.join(far, ["cid", "s"], "left").withColumn("end", F.coalesce("end", "s"))
-        found = placed.join(live.select("cid", F.col("page").alias("end"), "lead"), ["cid", "end"], "left").withColumn("to", F.coalesce("lead", F.col("end") * PAGE))
-        each = found.groupBy("cid").agg(*[F.first(c).alias(c) for c in ("p", "due", "gap")], *[F.max(F.when(F.col("which") == i, F.col("to"))).alias(f"to{i}") for i in (0, 1)])
-        each = each.withColumn("q", F.greatest("p", "to0"))
-        # a gap at the end of its page continues behind the run of full pages that follows it
-        ahead = F.when(F.col("gap") % PAGE != 0, F.col("gap")).otherwise(F.col("to1"))
-        moved = each.select("cid", "q", F.when(F.col("due") < F.col("q"), F.col("q")).otherwise(ahead).alias("p"))
-        if self.pointers is not None:
-            moved = moved.unionByName(self.pointers.join(live.select("cid").distinct(), "cid", "left_anti").select("cid", F.col("p").alias("q"), "p"))
-        return moved
+        """Pointers of clients over several ranges, at a batch's end and at the next one's start."""
+        told = self._out("end").where(F.col("run") == self.run).select("slot", "cid", "lead", "last_due", "gap").collect()  # a row a client and range
+        facts = {(r["slot"], r["cid"]): (r["lead"], r["last_due"], r["gap"]) for r in told}
+        self.pointers = {cid: _moved(self.pointers[cid][1], [(lo, end, *facts.get((slot, cid), (None, -1, -1))) for slot, lo, end in ranges]) for cid, ranges in self.spans.items()}
 
     def settled(self) -> DataFrame:
         """(cid, m, change_id, op, city, balance, batch, status) of everything that was decided."""
@@ -277,6 +264,21 @@ class Applier:
         return rows.select("cid", "m", "change_id", "op", "city", "balance", "batch", "status")
 
 
+def _moved(p: int, ranges: list[tuple]) -> tuple[int, int]:
+    """Where a client stands at the batch's end, and at the next one's start. ranges: (smallest number, end, lead, last_due, gap)."""
+
+    def behind(i: int, at: int) -> int:
+        """``at``, or if that is a range's end, the first number that isn't held in those that follow."""
+        while i + 1 < len(ranges) and at >= ranges[i][1]:
+            i, at = i + 1, max(at, ranges[i + 1][2] or 0)
+        return at
+
+    i = max((k for k, r in enumerate(ranges) if r[0] <= p), default=0)
+    q = behind(i, max(p, ranges[i][2] or 0))
+    due = max(range(len(ranges)), key=lambda k: ranges[k][3])
+    return q, behind(due, ranges[due][4]) if ranges[due][3] >= q else q
+
+
 def _scanned(rows: DataFrame, order: list[str], scan, shape: str, name: str) -> DataFrame:
     """A table of what ``scan(batches)`` returns for each range partition of (cid, order[0]), sorted by ``order``."""
     n = _store.tasks(rows.sparkSession)
@@ -324,11 +326,11 @@ def _ranked(batches):
         yield pa.RecordBatch.from_arrays([pa.array([own.get(f.name)], f.type) for f in rows.schema], rows.schema.names)
 
 
-def dense_ranks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def dense_ranks(rows: DataFrame, size: int = 0) -> tuple[DataFrame, DataFrame]:
     """(cid, change_id, op, city, balance, day, batch, n, first) of live rows, as a table with a folder a batch; and a row a partition."""
     shape = "cid long, change_id long, op string, city string, balance double, day int, batch int, n long, first boolean, early boolean, task int, kind int"
     order = ["s", "day", "change_id", "tie"]
-    n = _store.tasks(rows.sparkSession)
+    n = max(_store.tasks(rows.sparkSession), -(-size // RANGE))
     path = _store.place(rows.sparkSession, "ranked")
     with _store.cleaned(rows.sparkSession):
         rows.repartitionByRange(n, "cid", "s").sortWithinPartitions("cid", *order).mapInArrow(_ranked, shape).write.partitionBy("batch").parquet(path)
@@ -336,15 +338,23 @@ def dense_ranks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return table.where("kind = 0"), table.where("kind = 1")
 
 
-def _carried(parts: list) -> list[tuple]:
-    """(task, offset): what the ranks of the first client of each partition lack."""
-    out, cid, rank = [], None, 0
-    for p in sorted(parts, key=lambda r: r["task"]):
-        head, one = p["change_id"], p["early"]
-        offset = rank if head == cid else 0
-        out.append((p["task"], offset))
-        cid, rank = p["cid"], p["n"] + (offset if one else 0)
-    return out
+def _carried(parts: list) -> tuple[list[tuple], list[tuple]]:
+    """(task, offset, head, tail): what the ranks of the first client of each partition lack, and its first and last client if they have
+    several partitions; and (task, client, smallest n - 1, largest n or more) of these."""
+    parts = sorted(parts, key=lambda r: r["task"])
+    out, spans, rank, same = [], [], 0, False
+    for k, p in enumerate(parts):
+        head, tail, one = p["change_id"], p["cid"], p["early"]
+        follows = k + 1 < len(parts) and parts[k + 1]["change_id"] == tail
+        offset = rank if same else 0
+        rank = p["n"] + (offset if one else 0)
+        if same:
+            spans.append((p["task"], head, offset, rank if one and follows else ALL))
+        if follows and not (same and one):
+            spans.append((p["task"], tail, 0, rank))
+        out.append((p["task"], offset, head if same else None, tail if follows else None))
+        same = follows
+    return out, spans
 
 
 def _effects(batches):
@@ -450,15 +460,17 @@ def numbered(changes: DataFrame, batches: int, first_day: int, days: int, jitter
 def apply_changes(changes: DataFrame, batches: int = 12, first_day: int = 19723, days: int = 160, jitter: int = 9, drop: int = 11, grace: int = GRACE) -> DataFrame:
     """(change_id, client_id, status, batch, missed, city, balance, current) of all changes that take part."""
     spark = changes.sparkSession
-    live, parts = dense_ranks(numbered(changes, batches, first_day, days, jitter, drop))
+    live, parts = dense_ranks(numbered(changes, batches, first_day, days, jitter, drop), changes.count())
     parts = parts.select("cid", "n", "early", "task", "day", "change_id").collect()  # a row a partition
-    offsets = spark.createDataFrame(_carried(parts), "task int, _offset long")
-    largest = {r["batch"]: r["day"] for r in live.groupBy("batch").agg(F.max("day").alias("day")).collect()}  # a row a batch
-    applier = Applier(spark, sum(r["day"] for r in parts), grace)
+    carried, spans = _carried(parts)
+    offsets = F.broadcast(spark.createDataFrame(carried, "task int, _offset long, _head long, _tail long"))
+    told = {r["batch"]: r for r in live.groupBy("batch").agg(F.max("day").alias("day"), F.count("*").alias("rows")).collect()}  # a row a batch
+    applier = Applier(spark, sum(r["rows"] for r in told.values()), spans, grace)
     for k in range(1, batches + 1):
         rows = live.where(F.col("batch") == k).join(offsets, "task")
         n = F.col("n") + F.when(F.col("early"), F.col("_offset")).otherwise(0)
-        applier.feed(rows.withColumns({"n": n, "client_id": F.col("cid")}), largest.get(k))
+        part = F.when((F.col("cid") == F.col("_head")) | (F.col("cid") == F.col("_tail")), F.col("task"))
+        applier.feed(rows.withColumns({"n": n, "client_id": F.col("cid"), "part": part}), told[k]["day"] if k in told else None)
     applier.finish()
     done = applier.settled()
     after = effects(done.where("status = 'applied'")).withColumn("status", F.lit("applied"))

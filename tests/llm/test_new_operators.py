@@ -56,6 +56,36 @@ def test_each_start_frees_the_driver(spark):
     assert whole() >= before + 2
 
 
+def test_starts_are_few_jobs_and_ids_stay_whole(spark):
+    """A start is a write, one shuffle to the state and a row a range that comes back, whatever is held; and ids pass pandas as whole numbers."""
+    jobs, dice, day = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs, random.Random(8), dt.datetime(2024, 1, 1)
+    rows = [(2**60 + i, 2**61 + (i % 5 == 0) * dice.randint(1, 9), max(0, i + dice.randint(-40, 40)), dice.choice("IUUUD"), day + dt.timedelta(days=i // 4), "s", "t", "a", 1.0) for i in range(400)]
+    df, ran = changes(spark, rows), []
+    for batches in (1, 4):
+        before, got = jobs(), sequenced.apply_changes(df, batches=batches, days=140)
+        ran.append(jobs() - before)
+        assert digest(got) == sequenced.brute(plain(df), batches=batches, days=140)
+    assert ran[1] - ran[0] <= 3 * 8
+
+
+def test_pointers_of_a_client_over_several_ranges():
+    """Against the numbers themselves: the first one that isn't held, and the first one behind the largest that is due."""
+    dice = random.Random(2)
+    for _ in range(300):
+        top, p = dice.randint(1, 30), dice.randint(0, 12)
+        held = {m: dice.randint(0, 9) for m in range(p, top) if dice.random() < 0.8}
+        cuts = [0, *sorted(dice.sample(range(1, top), min(top - 1, dice.randint(0, 4)))), sequenced.ALL]
+        ranges = []
+        for lo, end in itertools.pairwise(cuts):
+            own = np.array(sorted(m for m in held if lo <= m < end), np.int64)
+            days = np.array([held[m] for m in own.tolist()], np.int64)
+            facts = sequenced._facts(own * 0, own, days, np.maximum(p, lo) + own * 0, 3)
+            ranges.append((lo, end, *([int(x[0]) for x in facts[1:]] if len(own) else (None, -1, -1))))
+        q = next(m for m in itertools.count(p) if m not in held)
+        due = max((m for m, d in held.items() if d <= 3), default=-1)
+        assert sequenced._moved(p, ranges) == (q, next(m for m in itertools.count(due) if m not in held) if due >= q else q)
+
+
 def test_changes_of_an_empty_table(spark):
     assert sequenced.apply_changes(changes(spark, []).limit(0), batches=1).count() == 0
 
