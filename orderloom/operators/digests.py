@@ -23,12 +23,15 @@ def _leaf(key: list[str]) -> Column:
     return F.pmod(F.xxhash64(F.lit("leaf"), *key, *[F.col(c).isNull() for c in key]), F.lit(BRANCHES * LEAVES)).cast("int")
 
 
-def leaf_digests(df: DataFrame, key: list[str]) -> DataFrame:
-    """(branch, leaf, rows, total, parity): one row for each leaf that has rows; worth keeping beside a layer."""
+def _value(df: DataFrame) -> Column:
     columns = sorted(df.columns)
     # nulls don't change xxhash64, so where they are is hashed, too
-    value = F.xxhash64(*columns, F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in columns]))
-    rows = df.select(_leaf(key).alias("leaf"), value.alias("h"))
+    return F.xxhash64(*columns, F.concat(*[F.when(F.col(c).isNull(), "1").otherwise("0") for c in columns]))
+
+
+def leaf_digests(df: DataFrame, key: list[str]) -> DataFrame:
+    """(branch, leaf, rows, total, parity): one row for each leaf that has rows; worth keeping beside a layer."""
+    rows = df.select(_leaf(key).alias("leaf"), _value(df).alias("h"))
     return rows.groupBy("leaf").agg(F.count("*").alias("rows"), F.sum(F.col("h").cast("decimal(38,0)")).alias("total"), F.bit_xor("h").alias("parity")).withColumn("branch", F.expr(f"leaf div {LEAVES}").cast("int"))
 
 
@@ -79,3 +82,13 @@ def differences(first: DataFrame, second: DataFrame, key: list[str]) -> DataFram
     each = sides.groupBy(*key).agg(F.sum("g").alias("gone"), F.sum("c").alias("come"))
     kind = F.when((F.col("gone") > 0) & (F.col("come") > 0), CHANGED).when(F.col("gone") > 0, LOST).otherwise(EXTRA)
     return each.select(*key, kind.alias("kind"), "gone", "come")
+
+
+def unequal_blocks(first: DataFrame, second: DataFrame, block: list[str]) -> DataFrame:
+    """The values of the columns ``block`` whose rows differ. For layers whose files hold most of a block together: a task adds up what it reads of
+    one, so what is shuffled is a row a block and file."""
+    if sorted(first.columns) != sorted(second.columns):
+        raise ContractError(f"columns differ: {sorted(set(first.columns) ^ set(second.columns))}")
+    a, b = (df.select(*block, _value(df).alias("h"), F.lit(side).alias("side")) for df, side in ((first, 1), (second, -1)))
+    facts = (F.sum("side").alias("rows"), F.sum(F.col("side") * F.col("h").cast("decimal(20,0)")).alias("total"), F.bit_xor("h").alias("parity"))
+    return a.union(b).groupBy(*block).agg(*facts).where("rows <> 0 OR total <> 0 OR parity <> 0").select(*block)

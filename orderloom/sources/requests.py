@@ -11,16 +11,18 @@ is waited for, not passed over; other files in the folder are ignored; offsets b
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark import StorageLevel
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -32,8 +34,12 @@ _ARROW = pa.schema([
     ("createdAt", pa.timestamp("us", "UTC")), ("payloadHash", pa.int64()), ("payload", pa.string()),
 ])
 _NAME = re.compile(r"(\d+)-(\d+)-(\d+)\.parquet")
+#: What a staged file holds, and what is told of each partition's rows in it.
+_STAGED = pa.schema(list(_ARROW)[2:])
+_PIECE = pa.schema([("range", pa.int32()), ("partition", pa.int32()), ("file", pa.string()), ("first", pa.int64()), ("rows", pa.int64())])
 #: Rows of a file, and offsets of a task, at most.
 FILE_ROWS = 20_000
+COMPRESSION = "zstd"
 
 
 def _listed(path: str) -> dict[int, list[tuple[int, int, str]]]:
@@ -162,70 +168,145 @@ def stream(spark: SparkSession, path: str, start: dict[int, int] | None = None,
     return spark.readStream.format(FORMAT).option("rows", rows).option("startingOffsets", _json(start or {})).load(path)
 
 
-def _written(batches, path: str, rows: int):
-    """Writes each chunk of a task that is sorted by (partition, offset) under its name, by way of a hidden one, so a repeated task repeats its files."""
+def _ranged(requests: DataFrame, partition: Column, order: tuple[str, ...], n: int) -> DataFrame:
+    """The requests with their log partition along n ranges of (partition, order), a task each, sorted."""
+    more = {c: f"_by_{c}" for c in order if c not in _ARROW.names[2:]}
+    by = ["partition", *[more.get(c, c) for c in order]]
+    rows = requests.select(partition.cast("int").alias("partition"), *_ARROW.names[2:], *[F.col(c).alias(name) for c, name in more.items()])
+    return rows.repartitionByRange(n, *by).sortWithinPartitions(*by).drop(*more.values())
+
+
+def _staged(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Writes a range to one file of small row groups, under a name of this try, and returns where the rows of each partition lie in it."""
+    batch = next(batches, None)
+    if batch is None:
+        return
     at, folder = fs.FileSystem.from_uri(path)
+    file, held, counts = f"{folder}/{uuid.uuid4().hex}.parquet", [], {}
+    with pq.ParquetWriter(file, _STAGED, filesystem=at, compression=COMPRESSION) as out:
+        while batch is not None:
+            for x in batch.column("partition").value_counts().to_pylist():  # in order, as the rows are sorted
+                counts[x["values"]] = counts.get(x["values"], 0) + x["counts"]
+            held.append(batch)
+            batch = next(batches, None)
+            if batch is None or sum(b.num_rows for b in held) >= FILE_ROWS:
+                out.write_table(pa.Table.from_batches(held).select(_STAGED.names).cast(_STAGED))
+                held = []
+    first = 0
+    for partition, rows in counts.items():
+        values = (TaskContext.get().partitionId(), partition, file, first, rows)
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, _PIECE.types)], _PIECE.names)
+        first += rows
+
+
+@dataclass
+class Cut:
+    """A run of a partition's rows that begins a file of the log, by the pieces of staged files that hold them: (file, first row, rows)."""
+
+    partition: int
+    offset: int
+    pieces: list[tuple[str, int, int]]
+
+
+def _cuts(pieces: list, held: dict[int, int], rows: int) -> list[Cut]:
+    """For each piece the files that begin in it. Files are cut every ``rows`` requests of a partition, so the last one may go on into the pieces after it."""
+    by: dict[int, list] = {}
+    for r in sorted(pieces, key=lambda r: (r["partition"], r["range"])):
+        before = by.setdefault(r["partition"], [])
+        first = before[-1][1] if before else 0
+        before.append((first, first + r["rows"], r["file"], r["first"]))
+    out = []
+    for partition, placed in by.items():
+        for i, (first, end, _, _) in enumerate(placed):
+            a, b = -(-first // rows) * rows, min(-(-end // rows) * rows, placed[-1][1])
+            if a >= end:
+                continue
+            parts = []
+            for lo, hi, file, row in itertools.takewhile(lambda x: x[0] < b, placed[i:]):
+                x, y = max(lo, a), min(hi, b)
+                parts.append((file, row + x - lo, y - x))
+            out.append(Cut(partition, held.get(partition, 0) + a, parts))
+    return out
 
-    def put(table: pa.Table) -> pa.RecordBatch:
-        partition, first = table["partition"][0].as_py(), table["offset"][0].as_py()
-        name = f"{partition}-{first}-{table.num_rows}.parquet"
+
+def _read(at: fs.FileSystem, file: str, first: int, rows: int) -> Iterator[pa.Table]:
+    """Rows of a staged file, by its row groups."""
+    with pq.ParquetFile(file, filesystem=at) as source:
+        begin = 0
+        for k in range(source.num_row_groups):
+            end = begin + source.metadata.row_group(k).num_rows
+            a, b = max(first, begin), min(first + rows, end)
+            if a < b:
+                yield source.read_row_group(k).slice(a - begin, b - a)
+            begin = end
+
+
+def _written(cut: Cut, path: str, rows: int) -> Iterator[pa.RecordBatch]:
+    """Writes the files of a cut, each by way of a hidden one, so a repeated task repeats its files."""
+    at, folder = fs.FileSystem.from_uri(path)
+    first, held, n = cut.offset, [], 0
+
+    def put() -> pa.RecordBatch:
+        name = f"{cut.partition}-{first}-{n}.parquet"
         hidden = f"{folder}/_{name}-{uuid.uuid4().hex}"
-        pq.write_table(table.select(_ARROW.names[2:]), hidden, filesystem=at)
+        pq.write_table(pa.concat_tables(held), hidden, filesystem=at, compression=COMPRESSION)
         if at.get_file_info(f"{folder}/{name}").type == fs.FileType.NotFound:
             at.move(hidden, f"{folder}/{name}")
         else:  # an earlier try of this task
             at.delete_file(hidden)
         return pa.RecordBatch.from_arrays([pa.array([name])], ["file"])
 
-    chunk, held = None, []
-    for batch in batches:
-        key = list(zip(batch.column("partition").to_pylist(), batch.column("chunk").to_pylist()))
-        a = 0
-        for i in range(1, len(key) + 1):
-            if i == len(key) or key[i] != key[a]:
-                if key[a] != chunk and held:
-                    yield put(pa.Table.from_batches(held))
-                    held = []
-                chunk = key[a]
-                held.append(batch.slice(a, i - a))
-                a = i
-    if held:
-        yield put(pa.Table.from_batches(held))
-
-
-def _ranged(requests: DataFrame, partition: Column, order: tuple[str, ...], n: int) -> DataFrame:
-    """The requests with their log partition along n ranges of (partition, order), a task each; ``_id`` counts them within their range."""
-    more = {c: f"_by_{c}" for c in order if c not in _ARROW.names[2:]}
-    by = ["partition", *[more.get(c, c) for c in order]]
-    rows = requests.select(partition.cast("int").alias("partition"), *_ARROW.names[2:], *[F.col(c).alias(name) for c, name in more.items()])
-    return rows.repartitionByRange(n, *by).sortWithinPartitions(*by).drop(*more.values()).withColumn("_id", F.monotonically_increasing_id())
+    for piece in cut.pieces:
+        for table in _read(at, *piece):
+            while n + table.num_rows >= rows:
+                k = rows - n
+                held.append(table.slice(0, k))
+                n, table = rows, table.slice(k)
+                yield put()
+                first, held, n = first + rows, [], 0
+            if table.num_rows:
+                held.append(table)
+                n += table.num_rows
+    if n:
+        yield put()
+
+
+@contextmanager
+def _cleaned(spark: SparkSession):
+    """Queries that are made and run within it remove their shuffle files at their end."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def append(requests: DataFrame, path: str, partition: Column, *order: str, rows: int = FILE_ROWS) -> int:
     """Adds requests (idempotencyKey, eventId, createdAt, payloadHash, payload) behind what each partition holds, in ``order``; returns the number of files.
     ValueError for requests without a partition.
 
+    Requests are shuffled once, to ranges of (partition, order), and each range goes to a staged file in a hidden folder of the log. Where a range's
+    offsets begin follows from the others' counts; then the log's files are cut out of the staged ones, without a shuffle. On disk at once are the
+    requests' shuffle and the staged files, and then these and the log's.
+
     One append at a time. One that is given up halfway leaves some of its requests; appended again, they come twice, which intake answers by their keys.
     """
     spark = requests.sparkSession
     at, folder = fs.FileSystem.from_uri(path)
     at.create_dir(folder, recursive=True)
+    staged = f"_staged-{uuid.uuid4().hex}"
+    at.create_dir(f"{folder}/{staged}")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # ranges come from a sample, so they are kept: counting and numbering need the same ones
-    kept = _ranged(requests, partition, order, n).persist(StorageLevel.DISK_ONLY)
     try:
-        ranged = kept.withColumn("_range", F.shiftright("_id", 33))
-        held, before, shift = ends(path), {}, []
-        for r in ranged.groupBy("partition", "_range").agg(F.count("*").alias("rows"), F.min("_id").alias("first")).orderBy("partition", "_range").collect():  # n and one a partition at most
-            p = r["partition"]
-            if p is None:
-                raise ValueError("some requests have no partition")
-            shift.append((p, r["_range"], before.get(p, 0) - r["first"], held.get(p, 0)))
-            before[p] = before.get(p, 0) + r["rows"]
-        base = F.broadcast(spark.createDataFrame(shift, "partition int, _range long, _shift long, _held long"))
-        nth = F.col("_id") + F.col("_shift")
-        numbered = ranged.join(base, ["partition", "_range"]).select("partition", (nth + F.col("_held")).alias("offset"), *_ARROW.names[2:], F.expr(f"(_id + _shift) div {rows}").alias("chunk"))
-        dealt = numbered.repartition(n, "partition", "chunk").sortWithinPartitions("partition", "chunk", "offset")
-        return dealt.mapInArrow(lambda b: _written(b, path, rows), "file string").count()
+        with _cleaned(spark):
+            ranged = _ranged(requests, partition, order, n).mapInArrow(lambda b: _staged(b, f"{path}/{staged}"), "range int, partition int, file string, first long, rows long")
+            pieces = ranged.collect()  # n and one a partition at most
+        if any(r["partition"] is None for r in pieces):
+            raise ValueError("some requests have no partition")
+        cuts = _cuts(pieces, ends(path), rows)
+        write = lambda batches: (file for b in batches for i in b.column("id").to_pylist() for file in _written(cuts[i], path, rows))
+        return spark.range(0, len(cuts), 1, max(1, len(cuts))).mapInArrow(write, "file string").count()
     finally:
-        kept.unpersist()
+        at.delete_dir(f"{folder}/{staged}")

@@ -7,6 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from orderloom import queries
 from orderloom.operators import delivery
 from orderloom.sources import requests
 
@@ -123,3 +124,53 @@ def test_one_partition_is_numbered_along_ranges(spark, tmp_path):
 def test_requests_without_a_partition_are_refused(spark, tmp_path):
     with pytest.raises(ValueError, match="requests have no partition"):
         requests.append(rows(spark, 0, 4), f"file://{tmp_path}/none", F.when(F.col("id") > 1, 0), "id")
+
+
+def shuffled(spark, run):
+    """How many records the stages of a run write to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    seen = stages()
+    last = max((seen.apply(i).stageId() for i in range(seen.size())), default=-1)
+    run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    after = stages()
+    return sum(x.shuffleWriteRecords() for x in map(after.apply, range(after.size())) if x.stageId() > last)
+
+
+def test_an_append_shuffles_requests_once(spark, tmp_path):
+    """Nothing else is kept of them than the log, even if they are refused."""
+    path, df = f"file://{tmp_path}/log", rows(spark, 0, 4000).repartition(3).localCheckpoint()
+    assert 4000 <= shuffled(spark, lambda: requests.append(df, path, F.col("id") % 3, "id", rows=100)) < 4400
+    assert len(os.listdir(tmp_path / "log")) == 42 and not [x for x in os.listdir(tmp_path / "log") if not requests._NAME.fullmatch(x)]
+    assert got(requests.replay(spark, path)) == sorted((p, k, f"e{3 * k + p}") for p in range(3) for k in range(1334) if 3 * k + p < 4000)
+    with pytest.raises(ValueError, match="no partition"):
+        requests.append(df, f"file://{tmp_path}/none", F.when(F.col("id") < 3000, 0), "id")
+    assert os.listdir(tmp_path / "none") == []
+
+
+def test_files_are_cut_across_ranges():
+    piece = lambda partition, k, first, n: {"partition": partition, "range": k, "file": f"f{k}", "first": first, "rows": n}
+    pieces = [piece(1, 2, 4, 3), piece(0, 0, 0, 25), piece(0, 1, 0, 2), piece(0, 2, 0, 4), piece(1, 3, 0, 10)]
+    cuts = [(c.partition, c.offset, c.pieces) for c in requests._cuts(pieces, {1: 40}, 10)]
+    assert cuts == [
+        (0, 0, [("f0", 0, 25), ("f1", 0, 2), ("f2", 0, 3)]),  # the third file goes on over two more ranges
+        (0, 30, [("f2", 3, 1)]),
+        (1, 40, [("f2", 4, 3), ("f3", 0, 7)]),
+        (1, 50, [("f3", 7, 3)]),
+    ]
+
+
+def test_what_was_streamed_meets_its_replay_by_blocks(spark, sf_dir, tmp_path):
+    replayed = spark.range(5000).select((F.col("id") % 2).cast("int").alias("partition"), F.expr("id div 2").alias("offset"), F.col("id").cast("string").alias("idempotencyKey"), F.concat(F.lit("e"), "id").alias("eventId"), F.expr("int(1 + id div 3000)").alias("start"))
+    key = replayed.drop("start").columns
+    streamed = replayed.select(*key)
+    odd = streamed.where("partition <> 1 OR offset <> 7").union(streamed.where("partition = 0 AND offset = 2001"))  # one lost, one twice
+    odd = odd.withColumn("eventId", F.when(F.expr("partition = 1 AND offset = 1500"), F.lit("other")).otherwise(F.col("eventId")))
+    for i, (other, want) in enumerate(((streamed, {}), (odd, {(1, 7, "e15", 1): None, (0, 2001, "e4002", 2): 2, (1, 1500, "e3001", 2): None, (1, 1500, "other", None): 1}))):
+        rows = queries._met(replayed, other, f"file://{tmp_path}/{i}").collect()
+        assert len(rows) == 5000 + (i > 0) and {(r.partition, r.offset, r.eventId, r.start): r.streamed for r in rows if r.streamed != 1 or r.start is None} == want
+    # rows that are alike aren't shuffled for that
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    assert shuffled(spark, lambda: queries.requests_replayed(spark, sf_dir).collect()) < 1.2 * lines

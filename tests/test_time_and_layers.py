@@ -26,6 +26,15 @@ def test_digests_tell_nulls_copies_and_keys(spark):
         digests.unequal_leaves(first, second.drop("b"), ["id"])
 
 
+def test_digests_of_blocks_tell_nulls_and_copies(spark):
+    first = spark.createDataFrame([(1, "a", None), (1, "b", "x"), (2, "a", None), (3, "a", "y"), (3, "a", "y"), (None, "n", "n"), (5, "a", "z")], "block int, id string, v string")
+    second = spark.createDataFrame([(1, "b", "x"), (1, "a", None), (2, None, "a"), (3, "a", "y"), (None, "n", "m"), (6, "b", "z")], "block int, id string, v string").select("v", "block", "id")
+    assert {r.block for r in digests.unequal_blocks(first, second, ["block"]).collect()} == {2, 3, None, 5, 6}
+    assert digests.unequal_blocks(first, first.repartition(3), ["block"]).count() == 0
+    with pytest.raises(ContractError):
+        digests.unequal_blocks(first, second.drop("v"), ["block"])
+
+
 def test_differences_scan_each_layer_once(spark, tmp_path):
     """Beside the scans for the digests: rows of the leaves that differ come from one scan and one shuffle of each layer."""
     for name, more in (("a", 0), ("b", 1)):
