@@ -176,13 +176,13 @@ def _ranged(requests: DataFrame, partition: Column, order: tuple[str, ...], n: i
     return rows.repartitionByRange(n, *by).sortWithinPartitions(*by).drop(*more.values())
 
 
-def _staged(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    """Writes a range to one file of small row groups, under a name of this try, and returns where the rows of each partition lie in it."""
+def _staged(batches: Iterator[pa.RecordBatch], path: str, inner: str) -> Iterator[pa.RecordBatch]:
+    """Writes a range to one file of small row groups in a folder of the log, under a name of this try, and returns where the rows of each partition lie in it."""
     batch = next(batches, None)
     if batch is None:
         return
     at, folder = fs.FileSystem.from_uri(path)
-    file, held, counts = f"{folder}/{uuid.uuid4().hex}.parquet", [], {}
+    file, held, counts = f"{folder}/{inner}/{uuid.uuid4().hex}.parquet", [], {}
     with pq.ParquetWriter(file, _STAGED, filesystem=at, compression=COMPRESSION) as out:
         while batch is not None:
             for x in batch.column("partition").value_counts().to_pylist():  # in order, as the rows are sorted
@@ -291,7 +291,7 @@ def append(requests: DataFrame, path: str, partition: Column, *order: str, rows:
     offsets begin follows from the others' counts; then the log's files are cut out of the staged ones, without a shuffle. On disk at once are the
     requests' shuffle and the staged files, and then these and the log's.
 
-    One append at a time. One that is given up halfway leaves some of its requests; appended again, they come twice, which intake answers by their keys.
+    One append at a time. One that is given up halfway leaves some of its requests (if its process dies, its staged files, too); appended again, they come twice, which intake answers by their keys.
     """
     spark = requests.sparkSession
     at, folder = fs.FileSystem.from_uri(path)
@@ -301,7 +301,7 @@ def append(requests: DataFrame, path: str, partition: Column, *order: str, rows:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     try:
         with _cleaned(spark):
-            ranged = _ranged(requests, partition, order, n).mapInArrow(lambda b: _staged(b, f"{path}/{staged}"), "range int, partition int, file string, first long, rows long")
+            ranged = _ranged(requests, partition, order, n).mapInArrow(lambda b: _staged(b, path, staged), "range int, partition int, file string, first long, rows long")
             pieces = ranged.collect()  # n and one a partition at most
         if any(r["partition"] is None for r in pieces):
             raise ValueError("some requests have no partition")
